@@ -45,3 +45,35 @@ def build_features(
     scaled = fe.to_wide(scaled_long, names, entity)
     rep = fe.feature_report(long, entity=entity) if report else None
     return wide, scaled, params, rep
+
+
+def clean_panel(
+    df: DataFrame,
+    items: Sequence[str] | None = None,
+    outliers: str | None = None,
+    threshold: float | None = None,
+    keys: Sequence[str] = ("City", "Commodity"),
+    order: Sequence[str] = ("Date",),
+    item: str = "Commodity",
+    value: str = "Price",
+) -> DataFrame:
+    """Null tokens -> gap fill (on the raw cells) -> price cast -> item
+    filter -> optional outlier removal ('iqr' or 'zscore').
+
+    The order matters and is kept: a cell that is not a listed token (for
+    example a padded ' - ') is not filled and only turns NULL at the cast.
+    ``keys`` bound the fill; pass ('Source_File', 'City', 'Commodity') to
+    clean per input file like the original."""
+    from ..operators import clean as cl
+
+    d = cl.replace_null_tokens(df, [value])
+    d = cl.fill_gaps(d, keys, order, value)
+    d = cl.cast_price(d, value)
+    d = cl.filter_items(d, items, item)
+    if outliers == "iqr":
+        d = cl.drop_outliers_iqr(d, 1.5 if threshold is None else threshold, item, value)
+    elif outliers == "zscore":
+        d = cl.drop_outliers_zscore(d, 3.0 if threshold is None else threshold, item, value)
+    elif outliers is not None:
+        raise ValueError("outliers must be None, 'iqr' or 'zscore'")
+    return d

@@ -23,15 +23,67 @@ def query(name: str, sql: str | None = None):
             raise KeyError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = expand_round(sql)
         return fn
 
     return deco
 
 
+# Fraction of a rounding step added before rounding (both engines).  Averages
+# of 2-decimal prices over 8, 32, ... rows end exactly on a tie (...5), and
+# the last-bit summation differences between engines would otherwise decide
+# the direction.
+NUDGE = 1e-3
+
+
+def round_sql(expr: str, digits: int) -> str:
+    m = f"{float(10 ** digits)!r}"
+    return f"(sign({expr}) * floor(abs({expr}) * {m} + 0.5 + {NUDGE!r}) / {m})"
+
+
+def expand_round(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` of an oracle SQL text into the same
+    tie-safe rounding that ``r6`` applies on the Spark side."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i : j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 6, -1
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        if comma < 0:  # one-argument round(x): left as it is
+            out.append(sql[i : j + 6])
+            i = j + 6
+            continue
+        inner = expand_round(sql[j + 6 : comma])
+        digits = int(sql[comma + 1 : k].strip())
+        out.append(sql[i:j] + round_sql(inner, digits))
+        i = k + 1
+
+
 def r6(c: str | Column, digits: int = 6) -> Column:
-    """Round for order-insensitive float comparison against the oracle."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Round for comparison against the oracle, with the oracle's rule:
+    round-half-away-from-zero of the *binary* value x * 10^d (Spark's own
+    ``round`` rounds the shortest decimal text, which differs on exact ties
+    such as averages ending in ...5)."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    m = float(10 ** digits)
+    return F.signum(x) * F.floor(F.abs(x) * m + 0.5 + NUDGE).cast("double") / m
 
 
 def r4(c: str | Column) -> Column:
@@ -42,6 +94,6 @@ def r4(c: str | Column) -> Column:
 def load_all() -> None:
     """Import every query module so that the registry is filled."""
     from . import (  # noqa: F401
-        q_panel,
         q_features,
+        q_panel,
     )
