@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def project_2d(vec: DataFrame, labels: DataFrame | None = None, names: Sequence[
     mu = [float(mean[f"_m{i}"]) for i in range(dim)]
     centred = vec.select(entity, F.zip_with(features, F.array(*[F.lit(m) for m in mu]), lambda x, m: x - m).alias("_c"))
     model = PCA(k=2, inputCol="_v").fit(centred.select(array_to_vector("_c").alias("_v")))
-    pc = model.pc.toArray()  # d x 2
+    pc = np.array(model.pc.toArray(), dtype=float, copy=True)  # d x 2
     for j in range(2):
         if pc[abs(pc[:, j]).argmax(), j] < 0:
             pc[:, j] = -pc[:, j]

@@ -97,4 +97,5 @@ def load_all() -> None:
         q_eval,
         q_features,
         q_panel,
+        q_report,
     )
