@@ -77,3 +77,35 @@ def clean_panel(
     elif outliers is not None:
         raise ValueError("outliers must be None, 'iqr' or 'zscore'")
     return d
+
+
+def analyze(df: DataFrame, algorithm: str = "kmeans", k: int = 3, features: Sequence[str] = ("avg",), freq: str = "all",
+            min_points: int = 10, scaling: str = "robust", coords: DataFrame | None = None, entity: str = "City", **params):
+    """Feature matrix -> scale -> matrix checks -> fit -> metrics ->
+    report tables.  Returns (ClusterResult with ``entity`` labels,
+    one-row metrics DataFrame, dict of report DataFrames).  Blocking check
+    failures raise with every violation listed."""
+    from ..operators import cluster as cl
+    from ..operators import evaluate as ev
+    from ..operators import report as rp
+    from ..operators.summary import matrix_checks
+
+    _, scaled, _, _ = build_features(df, features=features, freq=freq, min_points=min_points, methods=(scaling,), use=scaling,
+                                     report=False, entity=entity)
+    problems = matrix_checks(scaled, k=k, coords=coords, entity=entity).where(F.col("level") == "error").collect()
+    if problems:
+        raise ValueError("feature matrix rejected: " + "; ".join(f"{r['check']}: {r['detail']}" for r in problems))
+    cols = [c for c in scaled.columns if c != entity]
+    ids = scaled.select(entity).distinct().withColumn("entity", F.xxhash64(entity))
+    vec = scaled.select(F.xxhash64(entity).alias("entity"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("features"))
+    res = cl.fit(vec, algorithm, k, **params)
+    labels = res.labels.join(ids, "entity").select(entity, F.col("cluster").alias("Cluster"))
+    m = ev.metrics_table(vec, res.labels)
+    metrics = m.select(F.lit(algorithm).alias("algorithm"), F.lit(k).alias("k"), "*")
+    reports = {
+        "monthly_trends": rp.monthly_trends(df, labels, entity=entity),
+        "radar": rp.radar_profile(df, labels, entity=entity),
+        "silhouettes": rp.city_silhouettes(vec, res.labels),
+    }
+    res.labels = labels
+    return res, metrics, reports

@@ -94,6 +94,7 @@ def r4(c: str | Column) -> Column:
 def load_all() -> None:
     """Import every query module so that the registry is filled."""
     from . import (  # noqa: F401
+        q_cluster,
         q_eval,
         q_features,
         q_panel,
