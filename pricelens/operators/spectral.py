@@ -124,7 +124,7 @@ def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity",
 
 
 def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None = 1.0, n_neighbors: int = 10, degree: float = 3.0,
-             coef0: float = 1.0, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-9, extra: int = 8,
+             coef0: float = 1.0, n_init: int = 10, seed: int = 42, max_iter: int = 30, tol: float = 1e-6, extra: int = 4,
              block_rows: int = pw.DEFAULT_BLOCK_ROWS, entity="entity", features="features", data=None) -> ClusterResult:
     t0 = time.time()
     data, n, d = data if data is not None else prepare(vec, entity, features)
@@ -142,23 +142,21 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
     q = min(n, k + extra)
     # random start block, orthonormalised
     V = base.select("entity", F.array(*[(F.rand(seed + j) - 0.5) for j in range(q)]).alias("v"))
-    V = _orthonormalize(V, q)
+    V = checkpoint(_orthonormalize(V, q))
     ritz_prev = None
     it = 0
     for it in range(1, max_iter + 1):
-        Z = _apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb)
+        # the n x q block is checkpointed every step: each step reads the
+        # previous block twice, so an uncut lineage would double per step
+        Z = checkpoint(_apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb))
         G, B = _grams(V, Z, q)
         ritz = np.sort(np.linalg.eigvalsh((B + B.T) / 2))[::-1][:k]
-        V_next = _orthonormalize(Z, q, G)
-        if it % 10 == 0:
-            V_next = checkpoint(V_next)
+        V = checkpoint(_orthonormalize(Z, q, G))
         if ritz_prev is not None and np.max(np.abs(ritz - ritz_prev)) <= tol * max(1.0, np.max(np.abs(ritz))):
-            V = V_next
             break
         ritz_prev = ritz
-        V = V_next
     # Rayleigh-Ritz on the final block
-    Z = _apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb)
+    Z = checkpoint(_apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb))
     _, B = _grams(V, Z, q)
     w, Y = np.linalg.eigh((B + B.T) / 2)
     Y = Y[:, np.argsort(w)[::-1][:k]]
@@ -179,16 +177,22 @@ def _apply_shifted(base, V, kernel, gamma, degree, coef0, q, block_rows, nb):
 
 
 def _grams(V: DataFrame, Z: DataFrame, q: int):
-    """G = Z^T Z and B = V^T Z (q x q each), one aggregate."""
+    """G = Z^T Z and B = V^T Z (q x q each): per-partition NumPy products,
+    added on the driver (partitions x 2q^2 numbers)."""
     j = V.withColumnRenamed("v", "a").join(Z.withColumnRenamed("v", "b"), "entity")
-    aggs = []
-    for i in range(q):
-        for jj in range(q):
-            aggs.append(F.sum(F.col("b")[i] * F.col("b")[jj]).alias(f"g{i}_{jj}"))
-            aggs.append(F.sum(F.col("a")[i] * F.col("b")[jj]).alias(f"b{i}_{jj}"))
-    r = j.agg(*aggs).first()
-    G = np.array([[r[f"g{i}_{jj}"] or 0.0 for jj in range(q)] for i in range(q)])
-    B = np.array([[r[f"b{i}_{jj}"] or 0.0 for jj in range(q)] for i in range(q)])
+
+    def part(it):
+        G, B = np.zeros((q, q)), np.zeros((q, q))
+        for pdf in it:
+            if len(pdf):
+                A, Zb = pw.matrix(pdf, "a"), pw.matrix(pdf, "b")
+                G += Zb.T @ Zb
+                B += A.T @ Zb
+        yield pd.DataFrame({"g": [G.reshape(-1).tolist()], "b": [B.reshape(-1).tolist()]})
+
+    rows = j.mapInPandas(part, "g array<double>, b array<double>").collect()
+    G = sum(np.asarray(r["g"]) for r in rows).reshape(q, q)
+    B = sum(np.asarray(r["b"]) for r in rows).reshape(q, q)
     return G, B
 
 
@@ -196,15 +200,18 @@ def _orthonormalize(V: DataFrame, q: int, G: np.ndarray | None = None) -> DataFr
     """Orthonormalise the columns of V from its Gram matrix G = V^T V
     (computed here if not given): V G^-1/2."""
     if G is None:
-        aggs = [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(q) for j in range(q)]
-        r = V.agg(*aggs).first()
-        G = np.array([[r[f"g{i}_{j}"] or 0.0 for j in range(q)] for i in range(q)])
+        G, _ = _grams(V, V, q)
     w, U = np.linalg.eigh((G + G.T) / 2)
     w = np.maximum(w, 1e-300)
-    T = U @ np.diag(1.0 / np.sqrt(w)) @ U.T  # symmetric inverse square root: V T has orthonormal columns
-    cols = [F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in T[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-            for j in range(q)]
-    return V.select("entity", F.array(*cols).alias("v"))
+    T = U @ np.diag(1.0 / np.sqrt(w)) @ U.T
+
+    def part(it):
+        for pdf in it:
+            if len(pdf):
+                X = pw.matrix(pdf, "v") @ T
+                yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "v": list(X)})
+
+    return V.mapInPandas(part, "entity long, v array<double>")
 
 
 def _embed(base: DataFrame, V: DataFrame, Y: np.ndarray) -> DataFrame:
@@ -230,7 +237,7 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
         "entity", F.when(F.col("deg") > 0, 1.0 / F.sqrt("deg")).otherwise(1.0).alias("s"),
         F.sqrt(F.coalesce(F.col("deg"), F.lit(0.0))).alias("sd")))
     q = min(n, k + extra)
-    V = _orthonormalize(base.select("entity", F.array(*[(F.rand(seed + j) - 0.5) for j in range(q)]).alias("v")), q)
+    V = checkpoint(_orthonormalize(base.select("entity", F.array(*[(F.rand(seed + j) - 0.5) for j in range(q)]).alias("v")), q))
 
     def apply(V):
         y = base.join(V, "entity").select("entity", F.transform("v", lambda x: x * F.col("s")).alias("y"))
@@ -243,16 +250,14 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
 
     ritz_prev, it = None, 0
     for it in range(1, max_iter + 1):
-        Z = apply(V)
+        Z = checkpoint(apply(V))
         G, B = _grams(V, Z, q)
         ritz = np.sort(np.linalg.eigvalsh((B + B.T) / 2))[::-1][:k]
-        V = _orthonormalize(Z, q, G)
-        if it % 10 == 0:
-            V = checkpoint(V)
+        V = checkpoint(_orthonormalize(Z, q, G))
         if ritz_prev is not None and np.max(np.abs(ritz - ritz_prev)) <= tol * max(1.0, np.max(np.abs(ritz))):
             break
         ritz_prev = ritz
-    Z = apply(V)
+    Z = checkpoint(apply(V))
     _, B = _grams(V, Z, q)
     w, Y = np.linalg.eigh((B + B.T) / 2)
     Y = Y[:, np.argsort(w)[::-1][:k]]
