@@ -109,3 +109,55 @@ def analyze(df: DataFrame, algorithm: str = "kmeans", k: int = 3, features: Sequ
     }
     res.labels = labels
     return res, metrics, reports
+
+
+def build_panel(spark, path: str, items: Sequence[str] | None = None, provinces: Sequence[str] | None = None,
+                years: Sequence[int] | None = None, archives: bool = False, outliers: str | None = None):
+    """Discover -> scan -> melt -> clean per file -> one panel ->
+    summary.  Returns (panel, catalog, failed files, summary row).  ``items``
+    None keeps every item present."""
+    from ..operators import clean as cl
+    from ..operators.summary import panel_summary
+    from ..sources import sheets as sh
+
+    cells, failed = (sh.scan_zip if archives else sh.scan_sheets)(spark, path)
+    catalog = sh.file_catalog(cells, provinces, years)
+    if provinces or years:
+        cells = cells.join(catalog.select("Source_File"), "Source_File", "left_semi")
+    long = sh.cells_to_panel(cells)
+    long = cl.replace_null_tokens(long)
+    long = cl.fill_gaps(long, ("Source_File", "City", "Commodity"), ("Date",), "Price")
+    long = cl.cast_price(long)
+    if items is not None:
+        long = cl.filter_items(long, items)
+    if outliers == "iqr":
+        long = cl.drop_outliers_iqr(long)
+    elif outliers == "zscore":
+        long = cl.drop_outliers_zscore(long)
+    panel = long.select("Commodity", "City", "Province", "Source_File", "Date", "Price", "Year", "Month")
+    return panel, catalog, failed, panel_summary(panel)
+
+
+def validate_panel(spark, path: str, valid_cities=None, valid_items: Sequence[str] | None = None):
+    """Z3: layout -> build -> structure, geography and item checks (all
+    collected) -> metrics.  Returns (panel, violations, metrics)."""
+    from ..functions.columns import DEFAULT_ITEMS
+    from ..operators.joins import unknown_keys
+    from ..operators.summary import data_checks
+    from ..sources import sheets as sh
+
+    members = sh.member_table(spark, path)
+    cells, failed = sh.scan_zip(spark, path)
+    layout = sh.check_layout(members, cells, failed, valid_cities)
+    panel, _, _, metrics = build_panel(spark, path, items=None, archives=True)
+    panel = panel.persist()
+    checks = data_checks(panel, first_only=False).select(F.col("step").cast("string").alias("subject"), "check", "detail")
+    geo = (unknown_keys(panel, valid_cities, "City").select(F.col("City").alias("subject"), F.lit("unknown_city").alias("check"),
+                                                            F.lit("not a supported city").alias("detail"))
+           if valid_cities is not None else None)
+    items = unknown_keys(panel, list(valid_items or DEFAULT_ITEMS), "Commodity").select(
+        F.col("Commodity").alias("subject"), F.lit("unknown_commodity").alias("check"), F.lit("not a supported commodity").alias("detail"))
+    v = layout.unionByName(checks).unionByName(items)
+    if geo is not None:
+        v = v.unionByName(geo)
+    return panel, v, metrics

@@ -97,6 +97,7 @@ def load_all() -> None:
         q_cluster,
         q_eval,
         q_features,
+        q_files,
         q_panel,
         q_report,
     )

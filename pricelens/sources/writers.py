@@ -1,0 +1,116 @@
+"""Writing wide sheets from a long panel (used to produce sheet trees and
+archives from Spark-derived data, e.g. for round-trip checks).
+
+One ``applyInPandas`` task per (province, city, year) writes one sheet file
+into a shared folder (the checkpoint directory on a cluster)."""
+
+from __future__ import annotations
+
+import io
+import os
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import SHEET_ITEM_COLUMN
+
+
+def xlsx_bytes(rows: list[list[str]]) -> bytes:
+    """Minimal one-sheet .xlsx with inline strings."""
+    def col(i):
+        s = ""
+        i += 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            s = chr(65 + r) + s
+        return s
+
+    body = []
+    for r, row in enumerate(rows, start=1):
+        cells = "".join(
+            f'<c r="{col(j)}{r}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for j, v in enumerate(row) if v is not None)
+        body.append(f'<row r="{r}">{cells}</row>')
+    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+             '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+             + "".join(body) + "</sheetData></worksheet>")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    return buf.getvalue()
+
+
+def sheet_rows(pdf: pd.DataFrame, value_text: str = "cell") -> list[list[str]]:
+    dates = sorted(pdf["Date"].unique())
+    heads = [pd.Timestamp(d).strftime("%d/ %m/ %Y") for d in dates]
+    rows = [["No", SHEET_ITEM_COLUMN, *heads]]
+    for i, (item, g) in enumerate(sorted(pdf.groupby("Commodity"), key=lambda t: t[0]), start=1):
+        m = dict(zip(g["Date"], g[value_text]))
+        rows.append([str(i), item, *[m.get(d, "-") for d in dates]])
+    return rows
+
+
+def write_sheets(cells: DataFrame, root: str, fmt: str = "xlsx") -> DataFrame:
+    """Write one wide sheet per (Province, City, year) below ``root`` from
+    long rows (Province, City, Commodity, Date, cell text).  Returns the
+    (path, rows) written."""
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        prov, city = pdf["Province"].iloc[0], pdf["City"].iloc[0]
+        year = pd.Timestamp(pdf["Date"].iloc[0]).year
+        d = os.path.join(root, prov, city)
+        os.makedirs(d, exist_ok=True)
+        rows = sheet_rows(pdf)
+        path = os.path.join(d, f"{year}.{fmt}")
+        if fmt == "xlsx":
+            data = xlsx_bytes(rows)
+        else:
+            out = io.StringIO()
+            import csv
+
+            csv.writer(out).writerows(rows)
+            data = out.getvalue().encode()
+        with open(path, "wb") as f:
+            f.write(data)
+        return pd.DataFrame({"path": [path], "rows": [len(rows) - 1]})
+
+    c = cells.withColumn("_y", F.year("Date"))
+    return c.groupBy("Province", "City", "_y").applyInPandas(fn, "path string, rows long")
+
+
+def zip_tree(root: str, archive: str, wrapper: str | None = "data") -> str:
+    """Pack a sheet tree into one archive (optionally under a wrapper folder)."""
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for dp, _, files in os.walk(root):
+            for f in sorted(files):
+                full = os.path.join(dp, f)
+                rel = os.path.relpath(full, root).replace(os.sep, "/")
+                z.write(full, f"{wrapper}/{rel}" if wrapper else rel)
+    return archive
+
+
+def write_zips(cells: DataFrame, root: str, wrapper: str = "data") -> DataFrame:
+    """One ZIP archive per province (written by its own task) holding
+    ``wrapper/PROVINCE/CITY/YYYY.xlsx`` members."""
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        prov = pdf["Province"].iloc[0]
+        os.makedirs(root, exist_ok=True)
+        path = os.path.join(root, f"{prov}.zip")
+        n = 0
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for (city, year), g in pdf.groupby(["City", pdf["Date"].dt.year]):
+                z.writestr(f"{wrapper}/{prov}/{city}/{year}.xlsx", xlsx_bytes(sheet_rows(g)))
+                n += 1
+        return pd.DataFrame({"path": [path], "rows": [n]})
+
+    return cells.groupBy("Province").applyInPandas(fn, "path string, rows long")
+
+
+def local_path(p: str) -> str:
+    """Filesystem path of a ``file:`` URI (sheet writers use plain file I/O
+    on the shared folder)."""
+    return p[5:] if p.startswith("file:") else p
