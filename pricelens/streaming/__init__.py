@@ -1,0 +1,3 @@
+"""Intentionally empty: the analysed application has no stream processing
+(no streaming sources, watermarks, windows over event time or stateful
+operators), so nothing is re-expressed with Structured Streaming here."""
