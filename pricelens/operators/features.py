@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +147,9 @@ def matrix_long(
 ) -> tuple[DataFrame, list[str]]:
     """Long dense matrix plus the ordered list of feature column names."""
     features = _check_features(features, min_points, trend_method)
+    # the narrow projection is read up to four times (features, trend origin,
+    # dimensions, entities): keep it instead of re-running the upstream plan
+    df = df.select(entity, item, ts, value).persist(StorageLevel.MEMORY_AND_DISK)
     sparse = feature_values(df, features, freq, min_points, trend_method, entity, item, ts, value)
     if items is None or periods is None:
         dims = df.select(
@@ -264,3 +268,15 @@ def feature_report(fx: DataFrame, entity: str = "City", feature: str = "feature"
         for c in ["count", "min", "max", "mean", "median", "std", "missing_rate"]
     ])).alias("_m")).select("scope", "name", "_m.metric", "_m.value")
     return matrix_rows.unionByName(col_rows).unionByName(type_rows)
+
+
+# ----------------------------------------------------------------- P6
+def to_vector(matrix: DataFrame, entity: str = "City", columns: Sequence[str] | None = None) -> DataFrame:
+    """Ordered feature columns -> (entity, features array<double>,
+    names array<string>), keeping the names next to the values."""
+    cols = list(columns) if columns is not None else [c for c in matrix.columns if c != entity]
+    return matrix.select(
+        entity,
+        F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("features"),
+        F.array(*[F.lit(c) for c in cols]).alias("names"),
+    )

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,9 @@ def boxplot_stats(df: DataFrame, labels: DataFrame, entity="City", item="Commodi
     clusters with NULL statistics where a cell is empty.  Outliers (outside
     1.5 IQR) are returned as rows (item, year, cluster, value), never
     collected into one list."""
-    d = attach_clusters(df, labels, entity, cluster).withColumn("Year", F.year(ts)).where(F.col(cluster).isNotNull())
+    d = attach_clusters(df.select(entity, item, ts, value), labels, entity, cluster).withColumn("Year", F.year(ts))
+    # read by the statistics, the quartiles, the grid and the outlier pass
+    d = d.where(F.col(cluster).isNotNull()).select(item, "Year", cluster, value).persist(StorageLevel.MEMORY_AND_DISK)
     keys = [item, "Year", cluster]
     v = F.col(value)
     basic = d.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))

@@ -204,3 +204,22 @@ FROM t UNPIVOT INCLUDE NULLS (value FOR metric IN (count, min, max, mean, median
 def a7(spark, sf):
     rep = fe.feature_report(_fx_p(spark, sf))
     return rep.withColumn("value", r4("value"))
+
+
+@query("p6_to_vector", f"""
+WITH fx AS ({_FX_P_SQL})
+SELECT City, list(round(value, 4) ORDER BY feature) AS features, list(feature ORDER BY feature) AS names
+FROM fx WHERE type = 'avg' GROUP BY City""")
+def p6(spark, sf):
+    m = fe.feature_matrix(tb.panel_p(spark, sf), ("avg",))
+    v = fe.to_vector(m)
+    return v.select("City", F.transform("features", lambda x: r4(x)).alias("features"), "names")
+
+
+@query("z4_build_features", f"""
+SELECT * FROM (PIVOT ({_scaled_sql("s.med", "s.q3 - s.q1")}) ON feature USING first(value) GROUP BY City)""")
+def z4(spark, sf):
+    from .pipelines import build_features
+
+    _, scaled, _, _ = build_features(tb.panel_p(spark, sf), features=("avg", "cv", "trend"), report=False)
+    return scaled.select("City", *[r6(c).alias(c) for c in scaled.columns if c != "City"])
