@@ -84,6 +84,7 @@ def _d2(X: np.ndarray, C: np.ndarray) -> np.ndarray:
 def prepare(vec: DataFrame, entity: str = "entity", features: str = "features") -> tuple[DataFrame, int, int]:
     """Checkpoint the vectors; return (data, n, d)."""
     data = checkpoint(vec.select(F.col(entity).cast("long").alias("entity"), F.col(features).cast("array<double>").alias("features")))
+    data = data.persist()
     st = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
     return data, int(st["n"]), int(st["d"] or 0)
 

@@ -66,28 +66,28 @@ def s2(spark, sf):
 
 
 @query("p1_melt_sheet", f"""
-SELECT Commodity, 'NATION_3' AS City, CAST(y AS VARCHAR) AS Date, CAST(total AS VARCHAR) AS Price
-FROM (SELECT Commodity, year(Date) AS y, round(sum(Price), 2) AS total FROM ({P}) WHERE City = 'NATION_3' GROUP BY ALL)""")
+SELECT Commodity, City, 'PANEL' AS Source_File, CAST(y AS VARCHAR) AS Date, CAST(total AS VARCHAR) AS Price
+FROM (SELECT City, Commodity, year(Date) AS y, round(sum(Price), 2) AS total FROM ({P}) GROUP BY ALL)""")
 def p1(spark, sf):
-    p = tb.panel_p(spark, sf).where(F.col("City") == "NATION_3").withColumn("y", F.year("Date").cast("string"))
+    p = tb.panel_p(spark, sf).withColumn("y", F.year("Date").cast("string"))
     years = sorted(r[0] for r in p.select("y").distinct().collect())
-    wide = p.groupBy(F.col("Commodity").alias("Komoditas (Rp)")).pivot("y", years).agg(r6(F.sum("Price"), 2))
+    wide = p.groupBy("City", F.col("Commodity").alias("Komoditas (Rp)")).pivot("y", years).agg(r6(F.sum("Price"), 2))
     wide = wide.withColumn("No", F.lit(1))
-    long = sh.melt_sheet(wide, meta={"City": "NATION_3"})
+    long = sh.melt_sheet(wide, meta={"Source_File": "PANEL"}, ids=["City"])
     return long.where(F.col("Price").isNotNull())
 
 
 @query("p2_parse_dates", f"""
-SELECT h AS header, CAST(CASE WHEN h = '01/ 02/ 1996' THEN TIMESTAMP '1996-02-01' END AS TIMESTAMP) AS Date FROM (
-  SELECT strftime(Date, '%d/ %m/ %Y') AS h FROM (SELECT DISTINCT Date FROM ({P})) WHERE Date = TIMESTAMP '1996-02-01'
-  UNION ALL SELECT strftime(Date, '%d/%m/%Y') FROM (SELECT DISTINCT Date FROM ({P})) WHERE Date = TIMESTAMP '1996-02-01'
-  UNION ALL SELECT 'Total')""")
+SELECT h AS header, CAST(CASE WHEN ok THEN d END AS TIMESTAMP) AS Date FROM (
+  SELECT strftime(Date, '%d/ %m/ %Y') AS h, Date AS d, true AS ok FROM (SELECT DISTINCT Date FROM ({P}))
+  UNION ALL SELECT strftime(Date, '%d/%m/%Y'), Date, false FROM (SELECT DISTINCT Date FROM ({P}))
+  UNION ALL SELECT 'Total', NULL, false)""")
 def p2(spark, sf):
-    p = tb.panel_p(spark, sf).select("Date").distinct().where(F.col("Date") == F.lit("1996-02-01").cast("timestamp_ntz"))
-    heads = p.select(F.date_format("Date", "dd/ MM/ yyyy").alias("h")).unionByName(
-        p.select(F.date_format("Date", "dd/MM/yyyy").alias("h"))).unionByName(spark.range(1).select(F.lit("Total").alias("h")))
     from ..functions.columns import parse_header_date
 
+    p = tb.panel_p(spark, sf).select("Date").distinct()
+    heads = p.select(F.date_format("Date", "dd/ MM/ yyyy").alias("h")).unionByName(
+        p.select(F.date_format("Date", "dd/MM/yyyy").alias("h"))).unionByName(spark.range(1).select(F.lit("Total").alias("h")))
     return heads.select(F.col("h").alias("header"), parse_header_date("h").alias("Date"))
 
 

@@ -68,7 +68,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (files in the shared checkpoint folder) to cut
     lineage in iterative jobs."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # an eager reliable checkpoint runs the plan once to count and once more
+    # to write the files; keeping it cached in between avoids the second run
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -190,13 +190,14 @@ def _split(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ------------------------------------------------------------------ P1, P2
 def melt_sheet(wide: DataFrame, item_col: str = SHEET_ITEM_COLUMN, drop: Sequence[str] = tuple(SHEET_DROP_COLUMNS),
-               meta: dict[str, str] | None = None) -> DataFrame:
+               meta: dict[str, str] | None = None, ids: Sequence[str] = ()) -> DataFrame:
     """Drop listed columns (if present), rename the item column to
-    Commodity, add metadata columns, unpivot dates -> (..., Date, Price)."""
+    Commodity, add metadata columns (literals) and keep ``ids`` columns,
+    unpivot the date columns -> (..., Date, Price)."""
     d = wide.drop(*[c for c in drop if c in wide.columns]).withColumnRenamed(item_col, "Commodity")
     for k, v in (meta or {}).items():
         d = d.withColumn(k, F.lit(v))
-    ids = ["Commodity", *(meta or {}).keys()]
+    ids = ["Commodity", *ids, *(meta or {}).keys()]
     vals = [c for c in d.columns if c not in ids]
     return d.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in vals]).unpivot(ids, vals, "Date", "Price")
 
