@@ -149,15 +149,15 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
         # the n x q block is checkpointed every step: each step reads the
         # previous block twice, so an uncut lineage would double per step
         Z = checkpoint(_apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb))
-        G, B = _grams(V, Z, q)
+        G, B = _grams(None, Z, q)
         ritz = np.sort(np.linalg.eigvalsh((B + B.T) / 2))[::-1][:k]
-        V = checkpoint(_orthonormalize(Z, q, G))
+        V = checkpoint(_orthonormalize(Z.select("entity", "v"), q, G))
         if ritz_prev is not None and np.max(np.abs(ritz - ritz_prev)) <= tol * max(1.0, np.max(np.abs(ritz))):
             break
         ritz_prev = ritz
     # Rayleigh-Ritz on the final block
     Z = checkpoint(_apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb))
-    _, B = _grams(V, Z, q)
+    _, B = _grams(None, Z, q)
     w, Y = np.linalg.eigh((B + B.T) / 2)
     Y = Y[:, np.argsort(w)[::-1][:k]]
     emb = _embed(base, V, Y)
@@ -173,13 +173,18 @@ def _apply_shifted(base, V, kernel, gamma, degree, coef0, q, block_rows, nb):
     z = _matvec(st.select("entity", "features", "y"), kernel, gamma, degree, coef0, q, block_rows=block_rows, nb=nb)
     j = base.select("entity", "s").join(V, "entity").join(z, "entity", "left")
     zz = F.coalesce(F.col("z"), F.array_repeat(F.lit(0.0), q))
-    return j.select("entity", F.zip_with(zz, "v", lambda a, b: a * F.col("s") + b).alias("v"))
+    # the previous block rides along so that both Gram matrices need no join
+    return j.select("entity", F.zip_with(zz, "v", lambda a, b: a * F.col("s") + b).alias("v"), F.col("v").alias("old"))
 
 
-def _grams(V: DataFrame, Z: DataFrame, q: int):
+def _grams(V: DataFrame | None, Z: DataFrame, q: int):
     """G = Z^T Z and B = V^T Z (q x q each): per-partition NumPy products,
-    added on the driver (partitions x 2q^2 numbers)."""
-    j = V.withColumnRenamed("v", "a").join(Z.withColumnRenamed("v", "b"), "entity")
+    added on the driver (partitions x 2q^2 numbers).  With ``V`` None the
+    previous block is read from Z's ``old`` column."""
+    if V is None:
+        j = Z.select("entity", F.col("old").alias("a"), F.col("v").alias("b"))
+    else:
+        j = V.withColumnRenamed("v", "a").join(Z.withColumnRenamed("v", "b"), "entity")
 
     def part(it):
         G, B = np.zeros((q, q)), np.zeros((q, q))
