@@ -142,6 +142,8 @@ def fill_gaps(
     result as one window per group."""
     keys, order = list(keys), list(order)
     v = F.col(value)
+    if chunk is not None and df.schema[order[0]].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz"):
+        chunk = None  # chunks are calendar months of a date/time order column
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         first = df.where(v.isNotNull()).groupBy(*keys).agg(F.min_by(v, F.struct(*order)).alias("_first"))

@@ -187,3 +187,23 @@ def test_affinity_degree_positive(spark, kernel):
     vec, _ = blobs(spark, n=20)
     d = sp.affinity_degrees(vec, kernel, gamma=0.01, block_rows=6).toPandas()
     assert len(d) == 20
+
+
+def test_global_distributed_quantile_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    v = np.round(rng.normal(100, 15, 5000), 3)
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    got = exact_quantiles(df, [], "v", [0.1, 0.5, 0.9], method="distributed", buckets=4, collect_below=20).first()
+    assert np.allclose(list(got), np.quantile(v, [0.1, 0.5, 0.9]))
+
+
+def test_fill_with_integer_order_and_chunks_agree(spark):
+    rows = [("a", "x", i, None if i % 3 else float(i)) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "City string, Commodity string, k int, Price double")
+    plain = {r.k: r.Price for r in cl.fill_gaps(df, order=["k"]).collect()}  # non-date order -> one window per group
+    ts = df.withColumn("Date", F.make_timestamp_ntz(F.lit(2020), 1 + F.col("k") % 12, 1 + F.col("k") / 12,
+                                                  F.lit(0), F.lit(0), F.lit(0)))
+    chunked = {r.k: r.Price for r in cl.fill_gaps(ts, order=["Date"]).collect()}
+    by_date = {r.k: r.Price for r in cl.fill_gaps(ts, order=["Date"], chunk=None).collect()}
+    assert chunked == by_date
+    assert plain[1] == 3.0 and plain[4] == 3.0 and plain[7] == 6.0
