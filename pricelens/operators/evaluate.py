@@ -78,6 +78,14 @@ def silhouette_by_cluster(samples: DataFrame, cluster="cluster") -> DataFrame:
 
 
 # ---------------------------------------------------------------- E2, E3, E6, E7
+def _prepared(vec, labels, entity, cluster, features):
+    """Labeled vectors (kept), their dimension and the centroid table (kept):
+    shared by the centroid-based metrics."""
+    lv = labeled(vec, labels, entity, cluster, features).persist()
+    dim = vector_dim(lv, features)
+    return lv, dim, centroids(lv, dim, cluster, features).persist()
+
+
 def _center_pairs(cent: DataFrame, cluster="cluster") -> DataFrame:
     """Distances between every two centers, through an equi-join of the
     (cluster, dim, value) rows on the dimension (k^2 d rows, k = clusters)."""
@@ -87,12 +95,11 @@ def _center_pairs(cent: DataFrame, cluster="cluster") -> DataFrame:
     return a.join(b, "dim").groupBy("ci", "cj").agg(F.sqrt(F.sum((F.col("vi") - F.col("vj")) ** 2)).alias("d"))
 
 
-def davies_bouldin(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features") -> DataFrame:
+def davies_bouldin(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features",
+                   _pre: tuple | None = None) -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j), s = mean
     distance of members to their centroid; coincident centroids contribute 0."""
-    lv = labeled(vec, labels, entity, cluster, features)
-    dim = vector_dim(lv, features)
-    cent = centroids(lv, dim, cluster, features)
+    lv, dim, cent = _pre or _prepared(vec, labels, entity, cluster, features)
     s = lv.join(broadcast_checked(cent.select(cluster, "center")), cluster).groupBy(cluster).agg(
         F.avg(F.sqrt(sq_dist(F.col(features), F.col("center")))).alias("s"))
     pairs = _center_pairs(cent, cluster).where(F.col("ci") != F.col("cj"))
@@ -106,12 +113,10 @@ def davies_bouldin(vec: DataFrame, labels: DataFrame, entity="entity", cluster="
 
 
 def variance_split(vec: DataFrame, labels: DataFrame, centers: DataFrame | None = None, entity="entity", cluster="cluster",
-                   features="features") -> DataFrame:
+                   features="features", _pre: tuple | None = None) -> DataFrame:
     """WCSS (= inertia, to ``centers`` if given, else centroids), BCSS,
     TSS and explained ratio BCSS / TSS (NULL when TSS = 0)."""
-    lv = labeled(vec, labels, entity, cluster, features)
-    dim = vector_dim(lv, features)
-    cent = centroids(lv, dim, cluster, features)
+    lv, dim, cent = _pre or _prepared(vec, labels, entity, cluster, features)
     use = cent.select(cluster, "center") if centers is None else centers.select(cluster, "center")
     overall = lv.agg(*[F.avg(F.col(features)[i]).alias(f"_o{i}") for i in range(dim)]).select(
         F.array(*[F.col(f"_o{i}") for i in range(dim)]).alias("_overall"), F.lit(0).alias("_k"))
@@ -126,9 +131,10 @@ def variance_split(vec: DataFrame, labels: DataFrame, centers: DataFrame | None
     return out.select("wcss", "bcss", "tss", F.when(F.col("tss") > 0, F.col("bcss") / F.col("tss")).alias("explained_variance_ratio"))
 
 
-def calinski_harabasz(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features") -> DataFrame:
+def calinski_harabasz(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features",
+                      _pre: tuple | None = None) -> DataFrame:
     """(BCSS / (k - 1)) / (WCSS / (n - k)); 1.0 when WCSS = 0."""
-    v = variance_split(vec, labels, None, entity, cluster, features)
+    v = variance_split(vec, labels, None, entity, cluster, features, _pre=_pre)
     kn = labels.agg(F.count_distinct(cluster).alias("_kc"), F.count(F.lit(1)).alias("_n"))
     j = v.withColumn("_k", F.lit(0)).join(kn.withColumn("_k", F.lit(0)), "_k")
     ch = F.when(F.col("wcss") == 0, F.lit(1.0)).otherwise(
@@ -233,8 +239,9 @@ def stability(vec: DataFrame, fit: Callable[[DataFrame, int], DataFrame], k: int
 def metrics_table(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features") -> DataFrame:
     """One row: silhouette, davies_bouldin, calinski_harabasz for a labeling."""
     k = F.lit(0)
+    pre = _prepared(vec, labels, entity, cluster, features)
     s = silhouette(vec, labels, entity=entity, cluster=cluster, features=features).withColumn("_k", k)
-    d = davies_bouldin(vec, labels, entity, cluster, features).withColumn("_k", k)
-    c = calinski_harabasz(vec, labels, entity, cluster, features).withColumn("_k", k)
+    d = davies_bouldin(vec, labels, entity, cluster, features, _pre=pre).withColumn("_k", k)
+    c = calinski_harabasz(vec, labels, entity, cluster, features, _pre=pre).withColumn("_k", k)
     return s.join(d, "_k").join(c, "_k").drop("_k")
 
