@@ -152,12 +152,11 @@ def matrix_long(
     df = df.select(entity, item, ts, value).persist(StorageLevel.MEMORY_AND_DISK)
     sparse = feature_values(df, features, freq, min_points, trend_method, entity, item, ts, value)
     if items is None or periods is None:
-        dims = df.select(
-            F.sort_array(F.collect_set(F.col(item))).alias("i"),
-            F.sort_array(F.collect_set(period_label(ts, freq))).alias("p"),
-        ).first()
-        items = list(dims["i"]) if items is None else list(items)
-        periods = list(dims["p"]) if periods is None else list(periods)
+        # distinct (item, period) pairs: a code-generated hash aggregate whose
+        # output is bounded by items x calendar periods
+        pairs = df.select(F.col(item).alias("i"), period_label(ts, freq).alias("p")).where(F.col("i").isNotNull()).distinct().collect()
+        items = sorted({r["i"] for r in pairs}) if items is None else list(items)
+        periods = sorted({r["p"] for r in pairs if r["p"] is not None}) if periods is None else list(periods)
     names = feature_names(items, features, periods, freq)
     # dense grid: every entity gets the literal (item, period, type) list
     grid_arr = F.array(*[
