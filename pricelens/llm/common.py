@@ -45,8 +45,7 @@ def word_count(text: Column) -> Column:
 
 def symbol_count(text: Column) -> Column:
     """Number of characters of ``#*$%&|<>`` (null text: 0)."""
-    t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[#*$%&|<>]")).cast("long")
 
 
 def packed(df: DataFrame, name: str = "row") -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import NOT_SPACE, SPACE, let, symbol_count, words
+from pricelens.llm.common import NOT_SPACE, let, symbol_count, words
 
 WINDOW = 5  # words of a window of the repetition rule
 
@@ -81,6 +81,7 @@ def signals(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
         words(t),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.size(F.filter(w, lambda x: x.isin(*stop_words))).cast("long").alias("n_stop_words"),
             let(_window_hashes(w), _covered).alias("n_repeat_words"),
         ),
@@ -92,11 +93,10 @@ def signals(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         ),
     )
-    chars = F.length(F.regexp_replace(t, SPACE, "")).cast("long")
     return let(
-        F.struct(of_words.alias("w"), of_lines.alias("l"), chars.alias("c"), symbol_count(t).alias("s")),
+        F.struct(of_words.alias("w"), of_lines.alias("l"), symbol_count(t).alias("s")),
         lambda a: F.struct(
-            a["w"]["n_words"].alias("n_words"), a["c"].alias("word_chars"), a["s"].alias("n_symbols"),
+            a["w"]["n_words"].alias("n_words"), a["w"]["word_chars"].alias("word_chars"), a["s"].alias("n_symbols"),
             a["l"]["n_dup_lines"].alias("n_dup_lines"), a["w"]["n_repeat_words"].alias("n_repeat_words"),
             a["w"]["n_stop_words"].alias("n_stop_words"), a["l"]["n_lines"].alias("n_lines"),
         ),
