@@ -63,11 +63,12 @@ def running_offsets(counts: DataFrame, by: list[str], order: str, value: str, ou
     c = counts.withColumn("_blk", F.floor(F.col(order) / block).cast("long"))
     tops = c.groupBy(*by, "_blk").agg(F.sum(value).alias("_bs"))
     wt = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("_before", F.coalesce(F.sum("_bs").over(wt), F.lit(0))).drop("_bs")
-    cond = [c["_blk"] == tops["_blk"]] + [c[k].eqNullSafe(tops[k]) for k in by]
-    on = cond[0]
-    for x in cond[1:]:
-        on = on & x
-    j = c.join(tops, on).select(*[c[x] for x in c.columns], tops["_before"])
+    tops = tops.select(
+        *[F.col(k).alias(f"_t_{k}") for k in by], F.col("_blk").alias("_tb"), F.coalesce(F.sum("_bs").over(wt), F.lit(0)).alias("_before")
+    )
+    on = F.col("_blk") == F.col("_tb")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    j = c.join(tops, on).select(*c.columns, "_before")
     wi = Window.partitionBy(*by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return j.withColumn(out, (F.col("_before") + F.coalesce(F.sum(value).over(wi), F.lit(0))).cast("long")).drop("_blk", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import quality
+from pricelens.llm import mixing, quality, sharding, simhash
 from pricelens.llm.common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return docs.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in cols])
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return d.select(
+        F.col("row.doc_id").alias("doc_id"), sharding.text_size(F.col("row.text")).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
