@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import mixing, quality, sharding, simhash
+from pricelens.llm import fingerprints, html_text, mixing, packing, quality, sharding, simhash
 from pricelens.llm.common import table
 
 QUERIES: dict = {}
@@ -50,3 +50,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_probe(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
