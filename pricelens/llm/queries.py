@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import fingerprints, html_text, mixing, packing, quality, sharding, simhash
+from pricelens.llm import fingerprints, html_text, mixing, packing, quality, sharding, simhash, substring
 from pricelens.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
