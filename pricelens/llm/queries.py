@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import fingerprints, html_text, mixing, packing, quality, sharding, simhash, substring
+from pricelens.llm import fingerprints, html_text, mixing, packing, pii, quality, sharding, simhash, substring
 from pricelens.llm.common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.scan(docs, pii.train(docs)).withColumnRenamed("id", "doc_id")
