@@ -62,27 +62,33 @@ def targets(sources: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (
     return s.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)) if math.isfinite(level) else cap.cast("double"))
 
 
+def _drawn(docs: DataFrame, quality: Column | None, id_col: str, text: str, source: str, seed: int) -> list[Column]:
+    """id, source, size, draw (a seeded hash) and key of every document."""
+    q = symbol_quality(docs[text]) if quality is None else quality
+    q = F.greatest(F.coalesce(F.nanvl(q.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
+    draw = F.xxhash64(F.lit(seed), docs[id_col], docs[source], docs[text])
+    u = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return [docs[id_col].alias("id"), docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size"),
+            draw.alias("draw"), (-F.log(u) / q).alias("key")]
+
+
+def _named(source: Column) -> Column:
+    """A source's name as a key: a null joins and partitions like any value."""
+    return F.struct(source.isNull().alias("n"), F.coalesce(source, F.lit("")).alias("s"))
+
+
 def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source",
-        share: float = 1.5, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 2.0, seed: int = 11, buckets: int = 1024,
-        keep_rows: bool = False) -> DataFrame:
+        share: float = 1.5, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 2.0, seed: int = 11, buckets: int = 1024) -> DataFrame:
     """One row for each document: id, source, size, source_size, weight, target,
-    taken (words, repeats counted) and copies (whole documents); with
-    ``keep_rows`` also ``row``, the caller's columns."""
-    q = symbol_quality(docs[text]) if quality is None else quality
-    cols = [docs[id_col].alias("id"), docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size"),
-            F.greatest(F.coalesce(F.nanvl(q.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_QUALITY)).alias("quality"),
-            F.xxhash64(F.lit(seed), docs[id_col], docs[source], docs[text]).alias("draw")]
-    rows = materialize(docs.select(*cols, *([packed(docs)] if keep_rows else [])), "mixing")
-    u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    rows = rows.withColumn("key", -F.log(u) / F.col("quality"))
+    taken (words, repeats counted), copies (whole documents), epochs and key."""
+    rows = materialize(docs.select(*_drawn(docs, quality, id_col, text, source, seed)), "mixing")
     rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")))
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").cast("long").alias("source_size")), share, cycle, max_epochs)
     starts = running_offsets(by_bucket, ["source"], "bucket", "bucket_size", "start")
-    # source names as keys: nulls become a struct, which joins and partitions like any value
-    named = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))
-    info = starts.withColumn("k", named).select("k", "bucket", "start").join(goal.withColumn("k", named).drop("source"), "k")
-    j = rows.withColumn("k", named).join(info, ["k", "bucket"])
+    k = _named(F.col("source"))
+    info = starts.select(k.alias("k"), "bucket", "start").join(goal.withColumn("k", k).drop("source"), "k")
+    j = rows.withColumn("k", k).join(info, ["k", "bucket"])
     w = Window.partitionBy("k", "bucket").orderBy("key", "draw", "id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(w), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -91,10 +97,19 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     j = j.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
     j = j.withColumn("copies", (F.col("epochs") + F.when((F.col("size") > 0) & (2 * part >= F.col("size")), 1).otherwise(0)).cast("int"))
-    return j.select("id", "source", "size", "source_size", "weight", "target", "taken", "copies", *(["row"] if keep_rows else []))
-
-
-def mixture(docs: DataFrame, **kw) -> DataFrame:
-    """The mixed documents, whole, each as often as it is taken: same columns."""
-    m = mix(docs, keep_rows=True, **kw).where(F.col("copies") > 0)
-    return m.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+    return j.select("id", "source", "size", "source_size", "weight", "target", "taken", "copies", "epochs", "key")
+
+
+def mixture(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source",
+            seed: int = 11, **kw) -> DataFrame:
+    """The mixed documents, whole, each as often as ``mix`` takes it: same columns.
+    Keys are drawn anew beside the rows, and one cut for each source (a table
+    of one row a source) says which are taken, so no text is shuffled."""
+    m = mix(docs, quality, id_col, text, source, seed=seed, **kw)
+    cut = F.max(F.when(F.col("copies") > F.col("epochs"), F.col("key"))).alias("cut")
+    cuts = materialize(m.groupBy(_named(F.col("source")).alias("k")).agg(F.max("epochs").alias("epochs"), cut), "cuts")
+    drawn = docs.select(packed(docs), *_drawn(docs, quality, id_col, text, source, seed)).withColumn("k", _named(F.col("source")))
+    j = drawn.join(cuts, "k")
+    taken = F.col("size") > 0
+    copies = F.col("epochs") + F.when(taken & (F.col("key") <= F.col("cut")), 1).otherwise(0)
+    return j.select(F.explode(F.array_repeat("row", copies.cast("int"))).alias("row")).select("row.*")

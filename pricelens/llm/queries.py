@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import fingerprints, html_text, mixing, packing, pii, quality, sharding, simhash, substring
+import corpus_pipeline
+from pricelens.llm import fingerprints, html_text, mixing, packing, pii, quality, secret_scan, sharding, simhash, substring
 from pricelens.llm.common import table
 
 QUERIES: dict = {}
@@ -78,3 +79,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.scan(docs, pii.train(docs)).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan.scan(docs, secret_scan.train()).withColumnRenamed("id", "doc_id")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
