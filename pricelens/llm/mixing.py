@@ -35,7 +35,7 @@ LEAST_QUALITY = 0.05
 def symbol_quality(text: Column) -> Column:
     """A document weight in (0, 1]: words against words and symbols."""
     n = word_count(text).cast("double")
-    return n / (n + symbol_count(text))
+    return F.coalesce(F.try_divide(n, n + symbol_count(text)), F.lit(1.0))
 
 
 def targets(sources: DataFrame, share: float = 1.5, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 2.0) -> DataFrame:
