@@ -54,10 +54,12 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def parse_price(c: str | Column) -> Column:
-    """Text price -> double: thousands commas removed, surrounding blanks
-    ignored; anything that is not a number (or NaN) becomes NULL."""
-    s = F.trim(F.regexp_replace(_c(c).cast("string"), ",", ""))
+def parse_price(c: str | Column, commas: bool = True) -> Column:
+    """Text price -> double: thousands commas removed (or, with ``commas=False``,
+    not a number), surrounding blanks ignored; anything that is not a number
+    (or NaN) becomes NULL."""
+    s = _c(c).cast("string")
+    s = F.trim(F.regexp_replace(s, ",", "") if commas else s)
     v = F.when(s.rlike(_NUMERIC_RE), s.try_cast("double"))
     return nan_to_null(v)
 

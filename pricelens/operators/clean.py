@@ -121,6 +121,15 @@ def drop_null_keys(df: DataFrame, cols: Sequence[str] = ("Date", "Price", "Clust
 
 
 # ------------------------------------------------------------------ W1, W2
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a null key equals a null key."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def fill_gaps(
     df: DataFrame,
     keys: Sequence[str] = ("City", "Commodity"),
@@ -147,7 +156,7 @@ def fill_gaps(
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         first = df.where(v.isNotNull()).groupBy(*keys).agg(F.min_by(v, F.struct(*order)).alias("_first"))
-        out = df.withColumn("_ff", F.last(v, ignorenulls=True).over(w)).join(first, keys, "left")
+        out = _join_null_safe(df.withColumn("_ff", F.last(v, ignorenulls=True).over(w)), first, keys)
         return out.withColumn(value, F.coalesce("_ff", "_first")).drop("_ff", "_first")
     if chunk != "month":
         raise ValueError("chunk must be 'month' or None")
@@ -163,7 +172,7 @@ def fill_gaps(
     )
     w = Window.partitionBy(*keys, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = d.withColumn("_ff", F.last(v, ignorenulls=True).over(w))
-    out = filled.join(carry, keys + ["_ck"], "left").withColumn(value, F.coalesce("_ff", "_carry", "_gfirst"))
+    out = _join_null_safe(filled, carry, keys + ["_ck"]).withColumn(value, F.coalesce("_ff", "_carry", "_gfirst"))
     return out.drop("_ff", "_carry", "_gfirst", "_ck")
 
 

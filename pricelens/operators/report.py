@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import pearson_pvalue
 from . import evaluate as ev
-from .clean import drop_null_keys
+from .clean import _year_ranges, drop_null_keys
 from .joins import attach_clusters, attach_coordinates, dense_grid
 from .setops import sort_desc
 
@@ -24,11 +24,11 @@ def monthly_trends(df: DataFrame, labels: DataFrame, items: Sequence[str] | None
     """Mean price per item x cluster x (year, month).  Dense: for every
     (item, cluster) present, all 12 months of every selected year, NULL where
     there is no price."""
+    if years:  # date ranges, which reach the scan
+        df = df.where(_year_ranges(years, ts))
     d = attach_clusters(df, labels, entity, cluster).withColumn("Year", F.year(ts)).withColumn("Month", F.month(ts))
     if items:
         d = d.where(F.col(item).isin(list(items)))
-    if years:
-        d = d.where(F.col("Year").isin([int(y) for y in years]))
     d = d.where(F.col(cluster).isNotNull())
     facts = d.groupBy(item, cluster, "Year", "Month").agg(F.avg(value).alias("avg_price"))
     if not dense:
@@ -38,10 +38,11 @@ def monthly_trends(df: DataFrame, labels: DataFrame, items: Sequence[str] | None
     return dense_grid(facts, base, {"Year": ys, "Month": list(range(1, 13))}, [item, cluster, "Year", "Month"])
 
 
-def monthly_trends_sparse(df: DataFrame, labels: DataFrame, top: int | None = 10, entity="City", item="Commodity", ts="Date",
+def monthly_trends_sparse(df: DataFrame, labels: DataFrame, top: int | None = None, entity="City", item="Commodity", ts="Date",
                           value="Price", cluster="Cluster") -> DataFrame:
     """R2: chart form - NULL date/price/cluster rows dropped, months as the
-    first day of the month, only the first ``top`` items alphabetically."""
+    first day of the month; with ``top`` only the first so many items
+    alphabetically."""
     d = drop_null_keys(attach_clusters(df, labels, entity, cluster), [ts, value, cluster])
     if top:
         first = d.select(item).distinct().orderBy(item).limit(top)

@@ -141,7 +141,7 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
     base = checkpoint(base.join(deg, "entity", "left").withColumn("s", F.coalesce(scale, F.lit(1.0))).withColumn("sd", F.sqrt(F.greatest("deg", F.lit(0.0)))))
     q = min(n, k + extra)
     # random start block, orthonormalised
-    V = base.select("entity", F.array(*[(F.rand(seed + j) - 0.5) for j in range(q)]).alias("v"))
+    V = base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v"))
     V = checkpoint(_orthonormalize(V, q))
     ritz_prev = None
     it = 0
@@ -162,7 +162,7 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
     Y = Y[:, np.argsort(w)[::-1][:k]]
     emb = _embed(base, V, Y)
     res = kmeans(emb, k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": affinity, "gamma": g, "eigen_iterations": it,
+    info = {"algorithm": "spectral", "k": k, "affinity": affinity, "gamma": g, "eigen_iterations": it, "converged": it < max_iter,
             "eigenvalues": [float(x) - 1.0 for x in np.sort(w)[::-1][:k]], "execution_time": time.time() - t0}
     return ClusterResult("spectral", k, res.labels, None, None, info)
 
@@ -242,7 +242,7 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
         "entity", F.when(F.col("deg") > 0, 1.0 / F.sqrt("deg")).otherwise(1.0).alias("s"),
         F.sqrt(F.coalesce(F.col("deg"), F.lit(0.0))).alias("sd")))
     q = min(n, k + extra)
-    V = checkpoint(_orthonormalize(base.select("entity", F.array(*[(F.rand(seed + j) - 0.5) for j in range(q)]).alias("v")), q))
+    V = checkpoint(_orthonormalize(base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v")), q))
 
     def apply(V):
         y = base.join(V, "entity").select("entity", F.transform("v", lambda x: x * F.col("s")).alias("y"))
@@ -267,6 +267,6 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
     w, Y = np.linalg.eigh((B + B.T) / 2)
     Y = Y[:, np.argsort(w)[::-1][:k]]
     res = kmeans(_embed(base, V, Y), k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": "nearest_neighbors", "eigen_iterations": it,
+    info = {"algorithm": "spectral", "k": k, "affinity": "nearest_neighbors", "eigen_iterations": it, "converged": it < max_iter,
             "execution_time": time.time() - t0}
     return ClusterResult("spectral", k, res.labels, None, None, info)

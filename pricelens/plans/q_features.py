@@ -58,6 +58,17 @@ def a4(spark, sf):
     return v.groupBy("City", "Commodity").agg(r6(fe.feature_trend(method="simple_slope")).alias("trend"))
 
 
+# The items of the two panels and the order years.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+ORDER_YEARS = tuple(range(1995, 2002))
+
+
+def _static_pivot(names, value: str) -> str:
+    """Columns of a wide matrix from rows (feature, value)."""
+    return ", ".join(f"max(CASE WHEN feature = '{n}' THEN {value} END) AS \"{n}\"" for n in names)
+
+
 _A5_SQL = f"""
 WITH g AS (
   SELECT City, Commodity, count(*) AS n, avg(Price) AS a,
@@ -71,7 +82,7 @@ l AS (
   SELECT grid.City, grid.Commodity || '_' || f.name AS feature,
          CASE WHEN g.n >= 10 THEN CASE f.name WHEN 'avg' THEN g.a WHEN 'cv' THEN g.c ELSE g.t END END AS value
   FROM grid LEFT JOIN g USING (City, Commodity), (VALUES ('avg'), ('cv'), ('trend')) f(name))
-SELECT * FROM (PIVOT (SELECT City, feature, round(value, 4) AS value FROM l) ON feature USING first(value) GROUP BY City)
+SELECT City, {_static_pivot([f"{i}_{f}" for i in EVENT_TYPES for f in ("avg", "cv", "trend")], "round(value, 4)")} FROM l GROUP BY City
 """
 
 
@@ -92,7 +103,7 @@ grid AS (SELECT c.City, i.Commodity, y.period FROM (SELECT DISTINCT City FROM d)
 l AS (SELECT grid.City, grid.Commodity || '_' || f.name || '_' || grid.period AS feature,
          CASE WHEN g.n >= 10 THEN CASE f.name WHEN 'avg' THEN g.a ELSE g.c END END AS value
       FROM grid LEFT JOIN g USING (City, Commodity, period), (VALUES ('avg'), ('cv')) f(name))
-SELECT * FROM (PIVOT (SELECT City, feature, round(value, 4) AS value FROM l) ON feature USING first(value) GROUP BY City)
+SELECT City, {_static_pivot([f"{i}_{f}_{y}" for i in PART_TYPES for f in ("avg", "cv") for y in ORDER_YEARS], "round(value, 4)")} FROM l GROUP BY City
 """
 
 
@@ -217,7 +228,8 @@ def p6(spark, sf):
 
 
 @query("z4_build_features", f"""
-SELECT * FROM (PIVOT ({_scaled_sql("s.med", "s.q3 - s.q1")}) ON feature USING first(value) GROUP BY City)""")
+SELECT City, {_static_pivot([f"{i}_{f}" for i in PART_TYPES for f in ("avg", "cv", "trend")], "value")}
+FROM ({_scaled_sql("s.med", "s.q3 - s.q1")}) GROUP BY City""")
 def z4(spark, sf):
     from .pipelines import build_features
 

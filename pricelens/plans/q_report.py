@@ -34,13 +34,12 @@ def r1(spark, sf):
 
 
 @query("r2_monthly_trends_sparse", f"""
-WITH d AS (SELECT * FROM {PL} WHERE Date IS NOT NULL AND Price IS NOT NULL AND Cluster IS NOT NULL),
-t AS (SELECT DISTINCT Commodity FROM d ORDER BY Commodity LIMIT 4)
+WITH d AS (SELECT * FROM {PL} WHERE Date IS NOT NULL AND Price IS NOT NULL AND Cluster IS NOT NULL)
 SELECT Commodity, Cluster, date_trunc('month', Date) AS Month, round(avg(Price), 4) AS avg_price
-FROM d WHERE Commodity IN (SELECT Commodity FROM t) GROUP BY ALL""")
+FROM d GROUP BY ALL""")
 def r2(spark, sf):
     p, lb = _pl(spark, sf)
-    t = rp.monthly_trends_sparse(p, lb, top=4)
+    t = rp.monthly_trends_sparse(p, lb)
     return t.select("Commodity", "Cluster", "Month", r4("avg_price").alias("avg_price"))
 
 

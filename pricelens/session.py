@@ -42,16 +42,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session
-    (``spark.checkpoint.dir``).  Only when nothing is configured (tests) do we
-    pick one ourselves."""
+    (``spark.checkpoint.dir``).  Only a local session without one (tests) gets
+    a machine-local folder; on a cluster that is an error."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("PRICELENS_CHECKPOINT_DIR")
     if not conf:
-        conf = os.environ.get("PRICELENS_CHECKPOINT_DIR") or "/tmp/pricelens-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", conf)
+        master = sc.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = "/tmp/pricelens-checkpoints"
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
@@ -81,7 +83,3 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     otherwise return it untouched so the planner uses a shuffle join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows

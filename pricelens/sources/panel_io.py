@@ -24,7 +24,7 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     if "Date" in df.columns:
         cols["Date"] = F.coalesce(F.try_to_timestamp(F.col("Date").cast("string")), F.col("Date").cast("string").try_cast("timestamp"))
     if "Price" in df.columns:
-        cols["Price"] = parse_price("Price")
+        cols["Price"] = parse_price("Price", commas=False)
     if "Month" in df.columns:
         cols["Month"] = F.col("Month").try_cast("int")
     return df.withColumns(cols)

@@ -81,17 +81,6 @@ def write_sheets(cells: DataFrame, root: str, fmt: str = "xlsx") -> DataFrame:
     return c.groupBy("Province", "City", "_y").applyInPandas(fn, "path string, rows long")
 
 
-def zip_tree(root: str, archive: str, wrapper: str | None = "data") -> str:
-    """Pack a sheet tree into one archive (optionally under a wrapper folder)."""
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for dp, _, files in os.walk(root):
-            for f in sorted(files):
-                full = os.path.join(dp, f)
-                rel = os.path.relpath(full, root).replace(os.sep, "/")
-                z.write(full, f"{wrapper}/{rel}" if wrapper else rel)
-    return archive
-
-
 def write_zips(cells: DataFrame, root: str, wrapper: str = "data") -> DataFrame:
     """One ZIP archive per province (written by its own task) holding
     ``wrapper/PROVINCE/CITY/YYYY.xlsx`` members."""
