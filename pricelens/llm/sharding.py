@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pricelens.llm.common import materialize, packed, running_offsets
 
 BUCKET_BYTES = 32 << 20  # text bytes that one task holds at a time
+BROADCAST_BUCKETS = 500_000  # up to so many bucket offsets (12 bytes each) go to every task; more are joined by a shuffle
 
 
 def text_size(text: Column) -> Column:
@@ -48,14 +49,17 @@ def external_shuffle(docs: DataFrame, text: str = "text", seed: int = 7, bucket_
 def place(shuffled: DataFrame, shards: int) -> DataFrame:
     """Add shard and slot (from 0) to the rows of ``external_shuffle``."""
     counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = running_offsets(counts, [], "bucket", "n", "start")
-    n = shuffled.count()
+    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("buckets")).first()
+    n = total["n"] or 0
+    starts = running_offsets(counts, [], "bucket", "n", "start").select("bucket", "start")
+    if total["buckets"] <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
     base, rest = divmod(n, shards)
     cut = rest * (base + 1)
     g = F.col("start") + F.col("pos")
     shard = F.when(g < cut, F.floor(g / (base + 1))).otherwise(rest + F.floor((g - cut) / max(base, 1)))
     slot = F.when(g < cut, g % (base + 1)).otherwise((g - cut) % max(base, 1))
-    j = shuffled.join(counts.select("bucket", "start"), "bucket")
+    j = shuffled.join(starts, "bucket")
     return j.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).drop("start")
 
 
