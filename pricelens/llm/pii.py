@@ -363,9 +363,13 @@ def train(docs: DataFrame | None = None, id_col: str = "doc_id", text: str = "te
     table's documents (a window around the first digit or @ of each)."""
     data = labelled_snippets(snippets)
     if docs is not None and sample:
-        rows = docs.where(docs[text].rlike("[0-9@]")).orderBy(F.xxhash64(docs[id_col], docs[text]), docs[id_col]).limit(sample)
+        # by their hashes, so many documents that few lack the sample; only snippets go on to the driver
+        share = min(1.0, 40 * sample / max(1, docs.count()))
+        draw = F.xxhash64(docs[id_col], docs[text])
+        rows = docs.where((F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30))) & docs[text].rlike("[0-9@]"))
         around = F.greatest(F.lit(1), F.regexp_instr(docs[text], F.lit("[0-9@]")) - LESSON // 3)
-        for r in rows.select(F.substring(docs[text], around, LESSON).alias("t")).collect():
+        snippets_of = rows.select(draw.alias("draw"), F.substring(docs[text], around, LESSON).alias("t"))
+        for r in snippets_of.orderBy("draw", "t").limit(sample).collect():
             spans = base_spans(r["t"])
             if len(spans) == len({s[1] for s in spans}) and spans:
                 data.append((r["t"], spans))
