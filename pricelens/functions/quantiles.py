@@ -12,7 +12,8 @@ Two strategies:
   round splits the interval into ``buckets`` equal sub-ranges, counts values
   per sub-range with a partially aggregated ``groupBy`` (skew-proof: a hot
   group is split over map tasks and over sub-ranges), and keeps the sub-range
-  holding the rank.  Once an interval holds at most ``collect_below`` values,
+  holding the rank.  Infinities are counted apart, the interval spans the finite values.
+  Once an interval holds at most ``collect_below`` values,
   they are sorted in one small task.  Typical data resolves in 1-3 rounds.
 
 ``method='auto'`` measures the largest group first and picks ``percentile``
@@ -46,7 +47,6 @@ def exact_quantiles(
     max_group_rows: int = MAX_GROUP_ROWS,
     buckets: int = 4096,
     collect_below: int = 20_000,
-    max_rounds: int = 64,
 ) -> DataFrame:
     """Return one row per group: ``keys`` + one double column per probability
     (NULL for groups without a non-null value).  NULL and NaN values are
@@ -74,7 +74,7 @@ def exact_quantiles(
         out = base.groupBy(*keys).agg(q.alias("_q"))
         out = out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     elif method == "distributed":
-        out = _distributed(base, keys, probs, names, buckets, collect_below, max_rounds)
+        out = _distributed(base, keys, probs, names, buckets, collect_below)
     else:
         raise ValueError(f"unknown method {method!r}")
     if not grouped:
@@ -84,10 +84,13 @@ def exact_quantiles(
     return out
 
 
-def _distributed(base, keys, probs, names, buckets, collect_below, max_rounds):
+def _distributed(base, keys, probs, names, buckets, collect_below):
     base = base.persist()
+    inf = F.lit(float("inf"))
+    finite = F.when(F.abs("_v") < inf, F.col("_v"))
     stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx")
+        F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_mn"), F.max(finite).alias("_mx"),
+        F.count_if(F.col("_v") == -inf).alias("_neg"), F.count_if(F.col("_v") == inf).alias("_pos"),
     )
     # one row per (group, prob): rank positions and interpolation weight
     prob_rows = F.explode(F.array(*[
@@ -95,8 +98,8 @@ def _distributed(base, keys, probs, names, buckets, collect_below, max_rounds):
     ]))
     wanted = (
         stats.where(F.col("_n") > 0)
-        .select(*keys, "_n", "_mn", "_mx", prob_rows.alias("_pp"))
-        .select(*keys, "_n", "_mn", "_mx", "_pp._pi", "_pp._p")
+        .select(*keys, "_n", "_mn", "_mx", "_neg", "_pos", prob_rows.alias("_pp"))
+        .select(*keys, "_n", "_mn", "_mx", "_neg", "_pos", "_pp._pi", "_pp._p")
         .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
         .withColumn("_rlo", F.floor("_h").cast("long"))
         .withColumn("_rhi", F.ceil("_h").cast("long"))
@@ -105,20 +108,22 @@ def _distributed(base, keys, probs, names, buckets, collect_below, max_rounds):
     wanted = checkpoint(wanted)
     # state: one row per distinct wanted rank
     state = (
-        wanted.select(*keys, "_mn", "_mx", F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"))
+        wanted.select(*keys, "_n", "_mn", "_mx", "_neg", "_pos", F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"))
+        .dropDuplicates([*keys, "_r"])  # neighbouring probabilities share ranks
         .select(
             *keys,
             "_r",
             F.col("_mn").alias("_lo"),
             F.col("_mx").alias("_hi"),
-            F.lit(0).cast("long").alias("_below"),
-            F.when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_val"),
+            F.col("_neg").alias("_below"),
+            F.when(F.col("_r") < F.col("_neg"), -inf).when(F.col("_r") >= F.col("_n") - F.col("_pos"), inf)
+            .when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_val"),
             F.lit(None).cast("long").alias("_cnt"),
         )
     )
     state = checkpoint(state)
     w = Window.partitionBy(*keys, "_r").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for _ in range(max_rounds):
+    while True:
         open_ = state.where(F.col("_val").isNull())
         if open_.limit(1).count() == 0:
             break
@@ -142,8 +147,9 @@ def _distributed(base, keys, probs, names, buckets, collect_below, max_rounds):
         # (b) refine the interval by one level of equal-width sub-ranges
         sel_big = broadcast_checked(big.select(*keys, "_r", "_lo", "_hi", "_below"))
         cand_b = base.join(sel_big, keys, "inner")
-        width = F.col("_hi") - F.col("_lo")
-        digit = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
+        width = F.col("_hi") / 2 - F.col("_lo") / 2  # halves: the width itself may overflow
+        digit = F.when(F.col("_v") == F.col("_hi"), F.lit(buckets - 1)).otherwise(
+            F.least(F.floor(F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, width) * buckets), F.lit(buckets - 2))).cast("int")
         hist = (
             cand_b.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
             .withColumn("_d", digit)
@@ -163,15 +169,14 @@ def _distributed(base, keys, probs, names, buckets, collect_below, max_rounds):
             F.col("_c").alias("_cnt"),
         )
         state = checkpoint(done.unionByName(solved).unionByName(refined))
-    else:
-        raise RuntimeError("exact_quantiles did not converge")
     base.unpersist()
     vals = state.select(*keys, "_r", "_val")
     lo = vals.withColumnRenamed("_r", "_rlo").withColumnRenamed("_val", "_vlo")
     hi = vals.withColumnRenamed("_r", "_rhi").withColumnRenamed("_val", "_vhi")
     res = (
         wanted.join(lo, keys + ["_rlo"], "left").join(hi, keys + ["_rhi"], "left")
-        .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
+        .withColumn("_q", F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
+            (1 - F.col("_frac")) * F.col("_vlo") + F.col("_frac") * F.col("_vhi")))
     )
     aggs = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
     return res.groupBy(*keys).agg(*aggs)

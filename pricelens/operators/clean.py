@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import DEFAULT_ITEMS, NULL_TOKENS, null_tokens, parse_price, period_label
 from ..functions.quantiles import exact_quantiles
+from ..session import small_side
 
 
 # ------------------------------------------------------------------ P3 - P5
@@ -104,7 +105,7 @@ def drop_outliers_iqr(df: DataFrame, threshold: float = 1.5, item: str = "Commod
     )
     v = F.col(value)
     keep = v.isNull() | F.col("_lo").isNull() | ((v >= F.col("_lo")) & (v <= F.col("_hi")))
-    return df.join(b, item, "left").where(keep).drop("_lo", "_hi")
+    return df.join(small_side(b), item, "left").where(keep).drop("_lo", "_hi")
 
 
 def drop_outliers_zscore(df: DataFrame, threshold: float = 3.0, item: str = "Commodity", value: str = "Price") -> DataFrame:
@@ -112,7 +113,7 @@ def drop_outliers_zscore(df: DataFrame, threshold: float = 3.0, item: str = "Com
     and zero / undefined std are kept."""
     s = df.groupBy(item).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
     z = F.abs(F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd")))
-    return df.join(s, item, "left").where(z.isNull() | (z <= threshold)).drop("_mu", "_sd")
+    return df.join(small_side(s), item, "left").where(z.isNull() | (z <= threshold)).drop("_mu", "_sd")
 
 
 def drop_null_keys(df: DataFrame, cols: Sequence[str] = ("Date", "Price", "Cluster")) -> DataFrame:
@@ -181,4 +182,4 @@ def group_minmax(df: DataFrame, key: str = "Commodity", value: str = "value", pr
     columns (aggregate + join rather than an unbounded window, so a hot key
     is combined map-side)."""
     s = df.groupBy(key).agg(F.min(value).alias(f"{prefix}min"), F.max(value).alias(f"{prefix}max"))
-    return df.join(s, key, "left")
+    return df.join(small_side(s), key, "left")

@@ -1,25 +1,20 @@
 """Clustering of entity feature vectors.
 
-Data: ``(entity, features array<double>)``.  The vectors are checkpointed
-once (reliable checkpoint in the shared checkpoint folder), so every
-iteration re-reads them from there, an executor loss recomputes only lost
-blocks, and iterations never grow the lineage: each pass is a fresh plan
-over the checkpoint plus small driver-side model state (k x d centers).
-
-Each pass is a ``mapInPandas`` that emits *partial sums per partition*
-(count, vector sum, squared error per (restart, cluster)); Spark adds the
-partials.  Only the model (restarts x k x d numbers) reaches the driver.
-
-* k-means: all ``n_init`` restarts advance in the same pass.  Seeding is
-  k-means|| (scalable k-means++): a few passes draw D^2-weighted candidates
-  per restart by exponential keys (key = -ln(u)/D^2, smallest win, u from a
-  seeded hash of the entity, so draws are reproducible after task retries),
-  then a weighted k-means++ on the small candidate set picks the k seeds.  The stopping rule is the
-  squared center shift against tol x mean feature variance; empty clusters
-  keep their previous center.
+Data: ``(entity, features array<double>)``; the entity keeps its own type
+(a number, a name).  The vectors are checkpointed once (reliable checkpoint in
+the shared checkpoint folder) in partitions that depend on the ids and their
+number only, so fits agree whatever the cluster, every pass re-reads them from
+there, an executor loss recomputes only lost blocks, and lineage never grows.
+
+* k-means: Spark ML's solver (k-means|| seeding), ``n_init`` seeds, the fit of
+  least cost.  Its tolerance bounds each center's shift; it is set so that the
+  squared shift of all centers stays within tol x mean feature variance.  Fewer
+  distinct vectors than k give fewer centers.
 * fuzzy c-means: memberships u = d^(-2/(m-1)) normalised, centers =
   sum u^m x / sum u^m, stop when ||u_new - u_old||_F < error; the initial
-  memberships come from a seeded hash.  FPC = sum u^2 / n.
+  memberships come from a seeded hash.  Each pass emits partial sums per
+  partition from ``mapInPandas`` and Spark adds them; only k x d numbers reach
+  the driver.  FPC = sum u^2 / n.
 * spectral: see ``spectral``.
 """
 
@@ -28,9 +23,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,36 +78,26 @@ def _d2(X: np.ndarray, C: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+ROWS_PER_PARTITION = 50_000
+PARALLEL_FITS = 8
+
+
+def entity_type(df: DataFrame, entity: str = "entity") -> str:
+    return df.schema[entity].dataType.simpleString()
+
+
 def prepare(vec: DataFrame, entity: str = "entity", features: str = "features") -> tuple[DataFrame, int, int]:
-    """Checkpoint the vectors; return (data, n, d)."""
-    data = checkpoint(vec.select(F.col(entity).cast("long").alias("entity"), F.col(features).cast("array<double>").alias("features")))
-    data = data.persist()
-    st = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
-    return data, int(st["n"]), int(st["d"] or 0)
-
-
-# With at most this many partitions the per-partition partial sums are few
-# enough (partitions x restarts x k rows) to be added on the driver without a
-# shuffle; above it Spark adds them.
-DIRECT_MAX_PARTITIONS = 64
-
-
-def _sum_partials(partial: DataFrame, keys: Sequence[str], d: int, direct: bool = False) -> pd.DataFrame:
-    """Add partial rows (keys..., n, s array, e) over all partitions."""
-    if direct:
-        pdf = partial.toPandas()
-        if len(pdf) == 0:
-            return pd.DataFrame(columns=[*keys, "n", "e", "s"])
-        g = pdf.groupby(list(keys), sort=True)
-        out = g[["n", "e"]].sum()
-        out["s"] = g["s"].apply(lambda v: np.sum(np.vstack([np.asarray(x, dtype=float) for x in v]), 0).tolist())
-        return out.reset_index()
-    agg = partial.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.sum("e").alias("e"),
-        F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), d), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("s"),
-    )
-    return agg.toPandas()
+    """Checkpoint the vectors with a hash ``_h`` of their ids; return (data, n, d)."""
+    d = vec.select(F.col(entity).alias("entity"), F.col(features).cast("array<double>").alias("features"))
+    n = d.count()
+    d = d.repartition(max(1, -(-n // ROWS_PER_PARTITION)), "entity").sortWithinPartitions("entity")
+    data = checkpoint(d.withColumn("_h", F.xxhash64("entity"))).persist()
+    return data, n, int(data.agg(F.max(F.size("features"))).first()[0] or 0)
+
+
+def sum_arrays(col: str, length: int):
+    """Element-wise sum of an array column as one aggregate expression."""
+    return F.array(*[F.sum(F.col(col)[j]) for j in range(length)])
 
 
 def _centers_df(spark, centers: np.ndarray) -> DataFrame:
@@ -125,159 +112,33 @@ def canonical_order(centers: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ C1
 def kmeans(vec: DataFrame, k: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42,
            entity: str = "entity", features: str = "features", data=None) -> ClusterResult:
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
     t0 = time.time()
-    spark = vec.sparkSession
-    data, n, d = data if data is not None else prepare(vec, entity, features)
+    own = data is None
+    data, n, d = prepare(vec, entity, features) if own else data
     _check_k(k, n)
-    var = data.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")).agg(F.avg("v")).first()[0] or 0.0
-    tol_abs = tol * float(var)
-    R = n_init
-    direct = data.rdd.getNumPartitions() <= DIRECT_MAX_PARTITIONS
-    centers = _init_parallel(data, R, k, d, seed, direct)
-    # ---- Lloyd iterations, all restarts in one pass
-    active = np.ones(R, dtype=bool)
-    n_iter = np.zeros(R, dtype=int)
-    for _ in range(max_iter):
-        idx = np.flatnonzero(active)
-        if len(idx) == 0:
-            break
-        sums = _lloyd_pass(data, centers, idx, k, d, direct)
-        for r in idx:
-            new = centers[r].copy()
-            sub = sums[sums["r"] == r]
-            for _, row in sub.iterrows():
-                if row["n"] > 0:
-                    new[int(row["c"])] = np.asarray(row["s"], dtype=float) / row["n"]
-            shift = float(((new - centers[r]) ** 2).sum())
-            centers[r] = new
-            n_iter[r] += 1
-            if shift <= tol_abs:
-                active[r] = False
-    # ---- inertia of every restart with its final centers; keep the best
-    final = _lloyd_pass(data, centers, np.arange(R), k, d, direct)
-    inertia = final.groupby("r")["e"].sum().reindex(range(R)).fillna(0.0).to_numpy()
-    best = int(np.argmin(inertia))
-    C = centers[best][canonical_order(centers[best])]
-    labels = assign_array(data, C)
-    info = {"algorithm": "kmeans", "k": k, "inertia": float(inertia[best]), "n_iter": int(n_iter[best]),
-            "converged": bool(not active[best]), "restart": best, "execution_time": time.time() - t0}
-    return ClusterResult("kmeans", k, labels, _centers_df(spark, C), None, info)
-
-
-def _lloyd_pass(data: DataFrame, centers: np.ndarray, restarts: np.ndarray, k: int, d: int, direct: bool = False) -> pd.DataFrame:
-    cs = centers[restarts].copy()
-    rs = [int(r) for r in restarts]
-
-    def step(it):
-        cnt = np.zeros((len(rs), k), dtype=np.int64)
-        s = np.zeros((len(rs), k, d))
-        e = np.zeros((len(rs), k))
-        for pdf in it:  # all batches of the partition are combined first
-            if len(pdf) == 0:
-                continue
-            X = _mat(pdf, "features")
-            rows = np.arange(len(X))
-            for i in range(len(rs)):
-                dd = _d2(X, cs[i])
-                lab = dd.argmin(1)
-                cnt[i] += np.bincount(lab, minlength=k)
-                onehot = np.zeros((len(X), k))
-                onehot[rows, lab] = 1.0
-                s[i] += onehot.T @ X
-                e[i] += np.bincount(lab, weights=dd[rows, lab], minlength=k)
-        out = [(rs[i], int(c), int(cnt[i, c]), s[i, c].tolist(), float(e[i, c]))
-               for i in range(len(rs)) for c in np.flatnonzero(cnt[i])]
-        yield pd.DataFrame(out, columns=["r", "c", "n", "s", "e"])
-
-    part = data.mapInPandas(step, "r int, c int, n long, s array<double>, e double")
-    return _sum_partials(part, ["r", "c"], d, direct)
-
-
-def _init_parallel(data: DataFrame, R: int, k: int, d: int, seed: int, direct: bool, rounds: int = 2) -> np.ndarray:
-    """k-means|| seeding for ``R`` restarts at once.  Round 0 draws one row
-    per restart uniformly; each of ``rounds`` rounds then draws ``2k`` rows per
-    restart with probability proportional to D^2 (weighted sampling without
-    replacement by exponential keys, one pass per round); a last pass weighs
-    every candidate by the rows closest to it, and k-means++ plus weighted
-    Lloyd steps on those few candidates (driver side) give the k centers."""
-    ell = 2 * k
-    first = data.agg(*[F.min_by("features", F.xxhash64("entity", F.lit(seed), F.lit(r))).alias(f"c{r}") for r in range(R)]).first()
-    cand = [np.asarray(first[f"c{r}"], dtype=float)[None, :] for r in range(R)]
-    for rnd in range(1, rounds + 1):
-        cur = [c.copy() for c in cand]
-
-        def draw(it, cur=cur, rnd=rnd):
-            best = [[] for _ in range(R)]
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                X = _mat(pdf, "features")
-                ids = pdf["entity"].to_numpy()
-                for r in range(R):
-                    dd = _d2(X, cur[r]).min(1)
-                    u = uniform(ids, seed, r, rnd)
-                    with np.errstate(divide="ignore"):
-                        key = np.where(dd > 0, -np.log(u) / dd, np.inf)
-                    top = np.argsort(key, kind="stable")[:ell]
-                    best[r].extend((float(key[i]), X[i].tolist()) for i in top if np.isfinite(key[i]))
-            out = []
-            for r in range(R):
-                for key, x in sorted(best[r], key=lambda t: t[0])[:ell]:
-                    out.append((r, key, x))
-            yield pd.DataFrame(out, columns=["r", "key", "x"])
-
-        part = data.mapInPandas(draw, "r int, key double, x array<double>")
-        if direct:
-            got = part.toPandas()
-        else:
-            from pyspark.sql.window import Window
-
-            w = Window.partitionBy("r").orderBy("key")
-            got = part.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= ell).drop("_i").toPandas()
-        for r in range(R):
-            sub = got[got["r"] == r].sort_values("key").head(ell)
-            if len(sub):
-                cand[r] = np.vstack([cand[r], np.vstack([np.asarray(x, dtype=float) for x in sub["x"]])])
-    # weights: rows closest to each candidate
-    cs = [c.copy() for c in cand]
-
-    def weigh(it):
-        cnt = [np.zeros(len(c), dtype=np.int64) for c in cs]
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = _mat(pdf, "features")
-            for r in range(R):
-                cnt[r] += np.bincount(_d2(X, cs[r]).argmin(1), minlength=len(cs[r]))
-        yield pd.DataFrame([(r, i, int(cnt[r][i])) for r in range(R) for i in np.flatnonzero(cnt[r])], columns=["r", "i", "n"])
-
-    wpart = data.mapInPandas(weigh, "r int, i int, n long")
-    wt = (wpart.toPandas() if direct else wpart.groupBy("r", "i").agg(F.sum("n").alias("n")).toPandas()).groupby(["r", "i"])["n"].sum()
-    centers = np.zeros((R, k, d))
-    for r in range(R):
-        w = np.array([float(wt.get((r, i), 0)) for i in range(len(cand[r]))])
-        centers[r] = _local_kmeanspp(cand[r], w, k, np.random.default_rng([seed, r]))
-    return centers
-
-
-def _local_kmeanspp(P: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator, iters: int = 30) -> np.ndarray:
-    """Weighted k-means++ then weighted Lloyd steps on a small candidate set."""
-    if len(P) <= k:
-        extra = P[rng.integers(0, len(P), k - len(P))] if len(P) else np.zeros((k, P.shape[1]))
-        return np.vstack([P, extra])[:k]
-    w = np.where(w > 0, w, 1e-12)
-    C = [P[rng.choice(len(P), p=w / w.sum())]]
-    for _ in range(1, k):
-        dd = _d2(P, np.vstack(C)).min(1) * w
-        C.append(P[rng.choice(len(P), p=dd / dd.sum())] if dd.sum() > 0 else P[rng.integers(len(P))])
-    C = np.vstack(C)
-    for _ in range(iters):
-        lab = _d2(P, C).argmin(1)
-        for c in range(k):
-            m = lab == c
-            if m.any():
-                C[c] = (P[m] * w[m, None]).sum(0) / w[m].sum()
-    return C
+    spread = data.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")).agg(F.avg("v")).first()[0]
+    shift = (tol * float(spread or 0.0) / k) ** 0.5
+    points = data.select(array_to_vector("features").alias("features")).persist()
+
+    def fit_seed(r: int):
+        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=shift).fit(points)
+        return float(model.summary.trainingCost), r, int(model.summary.numIter), np.vstack(model.clusterCenters())
+
+    points.count()
+    with ThreadPool(min(n_init, PARALLEL_FITS)) as pool:  # independent fits share the cluster, as in Spark ML's own tuning
+        fits = pool.map(inheritable_thread_target(vec.sparkSession)(fit_seed), range(n_init))
+    points.unpersist()
+    cost, restart, steps, C = min(fits, key=lambda f: f[:2])
+    C = C[canonical_order(C)]
+    labels = assign_array(data, C).withColumnRenamed("entity", entity)
+    if own:
+        data.unpersist()
+    info = {"algorithm": "kmeans", "k": k, "inertia": cost, "n_iter": steps, "converged": steps < max_iter, "restart": restart,
+            "execution_time": time.time() - t0}
+    return ClusterResult("kmeans", k, labels, _centers_df(vec.sparkSession, C), None, info)
 
 
 def assign_array(data: DataFrame, centers: np.ndarray, entity: str = "entity", features: str = "features") -> DataFrame:
@@ -317,7 +178,8 @@ def fcm(vec: DataFrame, k: int, m: float = 2.0, error: float = 1e-5, max_iter: i
     spark = vec.sparkSession
     if m <= 1:
         raise ValueError("fuzzifier m must be > 1")
-    data, n, d = data if data is not None else prepare(vec, entity, features)
+    own = data is None
+    data, n, d = prepare(vec, entity, features) if own else data
     _check_k(k, n)
     prev = None  # None = the seeded random memberships
     cur = _fcm_centers(data, None, None, k, d, m, seed)[0]
@@ -330,9 +192,11 @@ def fcm(vec: DataFrame, k: int, m: float = 2.0, error: float = 1e-5, max_iter: i
         prev, cur = cur, nxt
         it += 1
     C = cur[canonical_order(cur)]
-    memberships = _fcm_memberships(data, C, m)
-    labels = memberships.groupBy("entity").agg(F.max_by("cluster", F.struct("u", F.col("cluster") * -1)).alias("cluster"))
-    fpc = memberships.agg((F.sum(F.col("u") * F.col("u")) / F.count_distinct("entity")).alias("fpc")).first()["fpc"]
+    memberships = _fcm_memberships(data, C, m).withColumnRenamed("entity", entity)
+    labels = assign_array(data, C).withColumnRenamed("entity", entity)  # the highest membership is that of the nearest center
+    fpc = (memberships.agg(F.sum(F.col("u") * F.col("u"))).first()[0] or 0.0) / n
+    if own:
+        data.unpersist()
     info = {"algorithm": "fcm", "k": k, "fpc": float(fpc), "n_iter": it, "converged": bool(diff < error),
             "execution_time": time.time() - t0}
     return ClusterResult("fcm", k, labels, _centers_df(spark, C), memberships, info)
@@ -366,7 +230,7 @@ def _fcm_centers(data, prev, cur, k, d, m, seed, with_prev=False):
             if len(pdf) == 0:
                 continue
             X = _mat(pdf, "features")
-            ids = pdf["entity"].to_numpy()
+            ids = pdf["_h"].to_numpy()
             u = _u_init(ids, k, seed) if cur is None else _u_of(X, cur, m)
             if with_prev:
                 u0 = _u_init(ids, k, seed) if prev is None else _u_of(X, prev, m)
@@ -374,12 +238,12 @@ def _fcm_centers(data, prev, cur, k, d, m, seed, with_prev=False):
             um = u ** m
             s += um.T @ X
             w += um.sum(0)
-        out = [(int(c), 0, s[c].tolist(), float(w[c])) for c in range(k)]
-        out.append((-1, 0, [0.0] * d, diff))
-        yield pd.DataFrame(out, columns=["c", "n", "s", "e"])
+        out = [(int(c), s[c].tolist(), float(w[c])) for c in range(k)]
+        out.append((-1, [0.0] * d, diff))
+        yield pd.DataFrame(out, columns=["c", "s", "e"])
 
-    part = data.mapInPandas(step, "c int, n long, s array<double>, e double")
-    sums = _sum_partials(part, ["c"], d, data.rdd.getNumPartitions() <= DIRECT_MAX_PARTITIONS)
+    part = data.mapInPandas(step, "c int, s array<double>, e double")
+    sums = part.groupBy("c").agg(F.sum("e").alias("e"), sum_arrays("s", d).alias("s")).toPandas()
     diff = float(np.sqrt(sums.loc[sums["c"] == -1, "e"].sum()))
     C = np.zeros((k, d))
     for _, row in sums[sums["c"] >= 0].iterrows():
@@ -398,7 +262,7 @@ def _fcm_memberships(data: DataFrame, C: np.ndarray, m: float) -> DataFrame:
             ids = pdf["entity"].to_numpy()
             yield pd.DataFrame({"entity": np.repeat(ids, k), "cluster": np.tile(np.arange(k), len(ids)), "u": u.reshape(-1)})
 
-    return data.mapInPandas(step, "entity long, cluster long, u double").withColumn("cluster", F.col("cluster").cast("int"))
+    return data.mapInPandas(step, f"entity {entity_type(data)}, cluster long, u double").withColumn("cluster", F.col("cluster").cast("int"))
 
 
 def _check_k(k: int, n: int) -> None:
@@ -444,6 +308,7 @@ def sweep(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, ks: Sequence[i
             except Exception as e:  # one failed fit must not stop the sweep
                 rows.append((a, int(k), run, None, None, None, None, f"{type(e).__name__}: {e}"))
             run += 1
+    data[0].unpersist()
     schema = ("algorithm string, k int, run int, silhouette double, davies_bouldin double, calinski_harabasz double, "
               "execution_time double, error string")
     return spark.createDataFrame(rows, schema)
@@ -451,7 +316,7 @@ def sweep(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, ks: Sequence[i
 
 def compare(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, k: int = 3, params: dict | None = None):
     """The same k for several algorithms: per algorithm labels and
-    metrics; the best is the one with the highest silhouette.  Returns
+    metrics; a failing algorithm becomes a row with its error; the best is the one with the highest silhouette.  Returns
     (metrics DataFrame, {algorithm: ClusterResult}, best algorithm)."""
     from .evaluate import metrics_table
 
@@ -459,12 +324,16 @@ def compare(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, k: int = 3,
     data = prepare(vec)
     results, rows = {}, []
     for run, a in enumerate(algorithms):
-        res = fit(vec, a, k, data=data, **(params or {}).get(a, {}))
-        results[a] = res
-        m = metrics_table(data[0], res.labels).first()
-        rows.append((a, k, run, m["silhouette"], m["davies_bouldin"], m["calinski_harabasz"], res.info.get("execution_time")))
+        try:
+            res = fit(vec, a, k, data=data, **(params or {}).get(a, {}))
+            m = metrics_table(data[0], res.labels).first()
+            results[a] = res
+            rows.append((a, k, run, m["silhouette"], m["davies_bouldin"], m["calinski_harabasz"], res.info.get("execution_time"), None))
+        except Exception as e:  # one failed fit must not stop the comparison
+            rows.append((a, k, run, None, None, None, None, f"{type(e).__name__}: {e}"))
+    data[0].unpersist()
     df = spark.createDataFrame(rows, "algorithm string, k int, run int, silhouette double, davies_bouldin double, "
-                                     "calinski_harabasz double, execution_time double")
+                                     "calinski_harabasz double, execution_time double, error string")
     valid = [r for r in rows if r[3] is not None]
     best = max(valid, key=lambda r: (r[3], -r[2]))[0] if valid else None
     return df, results, best

@@ -97,7 +97,7 @@ def cluster_distance_sums(vec: DataFrame, entity: str = "entity", cluster: str =
     """For every entity and every cluster: sum of Euclidean distances from
     the entity to the members of that cluster (self excluded), and their
     count.  Output (entity, cluster, other, dsum, cnt)."""
-    schema = f"{entity} long, {cluster} int, other int, dsum double, cnt long"
+    schema = f"{entity} {vec.schema[entity].dataType.simpleString()}, {cluster} int, other int, dsum double, cnt long"
 
     def fn(L, R, diag):
         a, b = matrix(L, features), matrix(R, features)
@@ -119,7 +119,7 @@ def cluster_distance_sums(vec: DataFrame, entity: str = "entity", cluster: str =
             return pd.DataFrame({entity: [], cluster: [], "other": [], "dsum": [], "cnt": []})
         return pd.concat(out, ignore_index=True)
 
-    v = vec.select(F.col(entity).cast("long").alias(entity), F.col(cluster).cast("int").alias(cluster), features)
+    v = vec.select(F.col(entity), F.col(cluster).cast("int").alias(cluster), features)
     raw = map_tiles(v, fn, schema, nb, block_rows, entity)
     return raw.groupBy(entity, cluster, "other").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
 
@@ -144,6 +144,6 @@ def intra_pair_sums(vec: DataFrame, entity: str = "entity", cluster: str = "clus
             rows.append((int(c), float(d[m].sum()), int(m.sum())))
         return pd.DataFrame(rows, columns=[cluster, "dsum", "cnt"])
 
-    v = vec.select(F.col(entity).cast("long").alias(entity), F.col(cluster).cast("int").alias(cluster), features)
+    v = vec.select(F.col(entity), F.col(cluster).cast("int").alias(cluster), features)
     raw = map_tiles(v, fn, schema, nb, block_rows, entity)
     return raw.groupBy(cluster).agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))

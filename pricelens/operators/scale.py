@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..session import small_side
 
 METHODS = ("standard", "minmax", "robust")
 
@@ -45,7 +46,7 @@ def fit_params(fx: DataFrame, methods: Sequence[str] = ("robust",), feature: str
             center, scale = F.col("_med"), F.col("_q3") - F.col("_q1")
         scale = F.when(scale.isNull() | (scale == 0), F.lit(1.0)).otherwise(scale)
         rows.append(F.struct(F.lit(m).alias("method"), center.alias("center"), scale.alias("scale")))
-    return stats.select(feature, F.explode(F.array(*rows)).alias("_p")).select(feature, "_p.*")
+    return small_side(stats.select(feature, F.explode(F.array(*rows)).alias("_p")).select(feature, "_p.*"))
 
 
 def apply_params(fx: DataFrame, params: DataFrame, method: str, feature: str = "feature", value: str = "value") -> DataFrame:

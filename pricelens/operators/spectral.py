@@ -10,7 +10,8 @@ re-orthonormalisation (a q x q Gram matrix aggregated by Spark) and a final
 Rayleigh-Ritz step.  Rows of the eigenvector block are divided by
 sqrt(degree), signs fixed so each vector's largest entry is positive, then
 clustered with k-means.  Work per iteration is O(n^2 d) spread over the
-tiles; only q x q matrices reach the driver.  The k-nearest-neighbour
+tiles; only q x q matrices reach the driver.  ``info["converged"]`` says whether
+the eigenvalues settled to ``tol`` within ``max_iter`` steps.  The k-nearest-neighbour
 kernel is the sparse, scalable mode."""
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from . import pairwise as pw
-from .cluster import ClusterResult, _check_k, kmeans, prepare
+from .cluster import ClusterResult, _check_k, entity_type, kmeans, prepare, sum_arrays
 
 KERNELS = ("rbf", "nearest_neighbors", "polynomial", "sigmoid", "cosine")
 
@@ -57,7 +58,8 @@ def knn_graph(vec: DataFrame, n_neighbors: int = 10, entity="entity", features="
     one neighbour): edges (a, b, w) with w = 0.5 * (A + A^T).  Each tile keeps
     its ``n_neighbors`` best candidates per row; the global best of those is
     exactly the true neighbour set."""
-    schema = "a long, b long, d2 double"
+    t = entity_type(vec, entity)
+    schema = f"a {t}, b {t}, d2 double"
 
     def fn(L, R, diag):
         XL, XR = pw.matrix(L, features), pw.matrix(R, features)
@@ -76,7 +78,7 @@ def knn_graph(vec: DataFrame, n_neighbors: int = 10, entity="entity", features="
                                      "d2": np.take_along_axis(d2.T, idx2, 1).reshape(-1)}))
         return pd.concat(out, ignore_index=True)
 
-    v = vec.select(F.col(entity).cast("long").alias(entity), features)
+    v = vec.select(F.col(entity), features)
     cand = pw.map_tiles(v, fn, schema, block_rows=block_rows, entity=entity)
     from pyspark.sql.window import Window
 
@@ -95,14 +97,14 @@ def affinity_degrees(vec: DataFrame, kernel: str = "rbf", gamma: float | None =
         return g.where(F.col("a") != F.col("b")).groupBy(F.col("a").alias(entity)).agg(F.sum("w").alias("degree"))
     d = int(vec.select(F.max(F.size(features))).first()[0] or 0)
     g = _gamma(kernel, gamma, d)
-    return _matvec(vec.select(F.col(entity).cast("long").alias(entity), features, F.array(F.lit(1.0)).alias("y")),
+    return _matvec(vec.select(F.col(entity), features, F.array(F.lit(1.0)).alias("y")),
                    kernel, g, degree, coef0, 1, entity, features, block_rows).select(entity, F.col("z")[0].alias("degree"))
 
 
 def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity", features="features",
             block_rows: int = pw.DEFAULT_BLOCK_ROWS, nb: int | None = None) -> DataFrame:
     """(entity, z) with z_i = sum_{j != i} W_ij y_j over the tiles."""
-    schema = f"{entity} long, z array<double>"
+    schema = f"{entity} {entity_type(state, entity)}, z array<double>"
 
     def fn(L, R, diag):
         XL, XR = pw.matrix(L, features), pw.matrix(R, features)
@@ -118,9 +120,7 @@ def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity",
         return pd.concat(out, ignore_index=True)
 
     raw = pw.map_tiles(state, fn, schema, nb=nb, block_rows=block_rows, entity=entity)
-    summed = raw.groupBy(entity).agg(
-        F.aggregate(F.collect_list("z"), F.array_repeat(F.lit(0.0), q), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("z"))
-    return summed
+    return raw.groupBy(entity).agg(sum_arrays("z", q).alias("z"))
 
 
 def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None = 1.0, n_neighbors: int = 10, degree: float = 3.0,
@@ -143,7 +143,7 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
     # random start block, orthonormalised
     V = base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v"))
     V = checkpoint(_orthonormalize(V, q))
-    ritz_prev = None
+    ritz_prev, settled = None, False
     it = 0
     for it in range(1, max_iter + 1):
         # the n x q block is checkpointed every step: each step reads the
@@ -153,6 +153,7 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
         ritz = np.sort(np.linalg.eigvalsh((B + B.T) / 2))[::-1][:k]
         V = checkpoint(_orthonormalize(Z.select("entity", "v"), q, G))
         if ritz_prev is not None and np.max(np.abs(ritz - ritz_prev)) <= tol * max(1.0, np.max(np.abs(ritz))):
+            settled = True
             break
         ritz_prev = ritz
     # Rayleigh-Ritz on the final block
@@ -162,7 +163,7 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
     Y = Y[:, np.argsort(w)[::-1][:k]]
     emb = _embed(base, V, Y)
     res = kmeans(emb, k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": affinity, "gamma": g, "eigen_iterations": it, "converged": it < max_iter,
+    info = {"algorithm": "spectral", "k": k, "affinity": affinity, "gamma": g, "eigen_iterations": it, "converged": settled,
             "eigenvalues": [float(x) - 1.0 for x in np.sort(w)[::-1][:k]], "execution_time": time.time() - t0}
     return ClusterResult("spectral", k, res.labels, None, None, info)
 
@@ -216,7 +217,7 @@ def _orthonormalize(V: DataFrame, q: int, G: np.ndarray | None = None) -> DataFr
                 X = pw.matrix(pdf, "v") @ T
                 yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "v": list(X)})
 
-    return V.mapInPandas(part, "entity long, v array<double>")
+    return V.mapInPandas(part, f"entity {entity_type(V)}, v array<double>")
 
 
 def _embed(base: DataFrame, V: DataFrame, Y: np.ndarray) -> DataFrame:
@@ -246,20 +247,20 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
 
     def apply(V):
         y = base.join(V, "entity").select("entity", F.transform("v", lambda x: x * F.col("s")).alias("y"))
-        z = g.join(y.withColumnRenamed("entity", "b"), "b").groupBy(F.col("a").alias("entity")).agg(
-            F.aggregate(F.collect_list(F.transform("y", lambda x: x * F.col("w"))), F.array_repeat(F.lit(0.0), q),
-                        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("z"))
+        z = g.join(y.withColumnRenamed("entity", "b"), "b").select(F.col("a").alias("entity"), F.transform("y", lambda x: x * F.col("w")).alias("p"))
+        z = z.groupBy("entity").agg(sum_arrays("p", q).alias("z"))
         j = base.join(V, "entity").join(z, "entity", "left")
         zz = F.coalesce(F.col("z"), F.array_repeat(F.lit(0.0), q))
         return j.select("entity", F.zip_with(zz, "v", lambda a, b: a * F.col("s") + b).alias("v"))
 
-    ritz_prev, it = None, 0
+    ritz_prev, it, settled = None, 0, False
     for it in range(1, max_iter + 1):
         Z = checkpoint(apply(V))
         G, B = _grams(V, Z, q)
         ritz = np.sort(np.linalg.eigvalsh((B + B.T) / 2))[::-1][:k]
         V = checkpoint(_orthonormalize(Z, q, G))
         if ritz_prev is not None and np.max(np.abs(ritz - ritz_prev)) <= tol * max(1.0, np.max(np.abs(ritz))):
+            settled = True
             break
         ritz_prev = ritz
     Z = checkpoint(apply(V))
@@ -267,6 +268,6 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
     w, Y = np.linalg.eigh((B + B.T) / 2)
     Y = Y[:, np.argsort(w)[::-1][:k]]
     res = kmeans(_embed(base, V, Y), k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": "nearest_neighbors", "eigen_iterations": it, "converged": it < max_iter,
-            "execution_time": time.time() - t0}
+    info = {"algorithm": "spectral", "k": k, "affinity": "nearest_neighbors", "eigen_iterations": it, "converged": settled,
+            "eigenvalues": [float(x) - 1.0 for x in np.sort(w)[::-1][:k]], "execution_time": time.time() - t0}
     return ClusterResult("spectral", k, res.labels, None, None, info)

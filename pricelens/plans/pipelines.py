@@ -96,10 +96,9 @@ def analyze(df: DataFrame, algorithm: str = "kmeans", k: int = 3, features: Sequ
     if problems:
         raise ValueError("feature matrix rejected: " + "; ".join(f"{r['check']}: {r['detail']}" for r in problems))
     cols = [c for c in scaled.columns if c != entity]
-    ids = scaled.select(entity).distinct().withColumn("entity", F.xxhash64(entity))
-    vec = scaled.select(F.xxhash64(entity).alias("entity"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("features"))
+    vec = scaled.select(F.col(entity).alias("entity"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("features"))
     res = cl.fit(vec, algorithm, k, **params)
-    labels = res.labels.join(ids, "entity").select(entity, F.col("cluster").alias("Cluster"))
+    labels = res.labels.select(F.col("entity").alias(entity), F.col("cluster").alias("Cluster"))
     m = ev.metrics_table(vec, res.labels)
     metrics = m.select(F.lit(algorithm).alias("algorithm"), F.lit(k).alias("k"), "*")
     reports = {
@@ -112,15 +111,17 @@ def analyze(df: DataFrame, algorithm: str = "kmeans", k: int = 3, features: Sequ
 
 
 def build_panel(spark, path: str, items: Sequence[str] | None = None, provinces: Sequence[str] | None = None,
-                years: Sequence[int] | None = None, archives: bool = False, outliers: str | None = None):
+                years: Sequence[int] | None = None, archives: bool = False, outliers: str | None = None,
+                scanned: tuple[DataFrame, DataFrame] | None = None):
     """Discover -> scan -> melt -> clean per file -> one panel ->
     summary.  Returns (panel, catalog, failed files, summary row).  ``items``
-    None keeps every item present."""
+    None keeps every item present; ``scanned`` are the cells and failed files
+    of a scan already made."""
     from ..operators import clean as cl
     from ..operators.summary import panel_summary
     from ..sources import sheets as sh
 
-    cells, failed = (sh.scan_zip if archives else sh.scan_sheets)(spark, path)
+    cells, failed = scanned or (sh.scan_zip if archives else sh.scan_sheets)(spark, path)
     catalog = sh.file_catalog(cells, provinces, years)
     if provinces or years:
         cells = cells.join(catalog.select("Source_File"), "Source_File", "left_semi")
@@ -149,7 +150,7 @@ def validate_panel(spark, path: str, valid_cities=None, valid_items: Sequence[st
     members = sh.member_table(spark, path)
     cells, failed = sh.scan_zip(spark, path)
     layout = sh.check_layout(members, cells, failed, valid_cities)
-    panel, _, _, metrics = build_panel(spark, path, items=None, archives=True)
+    panel, _, _, metrics = build_panel(spark, path, items=None, scanned=(cells, failed))
     panel = panel.persist()
     checks = data_checks(panel, first_only=False).select(F.col("step").cast("string").alias("subject"), "check", "detail")
     geo = (unknown_keys(panel, valid_cities, "City").select(F.col("City").alias("subject"), F.lit("unknown_city").alias("check"),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import cluster as cl
 from ..operators import evaluate as ev
 from ..operators import report as rp
 from ..operators import spectral as sp
 from ..sources import tables as tb
-from .q_eval import EL, _ch_sql, _db_sql, _lf, _samples_sql
+from .q_eval import EL, _ch_sql, _db_sql, _lf, _samples_sql, _var_sql
 from .registry import query, r4, r6
 
 
@@ -17,25 +18,78 @@ def _m(spark, sf):
     return tb.matrix_m(spark, sf)
 
 
-@query("c1_kmeans")
+def _fit_facts(vec, res):
+    """Facts that hold for any correct fit by nearest centers, as one row:
+    rows, labeled entities, clusters, rows not at their nearest center, whether
+    each center is the mean of its rows, whether WCSS + BCSS = TSS, TSS."""
+    lv = ev.labeled(vec, res.labels).persist()
+    dim = ev.vector_dim(lv)
+    means = ev.centroids(lv, dim).select("cluster", F.col("center").alias("mean"))
+    drift = res.centers.join(means, "cluster").agg(F.max(F.sqrt(ev.sq_dist(F.col("center"), F.col("mean")))).alias("d"))
+    near = cl.assign(vec, res).withColumnRenamed("cluster", "near")
+    off = lv.join(near, "entity").agg(F.count_if(F.col("near") != F.col("cluster")).alias("misplaced"))
+    base = lv.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"), F.count_distinct("cluster").alias("clusters"))
+    v = ev.variance_split(vec, res.labels)
+    k = F.lit(0)
+    one = base.withColumn("_k", k)
+    for part in (drift, off, v):
+        one = one.join(part.withColumn("_k", k), "_k")
+    return one.select("n", "entities", "clusters", "misplaced", (F.col("d") < 0.05).alias("centers_are_means"),
+                      (F.abs(F.col("wcss") + F.col("bcss") - F.col("tss")) <= 1e-9 * F.col("tss")).alias("adds_up"),
+                      r4("tss").alias("tss"))
+
+
+def _facts_sql(k: int, of: str = EL) -> str:
+    return f"""
+SELECT count(*) AS n, count(DISTINCT entity) AS entities, {k} AS clusters, 0 AS misplaced, true AS centers_are_means, true AS adds_up,
+       (SELECT round(tss, 4) FROM {_var_sql(of)}) AS tss FROM {of}"""
+
+
+@query("c1_kmeans", _facts_sql(10))
 def c1(spark, sf):
-    """k-means++ (k-means||) seeding, 10 restarts, k=10 (iterative: rows and
-    properties are checked, not values)."""
-    res = cl.kmeans(_m(spark, sf), 10, n_init=10, max_iter=300, tol=1e-4, seed=42)
-    return res.labels
+    """10 k-means restarts, k=10: facts of the best fit."""
+    m = _m(spark, sf)
+    return _fit_facts(m, cl.kmeans(m, 10, n_init=10, max_iter=300, tol=1e-4, seed=42))
 
 
-@query("c1_kmeans_centers")
+@query("c1_kmeans_centers", """
+SELECT CAST(i AS INTEGER) AS cluster, (SELECT max(len(embedding)) FROM embeddings) AS dim, true AS ordered, true AS beats_one_cluster
+FROM range(4) t(i)""")
 def c1c(spark, sf):
-    res = cl.kmeans(_m(spark, sf), 4, n_init=10, seed=7)
-    return res.centers.select("cluster", F.transform("center", lambda x: F.round(x, 6)).alias("center"))
-
-
-@query("c2_fcm")
+    """The centers: one per cluster, full width, in canonical order, and
+    together closer to the rows than their common mean is."""
+    m = _m(spark, sf)
+    res = cl.kmeans(m, 4, n_init=10, seed=7)
+    v = ev.variance_split(m, res.labels).select((F.lit(res.info["inertia"]) < F.col("tss")).alias("beats_one_cluster"), F.lit(0).alias("_k"))
+    c = res.centers.withColumn("_prev", F.lag("center").over(Window.partitionBy(F.lit(0)).orderBy("cluster")))
+    c = c.select("cluster", F.size("center").alias("dim"), F.coalesce(F.col("_prev") <= F.col("center"), F.lit(True)).alias("ordered"), F.lit(0).alias("_k"))
+    return c.join(v, "_k").drop("_k")
+
+
+@query("c1_kmeans_text_ids", f"""
+SELECT f.*, true AS names_kept, true AS silhouettes_ok
+FROM ({_facts_sql(4)}) f""")
+def c1t(spark, sf):
+    """Fit and score entities whose ids are names."""
+    m = _m(spark, sf).withColumn("entity", F.concat(F.lit("city "), F.col("entity").cast("string")))
+    res = cl.kmeans(m, 4, n_init=4, seed=3)
+    sil = ev.silhouette_samples(m, res.labels).agg(
+        (F.count_if(~F.col("entity").startswith("city ")) == 0).alias("names_kept"),
+        (F.count_if(F.col("silhouette").between(-1, 1)) == F.count(F.lit(1))).alias("silhouettes_ok"))
+    k = F.lit(0)
+    return _fit_facts(m, res).withColumn("_k", k).join(sil.withColumn("_k", k), "_k").drop("_k")
+
+
+@query("c2_fcm", """
+SELECT 4 * count(*) AS rows, count(DISTINCT vec_id) AS entities, 4 AS clusters, true AS sums_to_one, true AS in_range, true AS fpc_ok,
+       true AS converged FROM embeddings""")
 def c2(spark, sf):
-    """Fuzzy c-means memberships (entity, cluster, u), k=4, m=2."""
+    """Fuzzy c-means, k=4, m=2: facts of the memberships (entity, cluster, u)."""
     res = cl.fcm(_m(spark, sf), 4, m=2.0, error=1e-5, max_iter=150, seed=42)
-    return res.memberships.withColumn("u", r6("u"))
+    per = res.memberships.groupBy("entity").agg(F.sum("u").alias("s"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.count(F.lit(1)).alias("c"))
+    return per.agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("entities"), F.max("c").cast("int").alias("clusters"),
+                   (F.max(F.abs(F.col("s") - 1)) < 1e-9).alias("sums_to_one"), ((F.min("lo") >= 0) & (F.max("hi") <= 1)).alias("in_range"),
+                   F.lit(bool(0.25 - 1e-9 <= res.info["fpc"] <= 1 + 1e-9)).alias("fpc_ok"), F.lit(res.info["converged"]).alias("converged"))
 
 
 _RBF_SQL = f"""
@@ -66,17 +120,27 @@ def c3k(spark, sf):
     return sp.knn_graph(_m(spark, sf), 10, block_rows=128)
 
 
-@query("c4_spectral")
+_SPECTRAL_SQL = "SELECT count(*) AS n, count(DISTINCT vec_id) AS entities, 4 AS clusters, 1.0 AS top_eigenvalue, true AS eigenvalues_ok FROM embeddings"
+
+
+def _spectral_facts(res):
+    """Rows, entities, clusters; the normalised affinity has top eigenvalue 1
+    and none outside [-1, 1]."""
+    e = res.info["eigenvalues"]
+    return res.labels.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"), F.count_distinct("cluster").alias("clusters"),
+                          r6(F.lit(float(e[0])), 3).alias("top_eigenvalue"),
+                          F.lit(all(-1 - 1e-6 <= x <= 1 + 1e-6 for x in e) and e == sorted(e, reverse=True)).alias("eigenvalues_ok"))
+
+
+@query("c4_spectral", _SPECTRAL_SQL)
 def c4(spark, sf):
     """Spectral clustering (rbf, gamma=1, k=4): subspace iteration + k-means."""
-    res = sp.spectral(_m(spark, sf), 4, affinity="rbf", gamma=1.0, n_init=10, seed=42, block_rows=256)
-    return res.labels
+    return _spectral_facts(sp.spectral(_m(spark, sf), 4, affinity="rbf", gamma=1.0, n_init=10, seed=42, block_rows=256))
 
 
-@query("c4_spectral_knn")
+@query("c4_spectral_knn", _SPECTRAL_SQL)
 def c4k(spark, sf):
-    res = sp.spectral(_m(spark, sf), 4, affinity="nearest_neighbors", n_neighbors=10, n_init=10, seed=42, block_rows=256)
-    return res.labels
+    return _spectral_facts(sp.spectral(_m(spark, sf), 4, affinity="nearest_neighbors", n_neighbors=10, n_init=10, seed=42, block_rows=256))
 
 
 @query("c5_assign", f"""
@@ -100,23 +164,28 @@ def c6(spark, sf):
                       r4("calinski_harabasz").alias("calinski_harabasz"), "error")
 
 
-@query("c7_compare")
+@query("c7_compare", """
+SELECT a AS algorithm, 3 AS k, true AS metrics_ok, 1 AS best_rows, NULL AS error FROM (VALUES ('kmeans'), ('fcm'), ('spectral')) t(a)""")
 def c7(spark, sf):
     df, _, best = cl.compare(_m(spark, sf), ("kmeans", "fcm", "spectral"), 3, params={"spectral": {"block_rows": 256}})
-    return df.select("algorithm", "k", r4("silhouette").alias("silhouette"), r4("davies_bouldin").alias("davies_bouldin"),
-                     (F.col("algorithm") == F.lit(best)).alias("best"))
+    # exactly one algorithm is the best, and it has the highest silhouette
+    top = df.agg(F.max("silhouette").alias("top"), F.count_if(F.col("algorithm") == F.lit(best)).alias("best_rows"), F.lit(0).alias("_k"))
+    j = df.withColumn("_k", F.lit(0)).join(top, "_k")
+    ok = F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") >= 0) & (F.col("calinski_harabasz") >= 0) & (
+        (F.col("algorithm") != F.lit(best)) | (F.col("silhouette") == F.col("top")))
+    return j.select("algorithm", "k", ok.alias("metrics_ok"), "best_rows", "error")
 
 
-@query("e10_stability")
+@query("e10_stability", "SELECT i, j, true AS in_range FROM range(10) a(i), range(10) b(j) WHERE i < j")
 def e10(spark, sf):
     """ARI of 10 k-means fits (k=4) on seeded 80 % subsamples, every pair."""
     m = _m(spark, sf)
 
     def fit(sample, k):
-        return cl.kmeans(sample, k, n_init=3, seed=1).labels
+        return cl.kmeans(sample, k, n_init=10, seed=1).labels
 
     pairs, _ = ev.stability(m, fit, 4, n=10, ratio=0.8, seed=42)
-    return pairs.withColumn("ari", r6("ari"))
+    return pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("ari").between(-1, 1).alias("in_range"))
 
 
 @query("r11_run_summary", f"""
@@ -131,7 +200,21 @@ def r11(spark, sf):
                     r4("calinski_harabasz").alias("calinski_harabasz"))
 
 
-@query("r12_report")
+_PL = f"(SELECT p.*, l.Cluster FROM ({tb.PANEL_P_SQL}) p JOIN ({tb.LABELS_P_SQL}) l USING (City) WHERE l.Cluster IS NOT NULL)"
+
+
+@query("r12_report", f"""
+WITH pl AS (SELECT * FROM {_PL}),
+items AS (SELECT count(DISTINCT Commodity) AS n FROM pl), years AS (SELECT count(DISTINCT year(Date)) AS n FROM pl),
+clusters AS (SELECT count(DISTINCT Cluster) AS n FROM pl)
+SELECT 'monthly_trends' AS part, (SELECT count(*) FROM (SELECT DISTINCT Commodity, Cluster FROM pl)) * years.n * 12 AS rows FROM years
+UNION ALL SELECT 'radar', clusters.n * items.n FROM clusters, items
+UNION ALL SELECT 'boxplot', clusters.n * items.n * years.n FROM clusters, items, years
+UNION ALL SELECT 'correlation', n * n FROM items
+UNION ALL SELECT 'silhouettes', count(*) FROM embeddings
+UNION ALL SELECT 'projection', count(*) FROM embeddings
+UNION ALL SELECT 'years', n FROM years
+UNION ALL SELECT 'assignments', count(*) FROM ({tb.LABELS_P_SQL})""")
 def r12(spark, sf):
     """The report bundle; one row per part with its row count."""
     parts = rp.report(tb.panel_p(spark, sf), _m(spark, sf), tb.labels_p(spark, sf), tb.labels_m(spark, sf), tb.coordinates_p(spark, sf))
@@ -139,12 +222,14 @@ def r12(spark, sf):
     return spark.createDataFrame(rows, "part string, rows long")
 
 
-@query("z5_analyze")
+@query("z5_analyze", f"""
+SELECT 'kmeans' AS algorithm, 3 AS k, true AS metrics_ok, count(DISTINCT City) AS cities, 3 AS clusters FROM ({tb.PANEL_P_SQL})""")
 def z5(spark, sf):
     """Checks -> k-means fit -> metrics -> report over the panel P feature
-    matrix (cities as entities); returns the labeled metric row."""
+    matrix (cities as entities); the metric row's ranges and the labels by city."""
     from .pipelines import analyze
 
     res, metrics, _ = analyze(tb.panel_p(spark, sf), "kmeans", 3, features=("avg", "cv", "trend"))
-    return metrics.select("algorithm", "k", r4("silhouette").alias("silhouette"), r4("davies_bouldin").alias("davies_bouldin"),
-                          r4("calinski_harabasz").alias("calinski_harabasz"))
+    cities = res.labels.agg(F.count_distinct("City").alias("cities"), F.count_distinct("Cluster").alias("clusters"), F.lit(0).alias("_k"))
+    ok = F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") >= 0) & (F.col("calinski_harabasz") >= 0)
+    return metrics.select("algorithm", "k", ok.alias("metrics_ok"), F.lit(0).alias("_k")).join(cities, "_k").drop("_k")

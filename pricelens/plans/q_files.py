@@ -198,19 +198,35 @@ def d3(spark, sf):
     return sh.check_layout(members, cells, failed, tb.coordinates_p(spark, sf).select("City"))
 
 
-@query("z2_build_panel")
+# Each sheet has every date and item of its city and year; the gaps are filled inside the sheet.
+@query("z2_build_panel", f"""
+WITH c AS (SELECT *, year(Date) AS y FROM ({CELL_SQL})),
+g AS (SELECT * FROM (SELECT DISTINCT Province, City, y, Date FROM c) JOIN (SELECT DISTINCT Province, City, y, Commodity FROM c) USING (Province, City, y)),
+x AS (SELECT g.*, c.Price AS raw FROM g LEFT JOIN c USING (Province, City, y, Commodity, Date)),
+filled AS (SELECT City, Commodity, Date, coalesce(
+    last_value(raw IGNORE NULLS) OVER (PARTITION BY Province, City, y, Commodity ORDER BY Date),
+    first_value(raw IGNORE NULLS) OVER (PARTITION BY Province, City, y, Commodity ORDER BY Date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS Price FROM x)
+SELECT count(*) AS records, count(DISTINCT City) AS cities, count(DISTINCT Commodity) AS commodities,
+       date_diff('day', min(Date), max(Date)) AS date_range_days, round(min(Price), 4) AS price_min, round(max(Price), 4) AS price_max,
+       round(avg(Price), 4) AS price_mean, round(quantile_cont(Price, 0.5), 4) AS price_median, round(stddev_samp(Price), 4) AS price_std
+FROM filled""")
 def z2(spark, sf):
-    """Sheets -> long -> per-file cleaning -> one panel (rows-only)."""
+    """Sheets -> long -> per-file cleaning -> one panel; its summary."""
     from .pipelines import build_panel
 
     panel, catalog, failed, summary = build_panel(spark, _sheet_tree(spark, sf), items=None)
-    return summary
+    prices = ("price_min", "price_max", "price_mean", "price_median", "price_std")
+    return summary.select("records", "cities", "commodities", "date_range_days", *[r4(c).alias(c) for c in prices])
 
 
-@query("z3_validate_panel")
+@query("z3_validate_panel", f"""
+SELECT DISTINCT 'data/' || Province || '/' || City || '/' || CAST(year(Date) AS VARCHAR) || '.xlsx' AS subject,
+       'unknown_city' AS "check", City AS detail FROM ({P}) WHERE City NOT IN (SELECT City FROM ({CO}))
+UNION ALL SELECT DISTINCT City, 'unknown_city', 'not a supported city' FROM ({P}) WHERE City NOT IN (SELECT City FROM ({CO}))
+UNION ALL SELECT DISTINCT Commodity, 'unknown_commodity', 'not a supported commodity' FROM ({P})""")
 def z3(spark, sf):
-    """Layout + content checks of an archive upload (rows-only)."""
+    """Layout + content checks of an archive upload: every violation."""
     from .pipelines import validate_panel
 
     _, violations, _ = validate_panel(spark, _zip_tree(spark, sf), tb.coordinates_p(spark, sf).select("City"))
-    return violations
+    return violations.select("subject", "check", "detail")

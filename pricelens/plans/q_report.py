@@ -126,26 +126,67 @@ def r6q(spark, sf):
     return c.select("Cluster", "item_a", "item_b", r6("r").alias("r"), "n")
 
 
-@query("r7_correlation_pvalues")
+# Two-sided p of Student's t by its finite trigonometric sums (theta = atan(t / sqrt(df))):
+# even df: 1 - sin * sum c_i cos^2i; odd df: 1 - 2/pi (theta + sin * sum e_i cos^(2i-1)).
+@query("r7_correlation_pvalues", f"""
+WITH c AS ({_corr_sql(False).replace("round(r.r, 6) AS r", "r.r AS r")}),
+t AS (SELECT *, n - 2 AS df, least(abs(r), 1.0) AS s, sqrt(greatest(1 - r * r, 0.0)) AS co FROM c),
+terms AS (SELECT item_a, item_b, sum(CASE
+    WHEN df % 2 = 0 THEN CASE WHEN i < df // 2 THEN exp(lgamma(i + 0.5) - lgamma(i + 1.0) + 2 * i * ln(co)) / sqrt(pi()) ELSE 0 END
+    ELSE CASE WHEN i >= 1 AND i <= df // 2 THEN sqrt(pi()) / 2 * exp(lgamma(i * 1.0) - lgamma(i + 0.5) + (2 * i - 1) * ln(co)) ELSE 0 END END) AS total
+  FROM t, range((SELECT max(df) // 2 + 1 FROM t)) g(i) WHERE item_a <> item_b AND co > 0 AND df >= 1 GROUP BY item_a, item_b)
+SELECT t.item_a, t.item_b, round(t.r, 6) AS r, t.n, round(CASE WHEN t.item_a = t.item_b THEN 1.0 WHEN t.r IS NULL OR t.df < 1 THEN NULL
+    WHEN co = 0 THEN 0.0 WHEN t.df % 2 = 0 THEN 1 - s * total ELSE 1 - 2 / pi() * (asin(s) + s * total) END, 6) AS p
+FROM t LEFT JOIN terms USING (item_a, item_b)""")
 def r7(spark, sf):
-    """p-values need the t distribution (no SQL oracle); checked by
-    properties and known values in the tests."""
     d, _ = _vd(spark, sf)
     c = rp.correlation(d)
     return c.select("item_a", "item_b", r6("r").alias("r"), "n", r6("p").alias("p"))
 
 
-@query("r8_project_2d")
+# The two leading eigenvectors of the covariance in SQL: the matrix is squared
+# (and scaled) until only the leading direction is left, then deflated.
+def _leading_sql(cov: str, out: str) -> str:
+    """CTEs ``{out}`` (v list of loadings, signed; l eigenvalue) of ``cov`` (one row, m list of lists)."""
+    return f"""
+{out}_p AS (SELECT 0 AS it, m FROM {cov} UNION ALL
+  SELECT it + 1, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q) / list_sum(list_transform(m, lambda z: list_dot_product(z, z)))))
+  FROM {out}_p WHERE it < 24),
+{out}_c AS (SELECT list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d, m FROM {out}_p WHERE it = 24),
+{out}_u AS (SELECT m[list_position(d, list_max(d))] AS u FROM {out}_c),
+{out}_n AS (SELECT list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS v FROM {out}_u),
+{out}_s AS (SELECT CASE WHEN -list_min(v) > list_max(v) THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM {out}_n),
+{out} AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM {out}_s, {cov})"""
+
+
+_PCA_SQL = f"""
+WITH RECURSIVE lf AS (SELECT vec_id AS entity, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+mu AS (SELECT i, avg(x) AS mu FROM lf GROUP BY i),
+ce AS (SELECT entity, i, x - mu AS x FROM lf JOIN mu USING (i)),
+cv AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM ce a JOIN ce b USING (entity) GROUP BY ALL),
+cr AS (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i),
+c1 AS (SELECT list(r ORDER BY i) AS m FROM cr),{_leading_sql("c1", "e1")},
+c2 AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM c1, e1),
+{_leading_sql("c2", "e2").strip()},
+rows_ AS (SELECT entity, list(x ORDER BY i) AS f FROM ce GROUP BY entity)"""
+
+
+@query("r8_project_2d", _PCA_SQL + """
+SELECT r.entity, CAST(b.label AS INTEGER) AS cluster, round(list_dot_product(f, e1.v), 4) AS pc1, round(list_dot_product(f, e2.v), 4) AS pc2
+FROM rows_ r JOIN embeddings b ON b.vec_id = r.entity, e1, e2""")
 def r8(spark, sf):
-    """PCA projection of matrix M (iterative eigensolver: property-checked)."""
+    """PCA projection of matrix M."""
     pts, _, _ = rp.project_2d(tb.matrix_m(spark, sf), tb.labels_m(spark, sf))
-    return pts.select("entity", "cluster", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+    return pts.select("entity", "cluster", r4("pc1").alias("pc1"), r4("pc2").alias("pc2"))
 
 
-@query("r8_project_2d_variance")
+@query("r8_project_2d_variance", _PCA_SQL + """,
+t AS (SELECT sum(c) AS total FROM cv WHERE i = j)
+SELECT 'pc1' AS component, round(e1.l, 6) AS explained_variance, round(e1.l / total, 6) AS explained_variance_ratio FROM e1, t
+UNION ALL SELECT 'pc2', round(e2.l, 6), round(e2.l / total, 6) FROM e2, t""")
 def r8v(spark, sf):
     _, _, var = rp.project_2d(tb.matrix_m(spark, sf), tb.labels_m(spark, sf))
-    return var
+    return var.select("component", r6("explained_variance").alias("explained_variance"), r6("explained_variance_ratio").alias("explained_variance_ratio"))
 
 
 @query("r10_assignments", f"""

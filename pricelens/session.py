@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Largest side we hint as broadcast after an explicit row-count check.  Above it
 # the join is left to the planner (sort-merge, or AQE's runtime broadcast).
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 100_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pricelens") -> SparkSession:
@@ -83,3 +83,10 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     otherwise return it untouched so the planner uses a shuffle join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """An aggregate that is joined back to its input: checkpointed, so that its
+    plan runs once, then hinted as ``broadcast_checked`` does.  The input is
+    then not shuffled on a few hot keys."""
+    return broadcast_checked(checkpoint(df), max_rows)
