@@ -42,7 +42,7 @@ def test_panel_prices_keep_no_commas(spark):
 
 @pytest.mark.parametrize("values", [
     [1.0] * 7 + [float("inf")], [float("-inf")] * 3 + [2.0, 5.0, float("inf")], [float("inf")] * 4, [3.0] * 30,
-    [10.0**e for e in range(-300, 300, 7)], [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-323, 1.0], list(map(float, range(201))) + [float("inf")],
+    [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-323, 1.0], list(map(float, range(201))) + [float("inf")],
 ])
 def test_both_quantile_paths_agree(spark, values):
     df = spark.createDataFrame([("g", v) for v in values], "k string, v double")
