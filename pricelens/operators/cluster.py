@@ -21,7 +21,7 @@ there, an executor loss recomputes only lost blocks, and lineage never grows.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -285,55 +285,54 @@ def fit(vec: DataFrame, algorithm: str, k: int, data=None, **params) -> ClusterR
     raise ValueError(f"unknown algorithm {algorithm!r}; choose from {ALGORITHMS}")
 
 
+def _run(data, algorithm: str, k: int, run: int, params: dict) -> tuple[dict, ClusterResult | None]:
+    """Fit and score: (row of ``RUN_SCHEMA``, result), or the error's row."""
+    from .evaluate import evaluate
+
+    row = {"algorithm": algorithm, "k": int(k), "run": run}
+    try:
+        res = fit(data[0], algorithm, k, data=data, **params)
+        m = evaluate(data[0].select("entity", "features"), res.labels, algorithm, res.centers).first().asDict()
+        return row | m | {"execution_time": float(res.info.get("execution_time", 0.0))}, res
+    except Exception as e:  # one failed fit must not stop the others
+        return row | {"error": f"{type(e).__name__}: {e}"}, None
+
+
+def _runs_df(spark, rows: list[dict]) -> DataFrame:
+    """One row a run: algorithm, k, run, every metric, execution_time, error."""
+    from .evaluate import METRICS_SCHEMA
+
+    return spark.createDataFrame(rows, f"algorithm string, k int, run int, {METRICS_SCHEMA}, execution_time double, error string")
+
+
 def sweep(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, ks: Sequence[int] = range(2, 11), params: dict | None = None,
-          metrics: Callable | None = None) -> DataFrame:
+          parallel: int = 1) -> DataFrame:
     """Every algorithm x k; a failing pair becomes a row with its error
-    (the sweep goes on).  Metrics rows: algorithm, k, run, silhouette,
-    davies_bouldin, calinski_harabasz, execution_time, error."""
-    from .evaluate import metrics_table
-
+    (the sweep goes on).  The vectors are prepared once; ``parallel`` fits are
+    submitted at a time.  One row a run: see ``_runs_df``."""
     spark = vec.sparkSession
     data = prepare(vec)
-    rows = []
-    run = 0
-    for a in algorithms:
-        for k in ks:
-            try:
-                res = fit(vec, a, k, data=data, **(params or {}).get(a, {}))
-                m = metrics_table(data[0], res.labels).first()
-                rows.append((a, int(k), run, float(m["silhouette"]) if m["silhouette"] is not None else None,
-                             float(m["davies_bouldin"]) if m["davies_bouldin"] is not None else None,
-                             float(m["calinski_harabasz"]) if m["calinski_harabasz"] is not None else None,
-                             float(res.info.get("execution_time", 0.0)), None))
-            except Exception as e:  # one failed fit must not stop the sweep
-                rows.append((a, int(k), run, None, None, None, None, f"{type(e).__name__}: {e}"))
-            run += 1
+    runs = [(a, k) for a in algorithms for k in ks]
+
+    def one(i: int) -> dict:
+        a, k = runs[i]
+        return _run(data, a, k, i, (params or {}).get(a, {}))[0]
+
+    with ThreadPool(max(1, parallel)) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(one), range(len(runs)), chunksize=1)
     data[0].unpersist()
-    schema = ("algorithm string, k int, run int, silhouette double, davies_bouldin double, calinski_harabasz double, "
-              "execution_time double, error string")
-    return spark.createDataFrame(rows, schema)
+    return _runs_df(spark, rows)
 
 
 def compare(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, k: int = 3, params: dict | None = None):
     """The same k for several algorithms: per algorithm labels and
-    metrics; a failing algorithm becomes a row with its error; the best is the one with the highest silhouette.  Returns
-    (metrics DataFrame, {algorithm: ClusterResult}, best algorithm)."""
-    from .evaluate import metrics_table
-
-    spark = vec.sparkSession
+    metrics; a failing algorithm becomes a row with its error; the best is the
+    one with the highest silhouette.  Returns (runs DataFrame, {algorithm:
+    ClusterResult}, best algorithm)."""
     data = prepare(vec)
-    results, rows = {}, []
-    for run, a in enumerate(algorithms):
-        try:
-            res = fit(vec, a, k, data=data, **(params or {}).get(a, {}))
-            m = metrics_table(data[0], res.labels).first()
-            results[a] = res
-            rows.append((a, k, run, m["silhouette"], m["davies_bouldin"], m["calinski_harabasz"], res.info.get("execution_time"), None))
-        except Exception as e:  # one failed fit must not stop the comparison
-            rows.append((a, k, run, None, None, None, None, f"{type(e).__name__}: {e}"))
+    done = [(a, *_run(data, a, k, i, (params or {}).get(a, {}))) for i, a in enumerate(algorithms)]
     data[0].unpersist()
-    df = spark.createDataFrame(rows, "algorithm string, k int, run int, silhouette double, davies_bouldin double, "
-                                     "calinski_harabasz double, execution_time double, error string")
-    valid = [r for r in rows if r[3] is not None]
-    best = max(valid, key=lambda r: (r[3], -r[2]))[0] if valid else None
-    return df, results, best
+    results = {a: res for a, _, res in done if res is not None}
+    valid = [row for _, row, res in done if res is not None]
+    best = max(valid, key=lambda r: (r["silhouette"], -r["run"]))["algorithm"] if valid else None
+    return _runs_df(vec.sparkSession, [row for _, row, _ in done]), results, best

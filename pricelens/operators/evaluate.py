@@ -9,7 +9,9 @@ join with the (k-row) centroid table."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -245,3 +247,42 @@ def metrics_table(vec: DataFrame, labels: DataFrame, entity="entity", cluster="c
     c = calinski_harabasz(vec, labels, entity, cluster, features, _pre=pre).withColumn("_k", k)
     return s.join(d, "_k").join(c, "_k").drop("_k")
 
+
+
+CORE = ("silhouette", "davies_bouldin", "calinski_harabasz")
+QUALITY = ("min_cluster_size", "max_cluster_size", "cluster_size_std", "cluster_balance", "avg_intra_cluster_distance",
+           "std_intra_cluster_distance", "avg_inter_cluster_distance", "min_inter_cluster_distance")
+FIT = ("wcss", "inertia", "bcss", "tss", "explained_variance_ratio")
+METRICS = CORE + QUALITY + FIT
+METRICS_SCHEMA = ", ".join(f"{m} {'long' if m in QUALITY[:2] else 'double'}" for m in METRICS)
+
+
+def evaluate(vec: DataFrame, labels: DataFrame, algorithm: str | None = None, centers: DataFrame | None = None, entity="entity",
+             cluster="cluster", features="features") -> DataFrame:
+    """All metrics of one labeling as one row (``METRICS``): the core and the
+    quality metrics; center distances only with ``centers``; the sums of
+    squares only for k-means with centers, NULL otherwise.  Fewer than two
+    clusters are an error.  The labeled rows and centroids are kept while the
+    metrics run and released before the return."""
+    if labels.select(cluster).distinct().limit(2).count() < 2:
+        raise ValueError("insufficient clusters: at least two are needed")
+    pre = _prepared(vec, labels, entity, cluster, features)
+    lv, own = pre[0], pre[0].select(entity, cluster)
+    parts = [
+        silhouette(lv.select(entity, features), own, entity=entity, cluster=cluster, features=features),
+        davies_bouldin(vec, own, entity, cluster, features, _pre=pre),
+        calinski_harabasz(vec, own, entity, cluster, features, _pre=pre),
+        size_balance(own, cluster),
+        intra_distance(lv.select(entity, features), own, entity, cluster, features),
+    ]
+    if centers is not None:
+        parts.append(inter_distance(centers, cluster))
+        if algorithm == "kmeans":
+            parts.append(variance_split(vec, own, centers, entity, cluster, features, _pre=pre).withColumn("inertia", F.col("wcss")))
+    pre[2].count()  # kept once, before the parts read it side by side
+    with ThreadPool(len(parts)) as pool:  # independent one-row jobs share the cluster
+        rows = pool.map(inheritable_thread_target(vec.sparkSession)(DataFrame.first), parts)
+    got = {name: x for row in rows for name, x in row.asDict().items()}
+    lv.unpersist()
+    pre[2].unpersist()
+    return vec.sparkSession.createDataFrame([tuple(got.get(m) for m in METRICS)], METRICS_SCHEMA)

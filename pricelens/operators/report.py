@@ -4,9 +4,10 @@ correlation, projection, silhouette and map views, one flat DataFrame each."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from .clean import _year_ranges, drop_null_keys
 from .joins import attach_clusters, attach_coordinates, dense_grid
 from .setops import sort_desc
 
+PARALLEL_PARTS = 4
+
 
 # ---------------------------------------------------------------- R1, R2
 def monthly_trends(df: DataFrame, labels: DataFrame, items: Sequence[str] | None = None, years: Sequence[int] | None = None,
@@ -109,7 +112,8 @@ def correlation(df: DataFrame, labels: DataFrame | None = None, min_rows: int =
     items are paired on (entity, date) and Pearson r is computed over the
     complete pairs: covar_pop / (std_pop * std_pop), NULL for zero variance.
     The self-join is bounded: after the average a (entity, date) key holds
-    at most one row per item.  Output (``[cluster,]`` item_a, item_b, r, n,
+    at most one row per item; each unordered pair is computed once and
+    mirrored after the aggregate.  Output (``[cluster,]`` item_a, item_b, r, n,
     p); per cluster, a cluster with fewer than ``min_rows`` (entity, date)
     rows gets NULL r and p.  p is the two-sided t-test p-value (>= 3 pairs),
     1.0 on the diagonal."""
@@ -121,11 +125,14 @@ def correlation(df: DataFrame, labels: DataFrame | None = None, min_rows: int =
     g = d.where(F.col(value).isNotNull()).groupBy(*ck, entity, ts, item).agg(F.avg(value).alias("_x"))
     a = g.select(*ck, entity, ts, F.col(item).alias("item_a"), F.col("_x").alias("_a"))
     b = g.select(*ck, entity, ts, F.col(item).alias("item_b"), F.col("_x").alias("_b"))
-    pairs = a.join(b, ck + [entity, ts])
-    r = pairs.groupBy(*ck, "item_a", "item_b").agg(
+    pairs = a.join(b, ck + [entity, ts]).where(F.col("item_a") <= F.col("item_b"))
+    half = pairs.groupBy(*ck, "item_a", "item_b").agg(
         F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("r"),
         F.count(F.lit(1)).alias("n"),
     )
+    sides = F.array(F.struct("item_a", "item_b"), F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")))
+    sides = F.explode(F.when(F.col("item_a") == F.col("item_b"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s")
+    r = half.select(*ck, sides, "r", "n").select(*ck, "s.item_a", "s.item_b", "r", "n")
     its = sorted(x[0] for x in d.select(item).distinct().collect())
     if ck:
         # (entity, date) rows per cluster, for the minimum-rows rule
@@ -223,21 +230,51 @@ def run_summary(vec: DataFrame, labels: DataFrame, entity="entity", cluster="clu
     return sizes.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").drop("_k")
 
 
+def run_simple(labels: DataFrame, algorithm: str, k: int, entity="entity", cluster="cluster") -> tuple[DataFrame, DataFrame]:
+    """R11, simple form: (entity, cluster, algorithm, k) for every entity, and
+    one row per cluster with its size, algorithm, k and the total."""
+    sizes = labels.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
+    total = F.broadcast(labels.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(0)))
+    run = (F.lit(algorithm).alias("algorithm"), F.lit(int(k)).alias("k"))
+    return labels.select(entity, cluster, *run), sizes.withColumn("_k", F.lit(0)).join(total, "_k").select(cluster, "size", "total", *run)
+
+
+def run_detailed(vec: DataFrame, labels: DataFrame, algorithm: str, k: int, centers: DataFrame | None = None,
+                 execution_time: float | None = None, coords: DataFrame | None = None, entity="entity", cluster="cluster",
+                 features="features") -> dict[str, DataFrame]:
+    """R11, detailed form: ``assignments`` (with coordinates if given),
+    ``metrics`` (one row: every metric with algorithm, k and time) and ``sizes``."""
+    m = ev.evaluate(vec, labels, algorithm, centers, entity, cluster, features)
+    who, sizes = run_simple(labels, algorithm, k, entity, cluster)
+    if coords is not None:
+        who = assignments(labels, coords, entity, cluster)
+    head = (F.lit(algorithm).alias("algorithm"), F.lit(int(k)).alias("k"), F.lit(execution_time).cast("double").alias("execution_time"))
+    return {"assignments": who, "metrics": m.select(*head, "*"), "sizes": sizes}
+
+
 def report(df: DataFrame, vec: DataFrame, panel_labels: DataFrame, vec_labels: DataFrame, coords: DataFrame | None = None,
-           entity="City") -> dict[str, DataFrame]:
+           entity="City", item="Commodity", ts="Date", value="Price", names: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """The bundle of report tables over one cached labeled panel; parts
     that would be empty are skipped."""
     d = df.persist()
+    cols = {"entity": entity, "item": item, "ts": ts, "value": value}
+    box, outliers = boxplot_stats(d, panel_labels, **cols)
+    points, loadings, variance = project_2d(vec, vec_labels, names)
     parts: dict[str, DataFrame] = {
-        "monthly_trends": monthly_trends(d, panel_labels),
-        "radar": radar_profile(d, panel_labels),
-        "boxplot": boxplot_stats(d, panel_labels)[0],
-        "correlation": correlation(d),
+        "monthly_trends": monthly_trends(d, panel_labels, **cols),
+        "radar": radar_profile(d, panel_labels, entity, item, value),
+        "boxplot": box,
+        "boxplot_outliers": outliers,
+        "correlation": correlation(d, **cols),
+        "correlation_per_cluster": correlation(d, panel_labels, **cols),
         "silhouettes": city_silhouettes(vec, vec_labels),
-        "projection": project_2d(vec, vec_labels)[0],
-        "years": d.select(F.year("Date").alias("year")).distinct(),
+        "projection": points,
+        "loadings": loadings,
+        "variance": variance,
+        "years": d.select(F.year(ts).alias("year")).distinct(),
     }
     if coords is not None:
         parts["assignments"] = assignments(panel_labels, coords, entity)
-    return {k: v for k, v in parts.items() if not v.isEmpty()}
-
+    with ThreadPool(PARALLEL_PARTS) as pool:  # independent tables share the cluster
+        empty = pool.map(inheritable_thread_target(df.sparkSession)(DataFrame.isEmpty), parts.values(), chunksize=1)
+    return {k: v for (k, v), none in zip(parts.items(), empty) if not none}

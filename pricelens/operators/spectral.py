@@ -4,15 +4,16 @@ the n x n affinity matrix.
 The affinity is recomputed tile by tile (``pairwise``) whenever it is
 needed; each tile emits only per-row products.  The spectral embedding is
 the top-k eigenvectors of A = D^-1/2 W D^-1/2 (W without its diagonal, D its
-row sums; isolated rows get scale 1), found by block subspace iteration on
-the positive semi-definite shift A + I with a few extra vectors, Gram-based
-re-orthonormalisation (a q x q Gram matrix aggregated by Spark) and a final
-Rayleigh-Ritz step.  Rows of the eigenvector block are divided by
+row sums; isolated rows get scale 1), found on A + I with a few extra vectors
+by the locally optimal block gradient method (Knyazev 2001): Rayleigh-Ritz on
+the block, its residual and its last step, whose Gram matrices Spark adds.
+Rows of the eigenvector block are divided by
 sqrt(degree), signs fixed so each vector's largest entry is positive, then
 clustered with k-means.  Work per iteration is O(n^2 d) spread over the
-tiles; only q x q matrices reach the driver.  ``info["converged"]`` says whether
-the eigenvalues settled to ``tol`` within ``max_iter`` steps.  The k-nearest-neighbour
-kernel is the sparse, scalable mode."""
+tiles; only (3q)^2 numbers reach the driver.  The steps go on until the eigenvalues
+settle to ``tol``; a fit that does not settle within ``max_iter`` steps raises.  Dense
+kernels are quadratic in the rows; the k-nearest-neighbour kernel is the
+sparse, scalable mode."""
 
 from __future__ import annotations
 
@@ -30,7 +31,11 @@ from .cluster import ClusterResult, _check_k, entity_type, kmeans, prepare, sum_
 KERNELS = ("rbf", "nearest_neighbors", "polynomial", "sigmoid", "cosine")
 
 
-def kernel_block(XL: np.ndarray, XR: np.ndarray, kernel: str, gamma: float, degree: float = 3.0, coef0: float = 1.0) -> np.ndarray:
+def kernel_block(XL: np.ndarray, XR: np.ndarray, kernel, gamma: float, degree: float = 3.0, coef0: float = 1.0) -> np.ndarray:
+    """Affinities of two blocks of rows; ``kernel`` is a name of ``KERNELS`` or a
+    symmetric function (rows, rows) -> matrix of its own."""
+    if callable(kernel):
+        return np.asarray(kernel(XL, XR), dtype=np.float64)
     if kernel == "rbf":
         return np.exp(-gamma * pw.sq_dists(XL, XR))
     if kernel == "polynomial":
@@ -46,12 +51,6 @@ def kernel_block(XL: np.ndarray, XR: np.ndarray, kernel: str, gamma: float, degr
     raise ValueError(f"unknown kernel {kernel!r}; choose from {KERNELS}")
 
 
-def _gamma(kernel: str, gamma: float | None, d: int) -> float:
-    if gamma is not None:
-        return float(gamma)
-    return 1.0 if kernel == "rbf" else 1.0 / max(d, 1)
-
-
 def knn_graph(vec: DataFrame, n_neighbors: int = 10, entity="entity", features="features",
               block_rows: int = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Symmetrised k-nearest-neighbour connectivity (the row itself counts as
@@ -88,17 +87,15 @@ def knn_graph(vec: DataFrame, n_neighbors: int = 10, entity="entity", features="
     return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def affinity_degrees(vec: DataFrame, kernel: str = "rbf", gamma: float | None = None, degree: float = 3.0, coef0: float = 1.0,
+def affinity_degrees(vec: DataFrame, kernel="rbf", gamma: float = 1.0, degree: float = 3.0, coef0: float = 1.0,
                      n_neighbors: int = 10, entity="entity", features="features", block_rows: int = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """C3 in aggregate form: (entity, degree) = sum of the affinities of the
     row to every *other* row.  (The dense graph itself is never emitted.)"""
     if kernel == "nearest_neighbors":
         g = knn_graph(vec, n_neighbors, entity, features, block_rows)
         return g.where(F.col("a") != F.col("b")).groupBy(F.col("a").alias(entity)).agg(F.sum("w").alias("degree"))
-    d = int(vec.select(F.max(F.size(features))).first()[0] or 0)
-    g = _gamma(kernel, gamma, d)
     return _matvec(vec.select(F.col(entity), features, F.array(F.lit(1.0)).alias("y")),
-                   kernel, g, degree, coef0, 1, entity, features, block_rows).select(entity, F.col("z")[0].alias("degree"))
+                   kernel, float(gamma), degree, coef0, 1, entity, features, block_rows).select(entity, F.col("z")[0].alias("degree"))
 
 
 def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity", features="features",
@@ -123,8 +120,8 @@ def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity",
     return raw.groupBy(entity).agg(sum_arrays("z", q).alias("z"))
 
 
-def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None = 1.0, n_neighbors: int = 10, degree: float = 3.0,
-             coef0: float = 1.0, n_init: int = 10, seed: int = 42, max_iter: int = 30, tol: float = 1e-6, extra: int = 4,
+def spectral(vec: DataFrame, k: int, affinity="rbf", gamma: float = 1.0, n_neighbors: int = 10, degree: float = 3.0,
+             coef0: float = 1.0, n_init: int = 10, seed: int = 42, max_iter: int = 200, tol: float = 1e-6, extra: int = 4,
              block_rows: int = pw.DEFAULT_BLOCK_ROWS, entity="entity", features="features", data=None) -> ClusterResult:
     t0 = time.time()
     data, n, d = data if data is not None else prepare(vec, entity, features)
@@ -132,7 +129,7 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
     spark = data.sparkSession
     if affinity == "nearest_neighbors":
         return _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, block_rows, t0)
-    g = _gamma(affinity, gamma, d)
+    g = float(gamma)
     nb = pw.n_blocks(data, block_rows)
     base = data.select("entity", "features")
     deg = _matvec(base.withColumn("y", F.array(F.lit(1.0))), affinity, g, degree, coef0, 1, block_rows=block_rows, nb=nb)
@@ -140,31 +137,12 @@ def spectral(vec: DataFrame, k: int, affinity: str = "rbf", gamma: float | None
     scale = F.when(F.col("deg") > 0, F.lit(1.0) / F.sqrt("deg")).otherwise(F.lit(1.0))
     base = checkpoint(base.join(deg, "entity", "left").withColumn("s", F.coalesce(scale, F.lit(1.0))).withColumn("sd", F.sqrt(F.greatest("deg", F.lit(0.0)))))
     q = min(n, k + extra)
-    # random start block, orthonormalised
     V = base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v"))
-    V = checkpoint(_orthonormalize(V, q))
-    ritz_prev, settled = None, False
-    it = 0
-    for it in range(1, max_iter + 1):
-        # the n x q block is checkpointed every step: each step reads the
-        # previous block twice, so an uncut lineage would double per step
-        Z = checkpoint(_apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb))
-        G, B = _grams(None, Z, q)
-        ritz = np.sort(np.linalg.eigvalsh((B + B.T) / 2))[::-1][:k]
-        V = checkpoint(_orthonormalize(Z.select("entity", "v"), q, G))
-        if ritz_prev is not None and np.max(np.abs(ritz - ritz_prev)) <= tol * max(1.0, np.max(np.abs(ritz))):
-            settled = True
-            break
-        ritz_prev = ritz
-    # Rayleigh-Ritz on the final block
-    Z = checkpoint(_apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb))
-    _, B = _grams(None, Z, q)
-    w, Y = np.linalg.eigh((B + B.T) / 2)
-    Y = Y[:, np.argsort(w)[::-1][:k]]
-    emb = _embed(base, V, Y)
+    S, C, w, it = _leading(lambda V: _apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb), V, k, q, max_iter, tol)
+    emb = _embed(base, S.select("entity", F.col("s").alias("v")), C)
     res = kmeans(emb, k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": affinity, "gamma": g, "eigen_iterations": it, "converged": settled,
-            "eigenvalues": [float(x) - 1.0 for x in np.sort(w)[::-1][:k]], "execution_time": time.time() - t0}
+    info = {"algorithm": "spectral", "k": k, "affinity": affinity if isinstance(affinity, str) else "callable", "gamma": g,
+            "eigen_iterations": it, "converged": True, "eigenvalues": [x - 1.0 for x in w], "execution_time": time.time() - t0}
     return ClusterResult("spectral", k, res.labels, None, None, info)
 
 
@@ -174,50 +152,79 @@ def _apply_shifted(base, V, kernel, gamma, degree, coef0, q, block_rows, nb):
     z = _matvec(st.select("entity", "features", "y"), kernel, gamma, degree, coef0, q, block_rows=block_rows, nb=nb)
     j = base.select("entity", "s").join(V, "entity").join(z, "entity", "left")
     zz = F.coalesce(F.col("z"), F.array_repeat(F.lit(0.0), q))
-    # the previous block rides along so that both Gram matrices need no join
+    # the block itself rides along, so that its Gram matrices need no join
     return j.select("entity", F.zip_with(zz, "v", lambda a, b: a * F.col("s") + b).alias("v"), F.col("v").alias("old"))
 
 
-def _grams(V: DataFrame | None, Z: DataFrame, q: int):
-    """G = Z^T Z and B = V^T Z (q x q each): per-partition NumPy products,
-    added on the driver (partitions x 2q^2 numbers).  With ``V`` None the
-    previous block is read from Z's ``old`` column."""
-    if V is None:
-        j = Z.select("entity", F.col("old").alias("a"), F.col("v").alias("b"))
-    else:
-        j = V.withColumnRenamed("v", "a").join(Z.withColumnRenamed("v", "b"), "entity")
+def _leading(apply, V: DataFrame, k: int, q: int, max_iter: int, tol: float):
+    """The k leading eigenpairs of A + I from the start block ``V`` (entity, v
+    of q numbers), by the locally optimal block gradient method: Rayleigh-Ritz
+    on the block, its residual and its last step, one product a step.
+    Returns (S, C, eigenvalues, steps); the vectors are the rows S.s times C.
+    The Ritz values rise towards the eigenvalues, so the steps end; not
+    settling within ``max_iter`` steps is an error, never a result."""
+    Z = apply(V)
+    S, m = checkpoint(Z.select("entity", F.col("old").alias("s"), F.col("v").alias("t"))), q
+    before = None
+    for it in range(1, max_iter + 1):
+        theta, C = _ritz(*_grams(S, m), q)
+        if before is not None and np.max(np.abs(theta[:k] - before)) <= tol * max(1.0, np.max(np.abs(theta[:k]))):
+            return S, C[:, :k], [float(x) for x in theta[:k]], it
+        before = theta[:k]
+        step = C * (np.arange(m) >= q)[:, None] if m > q else np.zeros((m, 0))
+        X = _combine(S, C, step, theta)
+        Z = apply(X.select("entity", F.col("r").alias("v")))
+        j = X.drop("r").join(Z.select("entity", F.col("old").alias("r"), F.col("v").alias("ar")), "entity")
+        # checkpointed every step: the next one reads it three times
+        S, m = checkpoint(j.select("entity", F.concat("x", "r", "p").alias("s"), F.concat("ax", "ar", "ap").alias("t"))), 2 * q + step.shape[1]
+    raise RuntimeError(f"spectral: eigenvalues not settled to {tol} within {max_iter} steps")
+
+
+def _grams(S: DataFrame, m: int):
+    """G = s^T s and B = s^T t (m x m each): NumPy products per partition, added
+    cell by cell, so that m^2 rows reach the driver."""
 
     def part(it):
-        G, B = np.zeros((q, q)), np.zeros((q, q))
+        G, B = np.zeros((m, m)), np.zeros((m, m))
         for pdf in it:
             if len(pdf):
-                A, Zb = pw.matrix(pdf, "a"), pw.matrix(pdf, "b")
-                G += Zb.T @ Zb
-                B += A.T @ Zb
-        yield pd.DataFrame({"g": [G.reshape(-1).tolist()], "b": [B.reshape(-1).tolist()]})
-
-    rows = j.mapInPandas(part, "g array<double>, b array<double>").collect()
-    G = sum(np.asarray(r["g"]) for r in rows).reshape(q, q)
-    B = sum(np.asarray(r["b"]) for r in rows).reshape(q, q)
-    return G, B
-
-
-def _orthonormalize(V: DataFrame, q: int, G: np.ndarray | None = None) -> DataFrame:
-    """Orthonormalise the columns of V from its Gram matrix G = V^T V
-    (computed here if not given): V G^-1/2."""
-    if G is None:
-        G, _ = _grams(V, V, q)
-    w, U = np.linalg.eigh((G + G.T) / 2)
-    w = np.maximum(w, 1e-300)
-    T = U @ np.diag(1.0 / np.sqrt(w)) @ U.T
+                s, t = pw.matrix(pdf, "s"), pw.matrix(pdf, "t")
+                G += s.T @ s
+                B += s.T @ t
+        yield pd.DataFrame({"i": np.arange(m * m), "g": G.reshape(-1), "b": B.reshape(-1)})
+
+    cells = S.select("s", "t").mapInPandas(part, "i int, g double, b double")
+    cells = cells.groupBy("i").agg(F.sum("g").alias("g"), F.sum("b").alias("b")).toPandas().sort_values("i")
+    return cells["g"].to_numpy().reshape(m, m), cells["b"].to_numpy().reshape(m, m)
+
+
+def _ritz(G: np.ndarray, B: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The q largest Ritz values and their coefficients (m x q) in a basis with
+    Gram matrix G; directions that the basis has twice are left out."""
+    size = np.sqrt(np.maximum(np.diag(G), 0.0))
+    scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+    g, U = np.linalg.eigh(scale[:, None] * (G + G.T) / 2 * scale)
+    keep = g > 1e-10 * g.max()
+    L = scale[:, None] * U[:, keep] / np.sqrt(g[keep])
+    w, Y = np.linalg.eigh(L.T @ ((B + B.T) / 2) @ L)
+    top = np.argsort(w)[::-1][:q]
+    return w[top], L @ Y[:, top]
+
+
+def _combine(S: DataFrame, C: np.ndarray, step: np.ndarray, theta: np.ndarray) -> DataFrame:
+    """(entity, x, ax, r, p, ap): the Ritz vectors, their products, their
+    residuals and the last step, by row."""
 
     def part(it):
         for pdf in it:
             if len(pdf):
-                X = pw.matrix(pdf, "v") @ T
-                yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "v": list(X)})
+                s, t = pw.matrix(pdf, "s"), pw.matrix(pdf, "t")
+                x, ax = s @ C, t @ C
+                yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "x": list(x), "ax": list(ax), "r": list(ax - x * theta),
+                                    "p": list(s @ step), "ap": list(t @ step)})
 
-    return V.mapInPandas(part, f"entity {entity_type(V)}, v array<double>")
+    arrays = ", ".join(f"{c} array<double>" for c in ("x", "ax", "r", "p", "ap"))
+    return S.mapInPandas(part, f"entity {entity_type(S)}, {arrays}")
 
 
 def _embed(base: DataFrame, V: DataFrame, Y: np.ndarray) -> DataFrame:
@@ -235,7 +242,7 @@ def _embed(base: DataFrame, V: DataFrame, Y: np.ndarray) -> DataFrame:
 
 def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, block_rows, t0):
     """Spectral clustering on the sparse symmetric k-NN graph: the same
-    subspace iteration with an edge-list product (a join + aggregate)."""
+    steps with an edge-list product (a join + aggregate)."""
     g = knn_graph(data, n_neighbors, block_rows=block_rows).where(F.col("a") != F.col("b"))
     g = checkpoint(g)
     deg = g.groupBy(F.col("a").alias("entity")).agg(F.sum("w").alias("deg"))
@@ -243,7 +250,7 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
         "entity", F.when(F.col("deg") > 0, 1.0 / F.sqrt("deg")).otherwise(1.0).alias("s"),
         F.sqrt(F.coalesce(F.col("deg"), F.lit(0.0))).alias("sd")))
     q = min(n, k + extra)
-    V = checkpoint(_orthonormalize(base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v")), q))
+    V = base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v"))
 
     def apply(V):
         y = base.join(V, "entity").select("entity", F.transform("v", lambda x: x * F.col("s")).alias("y"))
@@ -251,23 +258,10 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
         z = z.groupBy("entity").agg(sum_arrays("p", q).alias("z"))
         j = base.join(V, "entity").join(z, "entity", "left")
         zz = F.coalesce(F.col("z"), F.array_repeat(F.lit(0.0), q))
-        return j.select("entity", F.zip_with(zz, "v", lambda a, b: a * F.col("s") + b).alias("v"))
+        return j.select("entity", F.zip_with(zz, "v", lambda a, b: a * F.col("s") + b).alias("v"), F.col("v").alias("old"))
 
-    ritz_prev, it, settled = None, 0, False
-    for it in range(1, max_iter + 1):
-        Z = checkpoint(apply(V))
-        G, B = _grams(V, Z, q)
-        ritz = np.sort(np.linalg.eigvalsh((B + B.T) / 2))[::-1][:k]
-        V = checkpoint(_orthonormalize(Z, q, G))
-        if ritz_prev is not None and np.max(np.abs(ritz - ritz_prev)) <= tol * max(1.0, np.max(np.abs(ritz))):
-            settled = True
-            break
-        ritz_prev = ritz
-    Z = checkpoint(apply(V))
-    _, B = _grams(V, Z, q)
-    w, Y = np.linalg.eigh((B + B.T) / 2)
-    Y = Y[:, np.argsort(w)[::-1][:k]]
-    res = kmeans(_embed(base, V, Y), k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": "nearest_neighbors", "eigen_iterations": it, "converged": settled,
-            "eigenvalues": [float(x) - 1.0 for x in np.sort(w)[::-1][:k]], "execution_time": time.time() - t0}
+    S, C, w, it = _leading(apply, V, k, q, max_iter, tol)
+    res = kmeans(_embed(base, S.select("entity", F.col("s").alias("v")), C), k, n_init=n_init, seed=seed)
+    info = {"algorithm": "spectral", "k": k, "affinity": "nearest_neighbors", "eigen_iterations": it, "converged": True,
+            "eigenvalues": [x - 1.0 for x in w], "execution_time": time.time() - t0}
     return ClusterResult("spectral", k, res.labels, None, None, info)

@@ -82,9 +82,9 @@ def clean_panel(
 def analyze(df: DataFrame, algorithm: str = "kmeans", k: int = 3, features: Sequence[str] = ("avg",), freq: str = "all",
             min_points: int = 10, scaling: str = "robust", coords: DataFrame | None = None, entity: str = "City", **params):
     """Feature matrix -> scale -> matrix checks -> fit -> metrics ->
-    report tables.  Returns (ClusterResult with ``entity`` labels,
-    one-row metrics DataFrame, dict of report DataFrames).  Blocking check
-    failures raise with every violation listed."""
+    report tables.  Returns (ClusterResult with ``entity`` labels, one-row
+    metrics DataFrame with every metric, the whole report bundle of R12).
+    Blocking check failures raise with every violation listed."""
     from ..operators import cluster as cl
     from ..operators import evaluate as ev
     from ..operators import report as rp
@@ -99,13 +99,10 @@ def analyze(df: DataFrame, algorithm: str = "kmeans", k: int = 3, features: Sequ
     vec = scaled.select(F.col(entity).alias("entity"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("features"))
     res = cl.fit(vec, algorithm, k, **params)
     labels = res.labels.select(F.col("entity").alias(entity), F.col("cluster").alias("Cluster"))
-    m = ev.metrics_table(vec, res.labels)
-    metrics = m.select(F.lit(algorithm).alias("algorithm"), F.lit(k).alias("k"), "*")
-    reports = {
-        "monthly_trends": rp.monthly_trends(df, labels, entity=entity),
-        "radar": rp.radar_profile(df, labels, entity=entity),
-        "silhouettes": rp.city_silhouettes(vec, res.labels),
-    }
+    m = ev.evaluate(vec, res.labels, algorithm, res.centers)
+    head = (F.lit(algorithm).alias("algorithm"), F.lit(k).alias("k"), F.lit(res.info["execution_time"]).alias("execution_time"))
+    metrics = m.select(*head, "*")
+    reports = rp.report(df, vec, labels, res.labels, coords, entity, names=cols)
     res.labels = labels
     return res, metrics, reports
 

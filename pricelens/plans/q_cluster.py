@@ -7,11 +7,12 @@ from pyspark.sql.window import Window
 
 from ..operators import cluster as cl
 from ..operators import evaluate as ev
+from ..operators import pairwise as pw
 from ..operators import report as rp
 from ..operators import spectral as sp
 from ..sources import tables as tb
 from .q_eval import EL, _ch_sql, _db_sql, _lf, _samples_sql, _var_sql
-from .registry import query, r4, r6
+from .registry import SQL, query, r4, r6
 
 
 def _m(spark, sf):
@@ -111,6 +112,29 @@ def c3c(spark, sf):
     return d.select("entity", r6("degree").alias("degree"))
 
 
+_DOT = "(0.5 * list_dot_product(a.f, b.f) + 1.0)"
+_DEGREE_SQL = f"SELECT a.entity, round(sum({{k}}), 4) AS degree FROM {EL} a JOIN {EL} b ON a.entity <> b.entity GROUP BY a.entity"
+
+
+@query("c3_affinity_polynomial_degrees", _DEGREE_SQL.format(k=f"{_DOT} ^ 3"))
+def c3p(spark, sf):
+    d = sp.affinity_degrees(_m(spark, sf), "polynomial", gamma=0.5, degree=3.0, coef0=1.0, block_rows=128)
+    return d.select("entity", r4("degree").alias("degree"))
+
+
+@query("c3_affinity_sigmoid_degrees", _DEGREE_SQL.format(k=f"tanh({_DOT})"))
+def c3s(spark, sf):
+    d = sp.affinity_degrees(_m(spark, sf), "sigmoid", gamma=0.5, coef0=1.0, block_rows=128)
+    return d.select("entity", r4("degree").alias("degree"))
+
+
+@query("c3_affinity_callable_degrees", _DEGREE_SQL.format(k="1 / (1 + list_distance(a.f, b.f))"))
+def c3f(spark, sf):
+    """A kernel of the caller's own: 1 / (1 + distance)."""
+    d = sp.affinity_degrees(_m(spark, sf), lambda x, y: 1.0 / (1.0 + pw.sq_dists(x, y) ** 0.5), block_rows=128)
+    return d.select("entity", r4("degree").alias("degree"))
+
+
 @query("c3_affinity_knn_graph", f"""
 WITH d AS (SELECT a.entity AS a, b.entity AS b, list_distance(a.f, b.f) ^ 2 AS d2 FROM {EL} a, {EL} b),
 nn AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM d) WHERE r <= 10),
@@ -155,25 +179,40 @@ def c5(spark, sf):
     return cl.assign(m, cent.select("cluster", "center"))
 
 
-@query("c6_sweep")
+def _sane(df, n):
+    """Whether a run's metrics are within the bounds that hold for any labeling of ``n`` rows."""
+    ok = (F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") >= 0) & (F.col("calinski_harabasz") >= 0)
+          & (F.col("min_cluster_size") >= 1) & (F.col("max_cluster_size") < n) & (F.col("max_cluster_size") * F.col("k") >= n)
+          & (F.abs(F.col("cluster_balance") * F.col("max_cluster_size") - F.col("min_cluster_size")) < 1e-6) & (F.col("avg_intra_cluster_distance") > 0))
+    fits = (F.col("wcss") <= F.col("tss")) & (F.abs(F.col("explained_variance_ratio") * F.col("tss") - F.col("bcss")) <= 1e-6 * F.col("tss"))
+    return ok & F.when(F.col("algorithm") == "kmeans", fits).otherwise(F.col("wcss").isNull())
+
+
+@query("c6_sweep", f"""
+SELECT a AS algorithm, CAST(k AS INTEGER) AS k, CAST(row_number() OVER (ORDER BY o, k) - 1 AS INTEGER) AS run, true AS metrics_ok,
+  a <> 'spectral' AS has_centers, CASE WHEN a = 'kmeans' THEN (SELECT round(tss, 4) FROM {_var_sql(EL)}) END AS tss, false AS failed
+FROM (VALUES ('kmeans', 0), ('fcm', 1), ('spectral', 2)) t(a, o), range(2, 11) g(k)""")
 def c6(spark, sf):
-    """Every algorithm x k on matrix M (k = 2, 3); failures become rows."""
-    out = cl.sweep(_m(spark, sf), ("kmeans", "fcm", "spectral"), (2, 3),
-                   params={"spectral": {"block_rows": 256}})
-    return out.select("algorithm", "k", "run", r4("silhouette").alias("silhouette"), r4("davies_bouldin").alias("davies_bouldin"),
-                      r4("calinski_harabasz").alias("calinski_harabasz"), "error")
+    """Every algorithm x k = 2...10 on matrix M, all metrics of every run."""
+    m = _m(spark, sf)
+    out = cl.sweep(m, params={"spectral": {"block_rows": 256}}, parallel=4)
+    return out.select("algorithm", "k", "run", _sane(out, m.count()).alias("metrics_ok"), F.col("min_inter_cluster_distance").isNotNull().alias("has_centers"),
+                      r4("tss").alias("tss"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("c7_compare", """
-SELECT a AS algorithm, 3 AS k, true AS metrics_ok, 1 AS best_rows, false AS failed FROM (VALUES ('kmeans'), ('fcm'), ('spectral')) t(a)""")
+SELECT a AS algorithm, 3 AS k, true AS metrics_ok, 1 AS best_rows, a = 'none' AS failed
+FROM (VALUES ('kmeans'), ('fcm'), ('spectral')) t(a) UNION ALL SELECT 'none', 3, NULL, 1, true""")
 def c7(spark, sf):
-    df, _, best = cl.compare(_m(spark, sf), ("kmeans", "fcm", "spectral"), 3, params={"spectral": {"block_rows": 256}})
+    """The same k for every algorithm; one that does not exist becomes a failed row."""
+    m = _m(spark, sf)
+    df, _, best = cl.compare(m, (*cl.ALGORITHMS, "none"), 3, params={"spectral": {"block_rows": 256}})
     # exactly one algorithm is the best, and it has the highest silhouette
     top = df.agg(F.max("silhouette").alias("top"), F.count_if(F.col("algorithm") == F.lit(best)).alias("best_rows"), F.lit(0).alias("_k"))
     j = df.withColumn("_k", F.lit(0)).join(top, "_k")
-    ok = F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") >= 0) & (F.col("calinski_harabasz") >= 0) & (
-        (F.col("algorithm") != F.lit(best)) | (F.col("silhouette") == F.col("top")))
-    return j.select("algorithm", "k", ok.alias("metrics_ok"), "best_rows", F.col("error").isNotNull().alias("failed"))
+    ok = _sane(df, m.count()) & ((F.col("algorithm") != F.lit(best)) | (F.col("silhouette") == F.col("top")))
+    failed = F.col("error").isNotNull()
+    return j.select("algorithm", "k", F.when(~failed, ok).alias("metrics_ok"), "best_rows", failed.alias("failed"))
 
 
 @query("e10_stability", "SELECT i, j, true AS in_range FROM range(10) a(i), range(10) b(j) WHERE i < j")
@@ -200,36 +239,121 @@ def r11(spark, sf):
                     r4("calinski_harabasz").alias("calinski_harabasz"))
 
 
-_PL = f"(SELECT p.*, l.Cluster FROM ({tb.PANEL_P_SQL}) p JOIN ({tb.LABELS_P_SQL}) l USING (City) WHERE l.Cluster IS NOT NULL)"
+@query("r11_run_simple", f"""
+SELECT entity, cluster, 'given' AS algorithm, (SELECT count(DISTINCT cluster) FROM {EL}) AS k, count(*) OVER (PARTITION BY cluster) AS size,
+  count(*) OVER () AS total FROM {EL}""")
+def r11s(spark, sf):
+    """The simple form: every assignment with its cluster's size."""
+    lb = tb.labels_m(spark, sf)
+    who, sizes = rp.run_simple(lb, "given", lb.select("cluster").distinct().count())
+    return who.join(sizes.select("cluster", "size", "total"), "cluster").withColumn("k", F.col("k").cast("long"))
+
+
+_EVAL_SQL = f"""
+SELECT {{head}}(SELECT round(avg(silhouette), 4) FROM {_samples_sql(EL)}) AS silhouette,
+  (SELECT round(davies_bouldin, 4) FROM {_db_sql(EL)}) AS davies_bouldin, (SELECT round(calinski_harabasz, 4) FROM {_ch_sql(EL)}) AS calinski_harabasz,
+  b.*, i.*, d.*, v.wcss AS wcss, v.wcss AS inertia, v.bcss AS bcss, v.tss AS tss, v.explained_variance_ratio AS explained_variance_ratio
+FROM ({SQL["e4_size_balance"]}) b, ({SQL["e5_intra_distance"]}) i, ({SQL["e6_inter_distance"]}) d, ({SQL["e7_variance_split"]}) v"""
+
+
+def _rounded(m):
+    six = ("cluster_size_std", "cluster_balance", "explained_variance_ratio")
+    return [m[c].alias(c) if c in ev.QUALITY[:2] else (r6 if c in six else r4)(m[c]).alias(c) for c in ev.METRICS]
+
 
+@query("e_evaluate_all", _EVAL_SQL.format(head=""))
+def e_all(spark, sf):
+    """Every metric of one labeling in one call, centers = the centroids."""
+    m, lb = _m(spark, sf), tb.labels_m(spark, sf)
+    lv = ev.labeled(m, lb)
+    out = ev.evaluate(m, lb, "kmeans", ev.centroids(lv, ev.vector_dim(lv)))
+    return out.select(*_rounded(out))
+
+
+@query("r11_run_detailed", _EVAL_SQL.format(
+    head=f"'kmeans' AS algorithm, CAST((SELECT count(DISTINCT cluster) FROM {EL}) AS INTEGER) AS k, (SELECT count(*) FROM {EL}) AS assigned, "
+         f"(SELECT sum(n * n) FROM (SELECT count(*) AS n FROM {EL} GROUP BY cluster)) AS size_squares, "))
+def r11d(spark, sf):
+    """The detailed form: assignments, metrics and sizes."""
+    m, lb = _m(spark, sf), tb.labels_m(spark, sf)
+    lv = ev.labeled(m, lb)
+    parts = rp.run_detailed(m, lb, "kmeans", lb.select("cluster").distinct().count(), ev.centroids(lv, ev.vector_dim(lv)), 0.5)
+    k = F.lit(0).alias("_k")
+    who = parts["assignments"].agg(F.count_distinct("entity").alias("assigned")).select("assigned", k)
+    sizes = parts["sizes"].agg(F.sum(F.col("size") * F.col("size")).alias("size_squares")).select("size_squares", k)
+    metrics = parts["metrics"]
+    return metrics.select("algorithm", "k", *_rounded(metrics), k).join(who, "_k").join(sizes, "_k").drop("_k")
+
+
+_PL = f"(SELECT p.*, l.Cluster FROM ({tb.PANEL_P_SQL}) p JOIN ({tb.LABELS_P_SQL}) l USING (City) WHERE l.Cluster IS NOT NULL)"
 
-@query("r12_report", f"""
-WITH pl AS (SELECT * FROM {_PL}),
-items AS (SELECT count(DISTINCT Commodity) AS n FROM pl), years AS (SELECT count(DISTINCT year(Date)) AS n FROM pl),
-clusters AS (SELECT count(DISTINCT Cluster) AS n FROM pl)
-SELECT 'monthly_trends' AS part, (SELECT count(*) FROM (SELECT DISTINCT Commodity, Cluster FROM pl)) * years.n * 12 AS rows FROM years
-UNION ALL SELECT 'radar', clusters.n * items.n FROM clusters, items
-UNION ALL SELECT 'boxplot', clusters.n * items.n * years.n FROM clusters, items, years
-UNION ALL SELECT 'correlation', n * n FROM items
-UNION ALL SELECT 'silhouettes', count(*) FROM embeddings
-UNION ALL SELECT 'projection', count(*) FROM embeddings
-UNION ALL SELECT 'years', n FROM years
-UNION ALL SELECT 'assignments', count(*) FROM ({tb.LABELS_P_SQL})""")
+# Count and sum of a value of each part; correlations are those of averaged prices on (city, date).
+_REPORT_SQL = f"""
+WITH pl AS (SELECT *, CAST(year(Date) AS INTEGER) AS Year FROM {_PL}),
+items AS (SELECT DISTINCT Commodity FROM pl), years AS (SELECT DISTINCT Year FROM pl), clusters AS (SELECT DISTINCT Cluster FROM pl),
+n AS (SELECT (SELECT count(*) FROM items) AS i, (SELECT count(*) FROM years) AS y, (SELECT count(*) FROM clusters) AS c),
+ic AS (SELECT Cluster, Commodity, avg(Price) AS m FROM pl GROUP BY ALL),
+ir AS (SELECT Commodity, min(m) AS lo, max(m) AS hi FROM ic GROUP BY ALL),
+box AS (SELECT Commodity, Year, Cluster, quantile_cont(Price, 0.25) AS q1, quantile_cont(Price, 0.5) AS q2, quantile_cont(Price, 0.75) AS q3 FROM pl GROUP BY ALL),
+outl AS (SELECT Price FROM pl JOIN box USING (Commodity, Year, Cluster) WHERE Price < q1 - 1.5 * (q3 - q1) OR Price > q3 + 1.5 * (q3 - q1)),
+g AS (SELECT City, Date, Cluster, Commodity, avg(Price) AS x FROM pl WHERE Price IS NOT NULL GROUP BY ALL),
+cg AS (SELECT covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r FROM g a JOIN g b USING (City, Date) GROUP BY a.Commodity, b.Commodity),
+cc AS (SELECT covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r FROM g a JOIN g b USING (City, Date)
+       GROUP BY a.Cluster, a.Commodity, b.Commodity)
+SELECT 'monthly_trends' AS part, (SELECT count(*) FROM ic) * n.y * 12 AS rows,
+  (SELECT round(sum(p), 2) FROM (SELECT avg(Price) AS p FROM pl GROUP BY Commodity, Cluster, year(Date), month(Date))) AS total FROM n
+UNION ALL SELECT 'radar', n.c * n.i, (SELECT round(sum(floor(1000 * CASE WHEN hi > lo THEN (m - lo) / (hi - lo) ELSE 0.5 END + 0.5) / 1000), 1) FROM ic JOIN ir USING (Commodity)) FROM n
+UNION ALL SELECT 'boxplot', n.c * n.i * n.y, (SELECT round(sum(q2), 2) FROM box) FROM n
+UNION ALL SELECT 'boxplot_outliers', count(*), round(sum(Price), 2) FROM outl HAVING count(*) > 0
+UNION ALL SELECT 'correlation', n.i * n.i, (SELECT round(sum(r), 2) FROM cg) FROM n
+UNION ALL SELECT 'correlation_per_cluster', n.c * n.i * n.i, (SELECT round(sum(r), 2) FROM cc) FROM n
+UNION ALL SELECT 'years', n.y, (SELECT sum(Year) FROM years) FROM n
+UNION ALL SELECT 'variance', 2, {{ratio}}"""
+
+#: part -> the value whose sum is reported
+_TOTALS = {"monthly_trends": "avg_price", "radar": "value", "boxplot": "median", "boxplot_outliers": "value", "correlation": "r",
+           "correlation_per_cluster": "r", "years": "year", "assignments": "clusterId", "silhouettes": "silhouette"}
+
+
+def _part_totals(parts):
+    """(part, rows, total) of a report bundle."""
+    rows = []
+    for name, df in parts.items():
+        digits = 1 if name == "radar" else 2
+        total = r6(F.sum(F.col(_TOTALS[name]).cast("double")), digits) if name in _TOTALS else F.lit(0.0)
+        rows.append(df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), total.alias("total")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("r12_report", _REPORT_SQL.format(ratio="0.0") + f"""
+UNION ALL SELECT 'silhouettes', count(*), round(sum(silhouette), 2) FROM {_samples_sql(EL)}
+UNION ALL SELECT 'projection', count(*), 0.0 FROM embeddings
+UNION ALL SELECT 'loadings', max(len(embedding)), 0.0 FROM embeddings
+UNION ALL SELECT 'assignments', count(*), sum(Cluster) FROM ({tb.LABELS_P_SQL})""")
 def r12(spark, sf):
-    """The report bundle; one row per part with its row count."""
-    parts = rp.report(tb.panel_p(spark, sf), _m(spark, sf), tb.labels_p(spark, sf), tb.labels_m(spark, sf), tb.coordinates_p(spark, sf))
-    rows = [(name, df.count()) for name, df in parts.items()]
-    return spark.createDataFrame(rows, "part string, rows long")
+    """The report bundle: rows and the sum of a value of every part."""
+    return _part_totals(rp.report(tb.panel_p(spark, sf), _m(spark, sf), tb.labels_p(spark, sf), tb.labels_m(spark, sf), tb.coordinates_p(spark, sf)))
 
 
 @query("z5_analyze", f"""
-SELECT 'kmeans' AS algorithm, 3 AS k, true AS metrics_ok, count(DISTINCT City) AS cities, 3 AS clusters FROM ({tb.PANEL_P_SQL})""")
+SELECT 'kmeans' AS algorithm, 3 AS k, true AS metrics_ok, count(DISTINCT City) AS cities, 3 AS clusters,
+  CAST(3 * count(DISTINCT Commodity) AS BIGINT) AS loadings, count(DISTINCT year(Date)) AS years,
+  'assignments,boxplot,boxplot_outliers,correlation,correlation_per_cluster,loadings,monthly_trends,projection,radar,silhouettes,variance,years' AS parts
+FROM ({tb.PANEL_P_SQL})""")
 def z5(spark, sf):
     """Checks -> k-means fit -> metrics -> report over the panel P feature
-    matrix (cities as entities); the metric row's ranges and the labels by city."""
+    matrix (cities as entities): the metric row's ranges, the labels by city
+    and the parts of the report."""
     from .pipelines import analyze
 
-    res, metrics, _ = analyze(tb.panel_p(spark, sf), "kmeans", 3, features=("avg", "cv", "trend"))
-    cities = res.labels.agg(F.count_distinct("City").alias("cities"), F.count_distinct("Cluster").alias("clusters"), F.lit(0).alias("_k"))
-    ok = F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") >= 0) & (F.col("calinski_harabasz") >= 0)
-    return metrics.select("algorithm", "k", ok.alias("metrics_ok"), F.lit(0).alias("_k")).join(cities, "_k").drop("_k")
+    res, metrics, parts = analyze(tb.panel_p(spark, sf), "kmeans", 3, features=("avg", "cv", "trend"), coords=tb.coordinates_p(spark, sf))
+    k = F.lit(0).alias("_k")
+    cities = res.labels.agg(F.count_distinct("City").alias("cities"), F.count_distinct("Cluster").alias("clusters")).select("*", k)
+    sizes = [parts[p].agg(F.count(F.lit(1)).alias(p)).select(p, k) for p in ("loadings", "years")]
+    out = metrics.select("algorithm", "k", _sane(metrics, res.labels.count()).alias("metrics_ok"), F.lit(",".join(sorted(parts))).alias("parts"), k)
+    for part in (cities, *sizes):
+        out = out.join(part, "_k")
+    return out.drop("_k")

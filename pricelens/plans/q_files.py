@@ -7,12 +7,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as cl
+from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..session import scratch_path
 from ..sources import panel_io as io_
 from ..sources import sheets as sh
 from ..sources import tables as tb
 from ..sources import writers as wr
+from .q_eval import _RULES, E, _metrics_rows_sql
 from .registry import query, r4, r6
 
 P = tb.PANEL_P_SQL
@@ -162,13 +164,29 @@ def s8(spark, sf):
                        "columns")
 
 
-@query("s9_export_run", "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label")
+@query("s9_export_run", f"""
+WITH m AS (SELECT * FROM {_metrics_rows_sql()}),
+z AS (SELECT run, cluster, count(*) AS size FROM ({" UNION ALL ".join(
+    f"SELECT {i} AS run, cluster FROM {E.format(rule=rule)}" for i, rule in enumerate(_RULES.values()))}) GROUP BY ALL)
+SELECT m.run, m.algorithm, m.k, m.silhouette, m.davies_bouldin, m.calinski_harabasz, 0.5 * (m.run + 1) AS execution_time, z.cluster, z.size
+FROM m JOIN z USING (run)""")
 def s9(spark, sf):
-    out = scratch_path(spark, "run")
-    lb = tb.labels_m(spark, sf)
-    metrics = lb.agg(F.count_distinct("cluster").alias("k")).select(F.lit("given").alias("algorithm"), "k")
-    paths = io_.export_run(metrics, lb, out)
-    return spark.read.json(paths["sizes"]).select(F.col("cluster").cast("int").alias("cluster"), "size")
+    """Three labelings exported as runs and read back: time, metrics and sizes per run."""
+    m = tb.matrix_m(spark, sf)
+    runs, labels = None, None
+    for i, rule in enumerate(_RULES):
+        lb = tb.labels_m(spark, sf, rule)
+        one = ev.evaluate(m, lb, rule).select(F.lit(i).alias("run"), F.lit(rule).alias("algorithm"), F.lit(lb.select("cluster").distinct().count()).alias("k"),
+                                              F.lit(0.5 * (i + 1)).alias("execution_time"), "*")
+        who = lb.select(F.lit(i).alias("run"), "entity", "cluster")
+        runs, labels = (one, who) if runs is None else (runs.unionByName(one), labels.unionByName(who))
+    paths = io_.export_runs(runs, labels, scratch_path(spark, "run"))
+    back = spark.read.json(paths["runs"]).select("run", "execution_time", F.explode("cluster_sizes").alias("z")).select(
+        "run", "execution_time", F.col("z.cluster").cast("int").alias("cluster"), "z.size")
+    summary = spark.read.option("header", "true").option("inferSchema", "true").csv(paths["summary"])
+    j = summary.drop("execution_time").join(back, "run")
+    return j.select(F.col("run").cast("int").alias("run"), "algorithm", F.col("k").cast("long").alias("k"), *[r4(c).alias(c) for c in ev.CORE],
+                    "execution_time", "cluster", "size")
 
 
 @query("d1_available_data", f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,9 @@ def load_panel(spark: SparkSession, base: str, panel_id: str) -> DataFrame:
     path = f"{base.rstrip('/')}/panel_{panel_id}.parquet"
     try:
         df = spark.read.parquet(path)
-    except Exception as e:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise KeyError(f"unknown panel id {panel_id!r}") from e
     # partition values come back typed by inference; Year is text in the panel
     return df.withColumn("Year", F.col("Year").cast("string")) if "Year" in df.columns else df
@@ -118,9 +121,15 @@ def export_features(matrix: DataFrame, scaled: DataFrame | None, out_dir: str, f
     return paths
 
 
-def export_run(metrics: DataFrame, labels: DataFrame, out_dir: str, cluster: str = "cluster") -> dict[str, str]:
-    """Metrics rows (one per algorithm x k) and cluster sizes."""
+def export_runs(runs: DataFrame, labels: DataFrame, out_dir: str, cluster: str = "cluster") -> dict[str, str]:
+    """``runs`` (run, algorithm, k, execution_time, metrics) as the CSV
+    comparison summary, without failed runs, and per run one JSON record in
+    the folder of its algorithm and k: time, metrics and cluster sizes.
+    ``labels`` are (run, entity, cluster) of all runs."""
     base = out_dir.rstrip("/")
-    metrics.write.mode("overwrite").option("header", "true").csv(f"{base}/comparison_summary.csv")
-    labels.groupBy(cluster).agg(F.count(F.lit(1)).alias("size")).write.mode("overwrite").json(f"{base}/cluster_sizes.json")
-    return {"summary": f"{base}/comparison_summary.csv", "sizes": f"{base}/cluster_sizes.json"}
+    good = runs.where(F.col("error").isNull()).drop("error") if "error" in runs.columns else runs
+    good.write.mode("overwrite").option("header", "true").csv(f"{base}/comparison_summary.csv")
+    sizes = labels.groupBy("run", cluster).agg(F.count(F.lit(1)).alias("size")).groupBy("run").agg(
+        F.sort_array(F.collect_list(F.struct(cluster, "size"))).alias("cluster_sizes"))  # k entries a run
+    good.join(sizes, "run").write.mode("overwrite").partitionBy("algorithm", "k").json(f"{base}/runs")
+    return {"summary": f"{base}/comparison_summary.csv", "runs": f"{base}/runs"}
