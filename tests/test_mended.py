@@ -73,3 +73,30 @@ def test_pvalues_of_large_samples_follow_the_normal_law():
     n = np.array([10**4, 10**6, 10**8])
     got = pearson_p_array(1.959963985 / np.sqrt(n), n)
     assert np.allclose(got, 0.05, atol=2e-5)
+
+
+def test_spectral_raises_when_not_settled(spark):
+    from pricelens.operators.spectral import spectral
+
+    vec = spark.createDataFrame([(i, [float(i % 3) * 5, (i * 37 % 11) * 0.1]) for i in range(40)], "entity long, features array<double>")
+    with pytest.raises(RuntimeError, match="not settled"):
+        spectral(vec, 3, max_iter=1, block_rows=32)
+
+
+def test_evaluate_needs_two_clusters_and_leaves_missing_metrics_null(spark):
+    from pricelens.operators.evaluate import METRICS, evaluate
+
+    vec = spark.createDataFrame([(i, [float(i), float(i % 2)]) for i in range(8)], "entity long, features array<double>")
+    labels = vec.selectExpr("entity", "cast(entity div 4 as int) as cluster")
+    with pytest.raises(ValueError, match="insufficient clusters"):
+        evaluate(vec, labels.selectExpr("entity", "0 as cluster"))
+    row = evaluate(vec, labels).first().asDict()
+    assert tuple(row) == METRICS and row["min_cluster_size"] == row["max_cluster_size"] == 4
+    assert row["wcss"] is None and row["avg_inter_cluster_distance"] is None and row["avg_intra_cluster_distance"] > 0
+
+
+def test_unknown_panel_id_is_named(spark, tmp_path):
+    from pricelens.sources.panel_io import load_panel
+
+    with pytest.raises(KeyError, match="unknown panel id"):
+        load_panel(spark, str(tmp_path), "none")
