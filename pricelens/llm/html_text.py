@@ -2,7 +2,8 @@
 
 A page is read into a tree; menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are cut by element, role, class and
-id, or because they are hidden.  Every paragraph that is left passes points for its length and commas to its
+id, or because they are hidden.  A class or id that only contains a telling word
+cuts an element that holds little or mostly linked text.  Every paragraph that is left passes points for its length and commas to its
 ancestors, less with each level; a container's points are discounted by the share of its
 text that stands in links.  The best container (or the article that holds it)
 and those of its siblings that score well are kept, with everything in them
@@ -42,7 +43,14 @@ CUT_NAMES = frozenset(
     "widget widgets toolbar pagination pager search skip copyright legal disclaimer alert".split()
 )
 CUT_ARTICLES = frozenset("comment comments reply ad ads advert advertisement sponsored promo related recommended".split())
+#: Words that go with a name above without telling of anything else ("site-footer", "comment-list").
+PLACE_WORDS = frozenset(
+    "site page top bottom left right main primary secondary global list item items box wrap wrapper container area bar block section inner outer "
+    "slot unit link links button buttons icon icons form text content message meta count title body row col column group panel".split()
+)
 ROOTS = frozenset("html body main".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption".split())
+LITTLE = 200  # unlinked characters of an element with a telling word among others in its name
 POINTLESS = frozenset("li h1 h2 h3 h4 h5 h6 dt th figcaption summary legend option".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 LISTS = frozenset("ul ol dl div section table p".split())
@@ -58,26 +66,37 @@ ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|\Z)(?:\s
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
-def _cut(tag: str, rest: str) -> bool:
+def _named(value: str, names: frozenset) -> int:
+    """2 if one of the names of a class or id says that the element is no text, 1 if
+    such a word stands in it among others ("with-sidebar", "share-price")."""
+    got = 0
+    for one in value.split():
+        parts = [x.lower() for x in NAME_PARTS.findall(one)]
+        if any(x in names for x in parts):
+            got = max(got, 2 if all(x in names or x in PLACE_WORDS for x in parts) else 1)
+    return got
+
+
+def _cut(tag: str, rest: str) -> int:
+    """2: cut; 1: cut unless it holds text."""
     if tag in CUT_TAGS:
-        return True
-    if not rest or rest == "/":
-        return False
+        return 2
+    if not rest or rest == "/" or tag in ROOTS:
+        return 0
+    got = 0
     for m in ATTR.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if m.start() and not rest[m.start() - 1].isspace() and rest[m.start() - 1] not in "\"'/":
             continue
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return tag not in ROOTS
+            return 2
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return tag not in ROOTS
+            return 2
         if key == "role" and value.lower() in CUT_ROLES:
-            return tag not in ROOTS
-        if key in ("class", "id") and tag not in ROOTS:
-            names = CUT_ARTICLES if tag == "article" else CUT_NAMES
-            if any(p.lower() in names for p in NAME_PARTS.findall(value)):
-                return True
-    return False
+            return 2
+        if key in ("class", "id"):
+            got = max(got, _named(value, CUT_ARTICLES if tag == "article" else CUT_NAMES))
+    return got
 
 
 class _Page:
@@ -85,6 +104,7 @@ class _Page:
     text pieces with the node that holds them; what is cut leaves no pieces."""
 
     def __init__(self, page: str):
+        self.hint = [False]  # hint: a telling word among others in its name
         self.tag, self.parent, self.last = [""], [-1], [0]
         self.block, self.link, self.cut = [0], [False], [False]  # nearest block node; within a link; within a cut element
         self.pieces: list[tuple[int, str]] = []
@@ -125,7 +145,9 @@ class _Page:
             self.last.append(n)
             self.block.append(n if name in BLOCKS else self.block[up])
             self.link.append(name == "a" or self.link[up])
-            self.cut.append(self.cut[up] or _cut(name, rest))
+            cut = 2 if self.cut[up] else _cut(name, rest)
+            self.cut.append(cut == 2)
+            self.hint.append(cut == 1)
             if name in BLOCKS:
                 self.pieces.append((up, " "))
             stack.append(n)
@@ -181,11 +203,39 @@ class _Page:
                 return
 
 
+def _drop_hints(p: _Page) -> None:
+    """Elements with a telling word among others in their name are cut if they hold
+    little or mostly linked text, but not the page's only article, main or most of its text."""
+    n = len(p.tag)
+    total, linked, holds = [0] * n, [0] * n, [t in ("article", "main") and not c and not h for t, c, h in zip(p.tag, p.cut, p.hint)]
+    for node, s in p.pieces:
+        k = len(s.strip())
+        total[node] += k
+        if p.link[node]:
+            linked[node] += k
+    most, drop = (sum(total) - sum(linked)) / 2, [False] * n
+    for i in range(n - 1, 0, -1):
+        if p.hint[i] and not holds[i]:
+            prose = total[i] - linked[i]
+            drop[i] = linked[i] >= 0.5 * total[i] or (p.tag[i] not in LEAVES and prose < LITTLE)
+            drop[i] = drop[i] and not prose > most
+        if not drop[i]:
+            up = p.parent[i]
+            total[up] += total[i]
+            linked[up] += linked[i]
+            holds[up] = holds[up] or holds[i]
+    for i in range(1, n):
+        drop[i] = drop[i] or drop[p.parent[i]]
+    p.pieces = [(node, s) for node, s in p.pieces if not drop[node]]
+
+
 def main_text(page: str | None) -> str:
     """The article's text, blocks joined by one space."""
     if not page:
         return ""
     p = _Page(page)
+    if any(p.hint):
+        _drop_hints(p)
     n = len(p.tag)
     own, commas, total, linked, links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for node, s in p.pieces:
