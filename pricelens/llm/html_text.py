@@ -6,7 +6,8 @@ id, or because they are hidden.  A class or id that only contains a telling word
 cuts an element that holds little or mostly linked text.  Every paragraph that is left passes points for its length and commas to its
 ancestors, less with each level; a container's points are discounted by the share of its
 text that stands in links.  The best container (or the article that holds it)
-and those of its siblings that score well are kept, with everything in them
+and those of its siblings that hold a paragraph and few links, also further up those that
+score well beside it, are kept, with everything in them
 but lists of links.
 
 Defined results: a null or empty page, and one without text, gives the empty
@@ -273,16 +274,29 @@ def main_text(page: str | None) -> str:
         if p.tag[at] == "main":
             best = at
         at = p.parent[at]
-    keep = [best]
-    up = p.parent[best]
-    if up >= 0:
-        bar = max(10.0, 0.2 * final[best])
+    keep, named = [best], p.tag[best] in ("article", "main")
+    prose = [0] * n  # unlinked text of the paragraphs in each node
+    for i in range(n - 1, 0, -1):
+        if p.tag[i] == "p" or (own[i] >= LEAST_CHARS and p.tag[i] not in POINTLESS):
+            prose[i] += own[i] if not linked[i] else max(0, own[i] - linked[i])
+        prose[p.parent[i]] += prose[i]
+    bar, at = 0.2 * final[best], best
+    while p.parent[at] >= 0:  # beside the best container, and beside each container around it
+        up = p.parent[at]
         for i in range(up + 1, p.last[up] + 1):
-            if p.parent[i] != up or i == best or not total[i]:
+            if p.parent[i] != up or i == at or not total[i]:
                 continue
             density = linked[i] / total[i]
-            if final[i] >= bar or (p.tag[i] == "p" and total[i] >= 80 and density < 0.25) or (p.tag[i] in HEADINGS and i < best and density < 0.5):
+            heading = p.tag[i] in HEADINGS and i < at and density < 0.5
+            if named:
+                held = final[i] >= max(10.0, bar) or (p.tag[i] == "p" and total[i] >= 80 and density < 0.25)
+            else:
+                held = density < 0.25 and prose[i] > 0 and (up == p.parent[best] or final[i] >= bar)
+            if held or (heading and up == p.parent[best]):
                 keep.append(i)
+        if named:
+            break
+        at = up
     spans = sorted((k, p.last[k]) for k in keep)
     gone = [False] * n
     for i in range(1, n):

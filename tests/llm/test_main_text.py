@@ -24,3 +24,14 @@ def test_names_that_say_it_all_still_cut():
     long = f"<p>{B}</p>" * 9
     for name in ("comments", "comment-list", "cookie-notice", "site-footer", "sidebar right"):
         assert html_text.main_text(f"<body><div><p>{A}</p><p>{B}</p></div><div class='{name}'>{long}</div></body>") == f"{A} {B}"
+
+
+def test_text_split_over_containers():
+    c, end = "A section of one paragraph, with two commas, that is not short at all. " * 3, "A short end."
+    one = f"<div><p>{A}</p><p>{B}</p></div>"
+    two = f"<div><p>{c}</p></div>"
+    want = " ".join(f"{A} {B} {c}".split())
+    assert html_text.main_text(f"<body>{NAV}{one}{two}<p>{end}</p>{FOOT}</body>") == f"{want} {end}"
+    assert html_text.main_text(f"<body>{NAV}<div><div>{one}</div><div>{two}</div></div>{FOOT}</body>") == want
+    links = "<div><p><a href=1>More on this matter, and on others, for those who read on</a></p></div>"
+    assert html_text.main_text(f"<body>{one}{two}{links}</body>") == want
