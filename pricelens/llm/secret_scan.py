@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 MARK = "[secret]"
 LEAST = 0.5  # share of the trees
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.~-])[A-Za-z0-9_+/=.~-]{12,}")
+PART = re.compile(r"[^=]+=*")
 WORTH = re.compile(r"[0-9]|[a-z][A-Z]")
 CONTEXT = 48  # characters before and after a candidate that its neighbours are read from
 
@@ -228,12 +229,15 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Fores
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Bounds of the candidates of one text."""
+    """Bounds of the candidates of one text; ``name=value`` has one of its own for
+    each side of the sign."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0].rstrip(".=-~/") if not m[0].endswith("==") else m[0]
-        if len(s) >= 12 and WORTH.search(s):
-            out.append((m.start(), m.start() + len(s)))
+        for part in PART.finditer(m[0]):
+            padded = part[0].endswith("==") and part.end() == len(m[0])
+            s = part[0] if padded else part[0].rstrip(".=-~/")
+            if len(s) >= 12 and WORTH.search(s):
+                out.append((m.start() + part.start(), m.start() + part.start() + len(s)))
     return out
 
 
