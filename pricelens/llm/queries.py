@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pricelens.llm import fingerprints, html_text, mixing, packing, pii, quality, secret_scan, sharding, simhash, substring
+from pricelens.llm import bitplane, fingerprints, html_text, language, merkle, mixing, packing, pii, quality, secret_scan, sharding, simhash, substring
 from pricelens.llm.common import table
 
 QUERIES: dict = {}
@@ -87,6 +87,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train()).withColumnRenamed("id", "doc_id")
 
 
+@query("op11_merkle_manifest", merkle.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents").select(*merkle.FIELDS)).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_centroid_clustering", bitplane.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bitplane.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.assigned.withColumnRenamed("id", "vec_id")
+
+
+@query("op13_language_id", language.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.Profiles.collect(language.train(docs.where(~language.held_out(F.col("doc_id")))))
+    return language.identify(docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text"), profiles).drop("text")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
