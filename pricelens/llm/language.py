@@ -14,14 +14,11 @@ An n-gram is one exact 63-bit number (21 bits a character), so nothing is hashed
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is
 every text if no language was learned.  A null id counts as the empty text and is
-held out.  Whole texts are read; words of a text are counted one by one, so memory grows
-with its distinct words.  Repeated rows count as often as they occur.  Further
+held out.  Whole texts are read, long ones in blocks.  Repeated rows count as often as they occur.  Further
 columns are neither read nor changed."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +32,19 @@ from pricelens.llm.common import packed
 
 #: n-grams in a profile.
 SIZE = 300
-#: Distinct words whose n-grams a task remembers, or counts before it sends sums.
-WORDS = 100_000
+#: Characters whose n-grams are counted at a time.
+BLOCK = 1 << 20
+#: Characters of a language's texts that training reads at a time.
+TOGETHER = 1 << 16
+#: Counts of a language that a task holds before it merges them.
+HELD = 500_000
+#: Code point that stands for a word's end.
+EDGE = ord("_")
+UNMET = 0xFFFFFFFF
+MASK = (1 << 21) - 1
 #: Profile rows (languages x SIZE) that are sent to every task; more are refused.
 MAX_PROFILE_ROWS = 3_000_000
 UNKNOWN = "und"
-RUN = re.compile(r"[^\W\d_]+")
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:
@@ -48,55 +52,102 @@ def held_out(id_: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def grams(word: str) -> np.ndarray:
-    """Codes of the n-grams of one word, repeats included."""
-    if not word.isalpha():  # marks that count as word characters, but not as letters
-        parts = "".join(c if c.isalpha() else " " for c in word).split()
-        return np.concatenate([grams(p) for p in parts]) if parts else np.empty(0, np.int64)
-    c = np.frombuffer(f"_{word}_".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    one, two = c[1:-1] << 42, (c[:-1] << 42) | (c[1:] << 21)
-    return np.concatenate([one, two, two[:-1] | c[2:]])
+def added(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, with the sums of their ``times``."""
+    if not len(codes):
+        return codes, times
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(times[order], first)
+
+
+class Reader:
+    """Counts the n-grams of texts; remembers which code points are letters."""
+
+    def __init__(self):
+        self.map = np.full(0x110000, UNMET, np.uint32)  # a letter is itself, all else EDGE
+
+    def letters(self, text: str) -> np.ndarray:
+        """Code points of the lower-cased words, one EDGE before, between and after them."""
+        c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        s = np.full(len(c) + 2, EDGE, np.uint32)
+        np.take(self.map, c, out=s[1:-1])
+        if s.max() == UNMET:
+            for x in np.unique(c[s[1:-1] == UNMET]):
+                self.map[x] = x if chr(x).isalpha() else EDGE
+            np.take(self.map, c, out=s[1:-1])
+        word = s != EDGE
+        word[1:] |= word[:-1]  # the place after a word stays, further ones go
+        word[0] = True
+        return s[word].astype(np.int64)
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the text's n-grams, ascending, and how often each occurs.  Only those of
+        three characters are counted, in blocks; every letter is the middle of one, every pair before
+        a further character the head of one, and every word's last pair the tail of one."""
+        s = self.letters(text)
+        codes, times = [], []
+        for at in range(0, len(s) - 2, BLOCK):
+            n = min(BLOCK, len(s) - 2 - at)
+            a, b, c = s[at : at + n], s[at + 1 : at + n + 1], s[at + 2 : at + n + 2]
+            three = np.sort(((a << 42) | (b << 21) | c)[b != EDGE])
+            first = np.flatnonzero(np.concatenate([[True], three[1:] != three[:-1]]))
+            codes.append(three[first])
+            times.append(np.diff(first, append=len(three)))
+        if not codes:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        three, n = added(np.concatenate(codes), np.concatenate(times)) if len(codes) > 1 else (codes[0], times[0])
+        middle, last = (three >> 21) & MASK, (three & MASK) == EDGE
+        smaller = np.concatenate([middle << 42, three & ~MASK, (middle[last] << 42) | (EDGE << 21)])
+        smaller, m = added(smaller, np.concatenate([n, n, n[last]]))
+        return added(np.concatenate([three, smaller]), np.concatenate([n, m]))
 
 
 def gram_text(code: int) -> str:
     return "".join(chr(x) for x in (code >> 42, (code >> 21) & 0x1FFFFF, code & 0x1FFFFF) if x)
 
 
-def _sums(words: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram codes, ascending, and their counts in a bag of words."""
-    parts = [(grams(w), n) for w, n in words.items()]
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    codes, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    counts = np.zeros(len(codes), np.int64)
-    np.add.at(counts, at, np.repeat([n for _, n in parts], [len(g) for g, _ in parts]))
-    return codes, counts
-
-
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZE) -> DataFrame:
     """Profiles (lang, code long, gram string, n long, rank int from 0) from every row
     with a text and a language."""
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags: dict[str, Counter] = {}
-        held = 0
+        reader, sums, held, waiting = Reader(), {}, {}, {}
 
-        def flush():
-            for name, bag in bags.items():
-                codes, n = _sums(bag)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
+        def read(name):
+            texts, _ = waiting.pop(name)
+            sums.setdefault(name, []).append(reader.count("\n".join(texts)))
+            held[name] = held.get(name, 0) + len(sums[name][-1][0])
+            if len(sums[name]) > 1 and held[name] > HELD:
+                merge(name)
+
+        def merge(name):
+            parts = sums[name]
+            sums[name] = [added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+            held[name] = len(sums[name][0][0])
 
         for b in batches:
             for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                bag = bags.setdefault(name, Counter())
-                before = len(bag)
-                bag.update(RUN.findall(t.lower()))
-                held += len(bag) - before
-            if held > WORDS:
-                yield from flush()
-                bags, held = {}, 0
-        yield from flush()
+                texts, chars = waiting.get(name, ([], 0))
+                texts.append(t)
+                waiting[name] = texts, chars + len(t)
+                if chars + len(t) > TOGETHER:
+                    read(name)
+            for name in list(waiting):
+                read(name)
+            while sum(held.values()) > 4 * HELD:  # many languages, or many n-grams: Spark adds up the rest
+                name = max(held, key=held.get)
+                yield from send(name, sums.pop(name))
+                del held[name]
+        for name in list(sums):
+            merge(name)
+            yield from send(name, sums.pop(name))
+
+    def send(name, parts):
+        for codes, n in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("code")))
@@ -132,34 +183,18 @@ class Profiles:
             raise ValueError(f"more than {MAX_PROFILE_ROWS} profile rows: merge languages or lower the profile size")
         return cls(rows, size)
 
-    def predict(self, text: str, memory: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, text: str, reader: Reader) -> tuple[str, float]:
         """Language and score of one text."""
-        bag = Counter(RUN.findall(text.lower()))
-        if not bag or not self.langs:
-            return UNKNOWN, 0.0
-        parts = []
-        for w in bag:
-            g = memory.get(w)
-            if g is None:
-                g = grams(w)
-                if len(memory) >= WORDS:
-                    memory.clear()
-                if len(w) <= 32:
-                    memory[w] = g
-            parts.append(g)
-        every = np.concatenate(parts)
-        if not len(every):
+        codes, n = reader.count(text)
+        if not len(codes) or not self.langs:
             return UNKNOWN, 0.0
-        times = np.repeat(np.fromiter(bag.values(), np.int64, len(bag)), [len(g) for g in parts])
-        order = np.argsort(every, kind="stable")
-        every = every[order]
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        n = np.add.reduceat(times[order], first)
-        top = np.argsort(-n, kind="stable")[: self.size]  # codes ascend, so ties keep their order
-        codes = every[first[top]]
-        at = np.searchsorted(self.codes, codes)
-        at = np.where(self.codes[np.minimum(at, len(self.codes) - 1)] == codes, at, len(self.codes))
-        rank = self.rank[at]
+        if len(codes) > self.size:  # those as frequent as the last of the profile, then in order
+            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
+            codes, n = codes[n >= least], n[n >= least]
+        codes = codes[np.argsort(-n, kind="stable")[: self.size]]  # codes ascend, so ties keep their order
+        row = np.searchsorted(self.codes, codes)
+        row = np.where(self.codes[np.minimum(row, len(self.codes) - 1)] == codes, row, len(self.codes))
+        rank = self.rank[row]
         off = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(codes), dtype=np.int32)[:, None])).sum(axis=0)
         best = int(off.argmin())
         return self.langs[best], 1.0 - float(off[best]) / (len(codes) * self.size)
@@ -170,9 +205,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, np.ndarray] = {}
+        reader = Reader()
         for s in parts:
-            rows = [(UNKNOWN, 0.0) if t is None else profiles.predict(t, memory) for t in s]
+            rows = [(UNKNOWN, 0.0) if t is None else profiles.predict(t, reader) for t in s]
             yield pd.DataFrame(rows, columns=["lang", "score"])
 
     both = docs.select(packed(docs), guess(F.col(f"`{text}`")).alias("found"))
