@@ -1,56 +1,62 @@
 """Exact grouped quantiles (linear interpolation, like NumPy / pandas / DuckDB
-``quantile_cont``) that stay bounded when one group holds a large share of all
-rows.
-
-Two strategies:
-
-* ``percentile`` — Spark's built-in exact ``percentile``.  Its buffer is a
-  value -> count map that is combined map-side, so one task holds the distinct
-  values of one group.  Fine while groups are bounded.
-* ``distributed`` — exact selection by range refinement.  For every wanted
-  rank we keep an interval ``[lo, hi]`` and the number of values below it; a
-  round splits the interval into ``buckets`` equal sub-ranges, counts values
-  per sub-range with a partially aggregated ``groupBy`` (skew-proof: a hot
-  group is split over map tasks and over sub-ranges), and keeps the sub-range
-  holding the rank.  Infinities are counted apart, the interval spans the finite values.
-  Once an interval holds at most ``collect_below`` values,
-  they are sorted in one small task.  Typical data resolves in 1-3 rounds.
-
-``method='auto'`` measures the largest group first and picks ``percentile``
-when it holds at most ``max_group_rows`` values, else ``distributed``.
+``quantile_cont``) in two passes over the rows, however large a group is and
+however wide its values range.
+
+1. **Sketch.**  One partially aggregated ``groupBy`` builds a mergeable KLL
+   quantile sketch, the count and the extremes of each group.  The sketch's
+   error bound turns every wanted rank into a bracket of values that holds it.
+2. **Count.**  Rows inside a bracket are counted by value, all others only by
+   the gap between brackets they fall in; both are partially aggregated, so a
+   hot group sends a few counts a task and the small share of its values that
+   lies in a bracket.
+
+The counts are summed by the sketch's own cut points first, so that the last
+step orders only the values between two neighbouring cuts.  The counts prove
+whether a bracket held its rank; a group where one did not (the bound is
+probabilistic) is taken again with brackets eight times as wide, up to all of
+its range, so the result is always exact.  Infinities are counted apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import broadcast_checked, checkpoint
 
-MAX_GROUP_ROWS = 1_000_000
+#: Sketch size: about 60 kB for a large group, all values of one with fewer rows.
+SKETCH = 4096
+#: Ranks at which the sketch is read: brackets end at these.
+GRID = 1024
+INF = float("inf")
 
 
 def _qname(p: float) -> str:
     return f"q{round(p * 100, 6):g}".replace(".", "_")
 
 
+def rank_error(k: int) -> float:
+    """Rank error of a KLL sketch of size ``k``, as a share of the rows, that 99 % of the
+    estimates keep (published fit)."""
+    return 2.296 / k**0.9723
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
     names: Sequence[str] | None = None,
-    method: str = "auto",
-    max_group_rows: int = MAX_GROUP_ROWS,
-    buckets: int = 4096,
-    collect_below: int = 20_000,
+    sketch: int = SKETCH,
+    margin: float | None = None,
 ) -> DataFrame:
     """Return one row per group: ``keys`` + one double column per probability
     (NULL for groups without a non-null value).  NULL and NaN values are
-    ignored."""
+    ignored; a NULL key is a group.  ``margin`` (default: three times the
+    sketch's rank error) is the half width of the brackets, as a share of the rows."""
     keys = list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names is not None else [_qname(p) for p in probs]
@@ -59,124 +65,94 @@ def exact_quantiles(
     if any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
     v = F.col(value).cast("double")
-    base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    grouped = bool(keys)
-    if not grouped:  # one global group: a constant key keeps every join an equi-join
-        keys = ["_g"]
-        base = base.withColumn("_g", F.lit(0))
-
-    if method == "auto":
-        counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        biggest = counts.agg(F.max("_n")).first()[0] or 0
-        method = "percentile" if biggest <= max_group_rows else "distributed"
-    if method == "percentile":
-        q = F.percentile(F.col("_v"), F.array(*[F.lit(p) for p in probs]))
-        out = base.groupBy(*keys).agg(q.alias("_q"))
-        out = out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    elif method == "distributed":
-        out = _distributed(base, keys, probs, names, buckets, collect_below)
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    if not grouped:
-        # a global quantile is one row even when there is no value at all
-        anchor = base.sparkSession.range(1).select(F.lit(0).alias("_g"))
-        out = anchor.join(out, "_g", "left").drop("_g")
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0)
+    base = df.select(group.alias("_g"), v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    found = _select(base, probs, sketch, 3 * rank_error(sketch) if margin is None else margin)
+    if not keys:  # a global quantile is one row even when there is no value at all
+        one = base.sparkSession.range(1).select(F.lit(0).alias("_one"))
+        return one.join(found, F.col("_one") == F.col("_g"), "left").select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return found.select(*[F.col(f"_g.k{i}").alias(k) for i, k in enumerate(keys)], *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _brackets(base: DataFrame, probs: list[float], sketch: int, margin: float) -> DataFrame:
+    """First pass: (_g, n, neg, pos, want: [(rlo, rhi, frac, span)], cuts, spans) by group.  Ranks
+    count from 0 among all values, spans are the sketch's values around them."""
+    finite = F.when(F.abs("_v") < INF, F.col("_v"))
+    stats = base.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") == -INF).alias("neg"), F.count_if(F.col("_v") == INF).alias("pos"),
+        F.min(finite).alias("mn"), F.max(finite).alias("mx"), F.kll_sketch_agg_double(finite, F.lit(sketch)).alias("sk"))
+    inner = F.kll_sketch_get_quantile_double("sk", F.array(*[F.lit(j / GRID) for j in range(1, GRID)]))
+    grid = F.when(F.col("mn").isNotNull(), F.concat(F.array("mn"), inner, F.array("mx")))
+    stats = stats.withColumn("m", F.col("n") - F.col("neg") - F.col("pos")).withColumn("grid", grid)
+
+    def wanted(p: float) -> Column:
+        h = (F.col("n") - 1) * F.lit(p)
+        lo, hi = F.floor(h), F.ceil(h)
+        # place among the finite values, then on the grid
+        at = lambda r: F.greatest(F.least(r - F.col("neg"), F.col("m") - 1), F.lit(0))
+        first = F.greatest(F.floor((at(lo) / F.col("m") - margin) * GRID), F.lit(0)).cast("int")
+        last = F.least(F.ceil(((at(hi) + 1) / F.col("m") + margin) * GRID), F.lit(GRID)).cast("int")
+        span = F.when(F.col("m") > 0, F.slice("grid", first + 1, last - first + 1))
+        return F.struct(lo.alias("rlo"), hi.alias("rhi"), (h - lo).alias("frac"), span.alias("span"))
+
+    out = stats.select("_g", "n", "neg", "pos", F.array(*[wanted(p) for p in probs]).alias("want"))
+    spans = F.transform("want", lambda w: F.struct(F.get(w["span"], F.lit(0)).alias("lo"), F.element_at(w["span"], -1).alias("hi")))
+    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("want", lambda w: F.coalesce(w["span"], F.expr("cast(array() as array<double>)"))))))
+    return checkpoint(out.select("*", spans.alias("spans"), cuts.alias("cuts")))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _select(base: DataFrame, probs: list[float], sketch: int, margin: float) -> DataFrame:
+    groups = _brackets(base, probs, sketch, margin)
+    # second pass: values inside a bracket by value, others by the end of the last bracket before them
+    side = broadcast_checked(groups.select(F.col("_g").alias("_s"), "spans", "cuts"))
+    rows = base.where(F.abs("_v") < INF).join(side, _same("_g", "_s"))
+    inside = F.exists("spans", lambda s: (s["lo"] <= F.col("_v")) & (F.col("_v") <= s["hi"]))
+    before = F.array_max(F.transform(F.filter("spans", lambda s: s["hi"] < F.col("_v")), lambda s: s["hi"]))
+    rows = rows.withColumn("gap", ~inside).withColumn("val", F.when(inside, F.col("_v")).otherwise(F.coalesce(before, F.lit(-INF))))
+    cell = F.size(F.filter("cuts", lambda c: c <= F.col("val")))
+    counts = checkpoint(rows.groupBy("_g", cell.alias("cell"), "val", "gap").agg(F.count(F.lit(1)).alias("c")))
+
+    # which cell holds each wanted rank
+    by_cell = Window.partitionBy("_g").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = counts.groupBy("_g", "cell").agg(F.sum("c").alias("cc")).withColumn("upto", F.sum("cc").over(by_cell))
+    ranks = F.array_distinct(F.flatten(F.transform("want", lambda w: F.array(w["rlo"], w["rhi"]))))
+    wanted = groups.select(F.col("_g").alias("_w"), F.transform(ranks, lambda r: r - F.col("neg")).alias("ranks"))
+    start = F.col("upto") - F.col("cc")
+    hits = F.filter("ranks", lambda r: (start <= r) & (r < F.col("upto")))
+    targets = cells.join(wanted, _same("_g", "_w")).select(F.col("_g").alias("_t"), F.col("cell").alias("t_cell"), start.alias("start"), hits.alias("hits"))
+    targets = targets.where(F.size("hits") > 0)
+    # only values between two neighbouring cuts are put in order
+    inner = Window.partitionBy("_g", "cell").orderBy("val", "gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.join(targets, _same("_g", "_t") & (F.col("cell") == F.col("t_cell"))).withColumn("end", F.col("start") + F.sum("c").over(inner))
+    mine = F.filter("hits", lambda r: (F.col("end") - F.col("c") <= r) & (r < F.col("end")))
+    values = placed.where(F.size(mine) > 0).select("_g", "gap", F.explode(F.transform(mine, lambda r: F.struct(r.alias("r"), F.col("val").alias("val")))).alias("hit"))
+    solved = checkpoint(values.groupBy("_g").agg(F.collect_list("hit").alias("hits"), F.bool_or("gap").alias("missed")))
+
+    found = groups.join(solved.where(~F.col("missed")).select(F.col("_g").alias("_h"), F.map_from_entries("hits").alias("at")), _same("_g", "_h"), "left")
+    # groups of infinities only have no finite rank to look up
+    finite = F.col("n") > F.col("neg") + F.col("pos")
+    found = found.where(F.col("_h").isNotNull() | ~finite | ~F.exists("want", _asks_finite))
+
+    def value(r: Column) -> Column:
+        return F.when(r < F.col("neg"), -INF).when(r >= F.col("n") - F.col("pos"), INF).otherwise(F.try_element_at("at", r - F.col("neg")))
+
+    def quantile(w: Column) -> Column:
+        lo, hi = value(w["rlo"]), value(w["rhi"])
+        return F.when(lo == hi, lo).otherwise((1 - w["frac"]) * lo + w["frac"] * hi)
+
+    out = found.select("_g", F.transform("want", quantile).alias("_q"))
+    missed = solved.where("missed").select(F.col("_g").alias("_m"))
+    if missed.limit(1).count():
+        again = base.join(broadcast_checked(missed), _same("_g", "_m"), "left_semi")
+        out = out.unionByName(_select(again, probs, sketch, 8 * margin + 1 / GRID))
     return out
 
 
-def _distributed(base, keys, probs, names, buckets, collect_below):
-    base = base.persist()
-    inf = F.lit(float("inf"))
-    finite = F.when(F.abs("_v") < inf, F.col("_v"))
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_mn"), F.max(finite).alias("_mx"),
-        F.count_if(F.col("_v") == -inf).alias("_neg"), F.count_if(F.col("_v") == inf).alias("_pos"),
-    )
-    # one row per (group, prob): rank positions and interpolation weight
-    prob_rows = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_pi"), F.lit(p).alias("_p")) for i, p in enumerate(probs)
-    ]))
-    wanted = (
-        stats.where(F.col("_n") > 0)
-        .select(*keys, "_n", "_mn", "_mx", "_neg", "_pos", prob_rows.alias("_pp"))
-        .select(*keys, "_n", "_mn", "_mx", "_neg", "_pos", "_pp._pi", "_pp._p")
-        .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
-        .withColumn("_rlo", F.floor("_h").cast("long"))
-        .withColumn("_rhi", F.ceil("_h").cast("long"))
-        .withColumn("_frac", F.col("_h") - F.col("_rlo"))
-    )
-    wanted = checkpoint(wanted)
-    # state: one row per distinct wanted rank
-    state = (
-        wanted.select(*keys, "_n", "_mn", "_mx", "_neg", "_pos", F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"))
-        .dropDuplicates([*keys, "_r"])  # neighbouring probabilities share ranks
-        .select(
-            *keys,
-            "_r",
-            F.col("_mn").alias("_lo"),
-            F.col("_mx").alias("_hi"),
-            F.col("_neg").alias("_below"),
-            F.when(F.col("_r") < F.col("_neg"), -inf).when(F.col("_r") >= F.col("_n") - F.col("_pos"), inf)
-            .when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_val"),
-            F.lit(None).cast("long").alias("_cnt"),
-        )
-    )
-    state = checkpoint(state)
-    w = Window.partitionBy(*keys, "_r").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    while True:
-        open_ = state.where(F.col("_val").isNull())
-        if open_.limit(1).count() == 0:
-            break
-        small = open_.where(F.col("_cnt").isNotNull() & (F.col("_cnt") <= collect_below))
-        big = open_.where(F.col("_cnt").isNull() | (F.col("_cnt") > collect_below))
-        done = state.where(F.col("_val").isNotNull())
-        # (a) few candidates left: sort them in one small task per rank
-        sel_small = broadcast_checked(small.select(*keys, "_r", "_lo", "_hi", "_below"))
-        cand_s = base.join(sel_small, keys, "inner")
-        solved = (
-            cand_s.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*keys, "_r", "_below")
-            .agg(F.sort_array(F.collect_list("_v")).alias("_vals"))
-            .select(
-                *keys, "_r", F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"),
-                F.col("_below"),
-                F.element_at("_vals", (F.col("_r") - F.col("_below") + 1).cast("int")).alias("_val"),
-                F.lit(None).cast("long").alias("_cnt"),
-            )
-        )
-        # (b) refine the interval by one level of equal-width sub-ranges
-        sel_big = broadcast_checked(big.select(*keys, "_r", "_lo", "_hi", "_below"))
-        cand_b = base.join(sel_big, keys, "inner")
-        width = F.col("_hi") / 2 - F.col("_lo") / 2  # halves: the width itself may overflow
-        digit = F.when(F.col("_v") == F.col("_hi"), F.lit(buckets - 1)).otherwise(
-            F.least(F.floor(F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, width) * buckets), F.lit(buckets - 2))).cast("int")
-        hist = (
-            cand_b.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .withColumn("_d", digit)
-            .groupBy(*keys, "_r", "_below", "_d")
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_dmn"), F.max("_v").alias("_dmx"))
-            .withColumn("_cum", F.sum("_c").over(w))
-        )
-        refined = hist.where(
-            (F.col("_below") + F.col("_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cum"))
-        ).select(
-            *keys,
-            "_r",
-            F.col("_dmn").alias("_lo"),
-            F.col("_dmx").alias("_hi"),
-            (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
-            F.when(F.col("_dmn") == F.col("_dmx"), F.col("_dmn")).alias("_val"),
-            F.col("_c").alias("_cnt"),
-        )
-        state = checkpoint(done.unionByName(solved).unionByName(refined))
-    base.unpersist()
-    vals = state.select(*keys, "_r", "_val")
-    lo = vals.withColumnRenamed("_r", "_rlo").withColumnRenamed("_val", "_vlo")
-    hi = vals.withColumnRenamed("_r", "_rhi").withColumnRenamed("_val", "_vhi")
-    res = (
-        wanted.join(lo, keys + ["_rlo"], "left").join(hi, keys + ["_rhi"], "left")
-        .withColumn("_q", F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
-            (1 - F.col("_frac")) * F.col("_vlo") + F.col("_frac") * F.col("_vhi")))
-    )
-    aggs = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
-    return res.groupBy(*keys).agg(*aggs)
+def _asks_finite(w: Column) -> Column:
+    """Whether one of the ranks lies among the finite values."""
+    first, last = F.col("neg"), F.col("n") - F.col("pos")
+    return ((w["rlo"] >= first) & (w["rlo"] < last)) | ((w["rhi"] >= first) & (w["rhi"] < last))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import DEFAULT_ITEMS, NULL_TOKENS, null_tokens, parse_price, period_label
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import GRID, SKETCH, exact_quantiles
 from ..session import small_side
 
 
@@ -93,11 +93,11 @@ def filter_date_range(df: DataFrame, start_year: int = 2020, end_year: int = 202
     return df.where(F.col(ts).isNotNull() & (F.col(ts) >= lo) & (F.col(ts) <= hi))
 
 
-def drop_outliers_iqr(df: DataFrame, threshold: float = 1.5, item: str = "Commodity", value: str = "Price", quantile_method: str = "auto") -> DataFrame:
+def drop_outliers_iqr(df: DataFrame, threshold: float = 1.5, item: str = "Commodity", value: str = "Price") -> DataFrame:
     """per item drop prices outside [Q1 - t*IQR, Q3 + t*IQR]; NULL prices
     are kept.  Quartiles are exact (see ``exact_quantiles``); the per-item
     bounds table has one row per item and is joined back."""
-    q = exact_quantiles(df, [item], value, [0.25, 0.75], names=["_q1", "_q3"], method=quantile_method)
+    q = exact_quantiles(df, [item], value, [0.25, 0.75], names=["_q1", "_q3"])
     b = q.select(
         item,
         (F.col("_q1") - threshold * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
@@ -122,13 +122,46 @@ def drop_null_keys(df: DataFrame, cols: Sequence[str] = ("Date", "Price", "Clust
 
 
 # ------------------------------------------------------------------ W1, W2
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which a null key equals a null key."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+def _on_null_safe(keys: Sequence[str], prefix: str) -> Column:
+    """Join condition in which a null key equals a null key of the other, prefixed side."""
     on = F.lit(True)
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])
+        on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return on
+
+
+def _order_number(df: DataFrame, col: str) -> Column | None:
+    """A double that never decreases along the order of ``col``, None for types without one."""
+    kind, c = df.schema[col].dataType.typeName(), F.col(col)
+    if kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        return c.cast("double")
+    if kind == "boolean":
+        return c.cast("int").cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind in ("string", "binary"):  # the first six bytes
+        head = F.hex(F.substring(c.cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    return None
+
+
+#: Rows of a group beyond which it is cut into several ranges of its order.
+CHUNK_ROWS = 1_000_000
+
+
+def fill_chunks(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Groups with more than ``chunk_rows`` rows and the cuts of their order
+    (at most 1023, from a quantile sketch): (keys prefixed ``_h_``, _cuts).  At most rows / chunk_rows groups."""
+    number = _order_number(df, order)
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(number).alias("_m"), F.kll_sketch_agg_double(number, F.lit(SKETCH)).alias("_sk"))
+    g = g.where((F.col("_n") > chunk_rows) & (F.col("_m") > 0))
+    grid = F.kll_sketch_get_quantile_double("_sk", F.array(*[F.lit(j / GRID) for j in range(1, GRID)]))
+    parts = F.least(F.ceil(F.col("_n") / chunk_rows), F.lit(GRID)).cast("int")
+    at = F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.element_at("_grid", F.greatest(F.floor(j * GRID / parts), F.lit(1)).cast("int")))
+    cuts = F.array_sort(F.array_distinct(at))
+    return g.withColumn("_grid", grid).select(*[F.col(k).alias(f"_h_{k}") for k in keys], cuts.alias("_cuts"))
 
 
 def fill_gaps(
@@ -136,45 +169,45 @@ def fill_gaps(
     keys: Sequence[str] = ("City", "Commodity"),
     order: Sequence[str] = ("Date",),
     value: str = "Price",
-    chunk: str | None = "month",
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Within each group ordered by ``order``: forward fill, then fill the
     leading gap with the group's first value.  A group that has no value at
     all stays NULL (fills never cross groups).
 
-    Skew: rather than one window task per group, each group is cut into
-    chunks along the first order column (``chunk='month'`` truncates a
-    date/timestamp; ``None`` disables chunking).  Rows are forward filled
-    inside their chunk with a running window (streaming, O(1) state), and the
-    value carried into a chunk comes from a small per-chunk table
-    (last value per chunk -> running ``last`` over chunks).  A hot group is
-    thus spread over as many tasks as it has chunks, with the exact same
-    result as one window per group."""
+    A parallel prefix scan: a group of more than ``chunk_rows`` rows is cut into
+    ranges of its first order column (any type that has an order-preserving
+    number; the cuts come from a quantile sketch, rows with equal values stay
+    together), each range is filled by itself, and the value carried into it
+    is the last value of the ranges before, from a table with one row a range.
+    Rows are shuffled once, by group and range.  The tables of cuts and carries have rows
+    for large groups only."""
     keys, order = list(keys), list(order)
-    v = F.col(value)
-    if chunk is not None and df.schema[order[0]].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz"):
-        chunk = None  # chunks are calendar months of a date/time order column
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        first = df.where(v.isNotNull()).groupBy(*keys).agg(F.min_by(v, F.struct(*order)).alias("_first"))
-        out = _join_null_safe(df.withColumn("_ff", F.last(v, ignorenulls=True).over(w)), first, keys)
-        return out.withColumn(value, F.coalesce("_ff", "_first")).drop("_ff", "_first")
-    if chunk != "month":
-        raise ValueError("chunk must be 'month' or None")
-    d = df.withColumn("_ck", F.date_trunc("month", F.col(order[0])))
-    okey = F.when(v.isNotNull(), F.struct(*order))  # NULL ordering = row ignored by min_by/max_by
-    chunks = d.groupBy(*keys, "_ck").agg(F.max_by(v, okey).alias("_last"), F.min_by(v, okey).alias("_firstc"))
-    wc = Window.partitionBy(*keys).orderBy("_ck")
-    carry = chunks.select(
-        *keys,
-        "_ck",
-        F.last("_last", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
-        F.first("_firstc", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_gfirst"),
-    )
-    w = Window.partitionBy(*keys, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = d.withColumn("_ff", F.last(v, ignorenulls=True).over(w))
-    out = _join_null_safe(filled, carry, keys + ["_ck"]).withColumn(value, F.coalesce("_ff", "_carry", "_gfirst"))
-    return out.drop("_ff", "_carry", "_gfirst", "_ck")
+    v, number = F.col(value), _order_number(df, order[0])
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hot = small_side(fill_chunks(df, keys, order[0], chunk_rows)) if number is not None else None
+    d = df.withColumn("_ck", F.lit(0))
+    if hot is not None:
+        range_of = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c <= number))).otherwise(0)
+        d = df.join(hot, _on_null_safe(keys, "_h_"), "left").withColumn("_ck", range_of)
+        okey = F.when(v.isNotNull(), F.struct(*order))  # NULL ordering = row ignored by min_by/max_by
+        ranges = d.where(F.col("_cuts").isNotNull()).groupBy(*keys, "_ck").agg(F.max_by(v, okey).alias("_last"), F.min_by(v, okey).alias("_head"))
+        wc = Window.partitionBy(*keys).orderBy("_ck")  # at most 1024 ranges a group
+        carry = ranges.select(
+            *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_ck").alias("_r__ck"),
+            F.last("_last", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+            F.first("_head", ignorenulls=True).over(whole(wc)).alias("_first"),
+        )
+        carry = small_side(carry)
+        # a range's carry reaches its rows before the shuffle
+        d = d.join(carry, _on_null_safe([*keys, "_ck"], "_r_"), "left").drop("_cuts", *[f"_h_{k}" for k in keys], *[f"_r_{k}" for k in keys], "_r__ck")
+    else:
+        d = d.withColumns({"_carry": F.lit(None).cast(df.schema[value].dataType), "_first": F.lit(None).cast(df.schema[value].dataType)})
+    w = Window.partitionBy(*keys, "_ck").orderBy(*order)
+    d = d.withColumns({"_ff": F.last(v, ignorenulls=True).over(ahead(w)), "_own": F.first(v, ignorenulls=True).over(whole(w))})
+    # in a group that was cut, "_first" is there whenever "_own" is
+    return d.withColumn(value, F.coalesce("_ff", "_carry", "_first", "_own")).drop("_ff", "_own", "_carry", "_first", "_ck").select(*df.columns)
 
 
 def group_minmax(df: DataFrame, key: str = "Commodity", value: str = "value", prefix: str = "group_") -> DataFrame:

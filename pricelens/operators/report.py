@@ -78,8 +78,7 @@ def radar_profile(df: DataFrame, labels: DataFrame, entity="City", item="Commodi
 
 
 # ---------------------------------------------------------------- R4
-def boxplot_stats(df: DataFrame, labels: DataFrame, entity="City", item="Commodity", ts="Date", value="Price", cluster="Cluster",
-                  quantile_method: str = "auto") -> tuple[DataFrame, DataFrame]:
+def boxplot_stats(df: DataFrame, labels: DataFrame, entity="City", item="Commodity", ts="Date", value="Price", cluster="Cluster") -> tuple[DataFrame, DataFrame]:
     """Per item x year x cluster: min, Q1, median, Q3, max, mean,
     population std (NULL prices ignored); dense over all items, years and
     clusters with NULL statistics where a cell is empty.  Outliers (outside
@@ -91,7 +90,7 @@ def boxplot_stats(df: DataFrame, labels: DataFrame, entity="City", item="Commodi
     keys = [item, "Year", cluster]
     v = F.col(value)
     basic = d.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
-    q = exact_quantiles(d, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"], method=quantile_method)
+    q = exact_quantiles(d, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
     stats = basic.join(q, keys, "left")
     dims = d.agg(F.sort_array(F.collect_set(item)).alias("i"), F.sort_array(F.collect_set("Year")).alias("y"),
                  F.sort_array(F.collect_set(cluster)).alias("c")).first()

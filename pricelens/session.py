@@ -13,9 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest side we hint as broadcast after an explicit row-count check.  Above it
-# the join is left to the planner (sort-merge, or AQE's runtime broadcast).
+# Largest side we hint as broadcast after an explicit check of rows and bytes.  Above
+# it the join is left to the planner (sort-merge, or AQE's runtime broadcast).
 BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pricelens") -> SparkSession:
@@ -78,11 +79,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after proving the side has at most ``max_rows`` rows;
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only after proving that the side has at most ``max_rows`` rows
+    and ``max_bytes`` bytes (as text, which numbers need more of than in memory);
     otherwise return it untouched so the planner uses a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    head = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    n, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricelens.functions.quantiles import exact_quantiles
 from pricelens.functions.stats import betainc, pearson_p
@@ -28,16 +29,25 @@ def blobs(spark, n=60, k=3, d=4, seed=0):
     return spark.createDataFrame(rows, "entity long, features array<double>"), np.array([i % k for i in range(n)])
 
 
-def test_exact_quantiles_strategies_agree(spark):
+@pytest.mark.parametrize("sketch, margin", [(4096, None), (8, None), (8, 0.0)])
+def test_exact_quantiles_whatever_the_sketch(spark, sketch, margin):
+    """Also with brackets that miss their ranks: those groups are taken again."""
     rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"k": rng.integers(0, 3, 3000), "v": np.round(rng.lognormal(2, 1, 3000), 2)})
+    pdf = pd.DataFrame({"k": rng.integers(0, 4, 6000), "v": np.round(rng.lognormal(2, 1, 6000), 2)})
     pdf.loc[pdf.k == 1, "v"] = 4.0  # a constant group
-    df = spark.createDataFrame(pdf)
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    a = exact_quantiles(df, ["k"], "v", probs, method="percentile").toPandas().sort_values("k").to_numpy()
-    b = exact_quantiles(df, ["k"], "v", probs, method="distributed", buckets=8, collect_below=50).toPandas().sort_values("k").to_numpy()
-    want = pdf.groupby("k").v.quantile(probs).unstack().to_numpy()
-    assert np.allclose(a[:, 1:], want) and np.allclose(b[:, 1:], want)
+    pdf.loc[pdf.k == 2, "v"] **= 40  # a wide range
+    pdf = pd.concat([pdf, pd.DataFrame({"k": [7, 8, 8], "v": [3.5, 1.0, 2.0]})])
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    got = exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs, sketch=sketch, margin=margin).toPandas().sort_values("k").to_numpy()
+    assert np.allclose(got[:, 1:], pdf.groupby("k").v.quantile(probs).unstack().to_numpy())
+
+
+def test_exact_quantiles_of_null_keys_and_no_values(spark):
+    rows = [(None, "x", 1.0), (None, "x", 3.0), ("a", None, None), ("a", "y", float("nan")), ("b", "y", 2.0), ("b", "y", None)]
+    df = spark.createDataFrame(rows, "k string, j string, v double")
+    got = {(r["k"], r["j"]): r["q50"] for r in exact_quantiles(df, ["k", "j"], "v", [0.5]).collect()}
+    assert got == {(None, "x"): 2.0, ("b", "y"): 2.0}
+    assert exact_quantiles(df.limit(0), [], "v", [0.5]).collect()[0]["q50"] is None
 
 
 def test_kmeans_properties(spark):
@@ -189,21 +199,39 @@ def test_affinity_degree_positive(spark, kernel):
     assert len(d) == 20
 
 
-def test_global_distributed_quantile_matches_numpy(spark):
-    rng = np.random.default_rng(11)
-    v = np.round(rng.normal(100, 15, 5000), 3)
+def test_global_quantile_matches_numpy(spark):
+    v = np.round(np.random.default_rng(11).normal(100, 15, 5000), 3)
     df = spark.createDataFrame(pd.DataFrame({"v": v}))
-    got = exact_quantiles(df, [], "v", [0.1, 0.5, 0.9], method="distributed", buckets=4, collect_below=20).first()
+    got = exact_quantiles(df, [], "v", [0.1, 0.5, 0.9], sketch=64).first()
     assert np.allclose(list(got), np.quantile(v, [0.1, 0.5, 0.9]))
 
 
-def test_fill_with_integer_order_and_chunks_agree(spark):
-    rows = [("a", "x", i, None if i % 3 else float(i)) for i in range(1, 40)]
-    df = spark.createDataFrame(rows, "City string, Commodity string, k int, Price double")
-    plain = {r.k: r.Price for r in cl.fill_gaps(df, order=["k"]).collect()}  # non-date order -> one window per group
-    ts = df.withColumn("Date", F.make_timestamp_ntz(F.lit(2020), 1 + F.col("k") % 12, 1 + F.col("k") / 12,
-                                                  F.lit(0), F.lit(0), F.lit(0)))
-    chunked = {r.k: r.Price for r in cl.fill_gaps(ts, order=["Date"]).collect()}
-    by_date = {r.k: r.Price for r in cl.fill_gaps(ts, order=["Date"], chunk=None).collect()}
-    assert chunked == by_date
-    assert plain[1] == 3.0 and plain[4] == 3.0 and plain[7] == 6.0
+def _plain_fill(df, keys, order):
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ahead, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = F.coalesce(F.last("Price", True).over(ahead), F.first("Price", True).over(whole))
+    return {r["n"]: r["v"] for r in df.select("n", v.alias("v")).collect()}
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double", "date", "timestamp", "decimal(20,2)", "boolean"])
+def test_fill_of_a_long_group_is_that_of_one_window(spark, kind):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(700):
+        city = ["hot", "hot", "hot", "cold", None][n % 5]
+        at = None if n % 97 == 0 else int(rng.integers(0, 60))  # ties and nulls, broken by n
+        rows.append((city, "x", at, n, float(n) if rng.random() < 0.15 and (at or 0) > 3 else None))
+    df = spark.createDataFrame(rows, "City string, Commodity string, at int, n int, Price double").repartition(5)
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("at"))
+    key = {"int": F.col("at"), "string": F.concat(F.lit("é"), F.lpad(F.col("at").cast("string"), 3, "0")), "double": F.when(F.col("at") == 50, F.lit(float("nan"))).otherwise(F.col("at") / 7),
+           "date": day, "timestamp": day.cast("timestamp"), "decimal(20,2)": F.col("at").cast("decimal(20,2)"), "boolean": F.col("at") > 30}[kind]
+    df = df.withColumn("k", key)
+    got = {r["n"]: r["Price"] for r in cl.fill_gaps(df, order=["k", "n"], chunk_rows=40).collect()}
+    assert got == _plain_fill(df, ["City", "Commodity"], ["k", "n"])
+
+
+def test_fill_splits_a_hot_group_with_integer_order(spark):
+    df = spark.range(4000).select(F.lit("a").alias("City"), F.lit("x").alias("Commodity"), F.col("id").alias("n"), F.when(F.col("id") % 900 == 5, F.col("id").cast("double")).alias("Price"))
+    cuts = cl.fill_chunks(df, ["City", "Commodity"], "n", chunk_rows=500).collect()
+    assert len(cuts) == 1 and 6 <= len(cuts[0]["_cuts"]) <= 8
+    assert {r["n"]: r["Price"] for r in cl.fill_gaps(df, order=["n"], chunk_rows=500).collect()} == _plain_fill(df, ["City", "Commodity"], ["n"])
