@@ -1,27 +1,28 @@
 """Per entity x item (x period) features and the feature matrix.
 
-One hash aggregate computes every feature: Spark's partial aggregation
-combines map-side, so a hot (entity, item) group costs one small buffer per
-map task, not one task holding the group.  The only extra step is the per
-group origin date that the OLS trend needs (days are whole 24-hour periods
-from the first priced observation); it is a second, equally partial
-aggregate joined back on the group key (AQE turns that join into a broadcast
-when the group table is small, and splits skewed partitions otherwise).
-
-The matrix is produced in long form ``(entity, feature, value)`` (canonical)
-and optionally pivoted wide with an explicit column list.
+Averages and volatility take one hash aggregate, combined map-side, so a hot
+(entity, item) group costs one small buffer per map task.  The trend counts
+days from a group's first priced observation, which is known only after the
+scan.  Rows are therefore reduced once to mergeable regression states, one per
+(entity, item, period, timestamp): row count, count, sum, squared deviations,
+least and greatest value.  Origin, mean and slope come from that table; the
+rows of the panel are read once and never joined.
+
+The matrix is produced in long form ``(entity, feature, value)`` (canonical),
+as one ordered vector per entity, or pivoted wide for export.  Items and
+periods travel as a one-row table, so the plan does not grow with the columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import elapsed_days, period_label
 from ..functions.quantiles import exact_quantiles
+from ..session import broadcast_checked, checkpoint
 
 FEATURES = ("avg", "cv", "trend")
 TREND_METHODS = ("linear_regression", "simple_slope")
@@ -39,42 +40,56 @@ def feature_cv(value: str = "Price") -> Column:
     return F.when(F.count(v) >= 2, F.try_divide(F.stddev_samp(v), F.avg(v)))
 
 
-def feature_trend(value: str = "Price", days: str = "_days", ts: str = "Date", method: str = "linear_regression") -> Column:
-    """A3/A4 over rows that carry ``days`` = elapsed days since the group's
-    first priced observation.
+def regression_states(df: DataFrame, keys: Sequence[str], ts: str = "Date", value: str = "Price") -> DataFrame:
+    """One mergeable state per group and timestamp: (_g struct of the keys, _t, _rows, _n, _s, _m2,
+    _lo, _hi).  The only pass over the rows; checkpointed, since origin and slope both read it."""
+    v = F.col(value).cast("double")
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    d = df.select(group.alias("_g"), F.col(ts).alias("_t"), v.alias("_v"))
+    return checkpoint(d.groupBy("_g", "_t").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("_v").alias("_n"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"),
+        F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("_m2"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
 
-    * linear_regression: OLS slope per day; NULL below 3 pairs; 0.0 when all
+
+def merged_features(states: DataFrame, keys: Sequence[str], method: str = "linear_regression") -> DataFrame:
+    """Merge the states of each group: ``keys`` + rows, avg, cv and trend.
+
+    Trend (A3/A4) over whole days since the group's first priced observation:
+
+    * linear_regression: OLS slope per day; NULL below 3 values; 0.0 when all
       days are equal (least-squares minimum-norm answer).
     * simple_slope: (last - first) / days between them; ties on the date are
       broken by the value (first = lowest, last = highest).
     """
-    y = F.col(value)
-    x = F.when(y.isNotNull(), F.col(days))
+    if method not in TREND_METHODS:
+        raise ValueError(f"unknown trend method {method!r}")
+    priced = F.col("_n") > 0
+    origin = states.groupBy("_g").agg(F.min(F.when(priced, F.col("_t"))).alias("_t0"), F.try_divide(F.sum("_s"), F.sum("_n")).alias("_mu"))
+    side = broadcast_checked(origin.withColumnRenamed("_g", "_og"))
+    d = states.join(side, F.col("_g").eqNullSafe(F.col("_og")), "left")
+    x = F.when(priced, elapsed_days("_t", "_t0"))
+    d = d.withColumns({"_x": x, "_b": F.when(priced, F.col("_n") * F.pow(F.col("_s") / F.col("_n") - F.col("_mu"), 2))})
+    n, sy = F.sum("_n"), F.sum("_s")
+    sx, sxx, sxy = F.sum(F.col("_n") * F.col("_x")), F.sum(F.col("_n") * F.col("_x") * F.col("_x")), F.sum(F.col("_x") * F.col("_s"))
+    span = F.max("_x") - F.min("_x")
     if method == "linear_regression":
-        n = F.regr_count(y, x)
-        return F.when(n < 3, F.lit(None).cast("double")).when(F.regr_sxx(y, x) == 0, F.lit(0.0)).otherwise(F.regr_slope(y, x))
-    if method == "simple_slope":
-        key = F.struct(F.col(ts), y)
-        priced = F.when(y.isNotNull(), key)
-        first = F.min_by(y, priced)
-        last = F.max_by(y, priced)
-        span = F.max(x) - F.min(x)
-        return F.when((F.count(y) < 3) | (span == 0), F.lit(None).cast("double")).otherwise((last - first) / span)
-    raise ValueError(f"unknown trend method {method!r}")
+        trend = F.when(n < 3, F.lit(None).cast("double")).when(span == 0, F.lit(0.0)).otherwise(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx))
+    else:
+        at = F.when(priced, F.col("_t"))
+        trend = F.when((n < 3) | (span == 0), F.lit(None).cast("double")).otherwise(F.try_divide(F.max_by("_hi", at) - F.min_by("_lo", at), span))
+    std = F.sqrt((F.sum("_m2") + F.coalesce(F.sum("_b"), F.lit(0.0))) / F.nullif(n - 1, F.lit(0)))
+    out = d.groupBy("_g").agg(
+        F.sum("_rows").alias("rows"), F.try_divide(sy, n).alias("avg"),
+        F.when(n >= 2, F.try_divide(std, F.try_divide(sy, n))).alias("cv"), trend.alias("trend"))
+    return out.select(*[F.col(f"_g.k{i}").alias(k) for i, k in enumerate(keys)], "rows", "avg", "cv", "trend")
 
 
-# ----------------------------------------------------------------- A5 / A6
-def with_days(df: DataFrame, keys: Sequence[str], ts: str = "Date", value: str = "Price") -> DataFrame:
-    """Attach ``_days``: whole days since the first priced observation of the
-    row's group."""
-    origin = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(ts).alias("_t0"))
-    )
-    return df.join(origin, list(keys), "left").withColumn("_days", elapsed_days(ts, "_t0"))
+def feature_trend(df: DataFrame, keys: Sequence[str], ts: str = "Date", value: str = "Price", method: str = "linear_regression") -> DataFrame:
+    """A3/A4: ``keys`` + trend, one row per group."""
+    return merged_features(regression_states(df, keys, ts, value), keys, method).select(*keys, "trend")
 
 
+# ----------------------------------------------------------------- A5 / A6
 def feature_values(
     df: DataFrame,
     features: Sequence[str] = ("avg",),
@@ -94,17 +109,11 @@ def feature_values(
     d = d.withColumn("_period", period_label(ts, freq))
     keys = [entity, item, "_period"]
     if "trend" in features:
-        d = with_days(d, keys, ts, value)
+        m = merged_features(regression_states(d, keys, ts, value), keys, trend_method)
+        return m.select(*keys, *[F.when(F.col("rows") >= min_points, F.col(f)).alias(f) for f in features])
     enough = F.count(F.lit(1)) >= min_points
-    aggs = []
-    for f in features:
-        expr = {
-            "avg": feature_avg(value),
-            "cv": feature_cv(value),
-            "trend": feature_trend(value, "_days", ts, trend_method) if "trend" in features else None,
-        }[f]
-        aggs.append(F.when(enough, expr).alias(f))
-    return d.groupBy(*keys).agg(*aggs)
+    exprs = {"avg": feature_avg(value), "cv": feature_cv(value)}
+    return d.groupBy(*keys).agg(*[F.when(enough, exprs[f]).alias(f) for f in features])
 
 
 def feature_matrix(
@@ -126,8 +135,7 @@ def feature_matrix(
     Long form: ``(entity, item, period, type, feature, value)``; wide form:
     one row per entity, columns ``{item}_{feature}`` or
     ``{item}_{feature}_{period}`` in item, feature, period order.  ``items`` and
-    ``periods`` default to the distinct values present (one small aggregate;
-    both are bounded domains - item names and calendar periods)."""
+    ``periods`` default to the distinct values present."""
     long, names = matrix_long(df, features, freq, min_points, trend_method, items, periods, entity, item, ts, value)
     return to_wide(long, names, entity) if wide else long
 
@@ -146,32 +154,55 @@ def matrix_long(
     value: str = "Price",
 ) -> tuple[DataFrame, list[str]]:
     """Long dense matrix plus the ordered list of feature column names."""
+    cells, dims = _dense(df, features, freq, min_points, trend_method, items, periods, entity, item, ts, value)
+    d = dims.first()
+    names = [n for _, n in feature_names(d["items"], list(features), d["periods"], freq)]
+    return cells.select(entity, item, "period", "type", "feature", "value"), names
+
+
+def matrix_vector(
+    df: DataFrame,
+    features: Sequence[str] = ("avg",),
+    freq: str = "all",
+    min_points: int = 10,
+    trend_method: str = "linear_regression",
+    items: Sequence[str] | None = None,
+    periods: Sequence[str] | None = None,
+    entity: str = "City",
+    item: str = "Commodity",
+    ts: str = "Date",
+    value: str = "Price",
+) -> DataFrame:
+    """P6 without the wide table: (entity, features array<double>, names array<string>) in item,
+    feature, period order.  One exchange by entity, and no expression per column."""
+    cells, _ = _dense(df, features, freq, min_points, trend_method, items, periods, entity, item, ts, value)
+    rows = cells.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("_pos", "value", "feature"))).alias("_v"))
+    return rows.select(entity, F.col("_v.value").alias("features"), F.col("_v.feature").alias("names"))
+
+
+def _dense(df, features, freq, min_points, trend_method, items, periods, entity, item, ts, value) -> tuple[DataFrame, DataFrame]:
+    """All cells (entity, item, period, type, feature, _pos, value) and the one-row table of items and periods."""
     features = _check_features(features, min_points, trend_method)
-    # the narrow projection is read up to four times (features, trend origin,
-    # dimensions, entities): keep it instead of re-running the upstream plan
-    df = df.select(entity, item, ts, value).persist(StorageLevel.MEMORY_AND_DISK)
-    sparse = feature_values(df, features, freq, min_points, trend_method, entity, item, ts, value)
-    if items is None or periods is None:
-        # distinct (item, period) pairs: a code-generated hash aggregate whose
-        # output is bounded by items x calendar periods
-        pairs = df.select(F.col(item).alias("i"), period_label(ts, freq).alias("p")).where(F.col("i").isNotNull()).distinct().collect()
-        items = sorted({r["i"] for r in pairs}) if items is None else list(items)
-        periods = sorted({r["p"] for r in pairs if r["p"] is not None}) if periods is None else list(periods)
-    names = feature_names(items, features, periods, freq)
-    # dense grid: every entity gets the literal (item, period, type) list
-    grid_arr = F.array(*[
-        F.struct(F.lit(i).alias(item), F.lit(p).alias("_period"), F.lit(f).alias("type"), F.lit(n).alias("feature"))
-        for (i, f, p), n in names
-    ])
-    entities = df.select(entity).distinct()
-    grid = entities.select(entity, F.explode(grid_arr).alias("_g")).select(entity, "_g.*")
-    long_sparse = sparse.select(
-        entity, item, "_period",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("type"), F.col(f).alias("value")) for f in features])).alias("_f"),
-    ).select(entity, item, "_period", "_f.type", "_f.value")
-    long = grid.join(long_sparse, [entity, item, "_period", "type"], "left").withColumnRenamed("_period", "period")
-    long = long.select(entity, item, "period", "type", "feature", "value")
-    return long, [n for _, n in names]
+    # one row per observed (entity, item, period); the dimensions are read from it, not from the panel
+    sparse = checkpoint(feature_values(df, features, freq, min_points, trend_method, entity, item, ts, value))
+    given = lambda xs, col: F.sort_array(F.collect_set(col)) if xs is None else F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    dims = checkpoint(sparse.agg(given(items, item).alias("items"), given(periods, "_period").alias("periods")))
+    name = lambda i, f, p: F.concat_ws("_", i, F.lit(f), *([] if freq == "all" else [p]))
+
+    def cells_of(i: Column, f: str) -> Column:
+        return F.transform("periods", lambda p: F.struct(i.alias("_i"), p.alias("period"), F.lit(f).alias("type"), name(i, f, p).alias("feature")))
+
+    columns = F.flatten(F.transform("items", lambda i: F.flatten(F.array(*[cells_of(i, f) for f in features]))))
+    one = broadcast_checked(dims.select(F.lit(0).alias("_one"), columns.alias("_cols")))
+    entities = sparse.select(F.col(entity).alias("_e")).distinct().withColumn("_one", F.lit(0))
+    grid = entities.join(one, "_one").select("_e", F.posexplode("_cols").alias("_pos", "_c")).select("_e", "_pos", "_c.*")
+    observed = sparse.select(
+        F.col(entity).alias("_se"), F.col(item).alias("_si"), F.col("_period").alias("_sp"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("_st"), F.col(f).alias("value")) for f in features])).alias("_f"),
+    ).select("_se", "_si", "_sp", "_f._st", "_f.value")
+    on = F.col("_e").eqNullSafe(F.col("_se")) & (F.col("_i") == F.col("_si")) & (F.col("period") == F.col("_sp")) & (F.col("type") == F.col("_st"))
+    cells = grid.join(observed, on, "left")
+    return cells.select(F.col("_e").alias(entity), F.col("_i").alias(item), "period", "type", "feature", "_pos", "value"), dims
 
 
 def feature_names(items, features, periods, freq):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import scale as sc
+from ..session import checkpoint
 
 
 def build_features(
@@ -38,7 +39,7 @@ def build_features(
         raise ValueError(f"missing required columns: {missing}")
     d = filter_panel(df, years=years, cities=cities, items=items, entity=entity, item=item, ts=ts)
     long, names = fe.matrix_long(d, features, freq, min_points, trend_method, entity=entity, item=item, ts=ts, value=value)
-    long = long.persist()
+    long = checkpoint(long)  # read by the parameters, both matrices and the report
     params = sc.fit_params(long, methods)
     scaled_long = sc.apply_params(long, params, use)
     wide = fe.to_wide(long, names, entity)

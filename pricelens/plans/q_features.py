@@ -41,8 +41,7 @@ SELECT City, Commodity, round(CASE WHEN regr_count(Price, _days) < 3 THEN NULL
    WHEN regr_sxx(Price, _days) = 0 THEN 0.0 ELSE regr_slope(Price, _days) END, 6) AS trend
 FROM {_days_sql(V, 'City, Commodity')} GROUP BY City, Commodity""")
 def a3(spark, sf):
-    v = fe.with_days(tb.panel_v(spark, sf), ["City", "Commodity"])
-    return v.groupBy("City", "Commodity").agg(r6(fe.feature_trend()).alias("trend"))
+    return fe.feature_trend(tb.panel_v(spark, sf), ["City", "Commodity"]).withColumn("trend", r6("trend"))
 
 
 @query("a4_feature_trend_simple", f"""
@@ -54,8 +53,7 @@ SELECT City, Commodity,
         / (max(CASE WHEN Price IS NOT NULL THEN _days END) - min(CASE WHEN Price IS NOT NULL THEN _days END)) END, 6) AS trend
 FROM {_days_sql(V, 'City, Commodity')} GROUP BY City, Commodity""")
 def a4(spark, sf):
-    v = fe.with_days(tb.panel_v(spark, sf), ["City", "Commodity"])
-    return v.groupBy("City", "Commodity").agg(r6(fe.feature_trend(method="simple_slope")).alias("trend"))
+    return fe.feature_trend(tb.panel_v(spark, sf), ["City", "Commodity"], method="simple_slope").withColumn("trend", r6("trend"))
 
 
 # The items of the two panels and the order years.
@@ -129,6 +127,36 @@ def a6m(spark, sf):
     return m.withColumn("value", r6("value"))
 
 
+_PM = f"SELECT *, strftime(Date, '%Y-%m') AS period FROM ({P})"
+_FX_MONTHLY_SQL = f"""
+WITH d AS MATERIALIZED ({_PM}),
+g AS (SELECT City, Commodity, period, count(*) AS n, avg(Price) AS a,
+         CASE WHEN count(Price) >= 2 AND avg(Price) <> 0 THEN stddev_samp(Price) / avg(Price) END AS c,
+         CASE WHEN regr_count(Price, x) < 3 THEN NULL WHEN regr_sxx(Price, x) = 0 THEN 0.0 ELSE regr_slope(Price, x) END AS t
+      FROM (SELECT d.*, floor(date_diff('microsecond', min(Date) FILTER (Price IS NOT NULL) OVER (PARTITION BY City, Commodity, period), Date) / 86400000000.0) AS x FROM d)
+      GROUP BY City, Commodity, period),
+grid AS (SELECT c.City, i.Commodity, y.period FROM (SELECT DISTINCT City FROM d) c,
+           (SELECT DISTINCT Commodity FROM d) i, (SELECT DISTINCT period FROM d) y)
+SELECT City, Commodity, period, f.name AS type, Commodity || '_' || f.name || '_' || period AS feature,
+       CASE WHEN g.n >= 3 THEN CASE f.name WHEN 'avg' THEN g.a WHEN 'cv' THEN g.c ELSE g.t END END AS value
+FROM grid LEFT JOIN g USING (City, Commodity, period), (VALUES ('avg'), ('cv'), ('trend')) f(name)"""
+
+
+@query("a6_feature_matrix_monthly_all", f"SELECT * REPLACE (round(value, 4) AS value) FROM ({_FX_MONTHLY_SQL})")
+def a6m_all(spark, sf):
+    """Every feature of every month (some 1500 columns) of panel P, long."""
+    m = fe.feature_matrix(tb.panel_p(spark, sf), features=("avg", "cv", "trend"), freq="M", min_points=3, wide=False)
+    return m.withColumn("value", r4("value"))
+
+
+@query("p6_to_vector_monthly", f"""
+SELECT City, list(coalesce(round(value, 4), -1e9) ORDER BY Commodity, type, period) AS features, list(feature ORDER BY Commodity, type, period) AS names
+FROM ({_FX_MONTHLY_SQL}) GROUP BY City""")
+def p6m(spark, sf):
+    v = fe.matrix_vector(tb.panel_p(spark, sf), ("avg", "cv", "trend"), freq="M", min_points=3)
+    return v.select("City", F.transform("features", lambda x: F.coalesce(r4(x), F.lit(-1e9))).alias("features"), "names")
+
+
 def _fx_p(spark, sf):
     """Long feature matrix of panel P (avg, cv, trend)."""
     return fe.feature_matrix(tb.panel_p(spark, sf), features=("avg", "cv", "trend"), wide=False)
@@ -220,9 +248,9 @@ def a7(spark, sf):
 @query("p6_to_vector", f"""
 WITH fx AS ({_FX_P_SQL})
 SELECT City, list(round(value, 4) ORDER BY feature) AS features, list(feature ORDER BY feature) AS names
-FROM fx WHERE type = 'avg' GROUP BY City""")
+FROM fx GROUP BY City""")
 def p6(spark, sf):
-    m = fe.feature_matrix(tb.panel_p(spark, sf), ("avg",))
+    m = fe.feature_matrix(tb.panel_p(spark, sf), ("avg", "cv", "trend"))
     v = fe.to_vector(m)
     return v.select("City", F.transform("features", lambda x: r4(x)).alias("features"), "names")
 

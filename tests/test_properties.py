@@ -148,6 +148,37 @@ def test_pvalues_known():
     assert pearson_p(0.9, 2) is None and pearson_p(1.0, 5) == 0.0
 
 
+def test_merged_features_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(2)
+    n = 900
+    pdf = pd.DataFrame({"City": rng.choice(["a", "b", None], n), "Commodity": "x", "h": rng.integers(0, 400, n),
+                        "Price": np.where(rng.random(n) < 0.2, np.nan, 1e6 + rng.normal(0, 1, n))})
+    pdf["Date"] = pd.Timestamp("2020-01-01 07:00") + pd.to_timedelta(pdf.h * 5, unit="h")
+    df = spark.createDataFrame(pdf).withColumn("Price", F.nanvl("Price", F.lit(None)))
+    got = fe.feature_values(df, ("avg", "cv", "trend"), min_points=1).toPandas()
+    got["City"] = got["City"].where(got["City"].notna(), None)
+    for city, g in pdf.assign(City=pdf.City.fillna("")).groupby("City"):
+        g = g.dropna(subset=["Price"])
+        days = ((g.Date - g.Date.min()) // pd.Timedelta(days=1)).to_numpy(float)
+        row = got[got.City.isna()] if city == "" else got[got.City == city]
+        assert np.allclose(row[["avg", "cv", "trend"]].to_numpy(float)[0], [g.Price.mean(), g.Price.std() / g.Price.mean(), np.polyfit(days, g.Price - 1e6, 1)[0]], rtol=1e-5)
+
+
+def test_trend_reads_the_panel_once(spark):
+    plan = fe.feature_values(tb.panel_v(spark, SF_SMALL), ("trend",))._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower() and "event" not in plan  # only the states are left to read
+
+
+def test_matrix_with_ten_thousand_columns_keeps_its_plan(spark):
+    df = spark.range(30_000).select((F.col("id") % 3).cast("string").alias("City"), F.concat(F.lit("i"), (F.col("id") % 5000).cast("string")).alias("Commodity"),
+                                    F.lit("2020-01-01").cast("timestamp_ntz").alias("Date"), F.col("id").cast("double").alias("Price"))
+    v = fe.matrix_vector(df, ("avg", "cv"), min_points=1)
+    assert len(v._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    rows = v.collect()
+    assert len(rows) == 3 and all(len(r["features"]) == len(r["names"]) == 10_000 for r in rows)
+    assert rows[0]["names"][:2] == ["i0_avg", "i0_cv"]
+
+
 def test_parse_quirks(spark):
     from pricelens.functions.columns import parse_header_date, parse_price
 
