@@ -145,11 +145,10 @@ def validate_panel(spark, path: str, valid_cities=None, valid_items: Sequence[st
     from ..operators.summary import data_checks
     from ..sources import sheets as sh
 
-    members = sh.member_table(spark, path)
-    cells, failed = sh.scan_zip(spark, path)
-    layout = sh.check_layout(members, cells, failed, valid_cities)
-    panel, _, _, metrics = build_panel(spark, path, items=None, scanned=(cells, failed))
-    panel = panel.persist()
+    found = sh.scan(spark, path, archives=True)  # read once
+    layout = sh.check_layout(found.members, found.cells, found.failed, valid_cities)
+    panel, _, _, metrics = build_panel(spark, path, items=None, scanned=(found.cells, found.failed))
+    panel = checkpoint(panel)
     checks = data_checks(panel, first_only=False).select(F.col("step").cast("string").alias("subject"), "check", "detail")
     geo = (unknown_keys(panel, valid_cities, "City").select(F.col("City").alias("subject"), F.lit("unknown_city").alias("check"),
                                                             F.lit("not a supported city").alias("detail"))

@@ -13,7 +13,7 @@ from ..session import scratch_path
 from ..sources import panel_io as io_
 from ..sources import sheets as sh
 from ..sources import tables as tb
-from ..sources import writers as wr
+from . import fixtures as fx
 from .q_eval import _RULES, E, _metrics_rows_sql
 from .registry import query, r4, r6
 
@@ -32,13 +32,13 @@ def _cells(spark, sf):
 
 def _sheet_tree(spark, sf, fmt="xlsx"):
     root = scratch_path(spark, "sheets")
-    wr.write_sheets(_cells(spark, sf), wr.local_path(root), fmt).count()
+    fx.write_sheets(_cells(spark, sf), root, fmt).count()
     return root
 
 
 def _zip_tree(spark, sf):
     root = scratch_path(spark, "zips")
-    wr.write_zips(_cells(spark, sf), wr.local_path(root)).count()
+    fx.write_zips(_cells(spark, sf), root).count()
     return root
 
 
@@ -56,7 +56,7 @@ def s1(spark, sf):
 
 @query("s1_scan_sheets_csv", f"SELECT City, Commodity, count(*) AS n, round(sum(Price), 2) AS total FROM ({CELL_SQL}) GROUP BY ALL")
 def s1c(spark, sf):
-    cells, _ = sh.scan_sheets(spark, _sheet_tree(spark, sf, "csv"), glob="*.csv")
+    cells, _ = sh.scan_sheets(spark, _sheet_tree(spark, sf, "csv"), extensions=["csv"])
     p = _panel_from_cells(cells)
     return p.groupBy("City", "Commodity").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("Price"), 2).alias("total"))
 
@@ -100,22 +100,35 @@ def s3(spark, sf):
     return io_.read_panel(spark, f"{out}/panel.csv").select("City", "Commodity", "Date", "Price")
 
 
-@query("s4_read_latest", f"SELECT City, Commodity, Date, Price FROM ({P}) WHERE year(Date) = 1996")
+# Every fifth price with thousands commas, every seventh a word, every eleventh date unreadable.
+@query("s3_read_panel_bad_values", f"""
+WITH p AS (SELECT City, Commodity, Date, Price, l_orderkey * 8 + l_linenumber AS k FROM ({P})),
+x AS (SELECT City, Commodity, CASE WHEN k % 11 = 0 THEN NULL ELSE Date END AS Date, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN NULL ELSE Price END AS Price FROM p)
+SELECT 'csv' AS format, * FROM x UNION ALL SELECT 'parquet', * FROM x""")
+def s3_bad(spark, sf):
+    """The same panel of text cells as CSV and as Parquet: unreadable values become NULL."""
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    price = F.when(k % 5 == 0, F.lit("1,234.5")).when(k % 7 == 0, F.lit("none")).otherwise(F.col("Price").cast("string"))
+    date = F.when(k % 11 == 0, F.lit("31/31/1996")).otherwise(F.date_format("Date", "yyyy-MM-dd HH:mm:ss"))
+    p = tb.panel_p(spark, sf, with_keys=True).select("City", "Commodity", date.alias("Date"), price.alias("Price"))
+    out, back = scratch_path(spark, "bad"), None
+    p.write.option("header", "true").csv(f"{out}/panel.csv")
+    p.write.parquet(f"{out}/panel.parquet")
+    for fmt in ("csv", "parquet"):
+        one = io_.read_panel(spark, f"{out}/panel.{fmt}").select(F.lit(fmt).alias("format"), "City", "Commodity", F.col("Date").cast("timestamp_ntz").alias("Date"), "Price")
+        back = one if back is None else back.unionByName(one)
+    return back
+
+
+@query("s4_read_latest", f"SELECT City, Commodity, Date, Price FROM ({P})")
 def s4(spark, sf):
+    """The newer of two whole exports, each a folder of part files; the older has doubled prices."""
     import time
 
-    base = scratch_path(spark, "latest")
-    p = tb.panel_p(spark, sf)
-    p.where(F.year("Date") == 1995).coalesce(1).write.option("header", "true").csv(f"{base}/tmp_a")
-    time.sleep(1.1)
-    p.where(F.year("Date") == 1996).coalesce(1).write.option("header", "true").csv(f"{base}/tmp_b")
-    for name in ("tmp_a", "tmp_b"):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.csv").load(f"{base}/{name}").select("path").collect()
-        import shutil
-
-        src = wr.local_path(files[0]["path"])
-        shutil.copy(src, wr.local_path(f"{base}/panel_{name}.csv"))
-        time.sleep(1.1)
+    base, p = scratch_path(spark, "latest"), tb.panel_p(spark, sf)
+    p.withColumn("Price", F.col("Price") * 2).write.option("header", "true").csv(f"{base}/panel_z.csv")
+    time.sleep(1.1)  # a modification time of its own
+    p.write.option("header", "true").csv(f"{base}/panel_a.csv")
     return io_.read_latest(spark, base, "panel_*.csv").select("City", "Commodity", "Date", "Price")
 
 
@@ -206,14 +219,25 @@ def d2(spark, sf):
 
 
 @query("d3_check_layout", f"""
-SELECT DISTINCT 'data/' || Province || '/' || City || '/' || CAST(year(Date) AS VARCHAR) || '.xlsx' AS subject,
-       'unknown_city' AS "check", City AS detail
-FROM ({P}) WHERE City NOT IN (SELECT City FROM ({CO}))""")
+WITH f AS (SELECT DISTINCT 'data/' || Province || '/' || City || '/' || CAST(year(Date) AS VARCHAR) || CASE WHEN n_nationkey % 8 = 0 THEN '.xls' ELSE '.xlsx' END AS subject,
+             City, n_nationkey % 8 AS k FROM ({P}) JOIN nation ON n_name = City)
+SELECT subject, 'unknown_city' AS "check", City AS detail FROM f WHERE k <> 0 AND City NOT IN (SELECT City FROM ({CO}))
+UNION ALL SELECT subject, 'layout', 'expected [ROOT/]PROVINCE/CITY/YYYY.xlsx' FROM f WHERE k = 0
+UNION ALL SELECT subject, 'unreadable', 'ValueError: unsupported file type: ' || substr(subject, 6) FROM f WHERE k = 0
+UNION ALL SELECT subject, 'unreadable', 'BadZipFile: File is not a zip file' FROM f WHERE k = 1
+UNION ALL SELECT subject, 'unparseable_dates', 'date headers without the blank after ' || chr(39) || '/' || chr(39) FROM f WHERE k = 2
+UNION ALL SELECT subject, 'no_date_columns', 'no DD/ MM/ YYYY header' FROM f WHERE k = 3
+UNION ALL SELECT subject, 'no_numeric_data', 'no numeric price cell' FROM f WHERE k = 3 OR k = 4
+UNION ALL SELECT subject, 'empty_item_column', 'item column is empty' FROM f WHERE k = 5""")
 def d3(spark, sf):
-    root = _zip_tree(spark, sf)
-    members = sh.member_table(spark, root)
-    cells, failed = sh.scan_zip(spark, root)
-    return sh.check_layout(members, cells, failed, tb.coordinates_p(spark, sf).select("City"))
+    """Archives with one of six faults planted in most cities' sheets, and cities not in the list."""
+    nation = tb.table(spark, sf, "nation")
+    faults = F.array(*[F.lit(f) for f in fx.FAULTS])
+    wrong = nation.select(F.col("n_name").alias("City"), F.get(faults, F.col("n_nationkey") % 8).alias("fault"))
+    root = scratch_path(spark, "faults")
+    fx.write_zips(_cells(spark, sf).join(wrong, "City"), root, fault="fault").count()
+    found = sh.scan(spark, root, archives=True)
+    return sh.check_layout(found.members, found.cells, found.failed, tb.coordinates_p(spark, sf).select("City"))
 
 
 # Each sheet has every date and item of its city and year; the gaps are filled inside the sheet.

@@ -32,13 +32,25 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, directory: str, glob: str = "*.csv") -> DataFrame:
-    """The newest file matching ``glob`` (by modification time).  Only
-    path and modification time are listed; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory).select("path", "modificationTime")
-    newest = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()["p"]
-    if newest is None:
+    """The newest export matching ``glob`` (by modification time): a file, or a folder of part
+    files, which is as new as its newest part and read whole.  Only paths and modification times are
+    listed; contents are not read."""
+    base = directory.rstrip("/")
+    listed = None
+    for pattern in (f"{base}/{glob}", f"{base}/{glob}/part-*"):
+        try:
+            one = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        listed = one if listed is None else listed.unionByName(one)
+    if listed is None:
         raise FileNotFoundError(f"no file matching {glob} in {directory}")
-    return read_panel(spark, newest)
+    parent = F.regexp_extract("path", r"^(.*)/part-[^/]*$", 1)
+    export = F.when(parent != "", parent).otherwise(F.col("path"))
+    times = listed.groupBy(export.alias("path")).agg(F.max("modificationTime").alias("t"))
+    return read_panel(spark, times.agg(F.max_by("path", F.struct("t", "path"))).first()[0])
 
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:

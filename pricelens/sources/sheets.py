@@ -1,13 +1,18 @@
 """Wide price sheets: scanning trees and ZIP archives of ``[ROOT/]PROVINCE/
 CITY/YYYY.xlsx`` (or ``.csv``) into one long table (S1, S2, D1-D3, P1, P2).
 
-One scan: Spark's ``binaryFile`` source lists the files (and ZIP archives);
-a ``mapInPandas`` task decodes each file it receives - ``.xlsx`` with the
-standard library (zip + XML), ``.csv`` with the csv module - and emits one
-row per (file, sheet row, date header) cell, already in long form, with the
-province / city taken from the path.  A file that cannot be decoded becomes
-an error row instead of failing the job.  Nothing is collected: every later
-step (date parsing, cleaning, union, catalog, checks) is a DataFrame plan.
+The scan is a Spark data source, ``spark.read.format("price_sheets")``.  Its
+partitions are sheets and archive members: file names and the directories at
+the end of the archives are listed first (no content is read), then each task
+opens its members by itself, so one archive is read by as many tasks as it has
+members.  Small members share a task up to ``partitionBytes``.  Rows are
+streamed out of ``.xlsx`` (zip + XML, standard library; the first sheet in
+workbook order) and ``.csv`` as Arrow batches, in long form: one row per (file,
+sheet row, column) cell, province and city taken from the path.  Files are
+opened through Arrow's file systems, so the folder may be any that all
+executors reach.  A file that cannot be decoded becomes an error row instead of
+failing the job.  Every later step (date parsing, cleaning, catalog, checks) is a
+DataFrame plan over the one scan.
 """
 
 from __future__ import annotations
@@ -18,19 +23,26 @@ import posixpath
 import re
 import zipfile
 import xml.etree.ElementTree as ET
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.columns import SHEET_DROP_COLUMNS, SHEET_ITEM_COLUMN, parse_header_date
+from ..session import checkpoint
 
 CELLS_SCHEMA = (
     "Source_File string, archive string, Province string, City string, file_size long, sheet_row int, "
     "Commodity string, header string, cell string, error string"
 )
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+BATCH_CELLS = 16_384
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 # header text of a date column: DD/ MM/ YYYY with optional blanks (layout rule)
 HEADER_RE = r"^\d{1,2}/\s*\d{1,2}/\s*\d{4}$"
 LAYOUT_RE = r"^([^/]+/)?[^/]+/[^/]+/[^/]+\.xlsx$"
@@ -38,77 +50,82 @@ LAYOUT_RE = r"^([^/]+/)?[^/]+/[^/]+/[^/]+\.xlsx$"
 
 # ------------------------------------------------------------------ decoding
 def _col_index(ref: str) -> int:
-    letters = re.match(r"[A-Z]+", ref).group(0)
     n = 0
-    for ch in letters:
+    for ch in re.match(r"[A-Z]+", ref).group(0):
         n = n * 26 + (ord(ch) - 64)
     return n - 1
 
 
-def read_xlsx(data: bytes) -> list[list[str | None]]:
-    """First worksheet of an .xlsx as rows of cell texts (stdlib only)."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """Member name of the first worksheet in workbook order (by number where a workbook has no list)."""
+    names = set(z.namelist())
+    sheets = [n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)]
+    if not sheets:
+        raise ValueError("workbook has no worksheet")
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        target = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
+            name = target.get(sheet.get(_REL)) or ""
+            name = name.lstrip("/") if name.startswith("/") else posixpath.normpath(posixpath.join("xl", name))
+            if name in names:
+                return name
+    return min(sheets, key=lambda n: (int((re.findall(r"\d+", n) or ["0"])[-1]), n))
+
+
+def xlsx_rows(file) -> Iterator[list[str | None]]:
+    """Rows of cell texts of the first worksheet, streamed (the shared strings are held)."""
+    with zipfile.ZipFile(file) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            for si in root.findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-        sheets = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet") and n.endswith(".xml"))
-        if not sheets:
-            raise ValueError("workbook has no worksheet")
-        root = ET.fromstring(z.read(sheets[0]))
-    rows: list[list[str | None]] = []
-    for row in root.iter(f"{{{_NS['m']}}}row"):
-        cells: dict[int, str | None] = {}
-        for c in row.findall("m:c", _NS):
-            t = c.get("t")
-            v = c.find("m:v", _NS)
-            if t == "s" and v is not None:
-                val = shared[int(v.text)]
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            else:
-                val = v.text if v is not None else None
-            cells[_col_index(c.get("r"))] = val
-        width = max(cells) + 1 if cells else 0
-        rows.append([cells.get(i) for i in range(width)])
-    return rows
-
-
-def read_csv_sheet(data: bytes) -> list[list[str | None]]:
-    return [list(r) for r in csv.reader(io.StringIO(data.decode("utf-8-sig")))]
-
-
-def _decode(name: str, data: bytes) -> list[list[str | None]]:
-    low = name.lower()
-    if low.endswith(".xlsx"):
-        return read_xlsx(data)
-    if low.endswith(".csv"):
-        return read_csv_sheet(data)
-    raise ValueError(f"unsupported file type: {name}")
-
-
-def _sheet_cells(rel: str, data: bytes, source: str, archive: str | None, size: int, item_col: str, drop: Sequence[str]):
-    """Long cells of one sheet; ``rel`` is the path below the root."""
-    parts = [p for p in rel.split("/") if p]
-    city = parts[-2] if len(parts) >= 2 else None
-    prov = parts[-3] if len(parts) >= 3 else None
-    rows = _decode(rel, data)
-    if not rows:
-        raise ValueError("empty sheet")
-    header = [("" if h is None else str(h)).strip() for h in rows[0]]
-    if item_col not in header:
-        raise ValueError(f"missing column {item_col!r}")
-    ic = header.index(item_col)
-    skip = {ic} | {i for i, h in enumerate(header) if h in drop}
-    out = []
-    for r, row in enumerate(rows[1:], start=1):
-        item = row[ic] if ic < len(row) else None
-        for j, h in enumerate(header):
-            if j in skip:
-                continue
-            out.append((source, archive, prov, city, size, r, item, h, row[j] if j < len(row) else None, None))
-    return out
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, si in ET.iterparse(f):
+                    if si.tag == f"{_NS}si":
+                        shared.append("".join(t.text or "" for t in si.iter(f"{_NS}t")))
+                        si.clear()
+        with z.open(_first_sheet(z)) as f:
+            for _, row in ET.iterparse(f):
+                if row.tag != f"{_NS}row":
+                    continue
+                cells: dict[int, str | None] = {}
+                for n, c in enumerate(row.findall(f"{_NS}c")):
+                    kind, v = c.get("t"), c.find(f"{_NS}v")
+                    if kind == "s" and v is not None:
+                        val = shared[int(v.text)]
+                    elif kind == "inlineStr":
+                        val = "".join(x.text or "" for x in c.iter(f"{_NS}t"))
+                    else:
+                        val = v.text if v is not None else None
+                    cells[_col_index(c.get("r")) if c.get("r") else n] = val
+                yield [cells.get(i) for i in range(max(cells) + 1 if cells else 0)]
+                row.clear()
+
+
+def csv_rows(file) -> Iterator[list[str | None]]:
+    yield from csv.reader(io.TextIOWrapper(file, encoding="utf-8-sig", newline=""))
+
+
+# ------------------------------------------------------------------ data source
+@dataclass
+class Member:
+    """One sheet: its path or archive member, the path below the root, its size."""
+
+    source: str
+    archive: str | None
+    rel: str
+    size: int
+    error: str | None = None
+
+
+class SheetPartition(InputPartition):
+    def __init__(self, members: list[Member]):
+        self.members = members
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = re.sub(r"^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def _strip_root(names: Sequence[str]) -> str:
@@ -116,76 +133,158 @@ def _strip_root(names: Sequence[str]) -> str:
     tops = {n.split("/")[0] for n in names if "/" in n}
     if len(tops) == 1:
         top = next(iter(tops))
-        deeper = [n for n in names if n.startswith(top + "/") and n.count("/") >= 3]
-        if deeper:
+        if any(n.startswith(top + "/") and n.count("/") >= 3 for n in names):
             return top + "/"
     return ""
 
 
-def _scan_fn(item_col: str, drop: Sequence[str], root: str):
-    def fn(it):
-        for pdf in it:
-            out = []
-            for path, content, length in zip(pdf["path"], pdf["content"], pdf["length"]):
-                data = bytes(content)
-                if path.lower().endswith(".zip"):
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(data)) as z:
-                            members = [n for n in z.namelist() if not n.endswith("/")]
-                            pre = _strip_root(members)
-                            for n in members:
-                                rel = n[len(pre):] if n.startswith(pre) else n
-                                if posixpath.basename(rel).startswith((".", "~$")) or "__MACOSX" in n:
-                                    continue
-                                try:
-                                    out.extend(_sheet_cells(rel, z.read(n), n, path, z.getinfo(n).file_size, item_col, drop))
-                                except Exception as e:  # one bad member must not fail the run
-                                    out.append((n, path, None, None, z.getinfo(n).file_size, None, None, None, None, f"{type(e).__name__}: {e}"))
-                    except Exception as e:
-                        out.append((path, path, None, None, int(length), None, None, None, None, f"{type(e).__name__}: {e}"))
-                    continue
-                rel = path[len(root):] if root and path.startswith(root) else path
-                try:
-                    out.extend(_sheet_cells(rel, data, path, None, int(length), item_col, drop))
-                except Exception as e:
-                    out.append((path, None, None, None, int(length), None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CELLS_SCHEMA.split(", ")])
-
-    return fn
-
-
-def scan_sheets(spark: SparkSession, path: str, glob: str = "*.{xlsx,csv}", item_col: str = SHEET_ITEM_COLUMN,
+def _hidden(name: str) -> bool:
+    return posixpath.basename(name).startswith((".", "~$")) or "__MACOSX" in name
+
+
+def list_members(path: str, extensions: Sequence[str], archives: bool) -> Iterator[Member]:
+    """Sheets below ``path``, or the members of the archives below it (their directories only)."""
+    system, root = file_system(path)
+    root = root.rstrip("/")
+    for info in system.get_file_info(pafs.FileSelector(root, recursive=True)):
+        low = info.path.lower()
+        if info.type != pafs.FileType.File or _hidden(info.path):
+            continue
+        if not archives:
+            if low.endswith(tuple(f".{e}" for e in extensions)):
+                yield Member(info.path, None, info.path[len(root) + 1 :], info.size)
+        elif low.endswith(".zip"):
+            try:
+                with system.open_input_file(info.path) as f, zipfile.ZipFile(f) as z:
+                    inside = [i for i in z.infolist() if not i.is_dir()]
+            except Exception as e:  # one bad archive must not fail the run
+                yield Member(info.path, info.path, "", info.size, f"{type(e).__name__}: {e}")
+                continue
+            pre = _strip_root([i.filename for i in inside])
+            for i in inside:
+                yield Member(i.filename, info.path, i.filename.removeprefix(pre), i.file_size)
+
+
+class SheetReader(DataSourceReader):
+    def __init__(self, options):
+        self.path = options["path"]
+        self.archives = options.get("archives", "false") == "true"
+        self.extensions = options.get("extensions", "xlsx,csv").split(",")
+        self.item = options.get("item", SHEET_ITEM_COLUMN)
+        self.drop = [c for c in options.get("drop", "\n".join(SHEET_DROP_COLUMNS)).split("\n") if c]
+        self.bytes = int(options.get("partitionBytes", 4 << 20))
+
+    def partitions(self) -> list[SheetPartition]:
+        out, held = [SheetPartition([])], 0
+        for m in list_members(self.path, self.extensions, self.archives):
+            if out[-1].members and held + m.size > self.bytes:
+                out.append(SheetPartition([]))
+                held = 0
+            out[-1].members.append(m)
+            held += m.size
+        return out
+
+    def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        system, _ = file_system(self.path)
+        for m in partition.members:
+            # sheet_row 0 stands for the member itself
+            rows.append((m.source, m.archive, None, None, m.size, 0, None, None, None, m.error))
+            if m.error or _hidden(m.rel):
+                continue
+            try:
+                for cell in self._cells(system, m):
+                    rows.append(cell)
+                    if len(rows) >= BATCH_CELLS:
+                        yield _batch(rows)
+                        rows = []
+            except Exception as e:  # one bad sheet must not fail the run
+                rows.append((m.source, m.archive, None, None, m.size, None, None, None, None, f"{type(e).__name__}: {e}"))
+        yield _batch(rows)
+
+    def _cells(self, system, m: Member) -> Iterator[tuple]:
+        low, parts = m.rel.lower(), [p for p in m.rel.split("/") if p]
+        if not low.endswith((".xlsx", ".csv")):
+            raise ValueError(f"unsupported file type: {m.rel}")
+        city, prov = (parts[-2] if len(parts) >= 2 else None), (parts[-3] if len(parts) >= 3 else None)
+        with system.open_input_file(m.archive or m.source) as f:
+            if m.archive is not None:
+                with zipfile.ZipFile(f) as z:
+                    f = io.BytesIO(z.read(m.source))  # one workbook, which is a ZIP of its own
+            rows = xlsx_rows(f) if low.endswith(".xlsx") else csv_rows(f)
+            first = next(rows, None)
+            if first is None:
+                raise ValueError("empty sheet")
+            header = [("" if h is None else str(h)).strip() for h in first]
+            if self.item not in header:
+                raise ValueError(f"missing column {self.item!r}")
+            at = header.index(self.item)
+            values = [(j, h) for j, h in enumerate(header) if j != at and h not in self.drop]
+            for r, row in enumerate(rows, start=1):
+                item = row[at] if at < len(row) else None
+                for j, h in values:
+                    yield (m.source, m.archive, prov, city, m.size, r, item, h, row[j] if j < len(row) else None, None)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in CELLS_SCHEMA.split(", ")])
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+class SheetSource(DataSource):
+    """Options: path; archives ("true": ZIP archives below it); extensions, comma-separated; item (name of
+    the item column); drop (columns left out, one a line); partitionBytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "price_sheets"
+
+    def schema(self) -> str:
+        return CELLS_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return SheetReader(dict(self.options))
+
+
+class Scan(NamedTuple):
+    #: one row a cell
+    cells: DataFrame
+    #: files that could not be read: Source_File, archive, error
+    failed: DataFrame
+    #: every file or member listed: archive, member
+    members: DataFrame
+
+
+def scan(spark: SparkSession, path: str, archives: bool = False, extensions: Sequence[str] = ("xlsx", "csv"), item_col: str = SHEET_ITEM_COLUMN,
+         drop: Sequence[str] = tuple(SHEET_DROP_COLUMNS), partition_bytes: int = 4 << 20) -> Scan:
+    """Read every sheet below ``path`` once; cells, failures and names are views of the one checkpointed scan."""
+    spark.dataSource.register(SheetSource)
+    options = {"path": path, "archives": str(archives).lower(), "extensions": ",".join(extensions), "item": item_col,
+               "drop": "\n".join(drop), "partitionBytes": str(partition_bytes)}
+    rows = checkpoint(spark.read.format("price_sheets").options(**options).load())
+    failed = rows.where(F.col("error").isNotNull()).select("Source_File", "archive", "error")
+    cells = rows.where(F.col("error").isNull() & (F.col("sheet_row") > 0)).drop("error")
+    listed = (F.col("sheet_row") == 0) & F.col("error").isNull()
+    return Scan(cells, failed, rows.where(listed).select("archive", F.col("Source_File").alias("member")))
+
+
+def scan_sheets(spark: SparkSession, path: str, extensions: Sequence[str] = ("xlsx", "csv"), item_col: str = SHEET_ITEM_COLUMN,
                 drop: Sequence[str] = tuple(SHEET_DROP_COLUMNS)) -> tuple[DataFrame, DataFrame]:
     """Every sheet below ``path`` -> (cells, failed files).  Cells are
     long: (Source_File, Province, City, file_size, sheet_row, Commodity,
     header, cell)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    root = _uri_root(path)
-    cells = files.select("path", "content", "length").mapInPandas(_scan_fn(item_col, list(drop), root), CELLS_SCHEMA)
-    return _split(cells)
+    found = scan(spark, path, False, extensions, item_col, drop)
+    return found.cells, found.failed
 
 
 def scan_zip(spark: SparkSession, path: str, item_col: str = SHEET_ITEM_COLUMN,
              drop: Sequence[str] = tuple(SHEET_DROP_COLUMNS)) -> tuple[DataFrame, DataFrame]:
     """The same from ZIP archives (an optional single wrapper folder
     inside the archive is ignored)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
-    cells = files.select("path", "content", "length").mapInPandas(_scan_fn(item_col, list(drop), ""), CELLS_SCHEMA)
-    return _split(cells)
-
-
-def _uri_root(path: str) -> str:
-    p = path.rstrip("/")
-    if "://" not in p and not p.startswith("file:"):
-        p = "file:" + p
-    return p + "/"
-
-
-def _split(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cells = cells.persist()
-    ok = cells.where(F.col("error").isNull()).drop("error")
-    failed = cells.where(F.col("error").isNotNull()).select("Source_File", "archive", "error")
-    return ok, failed
+    found = scan(spark, path, True, item_col=item_col, drop=drop)
+    return found.cells, found.failed
 
 
 # ------------------------------------------------------------------ P1, P2
@@ -238,25 +337,6 @@ def file_catalog(cells: DataFrame, provinces: Sequence[str] | None = None, years
         "years_in_file", F.element_at(hit, 1).alias("year"), "Source_File")
 
 
-def member_table(spark: SparkSession, path: str) -> DataFrame:
-    """Names of the members of every ZIP archive below ``path`` (no content
-    decoded): (archive, member)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
-
-    def fn(it):
-        for pdf in it:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                        rows.extend((p, n) for n in z.namelist() if not n.endswith("/"))
-                except Exception as e:
-                    rows.append((p, f"<unreadable: {type(e).__name__}>"))
-            yield pd.DataFrame(rows, columns=["archive", "member"])
-
-    return files.select("path", "content").mapInPandas(fn, "archive string, member string")
-
-
 def check_layout(members: DataFrame, cells: DataFrame | None = None, failed: DataFrame | None = None,
                  valid_cities: DataFrame | Sequence[str] | None = None) -> DataFrame:
     """D3: every violation as (subject, check, detail): member path not

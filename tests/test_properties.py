@@ -195,7 +195,7 @@ def test_parse_quirks(spark):
 
 def test_sheet_scan_isolates_bad_files(spark, tmp_path):
     from pricelens.sources import sheets as sh
-    from pricelens.sources.writers import xlsx_bytes
+    from pricelens.plans.fixtures import xlsx_bytes
 
     good = tmp_path / "P1" / "C1"
     good.mkdir(parents=True)
@@ -208,6 +208,57 @@ def test_sheet_scan_isolates_bad_files(spark, tmp_path):
     assert failed.count() == 1
 
 
+def _workbook(sheets, order):
+    """Workbook with sheets by file number, listed in ``order``."""
+    import io
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for n, data in sheets.items():
+            z.writestr(f"xl/worksheets/sheet{n}.xml", data)
+        if order:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="s{n}" sheetId="{n}" r:id="rId{n}"/>' for n in order) + "</sheets></workbook>")
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(
+                f'<Relationship Id="rId{n}" Target="{"/xl/" if n == 2 else ""}worksheets/sheet{n}.xml"/>' for n in order) + "</Relationships>")
+    return buf.getvalue()
+
+
+def test_first_sheet_is_that_of_the_workbook():
+    import io
+    import zipfile
+
+    from pricelens.plans.fixtures import xlsx_bytes
+    from pricelens.sources import sheets as sh
+
+    def sheet(text):
+        return zipfile.ZipFile(io.BytesIO(xlsx_bytes([[text]]))).read("xl/worksheets/sheet1.xml")
+
+    sheets = {n: sheet(f"sheet {n}") for n in (2, 3, 10)}
+    for order, first in (([3, 2], 3), ([2, 3], 2), ([10, 2], 10), ([], 2)):
+        assert list(sh.xlsx_rows(io.BytesIO(_workbook(sheets, order)))) == [[f"sheet {first}"]]
+
+
+def test_archives_are_read_by_member(spark, tmp_path):
+    import zipfile
+
+    from pricelens.plans.fixtures import xlsx_bytes
+    from pricelens.sources import sheets as sh
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for y in range(2000, 2012):
+            z.writestr(f"data/P/C/{y}.xlsx", xlsx_bytes([["No", "Komoditas (Rp)", f"01/ 01/ {y}"], ["1", "Beras", str(y)]]))
+        z.writestr("data/P/C/~$2000.xlsx", b"lock")
+    (tmp_path / "b.zip").write_bytes(b"broken")
+    found = sh.scan(spark, f"file://{tmp_path}", archives=True, partition_bytes=1)
+    assert len(sh.SheetReader({"path": str(tmp_path), "archives": "true", "partitionBytes": "1"}).partitions()) == 14
+    assert sorted(int(r["cell"]) for r in found.cells.collect()) == list(range(2000, 2012))
+    assert [r["archive"].endswith("b.zip") for r in found.failed.collect()] == [True] and found.members.count() == 13
+    big = sh.SheetReader({"path": str(tmp_path), "archives": "true"}).partitions()
+    assert len(big) == 1 and len(big[0].members) == 14
+
+
 def test_results_do_not_depend_on_shuffle_partitions(spark):
     from pricelens.plans import registry
 
