@@ -8,6 +8,8 @@ join with the (k-row) centroid table."""
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import global_rank
-from ..session import broadcast_checked
+from ..functions.quantiles import exact_quantiles
+from ..session import broadcast_checked, checkpoint
 from . import pairwise as pw
 
 
@@ -44,7 +46,7 @@ def centroids(lv: DataFrame, dim: int, cluster="cluster", features="features") -
 
 # ---------------------------------------------------------------- E1, E8
 def silhouette_samples(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features",
-                       block_rows: int = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                       block_rows: int | None = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """E1 per row: (entity, cluster, a, b, silhouette); singleton cluster -> 0."""
     lv = labeled(vec, labels, entity, cluster, features)
     sums = pw.cluster_distance_sums(lv, entity, cluster, features, block_rows=block_rows)
@@ -163,7 +165,7 @@ def size_balance(labels: DataFrame, cluster="cluster") -> DataFrame:
 
 
 def intra_distance(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features",
-                   block_rows: int = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int | None = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """E5: per cluster the mean non-zero pair distance; then the mean and
     population std of those means over clusters."""
     lv = labeled(vec, labels, entity, cluster, features)
@@ -211,28 +213,48 @@ def adjusted_rand(lb1: DataFrame, lb2: DataFrame, entity="entity", cluster="clus
     return m.select(ari.alias("ari"))
 
 
-def subsample(vec: DataFrame, ratio: float, seed: int, entity="entity") -> DataFrame:
-    """Exactly round(ratio * n) rows without replacement: rows ordered by a
-    seeded hash, first ones kept (distributed ranking, no single task)."""
-    n = vec.count()
-    keep = int(round(ratio * n))
-    ranked = global_rank(vec.withColumn("_h", F.xxhash64(F.col(entity), F.lit(seed))), [F.col("_h"), F.col(entity)], "_r")
-    return ranked.where(F.col("_r") <= keep).drop("_h", "_r")
+def pairwise_ari(labelings: DataFrame, run: str = "run", entity="entity", cluster="cluster") -> DataFrame:
+    """Adjusted Rand Index of every two runs of a long table (run, entity, cluster) on the
+    entities they share: (i, j, ari), i < j.  Each entity's runs become one array, whose pairs feed
+    one contingency aggregate (i, j, u, v); two runs that share no entity get no row, a single one 1.0."""
+    mine = F.struct(F.col(run).alias("r"), F.col(cluster).alias("c"))
+    rows = labelings.groupBy(entity).agg(F.array_sort(F.collect_list(mine)).alias("_v"))  # one entry a run
+    later = lambda a, at: F.transform(
+        F.slice("_v", at + 2, F.size("_v")), lambda b: F.struct(a["r"].alias("i"), b["r"].alias("j"), a["c"].alias("u"), b["c"].alias("v")))
+    cont = rows.select(F.explode(F.flatten(F.transform("_v", later))).alias("_p")).select("_p.*").groupBy("i", "j", "u", "v").agg(F.count(F.lit(1)).alias("n"))
+    c2 = lambda x: x * (x - 1) / 2.0
+    # the table's margins: each count goes to its cell, its row, its column and the total
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("u") if k in "cu" else F.lit(None).cast("int")).cast("long").alias("a"),
+                               (F.col("v") if k in "cv" else F.lit(None).cast("int")).cast("long").alias("b")) for k in "cuvt"])
+    sums = cont.select("i", "j", "n", F.explode(kinds).alias("_k")).select("i", "j", "n", "_k.*").groupBy("i", "j", "k", "a", "b").agg(F.sum("n").alias("n"))
+    of = lambda k: F.sum(F.when(F.col("k") == k, c2(F.col("n"))).otherwise(0.0))
+    t = sums.groupBy("i", "j").agg(of("c").alias("sij"), of("u").alias("sa"), of("v").alias("sb"), of("t").alias("all"))
+    expected = F.coalesce(F.try_divide(F.col("sa") * F.col("sb"), F.col("all")), F.lit(0.0))
+    mx = (F.col("sa") + F.col("sb")) / 2
+    return t.select("i", "j", F.when(mx == expected, F.lit(1.0)).otherwise((F.col("sij") - expected) / (mx - expected)).alias("ari"))
+
+
+def sample_thresholds(vec: DataFrame, n: int, ratio: float, seed: int, entity="entity") -> tuple[DataFrame, dict[int, float]]:
+    """Rows with one 53-bit hash a run (array ``_h``) and, by run, the value between the k-th smallest
+    hash and the next (k = round(ratio * rows)): rows below it are the run's sample, whatever the
+    partitions.  All runs take the two passes of one quantile."""
+    hashed = vec.withColumn("_h", F.array(*[F.shiftrightunsigned(F.xxhash64(F.col(entity), F.lit(seed + i)), 11).cast("double") for i in range(n)]))
+    rows = vec.count()
+    keep = int(round(ratio * rows))
+    if keep == 0 or keep >= rows:
+        return hashed, dict.fromkeys(range(n), math.inf if keep else -1.0)
+    long = hashed.select(F.posexplode("_h").alias("run", "h"))
+    found = exact_quantiles(long, ["run"], "h", [(keep - 0.5) / (rows - 1)], names=["t"])
+    return hashed, {r["run"]: r["t"] for r in found.collect()}  # one row a run
 
 
 def stability(vec: DataFrame, fit: Callable[[DataFrame, int], DataFrame], k: int, n: int = 10, ratio: float = 0.8, seed: int = 42,
               entity="entity", cluster="cluster") -> tuple[DataFrame, DataFrame]:
     """Fit ``n`` subsamples of ``ratio`` rows, compare every pair of
     labelings by ARI on the entities they share.  Returns (pairs, summary)."""
-    labelings = [fit(subsample(vec, ratio, seed + i, entity), k).select(entity, cluster).persist() for i in range(n)]
-    rows = []
-    for i in range(n):
-        for j in range(i + 1, n):
-            rows.append(adjusted_rand(labelings[i], labelings[j], entity, cluster).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "ari"))
-    pairs = rows[0]
-    for r in rows[1:]:
-        pairs = pairs.unionByName(r)
-    pairs = pairs.persist()
+    hashed, limits = sample_thresholds(vec, n, ratio, seed, entity)
+    runs = [fit(hashed.where(F.col("_h")[i] < limits[i]).drop("_h"), k).select(F.lit(i).alias("run"), entity, cluster) for i in range(n)]
+    pairs = checkpoint(pairwise_ari(functools.reduce(DataFrame.unionByName, runs), "run", entity, cluster))
     summary = pairs.agg(F.avg("ari").alias("mean"), F.stddev_pop("ari").alias("std"), F.min("ari").alias("min"),
                         F.max("ari").alias("max"), F.count(F.lit(1)).alias("count"))
     return pairs, summary

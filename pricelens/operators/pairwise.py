@@ -1,59 +1,125 @@
 """Blocked pairwise computation (J6, re-aimed).
 
-Exact silhouette, intra-cluster distances, affinity degrees and spectral
-products all need every pair of entities, but nothing downstream needs the
+Exact silhouette, intra-cluster distances, affinity degrees, k-NN graphs and
+spectral products all need pairs of entities, but nothing downstream needs the
 pairs themselves.  So the pair space is cut into tiles instead of being
 materialised:
 
 * each row gets a block id ``pmod(xxhash64(entity), nb)`` (deterministic, so a
-  retried task rebuilds exactly the same tiles);
-* a row of block ``b`` is sent to the tiles ``(b, j)`` for ``j >= b`` (left
-  role) and ``(i, b)`` for ``i < b`` (right role) - an equi-keyed
-  ``explode`` + ``groupBy``, no cartesian join;
-* one ``applyInPandas`` task per tile computes the tile's distances with NumPy
-  and emits only per-row (or per-cluster) partial sums, which Spark then
-  adds up.
-
-Every unordered pair is seen in exactly one tile.  Work is O(n^2 d) spread
-over nb(nb+1)/2 tasks; memory per task is O(block_rows^2)."""
+  retried task rebuilds exactly the same tiles); the rows of a block become one
+  packed row (arrays of ids, features, labels), sized by bytes, not rows;
+* a block ``b`` is sent to the tiles ``(b, j)`` for ``j >= b`` (left role) and
+  ``(i, b)`` for ``i < b`` (right role) - an ``explode`` of packed rows and a
+  ``groupBy``, no cartesian join.  With n rows of d numbers and blocks of B bytes
+  that shuffles (8 n d)^2 / B bytes;
+* blocks may be kept within a group (``group``): then only tiles of blocks of
+  the same group exist;
+* one ``applyInArrow`` task per tile reads the arrays without copying row by
+  row, goes through them in pieces of ``PIECE`` rows, and emits only per-row (or
+  per-cluster) partial sums, which Spark then adds up.
+
+Every unordered pair is seen in exactly one tile.  A small input is cut into
+enough blocks for all cores."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 512
+from ..session import broadcast_checked
 
+#: Bytes of features in a block.
+BLOCK_BYTES = 32 << 20
+#: Rows compared at a time within a tile.
+PIECE = 2048
+#: ``block_rows`` None: as many rows as BLOCK_BYTES hold.
+DEFAULT_BLOCK_ROWS = None
 
-def n_blocks(vec: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
-    n = vec.count()
-    return max(1, math.ceil(n / block_rows))
 
+class Block:
+    """The packed rows of one block inside a task."""
 
-def tiles(vec: DataFrame, nb: int, entity: str = "entity") -> DataFrame:
-    """Replicate rows onto the upper-triangular tile grid: adds ``ti``, ``tj``
-    and ``role`` ('L' left / 'R' right)."""
-    b = F.pmod(F.xxhash64(F.col(entity)), F.lit(nb)).cast("int")
-    d = vec.withColumn("_b", b)
-    left = d.select("*", F.explode(F.sequence(F.col("_b"), F.lit(nb - 1))).alias("tj")).withColumn("ti", F.col("_b")).withColumn("role", F.lit("L"))
-    right = (
-        d.where(F.col("_b") > 0)
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("ti"))
-        .withColumn("tj", F.col("_b"))
-        .withColumn("role", F.lit("R"))
-    )
-    return left.unionByName(right).drop("_b")
+    def __init__(self, rows: pa.StructArray):
+        self.rows = rows
 
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def column(self, name: str) -> np.ndarray:
+        """A scalar column, as numpy."""
+        return self.rows.field(name).to_numpy(zero_copy_only=False)
+
+    def matrix(self, name: str = "features") -> np.ndarray:
+        """An array column, as (rows, d) doubles."""
+        values = self.rows.field(name)
+        if len(values) == 0:
+            return np.zeros((0, 0))
+        return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
+def rows_of_bytes(d: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(1, block_bytes // (8 * max(1, d)))
+
+
+def n_blocks(vec: DataFrame, block_rows: int | None = None, features: str = "features") -> int:
+    """Blocks for all rows: by size, and at least so many that the tiles occupy every core."""
+    n, d = vec.agg(F.count(F.lit(1)), F.max(F.size(features))).first()
+    if block_rows is not None:
+        return max(1, math.ceil(n / block_rows))
+    cores = vec.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(n / rows_of_bytes(d or 1)), min(math.ceil(math.sqrt(2 * cores)), n // 64))
+
+
+def packed_blocks(vec: DataFrame, nb, entity: str = "entity", group: str | None = None) -> DataFrame:
+    """One row a block: (g group or 0, b, nb, rows).  ``nb`` is a number, or a column of it by group."""
+    count = F.col(nb) if isinstance(nb, str) else F.lit(nb)
+    b = F.pmod(F.xxhash64(F.col(entity)), count.cast("long")).cast("int")
+    cols = [c for c in vec.columns if c != nb]
+    g = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    keyed = vec.select(g.alias("g"), b.alias("b"), count.cast("int").alias("nb"), F.struct(*cols).alias("row"))
+    return keyed.groupBy("g", "b", "nb").agg(F.collect_list("row").alias("rows"))
+
+
+def tiles(blocks: DataFrame) -> DataFrame:
+    """Packed blocks on the upper triangle of each group: adds ``ti``, ``tj`` and ``right``."""
+    left = blocks.select("g", F.col("b").alias("ti"), F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("tj"), F.lit(False).alias("right"), "rows")
+    right = blocks.where(F.col("b") > 0).select(
+        "g", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("ti"), F.col("b").alias("tj"), F.lit(True).alias("right"), "rows")
+    return left.unionByName(right)
 
-def matrix(pdf: pd.DataFrame, col: str = "features") -> np.ndarray:
-    if len(pdf) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[col].values])
+
+def run_tiles(placed: DataFrame, keys: list[str], fn: Callable[[Block, Block, bool], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn(left, right, diagonal)`` once per tile of (keys, right, rows); a tile with one side
+    only is a diagonal one, on which both arguments are the same block."""
+    fields = vec_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, right = table.column("rows").combine_chunks(), table.column("right").to_pylist()
+        sides = {r: Block(rows[i : i + 1].flatten()) for i, r in enumerate(right)}
+        left = sides[False]
+        out = fn(left, sides.get(True, left), True not in sides)
+        return pa.Table.from_pandas(out, schema=fields, preserve_index=False)
+
+    return placed.groupBy(*keys).applyInArrow(run, schema)
+
+
+def vec_schema(schema: str) -> pa.Schema:
+    """Arrow schema of a DDL text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def pieces(n: int) -> Iterator[slice]:
+    for at in range(0, n, PIECE):
+        yield slice(at, min(n, at + PIECE))
 
 
 def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,61 +128,59 @@ def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def dists(a: np.ndarray, b: np.ndarray, exact_self: bool = False) -> np.ndarray:
-    d = np.sqrt(sq_dists(a, b))
-    if exact_self:
-        np.fill_diagonal(d, 0.0)
-    return d
+def matrix(pdf: pd.DataFrame, col: str = "features") -> np.ndarray:
+    if len(pdf) == 0:
+        return np.zeros((0, 0))
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[col].values])
 
 
 def map_tiles(
     vec: DataFrame,
-    fn: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
+    fn: Callable[[Block, Block, bool], pd.DataFrame],
     schema: str,
     nb: int | None = None,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int | None = DEFAULT_BLOCK_ROWS,
     entity: str = "entity",
 ) -> DataFrame:
-    """Run ``fn(left_rows, right_rows, diagonal)`` once per tile.  On a
-    diagonal tile both arguments are the same rows."""
+    """Run ``fn(left, right, diagonal)`` once per tile of all rows."""
     nb = nb or n_blocks(vec, block_rows)
-    t = tiles(vec, nb, entity)
+    return run_tiles(tiles(packed_blocks(vec, nb, entity)), ["g", "ti", "tj"], fn, schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        diag = bool((pdf["ti"].iloc[0]) == (pdf["tj"].iloc[0]))
-        left = pdf[pdf["role"] == "L"].reset_index(drop=True)
-        right = left if diag else pdf[pdf["role"] == "R"].reset_index(drop=True)
-        return fn(left, right, diag)
 
-    return t.groupBy("ti", "tj").applyInPandas(run, schema)
+def _distance_pieces(a: np.ndarray, b: np.ndarray, diag: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Distances of all rows of two blocks, piece by piece; a row is at 0 from itself."""
+    for i in pieces(len(a)):
+        for j in pieces(len(b)):
+            d = np.sqrt(sq_dists(a[i], b[j]))
+            if diag and i == j:
+                np.fill_diagonal(d, 0.0)
+            yield i, j, d
 
 
 # ---------------------------------------------------------------- consumers
 def cluster_distance_sums(vec: DataFrame, entity: str = "entity", cluster: str = "cluster", features: str = "features",
-                          nb: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                          nb: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """For every entity and every cluster: sum of Euclidean distances from
     the entity to the members of that cluster (self excluded), and their
     count.  Output (entity, cluster, other, dsum, cnt)."""
     schema = f"{entity} {vec.schema[entity].dataType.simpleString()}, {cluster} int, other int, dsum double, cnt long"
 
-    def fn(L, R, diag):
-        a, b = matrix(L, features), matrix(R, features)
-        d = dists(a, b, exact_self=diag)
+    def sums(d: np.ndarray, member: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return d @ (member[:, None] == which[None, :])
+
+    def fn(L: Block, R: Block, diag: bool) -> pd.DataFrame:
+        a, b, lc, rc = L.matrix(features), R.matrix(features), L.column(cluster), R.column(cluster)
+        lk, rk = np.unique(lc), np.unique(rc)
+        of_left, of_right = np.zeros((len(a), len(rk))), np.zeros((len(b), len(lk)))
+        for i, j, d in _distance_pieces(a, b, diag):
+            of_left[i] += sums(d, rc[j], rk)
+            if not diag:
+                of_right[j] += sums(d.T, lc[i], lk)
         out = []
-        lc, rc = L[cluster].to_numpy(), R[cluster].to_numpy()
-        for c in np.unique(rc):
-            m = rc == c
-            s = d[:, m].sum(1)
-            cnt = m.sum() - (lc == c).astype(np.int64) if diag else np.full(len(L), m.sum())
-            out.append(pd.DataFrame({entity: L[entity].to_numpy(), cluster: lc, "other": c, "dsum": s, "cnt": cnt}))
-        if not diag:
-            for c in np.unique(lc):
-                m = lc == c
-                s = d[m, :].sum(0)
-                out.append(pd.DataFrame({entity: R[entity].to_numpy(), cluster: rc, "other": c, "dsum": s,
-                                         "cnt": np.full(len(R), m.sum())}))
-        if not out:
-            return pd.DataFrame({entity: [], cluster: [], "other": [], "dsum": [], "cnt": []})
+        for block, own, others, total, members in ((L, lc, rk, of_left, rc), (R, rc, lk, of_right, lc))[: 1 if diag else 2]:
+            for at, c in enumerate(others):
+                n = (members == c).sum() - ((own == c) if diag else 0)
+                out.append(pd.DataFrame({entity: block.column(entity), cluster: own, "other": c, "dsum": total[:, at], "cnt": np.broadcast_to(n, len(block))}))
         return pd.concat(out, ignore_index=True)
 
     v = vec.select(F.col(entity), F.col(cluster).cast("int").alias(cluster), features)
@@ -125,25 +189,30 @@ def cluster_distance_sums(vec: DataFrame, entity: str = "entity", cluster: str =
 
 
 def intra_pair_sums(vec: DataFrame, entity: str = "entity", cluster: str = "cluster", features: str = "features",
-                    nb: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    nb: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per cluster: sum and count of the non-zero distances over unordered
-    same-cluster pairs.  Output (cluster, dsum, cnt)."""
+    same-cluster pairs.  Output (cluster, dsum, cnt).  Blocks hold rows of one
+    cluster, so no tile compares rows of two; ``nb`` is the number of blocks a cluster."""
     schema = f"{cluster} int, dsum double, cnt long"
 
-    def fn(L, R, diag):
-        a, b = matrix(L, features), matrix(R, features)
-        d = dists(a, b, exact_self=diag)
-        lc, rc = L[cluster].to_numpy(), R[cluster].to_numpy()
-        same = lc[:, None] == rc[None, :]
-        if diag:
-            same &= np.triu(np.ones_like(same, dtype=bool), k=1)
-        nz = same & (d > 0)
-        rows = []
-        for c in np.unique(lc):
-            m = nz & (lc[:, None] == c)
-            rows.append((int(c), float(d[m].sum()), int(m.sum())))
-        return pd.DataFrame(rows, columns=[cluster, "dsum", "cnt"])
-
-    v = vec.select(F.col(entity), F.col(cluster).cast("int").alias(cluster), features)
-    raw = map_tiles(v, fn, schema, nb, block_rows, entity)
+    def fn(L: Block, R: Block, diag: bool) -> pd.DataFrame:
+        a, b, total, n = L.matrix(features), R.matrix(features), 0.0, 0
+        for i, j, d in _distance_pieces(a, b, diag):
+            if diag and i.start > j.start:
+                continue  # seen from the other side
+            if diag and i == j:
+                d = np.triu(d, k=1)
+            total += float(d.sum())
+            n += int(np.count_nonzero(d))
+        return pd.DataFrame({cluster: [int(L.column(cluster)[0])], "dsum": [total], "cnt": [n]})
+
+    v = vec.select(F.col(entity), F.col(cluster).cast("int").alias(cluster), features).where(F.col(cluster).isNotNull())
+    if nb is None:
+        per = v.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.max(F.size(features)).alias("_d"))
+        fit = F.lit(block_rows) if block_rows is not None else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest("_d", F.lit(1)))))
+        sizes = per.select(F.col(cluster).alias("_c"), F.ceil(F.col("_n") / fit).cast("int").alias("_nb"))
+        v = v.join(broadcast_checked(sizes), F.col(cluster) == F.col("_c")).drop("_c")
+    else:
+        v = v.withColumn("_nb", F.lit(nb))
+    raw = run_tiles(tiles(packed_blocks(v, "_nb", entity, cluster)), ["g", "ti", "tj"], fn, schema)
     return raw.groupBy(cluster).agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))

@@ -4,23 +4,19 @@ correlation, projection, silhouette and map views, one flat DataFrame each."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import pearson_pvalue
+from ..session import checkpoint
 from . import evaluate as ev
 from .clean import _year_ranges, drop_null_keys
 from .joins import attach_clusters, attach_coordinates, dense_grid
 from .setops import sort_desc
 
-PARALLEL_PARTS = 4
-
-
 # ---------------------------------------------------------------- R1, R2
 def monthly_trends(df: DataFrame, labels: DataFrame, items: Sequence[str] | None = None, years: Sequence[int] | None = None,
                    dense: bool = True, entity="City", item="Commodity", ts="Date", value="Price", cluster="Cluster") -> DataFrame:
@@ -85,17 +81,18 @@ def boxplot_stats(df: DataFrame, labels: DataFrame, entity="City", item="Commodi
     1.5 IQR) are returned as rows (item, year, cluster, value), never
     collected into one list."""
     d = attach_clusters(df.select(entity, item, ts, value), labels, entity, cluster).withColumn("Year", F.year(ts))
-    # read by the statistics, the quartiles, the grid and the outlier pass
-    d = d.where(F.col(cluster).isNotNull()).select(item, "Year", cluster, value).persist(StorageLevel.MEMORY_AND_DISK)
+    # read by the statistics, both passes of the quartiles and the outlier pass
+    d = checkpoint(d.where(F.col(cluster).isNotNull()).select(item, "Year", cluster, value))
     keys = [item, "Year", cluster]
     v = F.col(value)
     basic = d.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     q = exact_quantiles(d, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
-    stats = basic.join(q, keys, "left")
-    dims = d.agg(F.sort_array(F.collect_set(item)).alias("i"), F.sort_array(F.collect_set("Year")).alias("y"),
-                 F.sort_array(F.collect_set(cluster)).alias("c")).first()
-    base = d.select(item).distinct()
-    grid = dense_grid(stats, base, {"Year": list(dims["y"]), cluster: list(dims["c"])}, keys)
+    stats = checkpoint(basic.join(q, keys, "left"))
+    # every item, year and cluster present: one row of lists, from the statistics
+    lists = stats.agg(*[F.sort_array(F.collect_set(k)).alias(f"_{k}") for k in keys])
+    for k in keys:
+        lists = lists.withColumn(k, F.explode(f"_{k}"))
+    grid = lists.select(*keys).join(stats, keys, "left")
     grid = grid.select(*keys, "min", "q1", "median", "q3", "max", "mean", "std")
     b = q.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
     outl = d.join(b, keys, "inner").where((v < F.col("_lo")) | (v > F.col("_hi"))).select(*keys, v.alias("value"))
@@ -107,11 +104,12 @@ def correlation(df: DataFrame, labels: DataFrame | None = None, min_rows: int =
                 value="Price", cluster="Cluster", pvalues: bool = True) -> DataFrame:
     """R5 (global) / R6 (per cluster when ``labels`` are given) / R7.
 
-    Prices are averaged per (entity, date, item) (duplicates), then every two
-    items are paired on (entity, date) and Pearson r is computed over the
+    Prices are averaged per (entity, date, item) (duplicates) in the one pass
+    over the rows; each (entity, date) then is one sorted array of its items,
+    and a co-moment aggregate over the pairs within the arrays gives Pearson r of the
     complete pairs: covar_pop / (std_pop * std_pop), NULL for zero variance.
-    The self-join is bounded: after the average a (entity, date) key holds
-    at most one row per item; each unordered pair is computed once and
+    Pairs are combined in the tasks that make them, so only item pairs are
+    shuffled; each unordered pair is computed once and
     mirrored after the aggregate.  Output (``[cluster,]`` item_a, item_b, r, n,
     p); per cluster, a cluster with fewer than ``min_rows`` (entity, date)
     rows gets NULL r and p.  p is the two-sided t-test p-value (>= 3 pairs),
@@ -121,10 +119,12 @@ def correlation(df: DataFrame, labels: DataFrame | None = None, min_rows: int =
     if labels is not None:
         d = attach_clusters(df, labels, entity, cluster).where(F.col(cluster).isNotNull())
         ck = [cluster]
-    g = d.where(F.col(value).isNotNull()).groupBy(*ck, entity, ts, item).agg(F.avg(value).alias("_x"))
-    a = g.select(*ck, entity, ts, F.col(item).alias("item_a"), F.col("_x").alias("_a"))
-    b = g.select(*ck, entity, ts, F.col(item).alias("item_b"), F.col("_x").alias("_b"))
-    pairs = a.join(b, ck + [entity, ts]).where(F.col("item_a") <= F.col("item_b"))
+    g = checkpoint(d.where(F.col(item).isNotNull()).groupBy(*ck, entity, ts, item).agg(F.avg(value).alias("_x")))
+    cell = F.when(F.col("_x").isNotNull(), F.struct(F.col(item).alias("i"), F.col("_x").alias("x")))
+    rows = g.groupBy(*ck, entity, ts).agg(F.array_sort(F.collect_list(cell)).alias("_v"))  # at most one entry an item
+    later = lambda a, at: F.transform(
+        F.slice("_v", at + 1, F.size("_v")), lambda b: F.struct(a["i"].alias("item_a"), b["i"].alias("item_b"), a["x"].alias("_a"), b["x"].alias("_b")))
+    pairs = rows.select(*ck, F.explode(F.flatten(F.transform("_v", later))).alias("_p")).select(*ck, "_p.*")
     half = pairs.groupBy(*ck, "item_a", "item_b").agg(
         F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("r"),
         F.count(F.lit(1)).alias("n"),
@@ -132,22 +132,19 @@ def correlation(df: DataFrame, labels: DataFrame | None = None, min_rows: int =
     sides = F.array(F.struct("item_a", "item_b"), F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")))
     sides = F.explode(F.when(F.col("item_a") == F.col("item_b"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s")
     r = half.select(*ck, sides, "r", "n").select(*ck, "s.item_a", "s.item_b", "r", "n")
-    its = sorted(x[0] for x in d.select(item).distinct().collect())
-    if ck:
-        # (entity, date) rows per cluster, for the minimum-rows rule
-        base = d.select(*ck, entity, ts).distinct().groupBy(*ck).agg(F.count(F.lit(1)).alias("_rows"))
-    else:
-        base = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    grid = dense_grid(r, base, {"item_a": its, "item_b": its}, ck + ["item_a", "item_b"])
-    out = grid.select(*ck, "item_a", "item_b", "r", F.coalesce("n", F.lit(0)).alias("n"), *(["_rows"] if ck else []))
-    if ck:
-        small = F.col("_rows") < min_rows
-        out = out.withColumn("r", F.when(small, F.lit(None).cast("double")).otherwise(F.col("r")))
+    # every two items (of every cluster): the item list is one row
+    one = F.lit(0).alias("_one")
+    items = g.agg(F.sort_array(F.collect_set(item)).alias("_items")).select(one, "_items")
+    # (entity, date) rows per cluster, for the minimum-rows rule
+    base = rows.groupBy(*ck).agg(F.count(F.lit(1)).alias("_rows")).select("*", one)
+    grid = base.join(items, "_one").select(*ck, "_rows", F.explode("_items").alias("item_a"), "_items").select(
+        *ck, "_rows", "item_a", F.explode("_items").alias("item_b"))
+    out = grid.join(r, ck + ["item_a", "item_b"], "left").select(*ck, "item_a", "item_b", "r", F.coalesce("n", F.lit(0)).alias("n"), "_rows")
+    small = (F.col("_rows") < min_rows) if ck else F.lit(False)
+    out = out.withColumn("r", F.when(~small, F.col("r")))
     if pvalues:
         p = F.when(F.col("item_a") == F.col("item_b"), F.lit(1.0)).otherwise(pearson_pvalue("r", "n"))
-        if ck:
-            p = F.when(F.col("_rows") < min_rows, F.lit(None).cast("double")).otherwise(p)
-        out = out.withColumn("p", p)
+        out = out.withColumn("p", F.when(~small, p))
     return out.drop("_rows")
 
 
@@ -204,7 +201,7 @@ def city_silhouettes(vec: DataFrame, labels: DataFrame, entity="entity", cluster
                      block_rows: int = 512) -> DataFrame:
     """Per-entity silhouettes ranked high to low, with the overall
     silhouette and Davies-Bouldin index on every row."""
-    s = ev.silhouette_samples(vec, labels, entity, cluster, features, block_rows).persist()
+    s = checkpoint(ev.silhouette_samples(vec, labels, entity, cluster, features, block_rows))
     ranked = sort_desc(s.select(entity, cluster, "silhouette"), "silhouette", [entity])
     overall = s.agg(F.avg("silhouette").alias("overall"))
     db = ev.davies_bouldin(vec, labels, entity, cluster, features)
@@ -253,9 +250,10 @@ def run_detailed(vec: DataFrame, labels: DataFrame, algorithm: str, k: int, cent
 
 def report(df: DataFrame, vec: DataFrame, panel_labels: DataFrame, vec_labels: DataFrame, coords: DataFrame | None = None,
            entity="City", item="Commodity", ts="Date", value="Price", names: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """The bundle of report tables over one cached labeled panel; parts
-    that would be empty are skipped."""
-    d = df.persist()
+    """The bundle of report tables over one checkpointed panel; parts
+    that would be empty are skipped.  All tables of the panel have rows if it has any, those of the
+    vectors likewise; only the outliers have to be looked for."""
+    d = checkpoint(df.select(entity, item, ts, value))
     cols = {"entity": entity, "item": item, "ts": ts, "value": value}
     box, outliers = boxplot_stats(d, panel_labels, **cols)
     points, loadings, variance = project_2d(vec, vec_labels, names)
@@ -274,6 +272,14 @@ def report(df: DataFrame, vec: DataFrame, panel_labels: DataFrame, vec_labels: D
     }
     if coords is not None:
         parts["assignments"] = assignments(panel_labels, coords, entity)
-    with ThreadPool(PARALLEL_PARTS) as pool:  # independent tables share the cluster
-        empty = pool.map(inheritable_thread_target(df.sparkSession)(DataFrame.isEmpty), parts.values(), chunksize=1)
-    return {k: v for (k, v), none in zip(parts.items(), empty) if not none}
+    drop = {name for name in ("boxplot_outliers", "projection", "loadings", "variance") if parts[name].isEmpty()}
+    priced = attach_clusters(d, panel_labels, entity).where(F.col("Cluster").isNotNull())
+    if priced.isEmpty():
+        drop |= {"monthly_trends", "radar", "boxplot", "correlation_per_cluster"}
+    if d.isEmpty():
+        drop |= {"correlation", "years"}
+    if vec_labels.isEmpty():
+        drop.add("silhouettes")
+    if coords is not None and panel_labels.isEmpty():
+        drop.add("assignments")
+    return {k: v for k, v in parts.items() if k not in drop}

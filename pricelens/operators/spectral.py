@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import checkpoint
 from . import pairwise as pw
@@ -51,36 +52,96 @@ def kernel_block(XL: np.ndarray, XR: np.ndarray, kernel, gamma: float, degree: f
     raise ValueError(f"unknown kernel {kernel!r}; choose from {KERNELS}")
 
 
+#: Pivots of the neighbour index, at most; their cells are the unit that the triangle inequality rules out.
+MAX_PIVOTS = 256
+#: Rows a cell should have, where there are pivots enough.
+CELL_ROWS = 4096
+
+
+def _pivots(vec: DataFrame, count: int, entity: str, features: str) -> np.ndarray:
+    """``count`` rows far from each other: farthest-first among the 8 x ``count`` rows with the smallest hashes."""
+    rows = vec.select(features, F.xxhash64(entity).alias("_h")).orderBy("_h").limit(8 * count).collect()
+    x = np.array([r[features] for r in rows], dtype=np.float64)
+    chosen, near = [0], pw.sq_dists(x, x[:1])[:, 0]
+    while len(chosen) < min(count, len(x)) and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, pw.sq_dists(x, x[chosen[-1:]])[:, 0])
+    return x[chosen]
+
+
+def knn_tiles(vec: DataFrame, k: int, entity="entity", features="features", pivots: int | None = None,
+              block_rows: int | None = pw.DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Metric partition index: (rows with their Voronoi cell, pairs of cells (i, j, nbi, nbj) in which rows
+    of cell i may have one of their k nearest neighbours in cell j).  Exact: for rows of cell i the k-th
+    distance is at most theta(i) = U(i) + min over cells j, in order, of the k smallest |p_i p_j| + |s p_j|; a row s of
+    cell j is nearer than that only if |s p_j| >= |p_i p_j| - U(i) - theta(i), with U the cell's radius."""
+    n, d = vec.agg(F.count(F.lit(1)), F.max(F.size(features))).first()
+    p = _pivots(vec, max(1, min(MAX_PIVOTS, pivots or -(-n // CELL_ROWS))), entity, features)
+    t = entity_type(vec, entity)
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                d2 = pw.sq_dists(pw.matrix(pdf, features), p)
+                cell = d2.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), away=np.sqrt(d2[np.arange(len(cell)), cell]))
+
+    rows = checkpoint(vec.select(entity, features).mapInPandas(place, f"{entity} {t}, {features} array<double>, cell int, away double"))
+    # per cell: rows, radius and the k rows nearest to the pivot: at most MAX_PIVOTS * k numbers
+    near = rows.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("away"))).where(F.col("_r") <= k)
+    near = near.groupBy("cell").agg(F.sort_array(F.collect_list("away")).alias("near"))
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).join(near, "cell").collect()
+    between = np.sqrt(pw.sq_dists(p, p))
+    radius = {r["cell"]: r["radius"] for r in cells}
+    fit = block_rows if block_rows is not None else pw.rows_of_bytes(d or 1)
+    nb = {r["cell"]: -(-r["n"] // fit) for r in cells}
+    pairs = []
+    slack = 1e-6 * (1.0 + float(between.max(initial=0.0)) + max(radius.values(), default=0.0))  # rounding of the distances
+    for i in radius:
+        bounds = np.sort(np.concatenate([radius[i] + between[i, r["cell"]] + np.array(r["near"]) for r in cells]))
+        theta = bounds[min(k, len(bounds)) - 1]
+        pairs += [(i, j, nb[i], nb[j]) for j in radius if radius[j] + slack >= between[i, j] - radius[i] - theta]
+    table = vec.sparkSession.createDataFrame(pairs, "i int, j int, nbi int, nbj int")
+    sizes = vec.sparkSession.createDataFrame(list(nb.items()), "c int, _nb int")
+    return rows.join(F.broadcast(sizes), F.col("cell") == F.col("c")).drop("c"), table  # one row a cell
+
+
 def knn_graph(vec: DataFrame, n_neighbors: int = 10, entity="entity", features="features",
-              block_rows: int = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
+              block_rows: int | None = pw.DEFAULT_BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """Symmetrised k-nearest-neighbour connectivity (the row itself counts as
-    one neighbour): edges (a, b, w) with w = 0.5 * (A + A^T).  Each tile keeps
-    its ``n_neighbors`` best candidates per row; the global best of those is
-    exactly the true neighbour set."""
+    one neighbour): edges (a, b, w) with w = 0.5 * (A + A^T).  Rows are compared
+    only with cells of a metric partition index that may hold a neighbour; each tile keeps its
+    ``n_neighbors`` best candidates per row, and the global best of those is
+    exactly the true neighbour set (ties by entity)."""
     t = entity_type(vec, entity)
-    schema = f"a {t}, b {t}, d2 double"
+    rows, pairs = knn_tiles(vec, n_neighbors, entity, features, pivots, block_rows)
+    blocks = checkpoint(pw.packed_blocks(rows.select(entity, features, "cell", "_nb"), "_nb", entity, "cell"))
+    pairs = F.broadcast(pairs)  # at most MAX_PIVOTS squared rows
+    # block (i, ti) meets block (j, tj) for every pair of cells that is not ruled out
+    left = blocks.join(pairs, F.col("g") == F.col("i")).select("i", "j", F.col("b").alias("ti"), F.explode(F.sequence(F.lit(0), F.col("nbj") - 1)).alias("tj"), F.lit(False).alias("right"), "rows")
+    right = blocks.join(pairs, F.col("g") == F.col("j")).select("i", "j", F.explode(F.sequence(F.lit(0), F.col("nbi") - 1)).alias("ti"), F.col("b").alias("tj"), F.lit(True).alias("right"), "rows")
+    same = (F.col("i") == F.col("j")) & (F.col("ti") == F.col("tj"))
+    right = right.where(~same)
 
     def fn(L, R, diag):
-        XL, XR = pw.matrix(L, features), pw.matrix(R, features)
-        d2 = pw.sq_dists(XL, XR)
-        if diag:
-            np.fill_diagonal(d2, 0.0)
+        a, b, ids, others = L.matrix(features), R.matrix(features), L.column(entity), R.column(entity)
+        order = np.argsort(others, kind="stable")  # ties by entity
+        b, others = b[order], others[order]
         out = []
-        kk = min(n_neighbors, d2.shape[1])
-        idx = np.argsort(d2, axis=1, kind="stable")[:, :kk]
-        la, rb = L[entity].to_numpy(), R[entity].to_numpy()
-        out.append(pd.DataFrame({"a": np.repeat(la, kk), "b": rb[idx].reshape(-1), "d2": np.take_along_axis(d2, idx, 1).reshape(-1)}))
-        if not diag:
-            kk2 = min(n_neighbors, d2.shape[0])
-            idx2 = np.argsort(d2.T, axis=1, kind="stable")[:, :kk2]
-            out.append(pd.DataFrame({"a": np.repeat(rb, kk2), "b": la[idx2].reshape(-1),
-                                     "d2": np.take_along_axis(d2.T, idx2, 1).reshape(-1)}))
+        for i in pw.pieces(len(a)):
+            best_d, best_b = np.empty((i.stop - i.start, 0)), np.empty((i.stop - i.start, 0), dtype=others.dtype)
+            for j in pw.pieces(len(b)):
+                d2 = pw.sq_dists(a[i], b[j])
+                if diag:
+                    d2[ids[i][:, None] == others[j][None, :]] = 0.0
+                best_d = np.concatenate([best_d, d2], axis=1)
+                best_b = np.concatenate([best_b, np.broadcast_to(others[j], d2.shape)], axis=1)
+                keep = np.argsort(best_d, axis=1, kind="stable")[:, :n_neighbors]
+                best_d, best_b = np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_b, keep, 1)
+            out.append(pd.DataFrame({"a": np.repeat(ids[i], best_d.shape[1]), "b": best_b.reshape(-1), "d2": best_d.reshape(-1)}))
         return pd.concat(out, ignore_index=True)
 
-    v = vec.select(F.col(entity), features)
-    cand = pw.map_tiles(v, fn, schema, block_rows=block_rows, entity=entity)
-    from pyspark.sql.window import Window
-
+    cand = pw.run_tiles(left.unionByName(right), ["i", "j", "ti", "tj"], fn, f"a {t}, b {t}, d2 double")
     w = Window.partitionBy("a").orderBy("d2", "b")
     nn = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_neighbors).select("a", "b")
     both = nn.select("a", "b", F.lit(0.5).alias("w")).unionByName(nn.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0.5).alias("w")))
@@ -88,7 +149,7 @@ def knn_graph(vec: DataFrame, n_neighbors: int = 10, entity="entity", features="
 
 
 def affinity_degrees(vec: DataFrame, kernel="rbf", gamma: float = 1.0, degree: float = 3.0, coef0: float = 1.0,
-                     n_neighbors: int = 10, entity="entity", features="features", block_rows: int = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                     n_neighbors: int = 10, entity="entity", features="features", block_rows: int | None = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """C3 in aggregate form: (entity, degree) = sum of the affinities of the
     row to every *other* row.  (The dense graph itself is never emitted.)"""
     if kernel == "nearest_neighbors":
@@ -99,22 +160,23 @@ def affinity_degrees(vec: DataFrame, kernel="rbf", gamma: float = 1.0, degree: f
 
 
 def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity", features="features",
-            block_rows: int = pw.DEFAULT_BLOCK_ROWS, nb: int | None = None) -> DataFrame:
+            block_rows: int | None = pw.DEFAULT_BLOCK_ROWS, nb: int | None = None) -> DataFrame:
     """(entity, z) with z_i = sum_{j != i} W_ij y_j over the tiles."""
     schema = f"{entity} {entity_type(state, entity)}, z array<double>"
 
     def fn(L, R, diag):
-        XL, XR = pw.matrix(L, features), pw.matrix(R, features)
-        K = kernel_block(XL, XR, kernel, gamma, degree, coef0)
-        if diag:
-            np.fill_diagonal(K, 0.0)
-        YL, YR = pw.matrix(L, "y"), pw.matrix(R, "y")
-        zl = K @ YR
-        out = [pd.DataFrame({entity: L[entity].to_numpy(), "z": list(zl)})]
-        if not diag:
-            zr = K.T @ YL
-            out.append(pd.DataFrame({entity: R[entity].to_numpy(), "z": list(zr)}))
-        return pd.concat(out, ignore_index=True)
+        XL, XR, YL, YR = L.matrix(features), R.matrix(features), L.matrix("y"), R.matrix("y")
+        zl, zr = np.zeros((len(XL), YR.shape[1])), np.zeros((len(XR), YL.shape[1]))
+        for i in pw.pieces(len(XL)):
+            for j in pw.pieces(len(XR)):
+                K = kernel_block(XL[i], XR[j], kernel, gamma, degree, coef0)
+                if diag and i == j:
+                    np.fill_diagonal(K, 0.0)
+                zl[i] += K @ YR[j]
+                if not diag:
+                    zr[j] += K.T @ YL[i]
+        sides = [(L, zl), (R, zr)][: 1 if diag else 2]
+        return pd.concat([pd.DataFrame({entity: block.column(entity), "z": list(z)}) for block, z in sides], ignore_index=True)
 
     raw = pw.map_tiles(state, fn, schema, nb=nb, block_rows=block_rows, entity=entity)
     return raw.groupBy(entity).agg(sum_arrays("z", q).alias("z"))
@@ -122,7 +184,7 @@ def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity",
 
 def spectral(vec: DataFrame, k: int, affinity="rbf", gamma: float = 1.0, n_neighbors: int = 10, degree: float = 3.0,
              coef0: float = 1.0, n_init: int = 10, seed: int = 42, max_iter: int = 200, tol: float = 1e-6, extra: int = 4,
-             block_rows: int = pw.DEFAULT_BLOCK_ROWS, entity="entity", features="features", data=None) -> ClusterResult:
+             block_rows: int | None = pw.DEFAULT_BLOCK_ROWS, entity="entity", features="features", data=None) -> ClusterResult:
     t0 = time.time()
     data, n, d = data if data is not None else prepare(vec, entity, features)
     _check_k(k, n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -215,16 +217,25 @@ def c7(spark, sf):
     return j.select("algorithm", "k", F.when(~failed, ok).alias("metrics_ok"), "best_rows", failed.alias("failed"))
 
 
-@query("e10_stability", "SELECT i, j, true AS in_range FROM range(10) a(i), range(10) b(j) WHERE i < j")
+@query("e10_stability", """
+WITH n AS (SELECT count(*) AS n FROM embeddings WHERE label IS NOT NULL)
+SELECT i, j, true AS in_range, CAST(floor(0.8 * n + 0.5) AS BIGINT) AS rows_i, 1.0 AS given
+FROM range(10) a(i), range(10) b(j), n WHERE i < j""")
 def e10(spark, sf):
-    """ARI of 10 k-means fits (k=4) on seeded 80 % subsamples, every pair."""
-    m = _m(spark, sf)
+    """ARI of 10 k-means fits (k=4) on seeded 80 % subsamples, every pair; the exact sample size; the
+    ARI of the given labels on the same samples."""
+    m, given = _m(spark, sf), tb.labels_m(spark, sf)
+    sizes = []
 
     def fit(sample, k):
+        sizes.append(sample.count())
         return cl.kmeans(sample, k, n_init=10, seed=1).labels
 
     pairs, _ = ev.stability(m, fit, 4, n=10, ratio=0.8, seed=42)
-    return pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("ari").between(-1, 1).alias("in_range"))
+    same, _ = ev.stability(m, lambda sample, k: sample.join(given, "entity").select("entity", "cluster"), 4, n=10, ratio=0.8, seed=42)
+    rows = F.get(F.array(*[F.lit(s) for s in sizes]), F.col("i")).cast("long")
+    out = pairs.join(same.withColumnRenamed("ari", "given"), ["i", "j"])
+    return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("ari").between(-1, 1).alias("in_range"), rows.alias("rows_i"), "given")
 
 
 @query("r11_run_summary", f"""
@@ -339,21 +350,35 @@ def r12(spark, sf):
 
 
 @query("z5_analyze", f"""
-SELECT 'kmeans' AS algorithm, 3 AS k, true AS metrics_ok, count(DISTINCT City) AS cities, 3 AS clusters,
-  CAST(3 * count(DISTINCT Commodity) AS BIGINT) AS loadings, count(DISTINCT year(Date)) AS years,
-  'assignments,boxplot,boxplot_outliers,correlation,correlation_per_cluster,loadings,monthly_trends,projection,radar,silhouettes,variance,years' AS parts
-FROM ({tb.PANEL_P_SQL})""")
+WITH p AS MATERIALIZED (SELECT *, CAST(year(Date) AS INTEGER) AS Year FROM ({tb.PANEL_P_SQL})),
+n AS (SELECT count(DISTINCT City) AS e, count(DISTINCT Commodity) AS i, count(DISTINCT Year) AS y FROM p),
+g AS (SELECT City, Date, Commodity, avg(Price) AS x FROM p WHERE Price IS NOT NULL GROUP BY ALL),
+cg AS (SELECT covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) AS r FROM g a JOIN g b USING (City, Date) GROUP BY a.Commodity, b.Commodity)
+SELECT 'assignments' AS part, e AS rows, 0.0 AS total FROM n
+UNION ALL SELECT 'boxplot', 3 * i * y, 0.0 FROM n
+UNION ALL SELECT 'correlation', i * i, (SELECT round(sum(r), 2) FROM cg) FROM n
+UNION ALL SELECT 'correlation_per_cluster', 3 * i * i, 0.0 FROM n
+UNION ALL SELECT 'loadings', 3 * i, 0.0 FROM n
+UNION ALL SELECT 'monthly_trends', 3 * i * y * 12, 0.0 FROM n
+UNION ALL SELECT 'projection', e, 0.0 FROM n
+UNION ALL SELECT 'radar', 3 * i, 0.0 FROM n
+UNION ALL SELECT 'silhouettes', e, 0.0 FROM n
+UNION ALL SELECT 'variance', 2, 0.0 FROM n
+UNION ALL SELECT 'years', y, (SELECT CAST(sum(Year) AS DOUBLE) FROM (SELECT DISTINCT Year FROM p)) FROM n
+UNION ALL SELECT 'cities of clusters', e, 3.0 FROM n
+UNION ALL SELECT 'sane metrics', 1, 1.0""")
 def z5(spark, sf):
-    """Checks -> k-means fit -> metrics -> report over the panel P feature
-    matrix (cities as entities): the metric row's ranges, the labels by city
-    and the parts of the report."""
+    """Checks -> k-means fit -> metrics -> report over the panel P feature matrix (cities as entities):
+    rows of every part whose size does not depend on the labels found, totals where the values do not."""
     from .pipelines import analyze
 
     res, metrics, parts = analyze(tb.panel_p(spark, sf), "kmeans", 3, features=("avg", "cv", "trend"), coords=tb.coordinates_p(spark, sf))
-    k = F.lit(0).alias("_k")
-    cities = res.labels.agg(F.count_distinct("City").alias("cities"), F.count_distinct("Cluster").alias("clusters")).select("*", k)
-    sizes = [parts[p].agg(F.count(F.lit(1)).alias(p)).select(p, k) for p in ("loadings", "years")]
-    out = metrics.select("algorithm", "k", _sane(metrics, res.labels.count()).alias("metrics_ok"), F.lit(",".join(sorted(parts))).alias("parts"), k)
-    for part in (cities, *sizes):
-        out = out.join(part, "_k")
-    return out.drop("_k")
+    free = {"correlation": "r", "years": "year"}
+    rows = []
+    for name, df in parts.items():
+        if name != "boxplot_outliers":  # there only where some cluster has outliers
+            total = r6(F.sum(F.col(free[name]).cast("double")), 2) if name in free else F.lit(0.0)
+            rows.append(df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), total.alias("total")))
+    rows.append(res.labels.agg(F.lit("cities of clusters").alias("part"), F.count_distinct("City").alias("rows"), F.count_distinct("Cluster").cast("double").alias("total")))
+    rows.append(metrics.select(F.lit("sane metrics").alias("part"), F.lit(1).cast("long").alias("rows"), _sane(metrics, res.labels.count()).cast("double").alias("total")))
+    return functools.reduce(lambda a, b: a.unionByName(b), rows)

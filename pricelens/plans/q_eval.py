@@ -246,6 +246,29 @@ def e10a(spark, sf):
     return r.select(r6("ari").alias("ari"))
 
 
+# Run r leaves out the vectors whose id is r modulo 7 and moves every (r + 3)-rd one to another cluster.
+_RUNS_SQL = """SELECT r, vec_id AS e, CAST(CASE WHEN vec_id % (r + 3) = 0 THEN (label + r) % 4 ELSE label % 4 END AS INTEGER) AS c
+FROM embeddings, range(6) g(r) WHERE vec_id % 7 <> r"""
+
+
+@query("e10_pairwise_ari", f"""
+WITH l AS ({_RUNS_SQL}),
+c AS (SELECT a.r AS i, b.r AS j, a.c AS u, b.c AS v, count(*) AS nij FROM l a JOIN l b ON a.e = b.e AND a.r < b.r GROUP BY ALL),
+a AS (SELECT i, j, sum(n * (n - 1) / 2.0) AS sa FROM (SELECT i, j, u, sum(nij) AS n FROM c GROUP BY ALL) GROUP BY i, j),
+b AS (SELECT i, j, sum(n * (n - 1) / 2.0) AS sb FROM (SELECT i, j, v, sum(nij) AS n FROM c GROUP BY ALL) GROUP BY i, j),
+t AS (SELECT i, j, sum(nij * (nij - 1) / 2.0) AS sij, sum(nij) AS n FROM c GROUP BY i, j)
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round((sij - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2.0)), 6) AS ari
+FROM t JOIN a USING (i, j) JOIN b USING (i, j)""")
+def e10p(spark, sf):
+    """ARI of every two of six given labelings of overlapping samples."""
+    from .registry import r6
+
+    e = tb.table(spark, sf, "embeddings").select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("run")).where("vec_id % 7 <> run")
+    moved = F.when(F.col("vec_id") % (F.col("run") + 3) == 0, (F.col("label") + F.col("run")) % 4).otherwise(F.col("label") % 4)
+    r = ev.pairwise_ari(e.select("run", F.col("vec_id").alias("entity"), moved.cast("int").alias("cluster")))
+    return r.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("ari").alias("ari"))
+
+
 @query("r9_city_silhouettes", f"""
 WITH s AS {_samples_sql(EL)}
 SELECT entity, cluster, round(silhouette, 4) AS silhouette, row_number() OVER (ORDER BY silhouette DESC, entity) AS rank,

@@ -126,6 +126,15 @@ def r6q(spark, sf):
     return c.select("Cluster", "item_a", "item_b", r6("r").alias("r"), "n")
 
 
+@query("r6_correlation_small_clusters", _corr_sql(True).replace("user_id % 3", "user_id % 97").replace("rows_ < 3", "rows_ < 45"))
+def r6s(spark, sf):
+    """Many clusters, of which those with fewer than 45 (city, date) rows have no correlation."""
+    d, _ = _vd(spark, sf)
+    e = tb.table(spark, sf, "events").select("user_id").distinct()
+    lb = e.select(F.col("user_id").cast("string").alias("City"), (F.col("user_id") % 97).cast("int").alias("Cluster"))
+    return rp.correlation(d, lb, min_rows=45, pvalues=False).select("Cluster", "item_a", "item_b", r6("r").alias("r"), "n")
+
+
 # Two-sided p of Student's t by its finite trigonometric sums (theta = atan(t / sqrt(df))):
 # even df: 1 - sin * sum c_i cos^2i; odd df: 1 - 2/pi (theta + sin * sum e_i cos^(2i-1)).
 @query("r7_correlation_pvalues", f"""

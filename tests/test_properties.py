@@ -179,6 +179,47 @@ def test_matrix_with_ten_thousand_columns_keeps_its_plan(spark):
     assert rows[0]["names"][:2] == ["i0_avg", "i0_cv"]
 
 
+def _plain_knn(x, k):
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, 0.0)
+    edges = {}
+    for a, row in enumerate(d):
+        for b in np.lexsort((np.arange(len(x)), np.round(row, 9)))[:k]:
+            edges[a, b] = edges.get((a, b), 0) + 0.5
+            edges[b, a] = edges.get((b, a), 0) + 0.5
+    return edges
+
+
+@pytest.mark.parametrize("pivots, block_rows", [(1, 64), (12, None), (12, 16), (40, 10)])
+def test_knn_graph_is_that_of_all_pairs(spark, pivots, block_rows):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 5)) * 0.2 + 6 * rng.normal(size=5) for _ in range(3)] + [rng.normal(size=(40, 5)) * 8])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity long, features array<double>").repartition(4)
+    got = {(r["a"], r["b"]): r["w"] for r in sp.knn_graph(df, 7, block_rows=block_rows, pivots=pivots).collect()}
+    assert got == _plain_knn(x, 7)
+
+
+def test_knn_index_rules_out_most_tiles_of_clustered_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 8)) * 0.1 + 9 * rng.normal(size=8) for _ in range(10)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity long, features array<double>")
+    rows, pairs = sp.knn_tiles(df, 10, pivots=10)
+    assert rows.count() == 600 and pairs.count() < 0.5 * 10 * 10
+
+
+def test_tiles_of_one_cluster_only(spark):
+    df = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(90)], "entity long, cluster int, features array<double>")
+    from pricelens.operators import pairwise as pw
+
+    blocks = pw.packed_blocks(df.withColumn("_nb", F.lit(4)), "_nb", "entity", "cluster")
+    placed = pw.tiles(blocks).select("g", F.explode("rows.cluster").alias("c")).where("g <> c")
+    assert placed.count() == 0 and blocks.count() == 12
+    x = np.arange(0, 90.0, 3)
+    want = np.abs(x[:, None] - x[None])[np.triu_indices(30, 1)]
+    for kw in ({"block_rows": 7}, {}):
+        assert all(abs(r["dsum"] - want.sum()) < 1e-6 and r["cnt"] == len(want) for r in pw.intra_pair_sums(df, **kw).collect())
+
+
 def test_parse_quirks(spark):
     from pricelens.functions.columns import parse_header_date, parse_price
 
