@@ -19,6 +19,7 @@ its range, so the result is always exact.  Infinities are counted apart.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,11 @@ def rank_error(k: int) -> float:
     return 2.296 / k**0.9723
 
 
+def grid_ranks() -> Column:
+    """The inner ranks of the grid, as one literal."""
+    return F.from_json(F.lit(json.dumps([j / GRID for j in range(1, GRID)])), "array<double>")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -81,12 +87,12 @@ def _brackets(base: DataFrame, probs: list[float], sketch: int, margin: float) -
     stats = base.groupBy("_g").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") == -INF).alias("neg"), F.count_if(F.col("_v") == INF).alias("pos"),
         F.min(finite).alias("mn"), F.max(finite).alias("mx"), F.kll_sketch_agg_double(finite, F.lit(sketch)).alias("sk"))
-    inner = F.kll_sketch_get_quantile_double("sk", F.array(*[F.lit(j / GRID) for j in range(1, GRID)]))
+    inner = F.kll_sketch_get_quantile_double("sk", grid_ranks())
     grid = F.when(F.col("mn").isNotNull(), F.concat(F.array("mn"), inner, F.array("mx")))
     stats = stats.withColumn("m", F.col("n") - F.col("neg") - F.col("pos")).withColumn("grid", grid)
 
-    def wanted(p: float) -> Column:
-        h = (F.col("n") - 1) * F.lit(p)
+    def wanted(p: Column) -> Column:
+        h = (F.col("n") - 1) * p
         lo, hi = F.floor(h), F.ceil(h)
         # place among the finite values, then on the grid
         at = lambda r: F.greatest(F.least(r - F.col("neg"), F.col("m") - 1), F.lit(0))
@@ -95,7 +101,7 @@ def _brackets(base: DataFrame, probs: list[float], sketch: int, margin: float) -
         span = F.when(F.col("m") > 0, F.slice("grid", first + 1, last - first + 1))
         return F.struct(lo.alias("rlo"), hi.alias("rhi"), (h - lo).alias("frac"), span.alias("span"))
 
-    out = stats.select("_g", "n", "neg", "pos", F.array(*[wanted(p) for p in probs]).alias("want"))
+    out = stats.select("_g", "n", "neg", "pos", F.transform(F.from_json(F.lit(json.dumps(probs)), "array<double>"), wanted).alias("want"))
     spans = F.transform("want", lambda w: F.struct(F.get(w["span"], F.lit(0)).alias("lo"), F.element_at(w["span"], -1).alias("hi")))
     cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("want", lambda w: F.coalesce(w["span"], F.expr("cast(array() as array<double>)"))))))
     return checkpoint(out.select("*", spans.alias("spans"), cuts.alias("cuts")))

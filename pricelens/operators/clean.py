@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import DEFAULT_ITEMS, NULL_TOKENS, null_tokens, parse_price, period_label
-from ..functions.quantiles import GRID, SKETCH, exact_quantiles
+from ..functions.quantiles import GRID, SKETCH, exact_quantiles, grid_ranks
 from ..session import small_side
 
 
@@ -157,7 +157,7 @@ def fill_chunks(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int
     number = _order_number(df, order)
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(number).alias("_m"), F.kll_sketch_agg_double(number, F.lit(SKETCH)).alias("_sk"))
     g = g.where((F.col("_n") > chunk_rows) & (F.col("_m") > 0))
-    grid = F.kll_sketch_get_quantile_double("_sk", F.array(*[F.lit(j / GRID) for j in range(1, GRID)]))
+    grid = F.kll_sketch_get_quantile_double("_sk", grid_ranks())
     parts = F.least(F.ceil(F.col("_n") / chunk_rows), F.lit(GRID)).cast("int")
     at = F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.element_at("_grid", F.greatest(F.floor(j * GRID / parts), F.lit(1)).cast("int")))
     cuts = F.array_sort(F.array_distinct(at))

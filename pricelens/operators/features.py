@@ -155,8 +155,7 @@ def matrix_long(
 ) -> tuple[DataFrame, list[str]]:
     """Long dense matrix plus the ordered list of feature column names."""
     cells, dims = _dense(df, features, freq, min_points, trend_method, items, periods, entity, item, ts, value)
-    d = dims.first()
-    names = [n for _, n in feature_names(d["items"], list(features), d["periods"], freq)]
+    names = [n for _, n in feature_names(dims[0], list(features), dims[1], freq)]
     return cells.select(entity, item, "period", "type", "feature", "value"), names
 
 
@@ -180,20 +179,20 @@ def matrix_vector(
     return rows.select(entity, F.col("_v.value").alias("features"), F.col("_v.feature").alias("names"))
 
 
-def _dense(df, features, freq, min_points, trend_method, items, periods, entity, item, ts, value) -> tuple[DataFrame, DataFrame]:
-    """All cells (entity, item, period, type, feature, _pos, value) and the one-row table of items and periods."""
+def _dense(df, features, freq, min_points, trend_method, items, periods, entity, item, ts, value) -> tuple[DataFrame, tuple[list[str], list[str]]]:
+    """All cells (entity, item, period, type, feature, _pos, value), and the items and periods."""
     features = _check_features(features, min_points, trend_method)
     # one row per observed (entity, item, period); the dimensions are read from it, not from the panel
     sparse = checkpoint(feature_values(df, features, freq, min_points, trend_method, entity, item, ts, value))
-    given = lambda xs, col: F.sort_array(F.collect_set(col)) if xs is None else F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    dims = checkpoint(sparse.agg(given(items, item).alias("items"), given(periods, "_period").alias("periods")))
+    seen = sparse.agg(F.sort_array(F.collect_set(item)), F.sort_array(F.collect_set("_period"))).first() if items is None or periods is None else None
+    dims = (seen[0] if items is None else list(items), seen[1] if periods is None else list(periods))
     name = lambda i, f, p: F.concat_ws("_", i, F.lit(f), *([] if freq == "all" else [p]))
 
     def cells_of(i: Column, f: str) -> Column:
         return F.transform("periods", lambda p: F.struct(i.alias("_i"), p.alias("period"), F.lit(f).alias("type"), name(i, f, p).alias("feature")))
 
     columns = F.flatten(F.transform("items", lambda i: F.flatten(F.array(*[cells_of(i, f) for f in features]))))
-    one = broadcast_checked(dims.select(F.lit(0).alias("_one"), columns.alias("_cols")))
+    one = df.sparkSession.createDataFrame([(0, *dims)], "_one int, items array<string>, periods array<string>").select("_one", columns.alias("_cols"))
     entities = sparse.select(F.col(entity).alias("_e")).distinct().withColumn("_one", F.lit(0))
     grid = entities.join(one, "_one").select("_e", F.posexplode("_cols").alias("_pos", "_c")).select("_e", "_pos", "_c.*")
     observed = sparse.select(
