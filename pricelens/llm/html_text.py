@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,11 @@ PLACE_WORDS = frozenset(
 )
 ROOTS = frozenset("html body main".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption".split())
-LITTLE = 200  # unlinked characters of an element with a telling word among others in its name
+#: Names above that, among other words, still tell of what readers or advertisers add.
+ADDED = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond "
+    "cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup login related recommended recommendations".split()
+)
 POINTLESS = frozenset("li h1 h2 h3 h4 h5 h6 dt th figcaption summary legend option".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 LISTS = frozenset("ul ol dl div section table p".split())
@@ -64,24 +69,26 @@ TAG = re.compile(
     re.S,
 )
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+RAW_ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
 def _named(value: str, names: frozenset) -> int:
-    """2 if one of the names of a class or id says that the element is no text, 1 if
-    such a word stands in it among others ("with-sidebar", "share-price")."""
+    """3 if one of the names of a class or id says that the element is no text; 1 if
+    such a word stands in it among others ("with-sidebar", "share-price"), 2 if that is
+    one of ADDED ("user-comments")."""
     got = 0
     for one in value.split():
         parts = [x.lower() for x in NAME_PARTS.findall(one)]
         if any(x in names for x in parts):
-            got = max(got, 2 if all(x in names or x in PLACE_WORDS for x in parts) else 1)
+            got = max(got, 3 if all(x in names or x in PLACE_WORDS for x in parts) else 2 if any(x in ADDED for x in parts) else 1)
     return got
 
 
 def _cut(tag: str, rest: str) -> int:
-    """2: cut; 1: cut unless it holds text."""
+    """3: cut; 1 and 2: cut unless it holds the article."""
     if tag in CUT_TAGS:
-        return 2
+        return 3
     if not rest or rest == "/" or tag in ROOTS:
         return 0
     got = 0
@@ -90,11 +97,11 @@ def _cut(tag: str, rest: str) -> int:
         if m.start() and not rest[m.start() - 1].isspace() and rest[m.start() - 1] not in "\"'/":
             continue
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return 2
+            return 3
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2
+            return 3
         if key == "role" and value.lower() in CUT_ROLES:
-            return 2
+            return 3
         if key in ("class", "id"):
             got = max(got, _named(value, CUT_ARTICLES if tag == "article" else CUT_NAMES))
     return got
@@ -105,14 +112,15 @@ class _Page:
     text pieces with the node that holds them; what is cut leaves no pieces."""
 
     def __init__(self, page: str):
-        self.hint = [False]  # hint: a telling word among others in its name
+        self.hint = [0]  # a telling word among others in its name: 1, or 2 if of ADDED
+        self.open = Counter()  # open elements by tag
         self.tag, self.parent, self.last = [""], [-1], [0]
         self.block, self.link, self.cut = [0], [False], [False]  # nearest block node; within a link; within a cut element
         self.pieces: list[tuple[int, str]] = []
         self._read(page)
 
     def _read(self, page: str) -> None:
-        stack, at, lower = [0], 0, None
+        stack, at = [0], 0
         for m in TAG.finditer(page):
             if m.start() < at:  # inside an element without markup
                 continue
@@ -130,9 +138,8 @@ class _Page:
             if name in CLOSES_P:
                 self._close_p(stack)
             if name in RAW:  # no markup up to its end tag
-                lower = page.lower() if lower is None else lower
-                stop = lower.find(f"</{name}", at)
-                close = page.find(">", stop) if stop >= 0 else -1
+                stop = RAW_ENDS[name].search(page, at)
+                close = page.find(">", stop.end()) if stop else -1
                 at = len(page) if close < 0 else close + 1
                 continue
             if name in VOID:
@@ -146,9 +153,10 @@ class _Page:
             self.last.append(n)
             self.block.append(n if name in BLOCKS else self.block[up])
             self.link.append(name == "a" or self.link[up])
-            cut = 2 if self.cut[up] else _cut(name, rest)
-            self.cut.append(cut == 2)
-            self.hint.append(cut == 1)
+            cut = 3 if self.cut[up] else _cut(name, rest)
+            self.cut.append(cut == 3)
+            self.hint.append(cut % 3)
+            self.open[name] += 1
             if name in BLOCKS:
                 self.pieces.append((up, " "))
             stack.append(n)
@@ -167,10 +175,13 @@ class _Page:
     def _pop(self, stack: list[int]) -> None:
         n = stack.pop()
         self.last[n] = len(self.tag) - 1
+        self.open[self.tag[n]] -= 1
         if self.tag[n] in BLOCKS:
             self.pieces.append((stack[-1], " "))
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if self.tag[stack[i]] == name:
                 while len(stack) > i:
@@ -205,8 +216,10 @@ class _Page:
 
 
 def _drop_hints(p: _Page) -> None:
-    """Elements with a telling word among others in their name are cut if they hold
-    little or mostly linked text, but not the page's only article, main or most of its text."""
+    """Elements with a telling word among others in their name are cut, unless they hold the best
+    container, an article or main element, or most of the unlinked text; one of ADDED must hold
+    nearly all of it, or an article with most of it.  A single paragraph, heading or list item is cut only if linked."""
+    best = _scores(p)[0]
     n = len(p.tag)
     total, linked, holds = [0] * n, [0] * n, [t in ("article", "main") and not c and not h for t, c, h in zip(p.tag, p.cut, p.hint)]
     for node, s in p.pieces:
@@ -214,12 +227,17 @@ def _drop_hints(p: _Page) -> None:
         total[node] += k
         if p.link[node]:
             linked[node] += k
-    most, drop = (sum(total) - sum(linked)) / 2, [False] * n
+    all_prose, drop = sum(total) - sum(linked), [False] * n
     for i in range(n - 1, 0, -1):
-        if p.hint[i] and not holds[i]:
+        if p.hint[i]:
             prose = total[i] - linked[i]
-            drop[i] = linked[i] >= 0.5 * total[i] or (p.tag[i] not in LEAVES and prose < LITTLE)
-            drop[i] = drop[i] and not prose > most
+            most = 2 * prose > all_prose
+            if p.tag[i] in LEAVES:
+                drop[i] = linked[i] >= 0.5 * total[i] and not most
+            elif p.hint[i] == 1:
+                drop[i] = not (most or holds[i] or i <= best <= p.last[i])
+            else:
+                drop[i] = not (prose > 0.9 * all_prose or (most and holds[i]))
         if not drop[i]:
             up = p.parent[i]
             total[up] += total[i]
@@ -230,13 +248,9 @@ def _drop_hints(p: _Page) -> None:
     p.pieces = [(node, s) for node, s in p.pieces if not drop[node]]
 
 
-def main_text(page: str | None) -> str:
-    """The article's text, blocks joined by one space."""
-    if not page:
-        return ""
-    p = _Page(page)
-    if any(p.hint):
-        _drop_hints(p)
+def _scores(p: _Page) -> tuple[int, list[float], list[int], list[int], list[int], list[int]]:
+    """Best container, and for each node: score less link density, characters of its own blocks, of
+    all within, linked ones, and links."""
     n = len(p.tag)
     own, commas, total, linked, links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for node, s in p.pieces:
@@ -251,8 +265,6 @@ def main_text(page: str | None) -> str:
         total[p.parent[i]] += total[i]
         linked[p.parent[i]] += linked[i]
         links[p.parent[i]] += links[i] + (p.tag[i] == "a")
-    if not total[0]:
-        return ""
     score = [0.0] * n
     for i in range(n):
         if own[i] >= LEAST_CHARS and p.tag[i] not in POINTLESS:
@@ -263,7 +275,20 @@ def main_text(page: str | None) -> str:
                 score[at] += points / (1, 2, 6, 9, 12)[level]
                 at = p.parent[at]
     final = [score[i] * (1 - linked[i] / total[i]) if total[i] else 0.0 for i in range(n)]
-    best = max(range(n), key=lambda i: (final[i], -i))
+    return max(range(n), key=lambda i: (final[i], -i)), final, own, total, linked, links
+
+
+def main_text(page: str | None) -> str:
+    """The article's text, blocks joined by one space."""
+    if not page:
+        return ""
+    p = _Page(page)
+    if any(p.hint):
+        _drop_hints(p)
+    n = len(p.tag)
+    best, final, own, total, linked, links = _scores(p)
+    if not total[0]:
+        return ""
     if not final[best]:  # no paragraph anywhere: all that was not cut
         best = 0
     at = best
@@ -280,11 +305,14 @@ def main_text(page: str | None) -> str:
         if p.tag[i] == "p" or (own[i] >= LEAST_CHARS and p.tag[i] not in POINTLESS):
             prose[i] += own[i] if not linked[i] else max(0, own[i] - linked[i])
         prose[p.parent[i]] += prose[i]
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[p.parent[i]].append(i)
     bar, at = 0.2 * final[best], best
     while p.parent[at] >= 0:  # beside the best container, and beside each container around it
         up = p.parent[at]
-        for i in range(up + 1, p.last[up] + 1):
-            if p.parent[i] != up or i == at or not total[i]:
+        for i in children[up]:
+            if i == at or not total[i]:
                 continue
             density = linked[i] / total[i]
             heading = p.tag[i] in HEADINGS and i < at and density < 0.5
@@ -303,9 +331,11 @@ def main_text(page: str | None) -> str:
         of_links = p.tag[i] in LISTS and links[i] >= 3 and linked[i] > 0.66 * total[i]
         gone[i] = gone[p.parent[i]] or of_links
     out, k = [], 0
-    inside = bytearray(n)
-    for a, b in spans:
-        inside[a : b + 1] = b"\1" * (b + 1 - a)
+    inside, end = bytearray(n), -1
+    for a, b in spans:  # nested ones lie within the first
+        if b > end:
+            inside[a : b + 1] = b"\1" * (b + 1 - a)
+            end = b
     for node, s in p.pieces:
         if inside[node] and not gone[node]:
             out.append(s)

@@ -35,3 +35,36 @@ def test_text_split_over_containers():
     assert html_text.main_text(f"<body>{NAV}<div><div>{one}</div><div>{two}</div></div>{FOOT}</body>") == want
     links = "<div><p><a href=1>More on this matter, and on others, for those who read on</a></p></div>"
     assert html_text.main_text(f"<body>{one}{two}{links}</body>") == want
+
+
+STORY = f"<div>{f'<p>{A}</p><p>{B}</p>' * 3}</div>"
+SAID = "<p>I read this twice, and still think that the author is wrong on the whole matter, as others said before me, at length.</p>" * 4
+
+
+@pytest.mark.parametrize("name", ["user-comments", "article-comments", "post-comments", "reader-comments", "comment-thread", "disqus_thread",
+                                  "cookie-policy", "newsletter-teaser", "related-articles", "sponsored-story", "comments", "commentsSection"])
+def test_what_readers_and_advertisers_add_is_cut(name):
+    want = " ".join([f"{A} {B}"] * 3)
+    added = f"<div class='{name}'>{SAID}</div>"
+    pages = [f"{STORY}{added}", f"<div>{STORY}{added}</div>", f"<article>{STORY}{added}</article>", f"<main>{STORY}{added}</main>",
+             f"{STORY}<div class='{name}'>{f'<article>{SAID}</article>'}</div>", f"{STORY}<section id='{name}'>{SAID * 4}</section>"]
+    for page in pages:
+        assert html_text.main_text(f"<body>{NAV}{page}{FOOT}</body>") == want, page
+
+
+def test_a_letter_that_lower_cases_to_two():
+    page = "<body><p>" + "{0}" * 40 + " " + A + "</p><script>if (a < b) x();</SCRIPT ><p>" + B + "</p><style>p {{}}</style><p>" + A + "</p></body>"
+    assert html_text.main_text(page.format("\u0130")).replace("\u0130", "I") == html_text.main_text(page.format("I")) == f"{'I' * 40} {A} {B} {A}"
+
+
+def test_deep_pages_take_no_longer_than_wide_ones():
+    import time
+
+    deep = "<div>" * 100_000 + f"<p>{A}</p>" + "</section>" * 100_000 + "</div>" * 100_000
+    wide = "<div></div>" * 100_000 + f"<p>{A}</p>" + "<b></b>" * 100_000
+    times = []
+    for page in (wide, deep):
+        began = time.process_time()
+        assert html_text.main_text(page) == A
+        times.append(time.process_time() - began)
+    assert times[1] < 4 * times[0] + 1
