@@ -3,10 +3,12 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so
 its size follows the document's, sketches of parts merge by union, and the
 share of one sketch found in another estimates containment even between very
-unequal documents.  A text none of whose hashes lies below the threshold keeps
-its smallest one, which is still mergeable (drop the kept hashes above the
-threshold once any lies below it).  The string form is the sorted hashes as 16
-hexadecimal digits each.
+unequal documents.  A short text (at most SHORT shingles) is sketched with fraction 1,
+that is in full; two sketches are compared, and merged, at the smaller of their
+thresholds, so a hash that the other sketch would have dropped is never held
+against it.  A short text without a hash below a longer one's threshold has no containment
+estimate (NaN, null in tables).  A sketch in full is known by a hash at or above the threshold.  The
+string form is the sorted hashes as 16 hexadecimal digits each.
 
 Defined results: a null or empty text has the empty sketch, which is like
 another empty one (1) and unlike any other (0); texts of fewer words than a
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 FRACTION = 1 / 8
 SHINGLE = 5
+SHORT = 64  # shingles of a text that is sketched in full
 SEED = 42
 RANGE_BYTES = 32 << 20  # text bytes of an id range
 MAX_RANGES = 8192  # ranges are streamed, so larger ones only mean longer tasks
@@ -55,20 +58,36 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return h
 
 
+def _threshold(fraction: float) -> np.uint64:
+    return np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))
+
+
 def sketch(text: str | None, fraction: float = FRACTION, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes below the threshold, or else the smallest."""
+    """Sorted distinct shingle hashes below the threshold; all of them if the text has at most
+    SHORT shingles, or none below the threshold."""
     h = shingle_hashes(text, shingle)
-    if not len(h):
-        return h
-    low = h[h < np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))]
-    return np.unique(low) if len(low) else h.min(keepdims=True)
+    low = h[h < _threshold(fraction)] if len(h) > SHORT else h
+    return np.unique(low if len(low) else h)
+
+
+def whole(s: np.ndarray, fraction: float = FRACTION) -> bool:
+    """Whether a sketch holds all hashes of its text: it has one that a threshold would have dropped."""
+    return len(s) > 0 and s[-1] >= _threshold(fraction)
+
+
+def _common(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both sketches at the smaller of their thresholds."""
+    if whole(a, fraction) and whole(b, fraction):
+        return a, b
+    return a[a < _threshold(fraction)], b[b < _threshold(fraction)]
 
 
 def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
     """Sketch of the union of two documents' shingles."""
-    u = np.union1d(a, b)
-    low = u[u < np.uint64(min(int(fraction * 2.0**64), 2**64 - 1))]
-    return low if len(low) else u[:1]
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    u = np.union1d(*_common(a, b, fraction))
+    return u if len(u) else np.union1d(a, b)
 
 
 def text_form(s: np.ndarray) -> str:
@@ -79,19 +98,22 @@ def parse(s: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(s), dtype=">u8").astype(np.uint64)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common shingles among those of either (Jaccard)."""
+def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Estimated share of common shingles among those of either (Jaccard); exact for two short texts."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    a, b = _common(a, b, fraction)
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    return both / max(1, len(a) + len(b) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has."""
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Estimated share of a's shingles that b has; NaN if a short text has none below the
+    threshold of a longer one."""
     if not len(a):
         return 1.0
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+    a, b = _common(a, b, fraction) if len(b) else (a, b)
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else math.nan
 
 
 def fingerprint_column(text, fraction: float = FRACTION, shingle: int = SHINGLE):
@@ -150,6 +172,10 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", frac
     document's."""
     dealt = with_next(docs, id_col, text)
 
+    def contained(a: np.ndarray, b: np.ndarray) -> float | None:
+        c = containment(a, b, fraction)
+        return None if math.isnan(c) else c
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next")
         held, closed = None, False
@@ -166,7 +192,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", frac
                     edited = t0[: len(t0) - half] + t[:half]
                     e = sketch(edited, fraction, shingle)
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((k0, len(t0), digest, text_form(s0), text_form(e), likeness(s0, e), likeness(s0, s), containment(s0, e), containment(s0, s)))
+                    out.append((k0, len(t0), digest, text_form(s0), text_form(e), likeness(s0, e, fraction), likeness(s0, s, fraction), contained(s0, e), contained(s0, s)))
                 held, closed = (None if pd.isna(key) else int(key), t, s), bool(border)
             if out:
                 f = pd.DataFrame(out, columns=names)

@@ -64,7 +64,7 @@ class WordIds:
             return got
         if len(self.known) >= CACHE_WORDS:
             self.known = {"": b""}
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalnum():
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalnum() and word[-2] != "İ":  # which leaves a mark behind
             got = self.word(word[:-1]) + self.word(word[-1])
         elif word.isalpha() and max(word) < "ɐ" and "İ" not in word:
             low = word.lower()

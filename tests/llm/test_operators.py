@@ -433,6 +433,33 @@ def test_sketches_merge_and_contain():
     assert np.array_equal(fingerprints.merge(a, b), whole) and np.array_equal(fingerprints.parse(fingerprints.text_form(whole)), whole)
 
 
+def test_sketches_of_short_texts():
+    r = random.Random(8)
+    w = [f"w{r.randrange(10**6)}" for _ in range(5000)]
+    long = fingerprints.sketch(" ".join(w))
+    known = 0
+    for _ in range(400):
+        n, at = r.randrange(8, 40), r.randrange(4900)
+        part = fingerprints.sketch(" ".join(w[at : at + n]))
+        c = fingerprints.containment(part, long)
+        assert c == 1.0 or c != c  # never a wrong 0
+        known += c == 1.0
+        other = w[at : at + n // 2] + [f"x{r.randrange(10**6)}" for _ in range(n - n // 2)]
+        sets = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (w[at : at + n], other)]
+        assert fingerprints.likeness(part, fingerprints.sketch(" ".join(other))) == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+    assert known > 340
+    joined = fingerprints.merge(fingerprints.sketch(" ".join(w[:20])), fingerprints.sketch(" ".join(w[16:3000])))
+    assert np.array_equal(joined, fingerprints.sketch(" ".join(w[:3000])))
+
+
+def test_token_ids_after_a_letter_that_decomposes():
+    coder = packing.WordIds()
+    plain = coder.tokenizer
+    for text in ("\u0130. a", "x\u0130, b", "DI\u0130.", "I. a", "\u0130"):
+        want = np.array([i for w in text.split(" ") for i in plain.encode(w, add_special_tokens=False).ids], "<u4").tobytes()
+        assert coder.text(text) == want == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # pipeline -------------------------------------------------------------------
 
 
