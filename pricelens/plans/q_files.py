@@ -202,6 +202,16 @@ def s9(spark, sf):
                     "execution_time", "cluster", "size")
 
 
+@query("s6_bucketed_panel", f"""
+SELECT Province, City, Commodity, strftime(Date, '%Y') AS Year, count(*) AS n, round(sum(Price), 2) AS total, round(min(Price), 2) AS least FROM ({P}) GROUP BY ALL""")
+def s6b(spark, sf):
+    """Panel P joined bucket by bucket from its hand-off on the order key."""
+    names = tb.write_bucketed_panel(spark, sf, scratch_path(spark, "bucketed"))
+    p = cl.add_year_month(tb.panel_p_bucketed(spark, *names))
+    return p.groupBy("Province", "City", "Commodity", "Year").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("Price"), 2).alias("total"), r6(F.min("Price"), 2).alias("least"))
+
+
 @query("d1_available_data", f"""
 SELECT list_sort(list_distinct(list(Province))) AS provinces, list_sort(list_distinct(list(CAST(year(Date) AS INTEGER)))) AS years
 FROM ({P})""")

@@ -49,6 +49,35 @@ def panel_p(spark: SparkSession, sf_dir: str, with_keys: bool = False) -> DataFr
     return df.select(*cols)
 
 
+def write_bucketed_panel(spark: SparkSession, sf_dir: str, base: str, buckets: int | None = None) -> tuple[str, str]:
+    """Hand-off of panel P as two tables bucketed and sorted on the order key: orders with their city
+    and province, order lines with their item.  The dimensions are attached once, here; every later
+    read joins bucket by bucket, without an exchange.  Returns the table names."""
+    import uuid
+
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = lambda name: table(spark, sf_dir, name)
+    geo = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cust = t("customer").select("c_custkey", "c_nationkey").join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = t("orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("orderkey"), F.col("o_orderdate").alias("Date"), F.col("r_name").alias("Province"), F.col("n_name").alias("City"))
+    lines = t("lineitem").join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("orderkey"), F.col("p_type").alias("Commodity"), F.col("l_extendedprice").alias("Price"))
+    names = []
+    for name, df in (("orders", orders), ("lines", lines)):
+        names.append(f"panel_{name}_{uuid.uuid4().hex}")
+        # one task a bucket, so a bucket is one sorted file
+        w = df.repartition(n, "orderkey").write.bucketBy(n, "orderkey").sortBy("orderkey").option("path", f"{base.rstrip('/')}/{name}")
+        w.format("parquet").saveAsTable(names[-1])
+    return names[0], names[1]
+
+
+def panel_p_bucketed(spark: SparkSession, orders: str, lines: str) -> DataFrame:
+    """Panel P from the bucketed hand-off."""
+    cols = ("Province", "City", "Commodity", "Date", "Price")
+    return spark.table(lines).join(spark.table(orders), "orderkey").select(*cols)
+
+
 # SQL text of the same view for the DuckDB oracle (tables are pre-registered).
 PANEL_P_SQL = """
 SELECT r.r_name AS Province, n.n_name AS City, p.p_type AS Commodity,

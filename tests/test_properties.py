@@ -220,6 +220,21 @@ def test_tiles_of_one_cluster_only(spark):
         assert all(abs(r["dsum"] - want.sum()) < 1e-6 and r["cnt"] == len(want) for r in pw.intra_pair_sums(df, **kw).collect())
 
 
+def test_bucketed_panel_needs_no_exchange(spark, tmp_path):
+    names = tb.write_bucketed_panel(spark, SF_SMALL, str(tmp_path), buckets=4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = tb.panel_p_bucketed(spark, *names)
+        plan = p._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        key = ["Province", "City", "Commodity", "Date", "Price"]
+        want = tb.panel_p(spark, SF_SMALL).select(key)
+        assert p.exceptAll(want).count() == 0 and want.exceptAll(p).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_parse_quirks(spark):
     from pricelens.functions.columns import parse_header_date, parse_price
 
