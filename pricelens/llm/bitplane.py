@@ -17,7 +17,7 @@ or infinite component is left out.  Equal rows are vectors of their own, a null
 id is hashed as ``-``, rows with the same id start in the order of their
 components.  With fewer than ``k`` vectors there are that many centroids; an
 empty table gives an empty result.  Components whose distances could pass 63
-bits (beyond +-2**27 for 64 components) raise an error.  Other columns of the input are
+bits (beyond about +-2**26.5 for 64 components) raise an error.  Other columns of the input are
 not read."""
 
 from __future__ import annotations
