@@ -251,13 +251,17 @@ def d3(spark, sf):
 
 
 # Each sheet has every date and item of its city and year; the gaps are filled inside the sheet.
-@query("z2_build_panel", f"""
+_FILLED_SQL = f"""
 WITH c AS (SELECT *, year(Date) AS y FROM ({CELL_SQL})),
 g AS (SELECT * FROM (SELECT DISTINCT Province, City, y, Date FROM c) JOIN (SELECT DISTINCT Province, City, y, Commodity FROM c) USING (Province, City, y)),
 x AS (SELECT g.*, c.Price AS raw FROM g LEFT JOIN c USING (Province, City, y, Commodity, Date)),
 filled AS (SELECT City, Commodity, Date, coalesce(
     last_value(raw IGNORE NULLS) OVER (PARTITION BY Province, City, y, Commodity ORDER BY Date),
-    first_value(raw IGNORE NULLS) OVER (PARTITION BY Province, City, y, Commodity ORDER BY Date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS Price FROM x)
+    first_value(raw IGNORE NULLS) OVER (PARTITION BY Province, City, y, Commodity ORDER BY Date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS Price FROM x)"""
+
+
+@query("z2_build_panel", f"""
+{_FILLED_SQL}
 SELECT count(*) AS records, count(DISTINCT City) AS cities, count(DISTINCT Commodity) AS commodities,
        date_diff('day', min(Date), max(Date)) AS date_range_days, round(min(Price), 4) AS price_min, round(max(Price), 4) AS price_max,
        round(avg(Price), 4) AS price_mean, round(quantile_cont(Price, 0.5), 4) AS price_median, round(stddev_samp(Price), 4) AS price_std
@@ -271,6 +275,17 @@ def z2(spark, sf):
     return summary.select("records", "cities", "commodities", "date_range_days", *[r4(c).alias(c) for c in prices])
 
 
+@query("z2_panel_rows", f"""
+{_FILLED_SQL}
+SELECT City, Commodity, Date, round(Price, 4) AS Price FROM filled""")
+def z2r(spark, sf):
+    """Every row of the panel built from the sheets, gaps filled."""
+    from .pipelines import build_panel
+
+    panel, _, _, _ = build_panel(spark, _sheet_tree(spark, sf), items=None)
+    return panel.select("City", "Commodity", F.col("Date").cast("timestamp_ntz").alias("Date"), r4("Price").alias("Price"))
+
+
 @query("z3_validate_panel", f"""
 SELECT DISTINCT 'data/' || Province || '/' || City || '/' || CAST(year(Date) AS VARCHAR) || '.xlsx' AS subject,
        'unknown_city' AS "check", City AS detail FROM ({P}) WHERE City NOT IN (SELECT City FROM ({CO}))
