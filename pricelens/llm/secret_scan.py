@@ -1,11 +1,15 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are long runs of token characters that hold a digit or a change from
-lower to upper case.  Each gets features of its length, its character classes and
+Candidates are values given to a name with a telling word in it (``db_password:``,
+``"apiKey" =``, ``<token>``; quoted or bare, of any length and any characters),
+passwords inside links (``scheme://user:password@host``), and elsewhere long runs
+of token characters that hold a digit or a change from lower to upper case.  Where
+they overlap, the named value is the candidate.  Each gets features of its length, its character classes and
 transitions, the share of it that dictionary words cover, its path and the words
 next to it; a random forest, grown in numpy from labelled findings, tells secrets
 from checksums, identifiers, numbers, names and placeholders.  The labelled
-findings are generated from a fixed seed unless the caller brings some; scanning
+findings are generated from a fixed seed, and cut out by the scanner's own
+rules, unless the caller brings some; scanning
 is one pass over whole texts, without a shuffle.
 
 Defined results: null and empty texts and a null path have no candidates and no
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +35,22 @@ LEAST = 0.5  # share of the trees
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.~-])[A-Za-z0-9_+/=.~-]{12,}")
 PART = re.compile(r"[^=]+=*")
 WORTH = re.compile(r"[0-9]|[a-z][A-Z]")
+# The sign after a name, the name before it, and the value: quoted or bare. A bare
+# value ends at white space, a quote, a closing tag or the next URL parameter.
+SIGN = re.compile(r"=>|:=|[=:>]")
+NAME_BEFORE = re.compile(r"""([A-Za-z0-9_-]+)[\"'\]]{0,2}[ \t]{0,8}\Z""")
+VALUE = re.compile(
+    r"""[ \t]*+(?:(?i:bearer|basic|token)[ \t]++)?(?:(["'`])((?:(?!\1)[^\n])++)\1|((?:(?!</|&[\w.-]{1,64}=)[^\s"'`])++))"""
+)
+IN_LINK = re.compile(r"""://[^\s/:@"'`]*+:([^\s/"'`]+)@""")
+LINK_BEFORE = re.compile(r"""://[^\s/:@"'`]*:\Z""")
+REFERENCE = re.compile(r"""\A(?:[$%{<&*(]|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\Z|[A-Za-z_][\w.]*[(\[])""")
 CONTEXT = 48  # characters before and after a candidate that its neighbours are read from
 
 # Words that make a neighbour, a path or a candidate telling.
 KEY_WORDS = frozenset("token secret key apikey password passwd pwd pass auth bearer authorization credential credentials private access signature passphrase".split())
+# Fixed value: ends of a glued name that make it telling (dbpassword, userToken).
+KEY_ENDS = ("token", "secret", "password", "passwd", "passphrase", "pwd", "apikey", "credentials")
 BENIGN_WORDS = frozenset(
     "commit sha sha1 sha256 md5 hash checksum digest integrity version uuid guid etag isbn doi revision build id order invoice account phone call "
     "card page chapter article example sample placeholder build ref tag".split()
@@ -49,7 +66,7 @@ DICTIONARY = frozenset(
     "password token secret key here none null true false undefined todo placeholder demo admin root login access".split()
 )
 NAMES = ("length", "digits", "upper", "lower", "marks", "class_changes", "transitions", "entropy", "hexadecimal", "dictionary", "vowels", "key_word",
-         "assigned", "quoted", "benign_word", "test_path", "config_path", "dots", "only_digits", "mail_or_link", "placeholder")
+         "assigned", "quoted", "benign_word", "test_path", "config_path", "dots", "only_digits", "mail_or_link", "placeholder", "in_link", "blanks", "reference", "password_name")
 
 
 def _log_transitions() -> dict[str, float]:
@@ -98,11 +115,25 @@ def features(before: str, candidate: str, after: str, path: str | None) -> list[
         float(any(w in BENIGN_WORDS for w in near + behind)), float(bool(where & TEST_PATHS)), float(bool(where & CONFIG_PATHS)), float(c.count(".")),
         float(count["d"] == n), float(before[-1:] == "@" or after[:1] == "@" or "://" in before[-10:] or "www." in low or "://" in low),
         float(any(w in low for w in ("example", "your", "xxxx", "changeme", "placeholder", "dummy", "here"))),
+        float(after[:1] == "@" and LINK_BEFORE.search(before) is not None), sum(x.isspace() for x in c) / n, float(REFERENCE.match(c) is not None),
+        float(any(w.startswith("pass") or w.endswith(("password", "passwd", "pwd", "passphrase")) for w in near[-2:])),
     ]
 
 
-def labelled_findings(n: int = 2400, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
-    """(before, candidate, after, path, is secret), half of them secrets."""
+def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
+    """(before, candidate, after, path, is secret), about half of them secrets, as
+    ``candidates`` cuts them out of the generated snippets."""
+    out = []
+    for before, c, after, path, secret in _snippets(n, seed):
+        t = before + c + after
+        for a, b in candidates(t):
+            if a < len(before) + len(c) and b > len(before):
+                out.append((t[max(0, a - CONTEXT) : a], t[a:b], t[b : b + CONTEXT], path, secret))
+    return out
+
+
+def _snippets(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
+    """(before, value, after, path, is secret) of generated lines."""
     r = np.random.default_rng(seed)
     pick = lambda s: s[r.integers(len(s))]
     of = lambda chars, k: "".join(chars[i] for i in r.integers(0, len(chars), k))
@@ -111,21 +142,69 @@ def labelled_findings(n: int = 2400, seed: int = 17) -> list[tuple[str, str, str
     text = lambda: " ".join(pick(words) for _ in range(4)) + " "
     low = "abcdefghijklmnopqrstuvwxyz"
     case = lambda s: s.upper() if r.random() < 0.15 else s
+    sign = lambda: pick([" = ", "=", ": ", " => ", ":", " := "])
+    word = lambda: of(low, int(r.integers(4, 9))) if r.random() < 0.3 else pick(words)
+    password = lambda: pick([
+        lambda: of(b64, int(r.integers(6, 13))), lambda: of(b64 + "!@#$%^*_-+?", int(r.integers(7, 15))), lambda: word() + of(digit, pick([1, 2, 4])) + pick("!#$?*@"),
+        lambda: word() + of(digit, 1) + pick("!#_-.@") + word() + pick(["", "!", "#"]) + of(digit, 1), lambda: of(b64[:26], int(r.integers(12, 28))),
+        lambda: word().title() + pick("@!#$") + of(digit, 4)])()
+    paths, other_paths = ["src/app.py", "config/settings.yml", ".env", "lib/client.js", "deploy.tf", "src3", "", "notes"], ["src/app.py", "tests/test_client.py", "docs/readme.md", "src3", ""]
+    named = lambda: pick(["", "", "api_", "db_", "my-", "client_", "x-"]) + pick(keys)
+    pass_names = ["password", "passwd", "db_password", "DB_PASSWORD", "pwd", "pass", "passphrase", "user_pass"]
     out = []
     for i in range(n):
+        if i % 8 == 1:  # short or symbol-bearing values, and words run together
+            q, name = pick(['"', "'", ""]), pick([pick(pass_names), pick(["secret", "client_secret", "auth_token", "api_key", "credentials"])])
+            c = password()
+            if r.random() < 0.35:
+                name, c = pick(pass_names), "".join(word() for _ in range(int(r.integers(3, 5))))
+            if r.random() < 0.08:
+                name, q, c = pick(["passphrase", "db_passphrase"]), '"', " ".join(word() for _ in range(4))
+            if r.random() < 0.08:
+                out.append((text() + f"<{name}>", c, f"</{name}>", pick(paths), 1))
+                continue
+            out.append((text() + case(name) + sign() + q, c, q + pick(["\n", " ", "\nhost = "]), pick(paths), 1))
+            continue
+        if i % 8 == 3 and r.random() < 0.5:  # the password of a link
+            before = text() + pick(["postgres", "mysql", "https", "amqp", "redis", "ftp"]) + "://" + pick([word(), "admin", "root", ""]) + ":"
+            out.append((before, password(), "@" + word() + pick([".com/", ":5432/db", "/"]), pick(paths), 1))
+            continue
+        if i % 8 in (0, 2):  # values of telling names that are no secrets
+            q, k = pick(['"', "'", "", ""]), int(r.integers(0, 8))
+            name = pick([named(), named(), pick(pass_names)])
+            if k == 0:
+                c = pick([word(), word().title(), word().upper()])
+            elif k == 1:
+                c, q = pick(["None", "null", "true", "false", "True", "undefined", "optional", "required", "string", "str", of(digit, 1), of(digit, 2), of(digit, 3)]), ""
+            elif k == 2:
+                c, q = pick(["$" + name.upper(), "${" + name.upper() + "}", "{{" + word() + "}}", "%s", "<" + word() + ">", "$(cat", "&str", "*" * 8, "********", "{}", "[]"]), pick(["", '"'])
+            elif k == 3:
+                c, q = ".".join(pick(["self", "args", "config", "os", "process", "request", "settings"]) if j == 0 else word() for j in range(int(r.integers(2, 4)))), ""
+            elif k == 4:
+                c, q = pick(["get", "os.get", "read_", "load_", "get" + word() + ".", "hash_"]) + word() + pick(["()", "(" + word() + ")", "[" + word() + "]"]), ""
+            elif k == 5:
+                c, q = word() + pick(["_", "-"]) + pick(keys), pick(["", '"'])
+            elif k == 6:
+                c, q = " ".join(word() for _ in range(int(r.integers(2, 7)))), '"'
+                name = pick(["key", "access", "signature", "token", "auth", "pass"])
+            else:
+                c = pick(["your" + word(), "your-" + name, "changeme", "example" + of(digit, 1), "placeholder", "xxxx", "xxxxxxxx", "your_" + word(), "dummy"])
+            before, after = text() + name + sign() + q, q + pick([" ", "\n", ", ", " and "]) + text()
+            if r.random() < 0.1:
+                before, c, after = text() + pick(["postgres", "https"]) + "://" + pick(["user", "username", "admin"]) + ":", pick(["password", "pass", "${PASSWORD}", "$PW", "<password>"]), "@host/"
+            out.append((before, c, after, pick(other_paths), 0))
+            continue
         if i % 2:
             c = pick([lambda: of(hexa, pick([32, 40, 40, 64])), lambda: of(b64, int(r.integers(20, 48))), lambda: "AKIA" + of(b64[:26] + digit, 16),
                       lambda: "ghp_" + of(b64, 36), lambda: of(b64 + "+/", 40), lambda: "sk_live_" + of(b64, 24), lambda: of(b64, 16)])()
-            name = pick(["", "", "api_", "db_", "my-", "client_", "x-"]) + pick(keys)
             q = pick(['"', '"', "'", "", "`"])
-            before, after = text() + name + pick([" = ", "=", ": ", " => ", ":"]) + q, q + pick([" ", "\n", ";", ", ", " and "]) + text()
+            before, after = text() + named() + sign() + q, q + pick([" ", "\n", ";", ", ", " and "]) + text()
             if r.random() < 0.15:
                 before, after = text() + "Authorization: Bearer ", "\n" + text()
             if r.random() < 0.1:  # without a telling neighbour
                 before, after = text(), " " + text()
                 c = pick(["AKIA" + of(b64[:26] + digit, 16), "ghp_" + of(b64, 36), of(b64 + "+/", 40)])
-            path = pick(["src/app.py", "config/settings.yml", ".env", "lib/client.js", "deploy.tf", "src3", "", "notes"])
-            out.append((case(before), case(c), after, path, 1))
+            out.append((case(before), case(c), after, pick(paths), 1))
             continue
         form = int(r.integers(0, 11))
         q = pick(['"', "'", ""])
@@ -228,17 +307,47 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Fores
     return Forest().fit(np.array([features(*x[:4]) for x in f]), np.array([x[4] for x in f], dtype=float))
 
 
+def _telling(name: str) -> bool:
+    return any(w in KEY_WORDS or w.endswith(KEY_ENDS) for w in _words(name)[-4:])
+
+
+def _named_values(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the values of telling names and of passwords in links."""
+    at = 0
+    for sign in SIGN.finditer(text):
+        if sign.start() < at:
+            continue
+        name = NAME_BEFORE.search(text[max(0, sign.start() - 2 * CONTEXT) : sign.start()])
+        m = VALUE.match(text, sign.end()) if name and _telling(name[1]) else None
+        if m:
+            k = 2 if m[2] is not None else 3
+            a, b = m.span(k)
+            if k == 3:
+                b = a + len(m[3].rstrip(".,;:)]}>"))
+            if b > a:
+                yield a, b
+                at = b
+    for m in IN_LINK.finditer(text):
+        yield m.span(1)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Bounds of the candidates of one text; ``name=value`` has one of its own for
-    each side of the sign."""
+    """Bounds of the candidates of one text, in order and without overlaps;
+    ``name=value`` has one of its own for each side of the sign."""
     out = []
+    for a, b in sorted(_named_values(text)):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    taken = [a for a, _ in out]
+    ends = [b for _, b in out]
     for m in CANDIDATE.finditer(text):
         for part in PART.finditer(m[0]):
             padded = part[0].endswith("==") and part.end() == len(m[0])
             s = part[0] if padded else part[0].rstrip(".=-~/")
-            if len(s) >= 12 and WORTH.search(s):
-                out.append((m.start() + part.start(), m.start() + part.start() + len(s)))
-    return out
+            a = m.start() + part.start()
+            if len(s) >= 12 and WORTH.search(s) and bisect_right(ends, a) == bisect_left(taken, a + len(s)):
+                out.append((a, a + len(s)))
+    return sorted(out)
 
 
 def find(texts: list[str], paths: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
@@ -254,7 +363,8 @@ def find(texts: list[str], paths: list[str | None], forest: Forest) -> list[list
 
 def _shown(text: Column) -> Column:
     """Texts that can hold a candidate; the others need not leave the JVM."""
-    return F.when(text.rlike(WORTH.pattern), text)
+    named = "(?i)(" + "|".join(sorted(KEY_WORDS)) + r""")[a-z0-9_-]*["'\]]{0,2}[ \t]*[=:>]|://[^\s/:@]*:[^\s/]+@"""
+    return F.when(text.rlike(WORTH.pattern) | text.rlike(named), text)
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
