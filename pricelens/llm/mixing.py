@@ -9,9 +9,11 @@ every document has the exponential key -ln(u) / quality, u a seeded hash, and
 the smallest keys are taken until their sizes add up to the rest.  The document on
 the edge is taken in part (``taken``); ``copies`` rounds it to whole documents.
 
-A source is never sorted in one task: keys fall into ``buckets`` ranges of the
-key's distribution function, sizes are summed per range before the shuffle, and
-only within a range are rows ordered.
+A source is never sorted in one task: all rows are dealt over ranges of (source,
+key) that Spark cuts at the keys' own quantiles, about ``range_rows`` rows each, so
+their number grows with the input whatever the qualities are.  Sizes are summed
+per range, and only within a range are rows ordered.  A row number ends the order,
+so even one row repeated a billion times spreads over many ranges.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last; a null or non-positive quality counts as the least quality; repeated rows
@@ -30,6 +32,7 @@ from pricelens.functions.ranking import global_rank
 from pricelens.llm.common import materialize, packed, running_offsets, symbol_count, word_count
 
 LEAST_QUALITY = 0.05
+RANGE_ROWS = 1 << 17  # rows of a key range, about
 
 
 def symbol_quality(text: Column) -> Column:
@@ -78,18 +81,20 @@ def _named(source: Column) -> Column:
 
 
 def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source",
-        share: float = 1.5, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 2.0, seed: int = 11, buckets: int = 1024) -> DataFrame:
+        share: float = 1.5, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 2.0, seed: int = 11, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row for each document: id, source, size, source_size, weight, target,
     taken (words, repeats counted), copies (whole documents), epochs and key."""
-    rows = materialize(docs.select(*_drawn(docs, quality, id_col, text, source, seed)), "mixing")
-    rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")))
+    drawn = materialize(docs.select(*_drawn(docs, quality, id_col, text, source, seed), F.monotonically_increasing_id().alias("uid")), "mixing")
+    order = ["key", "draw", "id", "uid"]
+    dealt = drawn.repartitionByRange(max(1, math.ceil(drawn.count() / range_rows)), F.col("source").asc_nulls_last(), *order)
+    rows = materialize(dealt.withColumn("bucket", F.spark_partition_id()), "mixing-ranges")
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").cast("long").alias("source_size")), share, cycle, max_epochs)
     starts = running_offsets(by_bucket, ["source"], "bucket", "bucket_size", "start")
     k = _named(F.col("source"))
     info = starts.select(k.alias("k"), "bucket", "start").join(goal.withColumn("k", k).drop("source"), "k")
     j = rows.withColumn("k", k).join(info, ["k", "bucket"])
-    w = Window.partitionBy("k", "bucket").orderBy("key", "draw", "id").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("k", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(w), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     j = j.withColumn("before", before).withColumn("epochs", epochs.cast("long"))
