@@ -8,11 +8,29 @@ from pyspark.sql import functions as F
 from pricelens.llm.common import materialize
 
 
+HUBS = 10_000  # at most so many nodes are hubs (rows broadcast in a step)
+LEAST_HUB = 64  # edges
+
+
 def _signature(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return r["n"], r["x"]
 
 
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` (a, b) and m, the least b of the same a.
+
+    ``n`` bounds the number of edges.  Nodes with more than a share of 1 / HUBS of them
+    (hence at most HUBS nodes) reach the edges by broadcast, so a hub's edges stay
+    dealt as they are; the others are joined by a shuffle."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    bound = max(LEAST_HUB, n // HUBS)
+    hubs = F.broadcast(low.where(F.col("n") > bound).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
+    j = edges.join(hubs, F.col("a") == F.col("hub"), "left")
+    light = j.where(F.col("hub").isNull()).select("a", "b").join(low.where(F.col("n") <= bound).select("a", "m"), "a")
+    return j.where(F.col("hub").isNotNull()).select("a", "b", F.col("hub_m").alias("m")).unionAll(light.select("a", "b", "m"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of longs -> (node, root), root the smallest node of the
     component, for every node that has an edge to another node.
@@ -20,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until the edge set no
     longer changes (it is then a set of stars).  Each round is written to the
     shared folder, so lineage stays flat; minima are combined before the
-    shuffle, and no neighbourhood is ever gathered into one row.  Nulls and
+    shuffle, no neighbourhood is ever gathered into one row, and the edges of a hub
+    are never sent to one task.  Nulls and
     loops are ignored; repeated edges do no harm; an empty input gives an
     empty result."""
     pair = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -28,10 +47,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _signature(e)
     while seen[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        found = _with_least(both, 2 * seen[0]).where(F.col("b") > F.col("a"))
+        large = found.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = _with_least(large, seen[0])
         step = small.select("a", F.col("m").alias("b")).unionAll(small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")))
         e = materialize(step.distinct(), "edges")
         now = _signature(e)
