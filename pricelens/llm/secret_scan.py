@@ -363,8 +363,7 @@ def find(texts: list[str], paths: list[str | None], forest: Forest) -> list[list
 
 def _shown(text: Column) -> Column:
     """Texts that can hold a candidate; the others need not leave the JVM."""
-    named = "(?i)(" + "|".join(sorted(KEY_WORDS)) + r""")[a-z0-9_-]*["'\]]{0,2}[ \t]*[=:>]|://[^\s/:@]*:[^\s/]+@"""
-    return F.when(text.rlike(WORTH.pattern) | text.rlike(named), text)
+    return F.when(text.rlike(WORTH.pattern + "|[=:>]"), text)
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
