@@ -73,8 +73,6 @@ def ring(max_bits: int) -> list[list[int]]:
 def hamming_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Distinct fingerprints (column fp) -> links (a, b), a < b, of all pairs that
     differ in 1 to ``max_bits`` bits."""
-    spark = fps.sparkSession
-    fps = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")  # small before the explodes, large after them
     segs, m = ring(max_bits), max_bits + 1
     masks = [sum(1 << b for b in s) for s in segs]
     budget = [(k + 1) * max_bits // m for k in range(m)]  # of a prefix of k + 1 segments
