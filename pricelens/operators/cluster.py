@@ -20,6 +20,7 @@ there, an executor loss recomputes only lost blocks, and lineage never grows.
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -172,34 +173,47 @@ def assign(vec: DataFrame, centers: DataFrame | ClusterResult, entity: str = "en
 
 
 # ------------------------------------------------------------------ C2
-def fcm(vec: DataFrame, k: int, m: float = 2.0, error: float = 1e-5, max_iter: int = 150, seed: int = 42,
-        entity: str = "entity", features: str = "features", data=None) -> ClusterResult:
+def fcm(vec: DataFrame, k: int, **params) -> ClusterResult:
+    """One fuzzy c-means fit; parameters as for ``fcm_many``."""
+    return fcm_many(vec, [k], **params)[k]
+
+
+def fcm_many(vec: DataFrame, ks: Sequence[int], m: float = 2.0, error: float = 1e-5, max_iter: int = 150, seed: int = 42,
+             entity: str = "entity", features: str = "features", data=None) -> dict[int, ClusterResult]:
+    """Fuzzy c-means for every k of ``ks``: each pass over the rows moves all fits that have not settled yet."""
     t0 = time.time()
-    spark = vec.sparkSession
     if m <= 1:
         raise ValueError("fuzzifier m must be > 1")
     own = data is None
     data, n, d = prepare(vec, entity, features) if own else data
-    _check_k(k, n)
-    prev = None  # None = the seeded random memberships
-    cur = _fcm_centers(data, None, None, k, d, m, seed)[0]
-    it, diff = 1, np.inf
-    while it < max_iter:
+    for k in ks:
+        _check_k(k, n)
+    prev = dict.fromkeys(ks)  # None = the seeded random memberships
+    cur = {k: got[0] for k, got in _fcm_pass(data, {k: (None, None) for k in ks}, d, m, seed).items()}
+    diff, steps, took = dict.fromkeys(ks, np.inf), dict.fromkeys(ks, max_iter), {}
+    it, live = 1, list(ks)
+    while it < max_iter and live:
         # memberships from `cur` against those from `prev`; centers for the next step
-        nxt, diff = _fcm_centers(data, prev, cur, k, d, m, seed, with_prev=True)
-        if diff < error:
-            break
-        prev, cur = cur, nxt
+        for k, (nxt, change) in _fcm_pass(data, {k: (prev[k], cur[k]) for k in live}, d, m, seed, with_prev=True).items():
+            diff[k] = change
+            if change < error:
+                steps[k], took[k] = it, time.time() - t0
+            else:
+                prev[k], cur[k] = cur[k], nxt
+        live = [k for k in live if k not in took]
         it += 1
-    C = cur[canonical_order(cur)]
-    memberships = _fcm_memberships(data, C, m).withColumnRenamed("entity", entity)
-    labels = assign_array(data, C).withColumnRenamed("entity", entity)  # the highest membership is that of the nearest center
-    fpc = (memberships.agg(F.sum(F.col("u") * F.col("u"))).first()[0] or 0.0) / n
+    out = {}
+    for k in ks:
+        C = cur[k][canonical_order(cur[k])]
+        memberships = _fcm_memberships(data, C, m).withColumnRenamed("entity", entity)
+        labels = assign_array(data, C).withColumnRenamed("entity", entity)  # the highest membership is that of the nearest center
+        fpc = (memberships.agg(F.sum(F.col("u") * F.col("u"))).first()[0] or 0.0) / n
+        info = {"algorithm": "fcm", "k": k, "fpc": float(fpc), "n_iter": steps[k], "converged": bool(diff[k] < error),
+                "execution_time": took.get(k, time.time() - t0)}
+        out[k] = ClusterResult("fcm", k, labels, _centers_df(vec.sparkSession, C), memberships, info)
     if own:
         data.unpersist()
-    info = {"algorithm": "fcm", "k": k, "fpc": float(fpc), "n_iter": it, "converged": bool(diff < error),
-            "execution_time": time.time() - t0}
-    return ClusterResult("fcm", k, labels, _centers_df(spark, C), memberships, info)
+    return out
 
 
 def _u_of(X: np.ndarray, C: np.ndarray, m: float) -> np.ndarray:
@@ -219,36 +233,39 @@ def _u_init(ids: np.ndarray, k: int, seed: int) -> np.ndarray:
     return u / u.sum(1, keepdims=True)
 
 
-def _fcm_centers(data, prev, cur, k, d, m, seed, with_prev=False):
-    """One pass.  Without ``cur``: centers from the initial memberships.
-    With ``cur``: memberships from ``cur`` give the next centers, and the
-    membership change against ``prev`` (or the initial ones) is measured."""
+def _fcm_pass(data, fits: dict, d, m, seed, with_prev=False) -> dict:
+    """One pass for all ``fits`` (k -> (prev, cur)): k -> (next centers, change).  Without ``cur``:
+    centers from the initial memberships.  With ``cur``: memberships from ``cur`` give the next
+    centers, and the membership change against ``prev`` (or the initial ones) is measured."""
 
     def step(it):
-        s, w, diff = np.zeros((k, d)), np.zeros(k), 0.0
+        s, w, diff = {k: np.zeros((k, d)) for k in fits}, {k: np.zeros(k) for k in fits}, dict.fromkeys(fits, 0.0)
         for pdf in it:  # all batches of the partition are combined first
             if len(pdf) == 0:
                 continue
             X = _mat(pdf, "features")
             ids = pdf["_h"].to_numpy()
-            u = _u_init(ids, k, seed) if cur is None else _u_of(X, cur, m)
-            if with_prev:
-                u0 = _u_init(ids, k, seed) if prev is None else _u_of(X, prev, m)
-                diff += float(((u - u0) ** 2).sum())
-            um = u ** m
-            s += um.T @ X
-            w += um.sum(0)
-        out = [(int(c), s[c].tolist(), float(w[c])) for c in range(k)]
-        out.append((-1, [0.0] * d, diff))
-        yield pd.DataFrame(out, columns=["c", "s", "e"])
-
-    part = data.mapInPandas(step, "c int, s array<double>, e double")
-    sums = part.groupBy("c").agg(F.sum("e").alias("e"), sum_arrays("s", d).alias("s")).toPandas()
-    diff = float(np.sqrt(sums.loc[sums["c"] == -1, "e"].sum()))
-    C = np.zeros((k, d))
-    for _, row in sums[sums["c"] >= 0].iterrows():
-        C[int(row["c"])] = np.asarray(row["s"], dtype=float) / row["e"]
-    return C, diff
+            for k, (prev, cur) in fits.items():
+                u = _u_init(ids, k, seed) if cur is None else _u_of(X, cur, m)
+                if with_prev:
+                    u0 = _u_init(ids, k, seed) if prev is None else _u_of(X, prev, m)
+                    diff[k] += float(((u - u0) ** 2).sum())
+                um = u ** m
+                s[k] += um.T @ X
+                w[k] += um.sum(0)
+        out = [(k, c, s[k][c].tolist(), float(w[k][c])) for k in fits for c in range(k)]
+        out += [(k, -1, [0.0] * d, diff[k]) for k in fits]
+        yield pd.DataFrame(out, columns=["k", "c", "s", "e"])
+
+    part = data.mapInPandas(step, "k int, c int, s array<double>, e double")
+    sums = part.groupBy("k", "c").agg(F.sum("e").alias("e"), sum_arrays("s", d).alias("s")).collect()
+    centers, change = {k: np.zeros((k, d)) for k in fits}, {}
+    for r in sums:
+        if r["c"] < 0:
+            change[r["k"]] = float(np.sqrt(r["e"]))
+        else:
+            centers[r["k"]][r["c"]] = np.asarray(r["s"], dtype=float) / r["e"]
+    return {k: (centers[k], change[k]) for k in fits}
 
 
 def _fcm_memberships(data: DataFrame, C: np.ndarray, m: float) -> DataFrame:
@@ -285,19 +302,6 @@ def fit(vec: DataFrame, algorithm: str, k: int, data=None, **params) -> ClusterR
     raise ValueError(f"unknown algorithm {algorithm!r}; choose from {ALGORITHMS}")
 
 
-def _run(data, algorithm: str, k: int, run: int, params: dict) -> tuple[dict, ClusterResult | None]:
-    """Fit and score: (row of ``RUN_SCHEMA``, result), or the error's row."""
-    from .evaluate import evaluate
-
-    row = {"algorithm": algorithm, "k": int(k), "run": run}
-    try:
-        res = fit(data[0], algorithm, k, data=data, **params)
-        m = evaluate(data[0].select("entity", "features"), res.labels, algorithm, res.centers).first().asDict()
-        return row | m | {"execution_time": float(res.info.get("execution_time", 0.0))}, res
-    except Exception as e:  # one failed fit must not stop the others
-        return row | {"error": f"{type(e).__name__}: {e}"}, None
-
-
 def _runs_df(spark, rows: list[dict]) -> DataFrame:
     """One row a run: algorithm, k, run, every metric, execution_time, error."""
     from .evaluate import METRICS_SCHEMA
@@ -305,34 +309,108 @@ def _runs_df(spark, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, f"algorithm string, k int, run int, {METRICS_SCHEMA}, execution_time double, error string")
 
 
+def fit_all(vec: DataFrame, algorithm: str, ks: Sequence[int], data, parallel: int = 1, **params) -> dict[int, ClusterResult | Exception]:
+    """Every k for one algorithm: the fit, or the error it ended with.  Fuzzy c-means fits share their passes,
+    spectral ones their eigenvectors; if that fails, and for k-means, each k is fitted by itself."""
+    from .spectral import spectral_many
+
+    together = {"fcm": fcm_many, "spectral": spectral_many}.get(algorithm)
+    able = [k for k in ks if 2 <= k < data[1]]
+    out: dict[int, ClusterResult | Exception] = {}
+    if together and len(able) > 1:
+        try:
+            out = together(vec, able, data=data, **params)
+        except Exception:  # each k below then succeeds or names its own error
+            pass
+
+    def alone(k: int) -> ClusterResult | Exception:
+        try:
+            return fit(vec, algorithm, k, data=data, **params)
+        except Exception as e:  # one failed fit must not stop the others
+            return e
+
+    rest = [k for k in ks if k not in out]
+    with ThreadPool(max(1, parallel)) as pool:
+        return out | dict(zip(rest, pool.map(inheritable_thread_target(vec.sparkSession)(alone), rest, chunksize=1)))
+
+
+def assign_runs(data: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
+    """(run, entity, cluster): nearest centers of every run, in one pass over the rows (ties: the smaller number)."""
+
+    def step(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            X, ids = _mat(pdf, "features"), pdf["entity"].to_numpy()
+            for run, C in centers.items():
+                far = np.column_stack([((X - c) ** 2).sum(axis=1) for c in C])
+                yield pd.DataFrame({"run": run, "entity": ids, "cluster": far.argmin(axis=1)})
+
+    rows = data.select("entity", "features").mapInPandas(step, f"run long, entity {entity_type(data)}, cluster long")
+    return rows.select(F.col("run").cast("int").alias("run"), "entity", F.col("cluster").cast("int").alias("cluster"))
+
+
 def sweep(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, ks: Sequence[int] = range(2, 11), params: dict | None = None,
           parallel: int = 1) -> DataFrame:
     """Every algorithm x k; a failing pair becomes a row with its error
-    (the sweep goes on).  The vectors are prepared once; ``parallel`` fits are
+    (the sweep goes on).  The vectors are prepared once, fits share what they can (``fit_all``), and all
+    metrics of all runs come from the same few jobs (``evaluate_runs``); ``parallel`` fits are
     submitted at a time.  One row a run: see ``_runs_df``."""
     spark = vec.sparkSession
     data = prepare(vec)
-    runs = [(a, k) for a in algorithms for k in ks]
+    ks = list(dict.fromkeys(ks))
 
-    def one(i: int) -> dict:
-        a, k = runs[i]
-        return _run(data, a, k, i, (params or {}).get(a, {}))[0]
+    def one(a: str) -> dict:
+        return fit_all(data[0], a, ks, data, parallel, **(params or {}).get(a, {}))
 
-    with ThreadPool(max(1, parallel)) as pool:
-        rows = pool.map(inheritable_thread_target(spark)(one), range(len(runs)), chunksize=1)
+    with ThreadPool(min(max(1, parallel), len(algorithms))) as pool:
+        fits = dict(zip(algorithms, pool.map(inheritable_thread_target(spark)(one), algorithms, chunksize=1)))
+    runs = [(a, k, fits[a][k]) for a in algorithms for k in ks]
+    rows = _scored(data[0], runs)
     data[0].unpersist()
     return _runs_df(spark, rows)
 
 
+def _scored(data: DataFrame, runs: list[tuple[str, int, ClusterResult | Exception]]) -> list[dict]:
+    """Rows of ``_runs_df``: the metrics of every fit, all from the same jobs, or the error of a failed one."""
+    from .evaluate import evaluate_runs
+
+    spark = data.sparkSession
+    good = {i: res for i, (_, _, res) in enumerate(runs) if isinstance(res, ClusterResult)}
+    # the centers of a fit are a local table of k rows
+    centers = {i: np.array([r["center"] for r in res.centers.orderBy("cluster").collect()]) for i, res in good.items() if res.centers is not None}
+    parts = [assign_runs(data, centers)] if centers else []
+    parts += [res.labels.select(F.lit(i).alias("run"), "entity", F.col("cluster").cast("int").alias("cluster")) for i, res in good.items() if i not in centers]
+    metrics = {}
+    if parts:
+        given = [(i, c, [float(x) for x in C[c]]) for i, C in centers.items() for c in range(len(C))]
+        given = spark.createDataFrame(given, "run int, cluster int, center array<double>")
+        labelings = checkpoint(functools.reduce(DataFrame.unionByName, parts))
+        scored = evaluate_runs(data.select("entity", "features"), labelings, given, [i for i, res in good.items() if res.algorithm == "kmeans"])
+        metrics = {r["run"]: r.asDict() for r in scored.collect()}
+    rows = []
+    for i, (algorithm, k, res) in enumerate(runs):
+        row = {"algorithm": algorithm, "k": int(k), "run": i}
+        if i in metrics:
+            row |= metrics[i] | {"execution_time": float(res.info.get("execution_time", 0.0))}
+        elif isinstance(res, Exception):
+            row["error"] = f"{type(res).__name__}: {res}"
+        else:
+            row["error"] = "ValueError: insufficient clusters: at least two are needed"
+        rows.append(row)
+    return rows
+
+
 def compare(vec: DataFrame, algorithms: Sequence[str] = ALGORITHMS, k: int = 3, params: dict | None = None):
     """The same k for several algorithms: per algorithm labels and
     metrics; a failing algorithm becomes a row with its error; the best is the
     one with the highest silhouette.  Returns (runs DataFrame, {algorithm:
     ClusterResult}, best algorithm)."""
     data = prepare(vec)
-    done = [(a, *_run(data, a, k, i, (params or {}).get(a, {}))) for i, a in enumerate(algorithms)]
+    runs = [(a, k, fit_all(data[0], a, [k], data, **(params or {}).get(a, {}))[k]) for a in algorithms]
+    rows = _scored(data[0], runs)
     data[0].unpersist()
-    results = {a: res for a, _, res in done if res is not None}
-    valid = [row for _, row, res in done if res is not None]
+    valid = [row for row in rows if not row.get("error")]
+    results = {row["algorithm"]: runs[row["run"]][2] for row in valid}
     best = max(valid, key=lambda r: (r["silhouette"], -r["run"]))["algorithm"] if valid else None
-    return _runs_df(vec.sparkSession, [row for _, row, _ in done]), results, best
+    return _runs_df(vec.sparkSession, rows), results, best

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.window import Window
 from ..functions.quantiles import exact_quantiles
 from ..session import broadcast_checked, checkpoint
 from . import pairwise as pw
+from .cluster import sum_arrays
 
 
 def vector_dim(vec: DataFrame, features: str = "features") -> int:
@@ -308,3 +310,101 @@ def evaluate(vec: DataFrame, labels: DataFrame, algorithm: str | None = None, ce
     lv.unpersist()
     pre[2].unpersist()
     return vec.sparkSession.createDataFrame([tuple(got.get(m) for m in METRICS)], METRICS_SCHEMA)
+
+
+# ---------------------------------------------------------------- all metrics of many labelings
+def evaluate_runs(vec: DataFrame, labelings: DataFrame, centers: DataFrame | None = None, with_sums: Collection[int] = (), run="run",
+                  entity="entity", cluster="cluster", features="features", block_rows: int | None = pw.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """All metrics of many labelings (run, entity, cluster) of the same vectors: one row (run, ``METRICS``)
+    a run, with the values that ``evaluate`` gives run by run.  ``centers`` (run, cluster, center) are
+    those of the fits that have any; the runs ``with_sums`` also get the sums of squares to them.
+
+    The jobs do not multiply with the runs: one aggregate for all centroids, one for all spreads,
+    and one walk over the pairs of rows, whose distances serve every labeling.  Only centers and sums by
+    (run, cluster) reach the driver.  A run with fewer than two clusters has no row."""
+    spark = vec.sparkSession
+    found = labelings.where(F.col(cluster).isNotNull()).groupBy(run, cluster).agg(F.count(F.lit(1))).select(run, cluster).collect()
+    of_run: dict[int, list[int]] = {}
+    for r, c in sorted((r[0], r[1]) for r in found):
+        of_run.setdefault(r, []).append(c)
+    of_run = {r: cs for r, cs in of_run.items() if len(cs) > 1}
+    schema = f"{run} int, {METRICS_SCHEMA}"
+    if not of_run:
+        return spark.createDataFrame([], schema)
+    names = [(r, c) for r, cs in of_run.items() for c in cs]  # a slot is a place in this list
+    first = {r: names.index((r, cs[0])) for r, cs in of_run.items()}
+    order = {r: i for i, r in enumerate(of_run)}
+
+    # one row an entity: the slots it lies in, by run
+    slots = spark.createDataFrame([(r, c, order[r], s) for s, (r, c) in enumerate(names)], f"{run} int, {cluster} int, _r int, _s int")
+    placed = labelings.join(F.broadcast(slots), [run, cluster]).groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_s"))).alias("_m"))
+    runs = F.sequence(F.lit(0), F.lit(len(order) - 1))
+    own = F.transform(runs, lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(-1)))
+    rows = checkpoint(vec.select(entity, features).join(placed, entity).select(entity, features, own.alias("_c")))
+
+    # centroids, then the spread around them, around the given centers and around each run's mean
+    long = rows.select(features, F.explode(F.filter("_c", lambda s: s >= 0)).alias("_s"))
+    means = {r["_s"]: r for r in centroids(long, vector_dim(rows, features), "_s", features).collect()}
+    size = np.array([means[s]["size"] for s in range(len(names))], dtype=np.int64)
+    mean = np.array([means[s]["center"] for s in range(len(names))], dtype=np.float64)
+    given = {} if centers is None else {(r[run], r[cluster]): r["center"] for r in centers.select(run, cluster, "center").collect()}
+    span = {r: slice(first[r], first[r] + len(cs)) for r, cs in of_run.items()}
+    middle = {r: np.average(mean[at], axis=0, weights=size[at]) for r, at in span.items()}
+    around = [(s, mean[s].tolist(), given.get(names[s]), middle[names[s][0]].tolist()) for s in range(len(names))]
+    around = F.broadcast(spark.createDataFrame(around, "_s int, _mean array<double>, _given array<double>, _mid array<double>"))
+    to = lambda c: sq_dist(F.col(features), F.col(c))
+    spread = {r["_s"]: r for r in long.join(around, "_s").groupBy("_s").agg(
+        F.avg(F.sqrt(to("_mean"))).alias("s"), F.sum(to("_mean")).alias("w"), F.sum(to("_given")).alias("g"), F.sum(to("_mid")).alias("t")).collect()}
+
+    # pairs of rows
+    sums = pw.run_distance_sums(rows, len(names), entity, "_c", features, block_rows).groupBy(entity).agg(
+        F.any_value("_c").alias("_c"), sum_arrays("s", len(names)).alias("s"), sum_arrays("z", len(order)).alias("z"))
+    info = [(order[r], first[r], size[at].tolist()) for r, at in span.items()]
+    info = F.broadcast(spark.createDataFrame(info, "_r int, _a int, _n array<bigint>"))
+    each = sums.select("s", "z", F.posexplode("_c").alias("_r", "_s")).where(F.col("_s") >= 0).join(info, "_r")
+    each = each.select("_s", F.col("z")[F.col("_r")].alias("z"), "_n", (F.col("_s") - F.col("_a")).alias("_i"), F.slice("s", F.col("_a") + 1, F.size("_n")).alias("_d"))
+    others = F.transform("_d", lambda x, i: F.when(i != F.col("_i"), x / F.get("_n", i)))  # array_min passes over NULL
+    each = each.select("_s", "z", F.get("_d", F.col("_i")).alias("d"), (F.get("_n", F.col("_i")) - 1).alias("n"), F.array_min(others).alias("b"))
+    a = F.try_divide("d", "n")
+    sil = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, "b")), F.lit(0.0)))
+    pairs = {r["_s"]: r for r in each.groupBy("_s").agg(F.sum(sil).alias("sil"), F.sum("d").alias("d"), F.sum("z").alias("z")).collect()}
+
+    of_fit: dict[int, list] = {}
+    for (r, _), c in given.items():
+        of_fit.setdefault(r, []).append(c)
+    out = [(r, *_run_metrics(size[at], mean[at], middle[r], [given.get(names[s]) for s in range(at.start, at.stop)], of_fit.get(r, []),
+                             [spread[s] for s in range(at.start, at.stop)], [pairs[s] for s in range(at.start, at.stop)], r in with_sums))
+           for r, at in span.items()]
+    return spark.createDataFrame(out, schema)
+
+
+def _run_metrics(n, mean, middle, given, centers, spread, pairs, with_sums) -> tuple:
+    """``METRICS`` of one run from its sums by cluster; ``given`` holds the centers of clusters with rows, ``centers`` all."""
+    got = {}
+    between = np.sqrt(((mean[:, None, :] - mean[None, :, :]) ** 2).sum(axis=2))
+    s = np.array([x["s"] for x in spread])
+    ratio = np.divide(s[:, None] + s[None, :], between, out=np.zeros_like(between), where=between > 0)
+    np.fill_diagonal(ratio, 0.0)
+    wcss, bcss = sum(x["w"] for x in spread), float((n * ((mean - middle) ** 2).sum(axis=1)).sum())
+    k, total = len(n), int(n.sum())
+    got["silhouette"] = sum(x["sil"] for x in pairs) / total
+    got["davies_bouldin"] = float(ratio.max(axis=1).mean())
+    got["calinski_harabasz"] = 1.0 if wcss == 0 or k == total else (bcss / (k - 1)) / (wcss / (total - k))
+    got["min_cluster_size"], got["max_cluster_size"] = int(n.min()), int(n.max())
+    got["cluster_size_std"], got["cluster_balance"] = float(n.std()), float(n.min() / n.max())
+    apart = [int(m) * (int(m) - 1) // 2 - x["z"] // 2 for m, x in zip(n, pairs)]
+    inner = [x["d"] / 2 / c for x, c in zip(pairs, apart) if c > 0]
+    if inner:
+        got["avg_intra_cluster_distance"], got["std_intra_cluster_distance"] = float(np.mean(inner)), float(np.std(inner))
+    if centers:
+        c = np.array(centers, dtype=np.float64)
+        gaps = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))[np.triu_indices(len(c), 1)]
+        gaps = gaps[gaps > 0]
+        if len(gaps):
+            got["avg_inter_cluster_distance"], got["min_inter_cluster_distance"] = float(gaps.mean()), float(gaps.min())
+        if with_sums:
+            c, tss = np.array(given, dtype=np.float64), sum(x["t"] for x in spread)
+            got["wcss"] = got["inertia"] = sum(x["g"] for x in spread)
+            got["bcss"], got["tss"] = float((n * ((c - middle) ** 2).sum(axis=1)).sum()), tss
+            got["explained_variance_ratio"] = got["bcss"] / tss if tss > 0 else None
+    return tuple(got.get(m) for m in METRICS)

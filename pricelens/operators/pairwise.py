@@ -216,3 +216,50 @@ def intra_pair_sums(vec: DataFrame, entity: str = "entity", cluster: str = "clus
         v = v.withColumn("_nb", F.lit(nb))
     raw = run_tiles(tiles(packed_blocks(v, "_nb", entity, cluster)), ["g", "ti", "tj"], fn, schema)
     return raw.groupBy(cluster).agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
+
+
+def run_distance_sums(vec: DataFrame, slots: int, entity: str = "entity", slot: str = "_c", features: str = "features",
+                      block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Distance sums of many labelings from one walk over the tiles.  ``slot`` is an array with one
+    entry a labeling: the number (below ``slots``) of the row's cluster among the clusters of all labelings,
+    -1 where it has none.  Each distance is computed once and added to the slots of all labelings
+    by one matrix product.  Output (entity, slot, s: sum of distances to the members of every slot,
+    z: by labeling, the members of the own cluster at distance 0, the row itself left out), one row
+    a tile and row; blocks are as small as rows of ``slots`` sums need."""
+    schema = f"{entity} {vec.schema[entity].dataType.simpleString()}, {slot} array<int>, s array<double>, z array<bigint>"
+
+    def members(c: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(c), slots))
+        for r in range(c.shape[1]):
+            at = np.flatnonzero(c[:, r] >= 0)
+            out[at, c[at, r]] = 1.0
+        return out
+
+    def count_zeros(z: np.ndarray, own: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
+        for r in range(own.shape[1]):
+            same = (own[at, r] == other[to, r]) & (own[at, r] >= 0)
+            z[:, r] += np.bincount(at[same], minlength=len(z))
+
+    def fn(L: Block, R: Block, diag: bool) -> pd.DataFrame:
+        a, b, lc, rc = L.matrix(features), R.matrix(features), L.matrix(slot), R.matrix(slot)
+        lm, rm = members(lc), members(rc)
+        of_left, of_right = np.zeros((len(a), slots)), np.zeros((len(b), slots))
+        zl, zr = np.zeros(lc.shape, dtype=np.int64), np.zeros(rc.shape, dtype=np.int64)
+        for i, j, d in _distance_pieces(a, b, diag):
+            of_left[i] += d @ rm[j]
+            if not diag:
+                of_right[j] += d.T @ lm[i]
+            at, to = np.nonzero(d == 0)
+            if diag and i == j:
+                at, to = at[at != to], to[at != to]
+            if len(at):
+                count_zeros(zl[i], lc[i], rc[j], at, to)
+                if not diag:
+                    count_zeros(zr[j], rc[j], lc[i], to, at)
+        sides = ((L, lc, of_left, zl), (R, rc, of_right, zr))[: 1 if diag else 2]
+        return pd.concat([pd.DataFrame({entity: block.column(entity), slot: list(c), "s": list(s), "z": list(z)}) for block, c, s, z in sides], ignore_index=True)
+
+    n, d = vec.agg(F.count(F.lit(1)), F.max(F.size(features))).first()
+    wide = rows_of_bytes(max(d or 1, slots))
+    nb = max(n_blocks(vec, block_rows), math.ceil(n / wide))
+    return map_tiles(vec.select(entity, slot, features), fn, schema, nb=nb, entity=entity)

@@ -18,6 +18,7 @@ sparse, scalable mode."""
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -182,30 +183,52 @@ def _matvec(state: DataFrame, kernel, gamma, degree, coef0, q, entity="entity",
     return raw.groupBy(entity).agg(sum_arrays("z", q).alias("z"))
 
 
-def spectral(vec: DataFrame, k: int, affinity="rbf", gamma: float = 1.0, n_neighbors: int = 10, degree: float = 3.0,
-             coef0: float = 1.0, n_init: int = 10, seed: int = 42, max_iter: int = 200, tol: float = 1e-6, extra: int = 4,
-             block_rows: int | None = pw.DEFAULT_BLOCK_ROWS, entity="entity", features="features", data=None) -> ClusterResult:
+def spectral(vec: DataFrame, k: int, **params) -> ClusterResult:
+    """One spectral fit; parameters as for ``spectral_many``."""
+    return spectral_many(vec, [k], **params)[k]
+
+
+def spectral_many(vec: DataFrame, ks: Sequence[int], affinity="rbf", gamma: float = 1.0, n_neighbors: int = 10, degree: float = 3.0,
+                  coef0: float = 1.0, n_init: int = 10, seed: int = 42, max_iter: int = 200, tol: float = 1e-6, extra: int = 4,
+                  block_rows: int | None = pw.DEFAULT_BLOCK_ROWS, entity="entity", features="features", data=None) -> dict[int, ClusterResult]:
+    """Spectral fits for every k of ``ks`` from one block of eigenvectors: those of k are the
+    first k of the largest one's."""
     t0 = time.time()
     data, n, d = data if data is not None else prepare(vec, entity, features)
-    _check_k(k, n)
-    spark = data.sparkSession
+    for k in ks:
+        _check_k(k, n)
+    top = max(ks)
+    q = min(n, top + extra)
+    info = {"algorithm": "spectral", "affinity": affinity if isinstance(affinity, str) else "callable", "converged": True}
     if affinity == "nearest_neighbors":
-        return _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, block_rows, t0)
-    g = float(gamma)
+        base, apply = _knn_operator(data, n_neighbors, q, block_rows)
+    else:
+        base, apply = _dense_operator(data, affinity, float(gamma), degree, coef0, q, block_rows)
+        info["gamma"] = float(gamma)
+    V = base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v"))
+    S, C, w, it = _leading(apply, V, top, q, max_iter, tol)
+    emb = _embed(base, S.select("entity", F.col("s").alias("v")), C)
+    emb = emb if len(ks) == 1 else checkpoint(emb)
+    shared = time.time() - t0
+
+    def finish(k: int) -> ClusterResult:
+        t1 = time.time()
+        res = kmeans(emb.select("entity", F.slice("features", 1, k).alias("features")), k, n_init=n_init, seed=seed)
+        own = {"k": k, "eigen_iterations": it, "eigenvalues": [x - 1.0 for x in w[:k]], "execution_time": shared + time.time() - t1}
+        return ClusterResult("spectral", k, res.labels, None, None, info | own)
+
+    return {k: finish(k) for k in ks}
+
+
+def _dense_operator(data: DataFrame, kernel, g: float, degree: float, coef0: float, q: int, block_rows):
+    """(rows with their scale s and sqrt(degree) sd, product with A + I) of a dense kernel."""
     nb = pw.n_blocks(data, block_rows)
     base = data.select("entity", "features")
-    deg = _matvec(base.withColumn("y", F.array(F.lit(1.0))), affinity, g, degree, coef0, 1, block_rows=block_rows, nb=nb)
+    deg = _matvec(base.withColumn("y", F.array(F.lit(1.0))), kernel, g, degree, coef0, 1, block_rows=block_rows, nb=nb)
     deg = deg.select("entity", F.col("z")[0].alias("deg"))
     scale = F.when(F.col("deg") > 0, F.lit(1.0) / F.sqrt("deg")).otherwise(F.lit(1.0))
     base = checkpoint(base.join(deg, "entity", "left").withColumn("s", F.coalesce(scale, F.lit(1.0))).withColumn("sd", F.sqrt(F.greatest("deg", F.lit(0.0)))))
-    q = min(n, k + extra)
-    V = base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v"))
-    S, C, w, it = _leading(lambda V: _apply_shifted(base, V, affinity, g, degree, coef0, q, block_rows, nb), V, k, q, max_iter, tol)
-    emb = _embed(base, S.select("entity", F.col("s").alias("v")), C)
-    res = kmeans(emb, k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": affinity if isinstance(affinity, str) else "callable", "gamma": g,
-            "eigen_iterations": it, "converged": True, "eigenvalues": [x - 1.0 for x in w], "execution_time": time.time() - t0}
-    return ClusterResult("spectral", k, res.labels, None, None, info)
+    return base, lambda V: _apply_shifted(base, V, kernel, g, degree, coef0, q, block_rows, nb)
 
 
 def _apply_shifted(base, V, kernel, gamma, degree, coef0, q, block_rows, nb):
@@ -302,17 +325,15 @@ def _embed(base: DataFrame, V: DataFrame, Y: np.ndarray) -> DataFrame:
     return U.select("entity", F.zip_with("u", F.array(*[F.lit(x) for x in sg]), lambda a, b: a * b).alias("features"))
 
 
-def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, block_rows, t0):
-    """Spectral clustering on the sparse symmetric k-NN graph: the same
-    steps with an edge-list product (a join + aggregate)."""
+def _knn_operator(data: DataFrame, n_neighbors: int, q: int, block_rows):
+    """The same on the sparse symmetric k-NN graph: the product is an edge-list
+    join + aggregate."""
     g = knn_graph(data, n_neighbors, block_rows=block_rows).where(F.col("a") != F.col("b"))
     g = checkpoint(g)
     deg = g.groupBy(F.col("a").alias("entity")).agg(F.sum("w").alias("deg"))
     base = checkpoint(data.select("entity").join(deg, "entity", "left").select(
         "entity", F.when(F.col("deg") > 0, 1.0 / F.sqrt("deg")).otherwise(1.0).alias("s"),
         F.sqrt(F.coalesce(F.col("deg"), F.lit(0.0))).alias("sd")))
-    q = min(n, k + extra)
-    V = base.select("entity", F.array(*[(F.xxhash64(F.lit(seed + j), "entity").cast("double") / F.lit(2.0**64)) for j in range(q)]).alias("v"))
 
     def apply(V):
         y = base.join(V, "entity").select("entity", F.transform("v", lambda x: x * F.col("s")).alias("y"))
@@ -322,8 +343,4 @@ def _spectral_knn(data, n, k, n_neighbors, n_init, seed, max_iter, tol, extra, b
         zz = F.coalesce(F.col("z"), F.array_repeat(F.lit(0.0), q))
         return j.select("entity", F.zip_with(zz, "v", lambda a, b: a * F.col("s") + b).alias("v"), F.col("v").alias("old"))
 
-    S, C, w, it = _leading(apply, V, k, q, max_iter, tol)
-    res = kmeans(_embed(base, S.select("entity", F.col("s").alias("v")), C), k, n_init=n_init, seed=seed)
-    info = {"algorithm": "spectral", "k": k, "affinity": "nearest_neighbors", "eigen_iterations": it, "converged": True,
-            "eigenvalues": [x - 1.0 for x in w], "execution_time": time.time() - t0}
-    return ClusterResult("spectral", k, res.labels, None, None, info)
+    return base, apply

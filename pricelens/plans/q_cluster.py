@@ -85,14 +85,24 @@ def c1t(spark, sf):
 
 @query("c2_fcm", """
 SELECT 4 * count(*) AS rows, count(DISTINCT vec_id) AS entities, 4 AS clusters, true AS sums_to_one, true AS in_range, true AS fpc_ok,
-       true AS converged FROM embeddings""")
+       true AS converged, true AS u_from_distances, true AS centers_are_means FROM embeddings""")
 def c2(spark, sf):
-    """Fuzzy c-means, k=4, m=2: facts of the memberships (entity, cluster, u)."""
-    res = cl.fcm(_m(spark, sf), 4, m=2.0, error=1e-5, max_iter=150, seed=42)
+    """Fuzzy c-means, k=4, m=2: facts of the memberships (entity, cluster, u), which are computed again from
+    the distances to the centers, and the centers from them."""
+    m = _m(spark, sf)
+    res = cl.fcm(m, 4, m=2.0, error=1e-5, max_iter=150, seed=42)
+    near = m.join(res.memberships, "entity").join(F.broadcast(res.centers), "cluster").withColumn("i", 1.0 / ev.sq_dist(F.col("features"), F.col("center")))
+    near = near.withColumn("again", F.col("i") / F.sum("i").over(Window.partitionBy("entity")))
+    off = near.agg(F.max(F.abs(F.col("u") - F.col("again"))).alias("off"))
+    cells = near.select("cluster", F.pow("u", F.lit(2.0)).alias("w"), F.posexplode(F.arrays_zip("features", "center")).alias("j", "x"))
+    cells = cells.groupBy("cluster", "j").agg((F.sum(F.col("w") * F.col("x.features")) / F.sum("w") - F.max("x.center")).alias("gap"))
+    off = off.withColumn("_k", F.lit(0)).join(cells.agg(F.max(F.abs("gap")).alias("gap"), F.lit(0).alias("_k")), "_k")
     per = res.memberships.groupBy("entity").agg(F.sum("u").alias("s"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.count(F.lit(1)).alias("c"))
-    return per.agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("entities"), F.max("c").cast("int").alias("clusters"),
+    one = per.agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("entities"), F.max("c").cast("int").alias("clusters"),
                    (F.max(F.abs(F.col("s") - 1)) < 1e-9).alias("sums_to_one"), ((F.min("lo") >= 0) & (F.max("hi") <= 1)).alias("in_range"),
-                   F.lit(bool(0.25 - 1e-9 <= res.info["fpc"] <= 1 + 1e-9)).alias("fpc_ok"), F.lit(res.info["converged"]).alias("converged"))
+                   F.lit(bool(0.25 - 1e-9 <= res.info["fpc"] <= 1 + 1e-9)).alias("fpc_ok"), F.lit(res.info["converged"]).alias("converged"), F.lit(0).alias("_k"))
+    off = off.select("_k", (F.col("off") < 1e-9).alias("u_from_distances"), (F.col("gap") < 1e-4).alias("centers_are_means"))
+    return one.join(off, "_k").drop("_k")
 
 
 _RBF_SQL = f"""
@@ -169,6 +179,40 @@ def c4k(spark, sf):
     return _spectral_facts(sp.spectral(_m(spark, sf), 4, affinity="nearest_neighbors", n_neighbors=10, n_init=10, seed=42, block_rows=256))
 
 
+def _planted(spark, sf, groups):
+    """Matrix M with its given labels, taken by ``groups``, as far-apart blobs: (entity, features)."""
+    e = tb.table(spark, sf, "embeddings")
+    far = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.when(F.col("label") % groups == i, 10.0).otherwise(0.0))
+    near = F.transform("embedding", lambda x: x.cast("double") * 0.1)
+    return e.where(F.col("label").isNotNull()).select(F.col("vec_id").alias("entity"), F.concat(far, near).alias("features"))
+
+
+_PLANTED_SQL = """
+SELECT algorithm, vec_id AS entity, min(vec_id) OVER w AS first, count(*) OVER w AS size
+FROM (SELECT algorithm, vec_id, label % g AS part FROM embeddings, (VALUES {}) a(algorithm, g) WHERE label IS NOT NULL) WINDOW w AS (PARTITION BY algorithm, part)"""
+
+
+def _found(labels, name):
+    """Every row with the smallest id and the size of its cluster, whatever the cluster's number."""
+    of = labels.groupBy("cluster").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("size"))
+    return labels.join(F.broadcast(of), "cluster").select(F.lit(name).alias("algorithm"), "entity", "first", "size")
+
+
+@query("c7_planted_labels", _PLANTED_SQL.format("('kmeans', 3), ('fcm', 3), ('spectral', 3)"))
+def c7p(spark, sf):
+    """Each algorithm's label of every row, on blobs built from the given labels (modulo 3)."""
+    vec = _planted(spark, sf, 3)
+    _, fits, _ = cl.compare(vec, cl.ALGORITHMS, 3, params={"spectral": {"block_rows": 256}})
+    return functools.reduce(lambda a, b: a.unionByName(b), [_found(res.labels, name) for name, res in fits.items()])
+
+
+@query("c4_spectral_knn_planted", _PLANTED_SQL.format("('spectral', 10)"))
+def c4p(spark, sf):
+    """Spectral labels of every row by the k-NN graph, on blobs built from the ten given labels."""
+    res = sp.spectral(_planted(spark, sf, 10), 10, affinity="nearest_neighbors", n_neighbors=20, seed=42, block_rows=256)
+    return _found(res.labels, "spectral")
+
+
 @query("c5_assign", f"""
 WITH l AS (SELECT entity, i, v FROM {_lf(EL)}),
 c AS (SELECT cluster, i, avg(v) AS c FROM {_lf(EL)} GROUP BY cluster, i),
@@ -193,11 +237,11 @@ def _sane(df, n):
 @query("c6_sweep", f"""
 SELECT a AS algorithm, CAST(k AS INTEGER) AS k, CAST(row_number() OVER (ORDER BY o, k) - 1 AS INTEGER) AS run, true AS metrics_ok,
   a <> 'spectral' AS has_centers, CASE WHEN a = 'kmeans' THEN (SELECT round(tss, 4) FROM {_var_sql(EL)}) END AS tss, false AS failed
-FROM (VALUES ('kmeans', 0), ('fcm', 1), ('spectral', 2)) t(a, o), range(2, 4) g(k)""")
+FROM (VALUES ('kmeans', 0), ('fcm', 1), ('spectral', 2)) t(a, o), range(2, 11) g(k)""")
 def c6(spark, sf):
-    """Every algorithm x k = 2, 3 on matrix M, all metrics of every run."""
+    """Every algorithm x k = 2 to 10 on matrix M, all metrics of every run."""
     m = _m(spark, sf)
-    out = cl.sweep(m, ks=(2, 3), params={"spectral": {"block_rows": 256}}, parallel=4)
+    out = cl.sweep(m, params={"spectral": {"block_rows": 256}}, parallel=4)
     return out.select("algorithm", "k", "run", _sane(out, m.count()).alias("metrics_ok"), F.col("min_inter_cluster_distance").isNotNull().alias("has_centers"),
                       r4("tss").alias("tss"), F.col("error").isNotNull().alias("failed"))
 
