@@ -122,16 +122,16 @@ def kmeans(vec: DataFrame, k: int, n_init: int = 10, max_iter: int = 300, tol: f
     _check_k(k, n)
     spread = data.select(F.posexplode("features").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")).agg(F.avg("v")).first()[0]
     shift = (tol * float(spread or 0.0) / k) ** 0.5
-    points = data.select(array_to_vector("features").alias("features")).persist()
+    # not persisted here: Spark ML then keeps each running fit's points with their norms (in memory, else on
+    # disk); over a persisted table every step of every fit decodes the rows again
+    points = data.select(array_to_vector("features").alias("features"))
 
     def fit_seed(r: int):
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=shift).fit(points)
         return float(model.summary.trainingCost), r, int(model.summary.numIter), np.vstack(model.clusterCenters())
 
-    points.count()
     with ThreadPool(min(n_init, PARALLEL_FITS)) as pool:  # independent fits share the cluster, as in Spark ML's own tuning
         fits = pool.map(inheritable_thread_target(vec.sparkSession)(fit_seed), range(n_init))
-    points.unpersist()
     cost, restart, steps, C = min(fits, key=lambda f: f[:2])
     C = C[canonical_order(C)]
     labels = assign_array(data, C).withColumnRenamed("entity", entity)
