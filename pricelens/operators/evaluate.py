@@ -66,6 +66,61 @@ def silhouette(vec: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     return silhouette_samples(vec, labels, **kw).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def pair_metrics(vec: DataFrame, labelings: DataFrame, again: bool = False, run="run", entity="entity", cluster="cluster", features="features",
+                 block_rows: int | None = pw.DEFAULT_BLOCK_ROWS) -> dict[int, dict[str, float | None]]:
+    """Silhouette, mean and deviation of the intra-cluster distances of many labelings (run, entity, cluster)
+    of the same vectors, from one walk over the pairs of rows whose distances serve every labeling: by run,
+    what ``silhouette`` and ``intra_distance`` give run by run.  Entities may come several times on either side:
+    as in ``labeled``, each of their vectors then counts with each of their labels; ``again`` counts the rows
+    as ``evaluate`` does, which joins the labeled rows to their labels once more.  Without ``again`` only the
+    silhouette is found.  Only sums by (run, cluster) reach the driver."""
+    spark = vec.sparkSession
+    each = labelings.select(F.col(run).alias("_r"), entity, F.col(cluster).cast("int").alias("_k"))
+    found = sorted((r[0], r[1]) for r in each.where("_k is not null").select("_r", "_k").distinct().collect())
+    if not found:
+        return {}
+    number = spark.createDataFrame([(r, k, s) for s, (r, k) in enumerate(found)], "_r int, _k int, _s int")
+    # one row an entity: how often its vectors count, by slot, a place in ``found``
+    n = each.groupBy(entity, "_r", "_k").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    if again:
+        all_of = each.groupBy(entity, "_r").agg(F.count(F.lit(1)).alias("_all"))
+        copies = vec.groupBy(entity).agg(F.count(F.lit(1)).alias("_m"))
+        n = n.join(all_of, [entity, "_r"]).join(copies, entity).withColumn("_n", F.col("_n") * F.col("_all") * F.col("_m"))
+    n = n.join(F.broadcast(number), ["_r", "_k"]).groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("_s", "_n"))).alias("_of"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(len(found) - 1)), lambda s: F.coalesce(F.try_element_at("_of", s), F.lit(0.0)))
+    rows = checkpoint(vec.select(entity, features).join(n, entity).select(entity, features, weights.alias("_w")))
+
+    sums = pw.weighted_distance_sums(rows, len(found), entity, "_w", features, again, block_rows).groupBy(entity).agg(
+        sum_arrays("s", len(found)).alias("s"), *([sum_arrays("z", len(found)).alias("z")] if again else []), F.sum("m").alias("m"))
+    sums = sums.join(rows.groupBy(entity).agg(F.any_value("_w").alias("w")), entity)
+    size = rows.agg(*[F.sum(F.col("_w")[s]) for s in range(len(found))]).first()
+    span: dict[int, list[int]] = {}
+    for s, (r, _) in enumerate(found):
+        span.setdefault(r, []).append(s)
+    info = [(s, r, span[r][0], s - span[r][0], [size[o] for o in span[r]]) for s, (r, _) in enumerate(found)]
+    info = F.broadcast(spark.createDataFrame(info, "_s int, _r int, _a int, _i int, _n array<double>"))
+    one = sums.select("s", "w", "m", *(["z"] if again else []), F.posexplode("w").alias("_s", "_own")).where("_own > 0").join(info, "_s")
+    part = lambda c: F.slice(c, F.col("_a") + 1, F.size("_n"))
+    several = F.size(F.filter(part("w"), lambda x: x > 0)) > 1  # an entity of several clusters: the nearest other of any of them
+    mean = F.transform(part("s"), lambda x, o: F.when((o != F.col("_i")) | several, x / (F.col("m") * F.get("_n", o))))  # array_min passes over NULL
+    others = F.get("_n", F.col("_i")) - 1
+    mine = F.get("s", F.col("_s"))
+    one = one.withColumn("a", F.try_divide(mine, F.col("m") * others)).withColumn("b", F.array_min(mean))
+    sil = F.when((others == 0) | F.col("b").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    # of the own cluster: the distances, and the pairs at distance 0 with those of a row counted several times
+    inner = [F.sum(F.col("_own") * mine).alias("d"), F.sum(F.col("_own") * F.get("z", F.col("_s")) + F.col("m") * F.col("_own") * F.col("_own")).alias("z")] if again else []
+    got = {r["_s"]: r for r in one.groupBy("_s").agg(F.sum(sil).alias("sil"), F.count(F.lit(1)).alias("n"), *inner).collect()}
+    out = {}
+    for r, at in span.items():
+        mine = [(size[s], got[s]) for s in at if s in got]
+        out[r] = {"silhouette": sum(x["sil"] for _, x in mine) / sum(x["n"] for _, x in mine) if mine else None}
+        if again:
+            apart = [(n * n - x["z"], x["d"]) for n, x in mine]
+            m = [d / pairs for pairs, d in apart if pairs > 0]
+            out[r] |= {"avg_intra_cluster_distance": float(np.mean(m)) if m else None, "std_intra_cluster_distance": float(np.std(m)) if m else None}
+    return out
+
+
 def silhouette_by_cluster(samples: DataFrame, cluster="cluster") -> DataFrame:
     """Per cluster mean, population std, min, max, size, number of rows
     below the overall mean, and whether the cluster mean is above it."""
@@ -262,11 +317,16 @@ def stability(vec: DataFrame, fit: Callable[[DataFrame, int], DataFrame], k: int
     return pairs, summary
 
 
-def metrics_table(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features") -> DataFrame:
-    """One row: silhouette, davies_bouldin, calinski_harabasz for a labeling."""
+def metrics_table(vec: DataFrame, labels: DataFrame, entity="entity", cluster="cluster", features="features", pairs: dict | None = None) -> DataFrame:
+    """One row: silhouette, davies_bouldin, calinski_harabasz for a labeling; ``pairs``: its ``pair_metrics``,
+    where it was walked together with others."""
     k = F.lit(0)
     pre = _prepared(vec, labels, entity, cluster, features)
-    s = silhouette(vec, labels, entity=entity, cluster=cluster, features=features).withColumn("_k", k)
+    if pairs is None:
+        s = silhouette(vec, labels, entity=entity, cluster=cluster, features=features)
+    else:
+        s = vec.sparkSession.createDataFrame([(pairs["silhouette"],)], "silhouette double")
+    s = s.withColumn("_k", k)
     d = davies_bouldin(vec, labels, entity, cluster, features, _pre=pre).withColumn("_k", k)
     c = calinski_harabasz(vec, labels, entity, cluster, features, _pre=pre).withColumn("_k", k)
     return s.join(d, "_k").join(c, "_k").drop("_k")
@@ -282,23 +342,25 @@ METRICS_SCHEMA = ", ".join(f"{m} {'long' if m in QUALITY[:2] else 'double'}" for
 
 
 def evaluate(vec: DataFrame, labels: DataFrame, algorithm: str | None = None, centers: DataFrame | None = None, entity="entity",
-             cluster="cluster", features="features") -> DataFrame:
+             cluster="cluster", features="features", pairs: dict | None = None) -> DataFrame:
     """All metrics of one labeling as one row (``METRICS``): the core and the
     quality metrics; center distances only with ``centers``; the sums of
     squares only for k-means with centers, NULL otherwise.  Fewer than two
     clusters are an error.  The labeled rows and centroids are kept while the
-    metrics run and released before the return."""
+    metrics run and released before the return.  ``pairs``: what ``pair_metrics`` (``again``) found
+    for the labeling, where it was walked together with others."""
     if labels.select(cluster).distinct().limit(2).count() < 2:
         raise ValueError("insufficient clusters: at least two are needed")
     pre = _prepared(vec, labels, entity, cluster, features)
     lv, own = pre[0], pre[0].select(entity, cluster)
     parts = [
-        silhouette(lv.select(entity, features), own, entity=entity, cluster=cluster, features=features),
         davies_bouldin(vec, own, entity, cluster, features, _pre=pre),
         calinski_harabasz(vec, own, entity, cluster, features, _pre=pre),
         size_balance(own, cluster),
-        intra_distance(lv.select(entity, features), own, entity, cluster, features),
     ]
+    if pairs is None:
+        parts.append(silhouette(lv.select(entity, features), own, entity=entity, cluster=cluster, features=features))
+        parts.append(intra_distance(lv.select(entity, features), own, entity, cluster, features))
     if centers is not None:
         parts.append(inter_distance(centers, cluster))
         if algorithm == "kmeans":
@@ -306,7 +368,7 @@ def evaluate(vec: DataFrame, labels: DataFrame, algorithm: str | None = None, ce
     pre[2].count()  # kept once, before the parts read it side by side
     with ThreadPool(len(parts)) as pool:  # independent one-row jobs share the cluster
         rows = pool.map(inheritable_thread_target(vec.sparkSession)(DataFrame.first), parts)
-    got = {name: x for row in rows for name, x in row.asDict().items()}
+    got = {name: x for row in rows for name, x in row.asDict().items()} | (pairs or {})
     lv.unpersist()
     pre[2].unpersist()
     return vec.sparkSession.createDataFrame([tuple(got.get(m) for m in METRICS)], METRICS_SCHEMA)

@@ -154,16 +154,28 @@ def map_tiles(
 
 
 def _distance_pieces(a: np.ndarray, b: np.ndarray, diag: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """Distances of all rows of two blocks, piece by piece; a row is at 0 from itself."""
+    """Distances of all rows of two blocks, piece by piece; a row is at 0 from itself.  The same
+    numbers as ``sq_dists``, in memory that the next piece overwrites."""
+    twice, na, nb = 2.0 * a, (a * a).sum(1), (b * b).sum(1)
+    kept = np.empty((2, min(PIECE, len(a)) * min(PIECE, len(b))))
     for i in pieces(len(a)):
         for j in pieces(len(b)):
-            d = sq_dists(a[i], b[j])
-            np.sqrt(d, out=d)
+            shape = i.stop - i.start, j.stop - j.start
+            d, dots = (x[: shape[0] * shape[1]].reshape(shape) for x in kept)
+            np.add(na[i][:, None], nb[j][None, :], out=d)
+            d -= np.matmul(twice[i], b[j].T, out=dots)
+            np.sqrt(np.maximum(d, 0.0, out=d), out=d)
             if diag and i == j:
                 np.fill_diagonal(d, 0.0)
             yield i, j, d
 
 
+def _zeros(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of zeros, which most pieces have none of."""
+    zero = d == 0
+    return np.nonzero(zero) if zero.any() else (np.empty(0, dtype=np.int64),) * 2
+
+
 # ---------------------------------------------------------------- consumers
 def cluster_distance_sums(vec: DataFrame, entity: str = "entity", cluster: str = "cluster", features: str = "features",
                           nb: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -257,7 +269,7 @@ def run_distance_sums(vec: DataFrame, slots: int, entity: str = "entity", slot:
             of_left[i] += d @ rm[j]
             if not diag:
                 of_right[j] += d.T @ lm[i]
-            at, to = np.nonzero(d == 0)
+            at, to = _zeros(d)
             if diag and i == j:
                 at, to = at[at != to], to[at != to]
             if len(at):
@@ -271,3 +283,36 @@ def run_distance_sums(vec: DataFrame, slots: int, entity: str = "entity", slot:
     wide = rows_of_bytes(max(d or 1, slots))
     nb = max(n_blocks(vec, block_rows), math.ceil(n / wide))
     return map_tiles(vec.select(entity, slot, features), fn, schema, nb=nb, entity=entity)
+
+
+def weighted_distance_sums(vec: DataFrame, slots: int, entity: str = "entity", weight: str = "_w", features: str = "features",
+                           zeros: bool = False, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Distance sums of many labelings, whose rows may lie in a cluster several times or in several
+    clusters, from one walk over the tiles.  ``weight`` is an array<double> with one entry a slot (a cluster of a
+    labeling): how often the row counts in it.  Output (entity, s: by slot, the distances to all rows times
+    their weights, z: by slot, the weights of the other rows at distance 0, kept with ``zeros`` only,
+    m: 1 once a row), one row a tile and row."""
+    schema = f"{entity} {vec.schema[entity].dataType.simpleString()}, s array<double>, z array<double>, m long"
+
+    def fn(L: Block, R: Block, diag: bool) -> pd.DataFrame:
+        a, b, lw, rw = L.matrix(features), R.matrix(features), L.matrix(weight), R.matrix(weight)
+        of_left, of_right = np.zeros((len(a), slots)), np.zeros((len(b), slots))
+        zl, zr = np.zeros((len(a), slots if zeros else 0)), np.zeros((len(b), slots if zeros else 0))
+        for i, j, d in _distance_pieces(a, b, diag):
+            of_left[i] += d @ rw[j]
+            if not diag:
+                of_right[j] += d.T @ lw[i]
+            if zeros:
+                at, to = _zeros(d)
+                if diag and i == j:
+                    at, to = at[at != to], to[at != to]
+                if len(at):
+                    np.add.at(zl[i], at, rw[j][to])
+                    if not diag:
+                        np.add.at(zr[j], to, lw[i][at])
+        sides = ((L, of_left, zl), (R, of_right, zr))[: 1 if diag else 2]
+        return pd.concat([pd.DataFrame({entity: block.column(entity), "s": list(s), "z": list(z), "m": int(diag)}) for block, s, z in sides], ignore_index=True)
+
+    n, d = vec.agg(F.count(F.lit(1)), F.max(F.size(features))).first()
+    nb = max(n_blocks(vec, block_rows), math.ceil(n / rows_of_bytes(max(d or 1, slots))))
+    return map_tiles(vec.select(entity, weight, features), fn, schema, nb=nb, entity=entity)

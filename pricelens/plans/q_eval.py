@@ -3,12 +3,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import pairwise as pw
 from ..operators import setops as so
 from ..operators import summary as sm
+from ..session import checkpoint
 from ..sources import tables as tb
 from .registry import query, r4
 
@@ -173,18 +177,27 @@ def _metrics_rows_sql():
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
+def _labelings(spark, sf):
+    """(run, entity, cluster) of all labelings."""
+    each = [_lb(spark, sf, name).select(F.lit(i).alias("run"), "entity", "cluster") for i, name in enumerate(_RULES)]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 def _metrics_rows(spark, sf):
+    """Core metrics of every labeling: one walk over the pairs of rows for all, and the few rows are kept, so
+    that what reads them several times does not walk again."""
     rows = None
+    pairs = ev.pair_metrics(_m(spark, sf), _labelings(spark, sf))
     for i, name in enumerate(_RULES):
         lb = _lb(spark, sf, name)
-        m = ev.metrics_table(_m(spark, sf), lb)
+        m = ev.metrics_table(_m(spark, sf), lb, pairs=pairs.get(i, {"silhouette": None}))
         kk = lb.agg(F.count_distinct("cluster").alias("k"))
         one = m.withColumn("_k", F.lit(0)).join(kk.withColumn("_k", F.lit(0)), "_k").select(
             F.lit(name).alias("algorithm"), F.lit(i).alias("run"), "k",
             r4("silhouette").alias("silhouette"), r4("davies_bouldin").alias("davies_bouldin"),
             r4("calinski_harabasz").alias("calinski_harabasz"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    return checkpoint(rows)
 
 
 @query("a14_best_config", f"""
@@ -196,7 +209,7 @@ UNION ALL SELECT 'davies_bouldin', arg_max(algorithm, struct_pack(v := -davies_b
 UNION ALL SELECT 'calinski_harabasz', arg_max(algorithm, struct_pack(v := calinski_harabasz, o := -run)),
        arg_max(k, struct_pack(v := calinski_harabasz, o := -run)), max(calinski_harabasz) FROM m""")
 def a14(spark, sf):
-    return sm.best_config(_metrics_rows(spark, sf).persist())
+    return sm.best_config(_metrics_rows(spark, sf))
 
 
 @query("e9_compare_runs", f"""
